@@ -67,6 +67,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer splits than cores.
+
+    For work that is heavy per row. A scan with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_course_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored course table with its declared schema; columns absent from the files read as NULL."""
     return spark.read.schema(COURSE_SCHEMAS[name]).parquet(path)
