@@ -24,6 +24,15 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def first_of_equal(rows: Column, key) -> Column:
+    """The first of all elements with an equal key, in order. Sorting makes equal keys neighbours."""
+    keyed = F.transform(rows, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"), r.alias("r")))
+    firsts = bind(F.array_sort(keyed), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | (x["k"] != F.get(s, i - 1)["k"])))
+    back = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r"))))
+    return F.transform(back, lambda x: x["r"])
+
+
 def lit_array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -365,20 +374,20 @@ def snippet_sentences(text: Column, min_chars: int = 28, max_chars: int = 140) -
 def ranked_snippets(text: Column, n: int = 4, max_chars: int = 140) -> Column:
     """The ``n`` sentences of the lead with most content words; equal beginnings only once.
 
-    Sentences are scored, the best of each 35-character beginning is kept by a map keyed on it,
-    and the rest are sorted by (score, position).
+    Sentences are sorted by (score, position), and of each 35-character beginning the best stays.
     """
     lead = F.substring(strip(text), 1, 4500)
     stop = lit_array(lx.STOP_WORDS)
 
     def scored(s: Column, i: Column) -> Column:
         toks = F.filter(tokens(s, 3), lambda w: ~F.array_contains(stop, w))
-        return F.struct(
-            (-(F.size(toks) + F.size(F.array_distinct(toks)))).alias("rank"), i.alias("pos"),
-            F.substring(s, 1, 35).alias("head"), s.alias("text"), F.size(toks).alias("n"))
+        counted = bind(toks, lambda ws: F.struct(F.size(ws).alias("n"), F.size(F.array_distinct(ws)).alias("d")))
+        return bind(counted, lambda t: F.struct(
+            (-(t["n"] + t["d"])).alias("rank"), i.alias("pos"),
+            F.substring(s, 1, 35).alias("head"), s.alias("text"), t["n"].alias("n")))
 
     rows = F.array_sort(F.filter(F.transform(snippet_sentences(lead, 28, max_chars), scored), lambda r: r["n"] >= 4))
-    firsts = F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["head"]), r["head"]) == i + 1)
+    firsts = first_of_equal(rows, lambda r: r["head"])
     return F.transform(F.slice(firsts, 1, n), lambda r: r["text"])
 
 

@@ -129,8 +129,7 @@ def numbered_sections(text: Column) -> Column:
             _plain_int(F.regexp_extract(p, pattern, 1)).alias("num"), F.regexp_extract(p, pattern, 2).alias("body")))
 
     def sections(rows: Column) -> Column:
-        nums = F.transform(rows, lambda r: r["num"])
-        firsts = F.filter(rows, lambda r, i: F.array_position(nums, r["num"]) == i + 1)
+        firsts = tx.first_of_equal(rows, lambda r: r["num"])
 
         def section(r: Column) -> Column:
             body = tx.strip(F.regexp_replace(r["body"], r"\s+", " "))

@@ -191,3 +191,88 @@ refined AS (SELECT doc_id, p, 0 AS p2, chapter, title, content FROM cutup WHERE
     UNION ALL SELECT doc_id, p, unnest(range(1, len(cs) + 1)), chapter, title || ' — đoạn ' || unnest(range(1, len(cs) + 1)) || '/' || len(cs), unnest(cs) FROM cutup WHERE big),
 sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, p2) - 1 AS INTEGER) AS pos, chapter, title, content,
     CAST({sql_words('content')} AS INTEGER) AS word_count, CAST(length(content) AS INTEGER) AS char_count FROM refined)"""
+
+
+def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with formula symbols or wrongly decoded text added to some."""
+    extra = (F.when(F.col("doc_id") % 3 == 0, F.lit("\n  H₂SO₄ + x² → α·β ± 5° \n")).when(
+        F.col("doc_id") % 3 == 1, F.lit("\nGiÃ¡o trÃ¬nh Ä‘iá»‡n tá»…")).otherwise(F.lit("")))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).withColumn(
+        "text", F.concat("text", extra))
+
+
+MARKED_SQL = """marked AS (SELECT doc_id, source, lang, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '  H₂SO₄ + x² → α·β ± 5° ' || chr(10)
+  WHEN doc_id % 3 = 1 THEN chr(10) || 'GiÃ¡o trÃ¬nh Ä‘iá»‡n tá»…' ELSE '' END AS text FROM documents)"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into pages of 1500 characters, with an alternate layer and a recognised text."""
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.greatest(F.ceil(F.length("text") / 1500.0), F.lit(1)).cast("int")
+    rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("page_num"))
+    p, raw = F.col("page_num"), F.expr("substring(text, (page_num - 1) * 1500 + 1, 1500)")
+    broken = F.regexp_replace(raw, "([a-z][a-z])", "$1 ")
+    return rows.select(
+        "doc_id", "page_num",
+        F.when(p % 5 == 0, F.lit("")).when(p % 4 == 3, broken).when(
+            p % 3 == 1, F.concat(raw, F.lit(" x² y³"))).otherwise(raw).alias("layer_text"),
+        F.when(p % 2 == 0, F.concat(raw, F.lit(" α β γ"))).when(
+            p % 4 == 3, raw).when(p == 1, F.concat(raw, F.lit(" x² y³ ±"))).alias("alt_text"),
+        F.when(p % 2 == 0, raw).alias("ocr_text"))
+
+
+PAGES_SQL = """pages0 AS (SELECT doc_id, text, unnest(range(1, greatest(CAST(ceil(length(text) / 1500.0) AS BIGINT), 1) + 1)) AS p FROM documents),
+pages1 AS (SELECT doc_id, CAST(p AS INTEGER) AS page_num, p, substring(text, (p - 1) * 1500 + 1, 1500) AS raw FROM pages0),
+page_text AS (SELECT doc_id, page_num,
+  CASE WHEN p % 5 = 0 THEN '' WHEN p % 4 = 3 THEN regexp_replace(raw, '([a-z][a-z])', '\\1 ', 'g') WHEN p % 3 = 1 THEN raw || ' x² y³' ELSE raw END AS layer_text,
+  CASE WHEN p % 2 = 0 THEN raw || ' α β γ' WHEN p % 4 = 3 THEN raw WHEN p = 1 THEN raw || ' x² y³ ±' END AS alt_text,
+  CASE WHEN p % 2 = 0 THEN raw END AS ocr_text FROM pages1)"""
+
+
+def sql_tokens(x: str, k: int) -> str:
+    return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]{{{k},}}')"
+
+
+def sql_hits(x: str, lex) -> str:
+    return "(" + " + ".join(f"CAST(contains({x}, '{p}') AS INT)" for p in lex) + ")"
+
+
+def sql_any(x: str, lex) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in lex) + ")"
+
+
+def sql_class_count(x: str, char_class: str) -> str:
+    return f"length(regexp_replace({x}, '[^{char_class}]', '', 'g'))"
+
+
+def sql_garbled(x: str) -> str:
+    high = sql_class_count(x, r"\x{0080}-\x{10FFFF}")
+    legit = f"({sql_class_count(x, lx.VI_EXTENDED)} + {sql_class_count(x, lx.STEM_WIDE)})"
+    return (f"CASE WHEN length({sql_strip(x)}) < 20 THEN true WHEN {high} / length({x}) < 0.03 THEN false "
+            f"WHEN {high} >= 5 AND {legit} / {high} < 0.25 THEN true ELSE false END")
+
+
+def sql_english(x: str) -> str:
+    lead = f"substring({x}, 1, 500)"
+    letters = sql_class_count(lead, r"\p{L}")
+    return (f"CASE WHEN length({x}) < 30 OR {letters} = 0 THEN false "
+            f"ELSE {sql_class_count(lead, lx.VI_EXTENDED)} / {letters} < 0.01 END")
+
+
+def sql_math(x: str) -> str:
+    x = f"translate({x}, '{''.join(lx.MATH_SINGLE)}', '{''.join(lx.MATH_SINGLE.values())}')"
+    return reduce(lambda t, kv: f"replace({t}, '{kv[0]}', '{kv[1]}')", lx.MATH_WORDS.items(), x)
+
+
+def sql_snippets(x: str, n: int, max_len: int) -> str:
+    """Scalar subquery-free list expression of the best sentences of ``x``."""
+    parts = (f"list_transform(string_split(regexp_replace(regexp_replace({sql_strip(f'substring({sql_strip(x)}, 1, 4500)')}, "
+             f"'([.!?…])\\s+', '\\1' || chr(57344), 'g'), '\\n+', chr(57344), 'g'), chr(57344)), "
+             f"lambda s: regexp_replace({sql_strip('s')}, '\\s+', ' ', 'g'))")
+    toks = f"list_filter({sql_tokens('s', 3)}, lambda w: NOT list_contains({quoted(lx.STOP_WORDS)}, w))"
+    rows = (f"list_sort(list_filter(list_transform({parts}, lambda s, i: {{'r': -(len({toks}) + len(list_distinct({toks}))), 'i': i, "
+            f"'h': substring(s, 1, 35), 't': s, 'n': len({toks}), 'l': length(s)}}), "
+            f"lambda x: x.n >= 4 AND x.l BETWEEN 28 AND {max_len}))")
+    firsts = (f"list_reduce({rows}, lambda a, x: CASE WHEN len(a) >= {n} OR list_contains(list_transform(a, lambda y: y.h), x.h) THEN a "
+              f"ELSE list_append(a, x) END, ({rows})[1:0])")
+    return f"list_transform({firsts}, lambda x: x.t)"
