@@ -338,6 +338,24 @@ def explode_chapters(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     return rows.select(*keep, "chapter_pos", "s.*")
 
 
+def sections_with_chapter_size(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Exploded sections with the size of their chapter's text (``chapter_chars``, ``chapter_words``)."""
+    key = lambda s: F.coalesce(s["chapter"], F.lit(DEFAULT_CHAPTER))
+    keys = F.array_distinct(F.transform("sections", key))
+
+    def total(k: Column) -> Column:
+        mine = F.filter("sections", lambda s: key(s) == k)
+        add = lambda field: F.aggregate(F.transform(mine, lambda s: s[field]), F.lit(0), lambda a, x: a + x)
+        return F.struct(k.alias("chapter"), (add("char_count") + 2 * (F.size(mine) - 1)).alias("chars"),
+                        add("word_count").alias("words"))
+
+    rows = docs.select(*keep, "sections", F.transform(keys, total).alias("totals"))
+    rows = explode_rows(rows, "sections", (*keep, "totals"), "pos")
+    mine = F.get(F.filter("totals", lambda t: t["chapter"] == F.coalesce("s.chapter", F.lit(DEFAULT_CHAPTER))), F.lit(0))
+    return rows.select(*keep, "pos", "s.*", mine.alias("t")).withColumns(
+        {"chapter_chars": F.col("t.chars"), "chapter_words": F.col("t.words")}).drop("t")
+
+
 def chapter_context(sections: DataFrame) -> DataFrame:
     """Text of each chapter from a table of sections, in section order."""
     chapter = F.coalesce("chapter", F.lit(DEFAULT_CHAPTER))

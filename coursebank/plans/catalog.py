@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from coursebank.plans import relational_queries, text_queries  # noqa: F401
+from coursebank.plans import relational_queries, scoring_queries, text_queries  # noqa: F401
 from coursebank.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
