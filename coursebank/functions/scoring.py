@@ -43,21 +43,34 @@ def content_tokens(text: Column, k: int = 2) -> Column:
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the words of ``a`` that occur in ``b``."""
-    return F.round(set_share(content_tokens(a), content_tokens(b)), 4)
+    return F.round(bind(content_tokens(a), lambda x: set_share(x, content_tokens(b))), 4)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def grams(toks: Column) -> Column:
+        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+
+    return bind(tokens, grams)
 
 
 def ngram_share(a_tokens: Column, s_tokens: Column) -> Column:
     """Weighted share of the 1- to 4-gram sets of ``a`` found in ``s``."""
     weights = {1: 0.20, 2: 0.30, 3: 0.30, 4: 0.20}
-    score = sum((set_share(ngrams(a_tokens, n), ngrams(s_tokens, n)) * w for n, w in weights.items() if n > 1),
-                set_share(a_tokens, s_tokens) * weights[1])
-    return F.round(F.least(score, F.lit(1.0)), 4)
+
+    def score(x: Column) -> Column:
+        a, s = x["a"], x["s"]
+        total = set_share(a, s) * weights[1]
+        for n in (2, 3, 4):
+            total = total + _gram_set_share(a, s, n) * weights[n]
+        return F.round(F.least(total, F.lit(1.0)), 4)
+
+    return bind(F.struct(a_tokens.alias("a"), s_tokens.alias("s")), score)
+
+
+def _gram_set_share(a: Column, s: Column, n: int) -> Column:
+    return bind(ngrams(a, n), lambda g: set_share(g, ngrams(s, n)))
 
 
 def ngram_groundedness(answer: Column, source: Column) -> Column:
@@ -139,13 +152,16 @@ def tautology(points: Column) -> Column:
     """1 for informative points, falling with the share that only repeats its title."""
 
     def bad(p: Column) -> Column:
-        t, c = _plain(p["title"]), _plain(p["content"])
-        return (
-            (t == "") | (c == "") | (t == c)
-            | (c.startswith(lx.SUCH_AS_FILLER) & c.contains(t))
-            | ((F.length(c) <= F.length(t) + 5) & c.contains(t))
-            | ~adds_info(p["title"], p["content"])
-        )
+        def judged(x: Column) -> Column:
+            t, c = x["t"], x["c"]
+            return (
+                (t == "") | (c == "") | (t == c)
+                | (c.startswith(lx.SUCH_AS_FILLER) & c.contains(t))
+                | ((F.length(c) <= F.length(t) + 5) & c.contains(t))
+                | ~adds_info(p["title"], p["content"])
+            )
+
+        return bind(F.struct(_plain(p["title"]).alias("t"), _plain(p["content"]).alias("c")), judged)
 
     n = F.size(points)
     return F.when(n == 0, F.lit(1.0)).otherwise(
@@ -249,53 +265,55 @@ def scenario_score(q: Column) -> Column:
 
 def question_rule(q: Column, level: Column) -> Column:
     """STRUCT(ok, score, reason): does a question stay on its level? Levels 4 to 6 always do."""
-    q = tx.strip(q)
-    off_start = q.rlike("^(phân tích|đánh giá|so sánh)" + WORD_END)
-    rule1 = (
-        F.when(any_hit(q, lx.LEVEL1_OFF_LEVEL), _rule(0.12, "off_level"))
-        .when(off_start, _rule(0.15, "off_level_start"))
-        .when(F.concat(F.lit(" "), q).contains(" tại sao"), _rule(0.15, "asks_why"))
-        .when(~any_hit(q, lx.LEVEL1_VERBS), _rule(0.22, "verb_missing")).otherwise(_passed(F.lit(0.95)))
-    )
-    rule2 = (
-        F.when(any_hit(q, lx.LEVEL2_OFF_LEVEL), _rule(0.18, "off_level"))
-        .when(off_start, _rule(0.15, "off_level_start"))
-        .when(~any_hit(q, lx.LEVEL2_VERBS), _rule(0.22, "verb_missing")).otherwise(_passed(F.lit(0.95)))
-    )
-    rule3 = (
-        F.when(any_hit(q, lx.LEVEL3_OFF_LEVEL), _rule(0.15, "off_level"))
-        .when(any_hit(q, lx.LEVEL3_META), _rule(0.12, "meta"))
-        .when(level3_drift(q), _rule(0.20, "describes_only")).otherwise(_passed(scenario_score(q)))
-    )
-    return by_level(level, {1: rule1, 2: rule2, 3: rule3}, _passed(F.lit(1.0)))
+
+    def rules(q: Column) -> Column:
+        off_start = q.rlike("^(phân tích|đánh giá|so sánh)" + WORD_END)
+        rule1 = (
+            F.when(any_hit(q, lx.LEVEL1_OFF_LEVEL), _rule(0.12, "off_level"))
+            .when(off_start, _rule(0.15, "off_level_start"))
+            .when(F.concat(F.lit(" "), q).contains(" tại sao"), _rule(0.15, "asks_why"))
+            .when(~any_hit(q, lx.LEVEL1_VERBS), _rule(0.22, "verb_missing")).otherwise(_passed(F.lit(0.95)))
+        )
+        rule2 = (
+            F.when(any_hit(q, lx.LEVEL2_OFF_LEVEL), _rule(0.18, "off_level"))
+            .when(off_start, _rule(0.15, "off_level_start"))
+            .when(~any_hit(q, lx.LEVEL2_VERBS), _rule(0.22, "verb_missing")).otherwise(_passed(F.lit(0.95)))
+        )
+        rule3 = (
+            F.when(any_hit(q, lx.LEVEL3_OFF_LEVEL), _rule(0.15, "off_level"))
+            .when(any_hit(q, lx.LEVEL3_META), _rule(0.12, "meta"))
+            .when(level3_drift(q), _rule(0.20, "describes_only")).otherwise(_passed(scenario_score(q)))
+        )
+        return by_level(level, {1: rule1, 2: rule2, 3: rule3}, _passed(F.lit(1.0)))
+
+    return bind(tx.strip(q), rules)
 
 
 def step_answer_rule(a: Column, points: Column) -> Column:
     """STRUCT(ok, reason): level 3 answers must not be meta text or a template of analysis titles."""
     step = r"^bước\s*\d+\s*(.*)$"
 
-    def title(p: Column) -> Column:
-        return tx.strip(F.lower(p["title"]))
-
-    def template(p: Column) -> Column:
-        t = title(p)
+    def template(t: Column) -> Column:
         named = reduce(lambda x, y: x | y, [
             (t == bad) | t.startswith(bad + ":") | t.startswith(bad + " ") for bad in lx.LEVEL3_FORBIDDEN_TITLES])
         started = reduce(lambda x, y: x | y, [t.startswith(s) for s in lx.LEVEL3_TITLE_STARTS])
         return ~t.rlike(step) & (named | started)
 
-    def bare_step(p: Column) -> Column:
-        bare = tx.strip(F.regexp_extract(title(p), step, 1))
-        return title(p).rlike(step) & (bare.isin(*lx.LEVEL3_BARE_TITLES) | bare.startswith(lx.LEVEL3_TITLE_STARTS[0]))
+    def bare_step(t: Column) -> Column:
+        bare = tx.strip(F.regexp_extract(t, step, 1))
+        return t.rlike(step) & (bare.isin(*lx.LEVEL3_BARE_TITLES) | bare.startswith(lx.LEVEL3_TITLE_STARTS[0]))
 
-    n = F.size(points)
-    reason = (
-        F.when(n == 0, "no_points").when(any_hit(a, lx.ANSWER_META), "meta")
-        .when(F.exists(points, template), "template_title")
-        .when(F.size(F.filter(points, bare_step)) >= F.greatest(F.lit(2), F.floor(n / 2)), "template_steps")
-        .otherwise("ok")
-    )
-    return bind(reason, lambda r: F.struct((r == "ok").alias("ok"), r.alias("reason")))
+    def reason(titles: Column) -> Column:
+        n = F.size(titles)
+        return (
+            F.when(n == 0, "no_points").when(any_hit(a, lx.ANSWER_META), "meta")
+            .when(F.exists(titles, template), "template_title")
+            .when(F.size(F.filter(titles, bare_step)) >= F.greatest(F.lit(2), F.floor(n / 2)), "template_steps")
+            .otherwise("ok")
+        )
+
+    found = bind(F.transform(points, lambda p: tx.strip(F.lower(p["title"]))), reason)
+    return bind(found, lambda r: F.struct((r == "ok").alias("ok"), r.alias("reason")))
 
 
 def action_score(points: Column) -> Column:
@@ -331,8 +349,8 @@ def clo_overlap(text: Column, clo: Column) -> Column:
 
 def clo_topics(text: Column, clo: Column) -> Column:
     """Topics an outcome asks for that the text mentions; both lowercased."""
-    return F.array_compact(F.array(*[
-        F.when(any_hit(clo, asks) & any_hit(text, asks), F.lit(key)) for key, (asks, _) in lx.CLO_TOPICS.items()]))
+    return bind(text, lambda t: F.array_compact(F.array(*[
+        F.when(any_hit(clo, asks) & any_hit(t, asks), F.lit(key)) for key, (asks, _) in lx.CLO_TOPICS.items()])))
 
 
 def clo_penalty(title: Column, content_chars: Column, clo: Column) -> Column:
@@ -349,31 +367,35 @@ def clo_penalty(title: Column, content_chars: Column, clo: Column) -> Column:
 
 def clo_score(title: Column, content: Column, clo: Column, lead_chars: int = 8000) -> Column:
     """Match of a section with an outcome, 0 to 1; the rule reads the section's first 8000 characters."""
-    lead, lt, lo = F.substring(content, 1, lead_chars), F.lower(title), F.lower(clo)
-    cap = lambda x: F.least(F.lit(1.0), x)
-    bonuses = (
-        (lo.contains("khái niệm") & lt.contains("khái niệm"), 0.12),
-        (lo.contains("mô hình") & lt.contains("mô hình"), 0.10),
-        (lo.contains("thuật ngữ") & any_hit(lt, lx.CLO_TERM_TITLES), 0.08),
-    )
-    raw = clo_overlap(title, clo) * 0.55 + clo_overlap(lead, clo) * 0.45
-    for cond, bonus in bonuses:
-        raw = bind(raw, lambda r, cond=cond, bonus=bonus: F.when(cond, cap(r + bonus)).otherwise(r))
-    topics = F.size(clo_topics(F.lower(F.concat(title, F.lit("\n"), lead)), lo))
-    raw = bind(raw, lambda r: F.when(topics > 0, cap(r + topics * 0.06)).otherwise(r))
-    scored = F.greatest(F.lit(0.0), raw - clo_penalty(lt, F.length(tx.strip(content)), lo))
-    return F.when(clo.isNull() | (clo == ""), F.lit(0.0)).otherwise(scored)
+
+    def capped(score: Column, condition: Column, bonus: Column) -> Column:
+        return bind(score, lambda r: F.when(condition, F.least(F.lit(1.0), r + bonus)).otherwise(r))
+
+    def scored(x: Column) -> Column:
+        lead, lt, lo = x["lead"], x["title"], x["clo"]
+        raw = clo_overlap(lt, lo) * 0.55 + clo_overlap(lead, lo) * 0.45
+        raw = capped(raw, lo.contains("khái niệm") & lt.contains("khái niệm"), F.lit(0.12))
+        raw = capped(raw, lo.contains("mô hình") & lt.contains("mô hình"), F.lit(0.10))
+        raw = capped(raw, lo.contains("thuật ngữ") & any_hit(lt, lx.CLO_TERM_TITLES), F.lit(0.08))
+        topics = F.size(clo_topics(F.concat(lt, F.lit("\n"), lead), lo))
+        raw = capped(raw, topics > 0, topics * 0.06)
+        return F.greatest(F.lit(0.0), raw - clo_penalty(lt, x["chars"], lo))
+
+    parts = F.struct(F.lower(F.substring(content, 1, lead_chars)).alias("lead"), F.lower(title).alias("title"),
+                     F.lower(clo).alias("clo"), F.length(tx.strip(content)).alias("chars"))
+    return F.when(clo.isNull() | (clo == ""), F.lit(0.0)).otherwise(bind(parts, scored))
 
 
 def clo_aspects(clo: Column) -> Column:
     """Aspects an outcome asks for. A mere 'triển khai' is context and asks for nothing."""
-    lo = F.lower(clo)
-    return F.array_compact(F.array(*[F.when(any_hit(lo, asks), F.lit(k)) for k, (asks, _) in lx.CLO_ASPECTS.items()]))
+    return bind(F.lower(clo), lambda lo: F.array_compact(F.array(*[
+        F.when(any_hit(lo, asks), F.lit(k)) for k, (asks, _) in lx.CLO_ASPECTS.items()])))
 
 
 def aspect_hits(text: Column) -> Column:
     """Aspects that a lowercased text shows."""
-    return F.array_compact(F.array(*[F.when(any_hit(text, shows), F.lit(k)) for k, (_, shows) in lx.CLO_ASPECTS.items()]))
+    return bind(text, lambda t: F.array_compact(F.array(*[
+        F.when(any_hit(t, shows), F.lit(k)) for k, (_, shows) in lx.CLO_ASPECTS.items()])))
 
 
 def aspect_gap(question: Column, answer: Column, clo: Column, title: Column, content: Column, level: Column) -> Column:
@@ -458,18 +480,25 @@ def effective_ceiling(ceiling: Column, level: Column, n_chars: Column) -> Column
 
 def bloom_heuristic(text: Column) -> Column:
     """Level that a short passage shows, by keywords from level 6 down; 1 if none."""
-    low = F.lower(text)
-    out = F.when(text.isNull() | (F.length(tx.strip(text)) < 20), F.lit(1))
-    for level, lex in lx.EXACT_KEYWORDS.items():
-        out = out.when(any_hit(low, lex), F.lit(level))
-    return out.otherwise(F.lit(1))
+
+    def level_of(low: Column) -> Column:
+        out = F.when(low.isNull() | (F.length(tx.strip(low)) < 20), F.lit(1))
+        for level, lex in lx.EXACT_KEYWORDS.items():
+            out = out.when(any_hit(low, lex), F.lit(level))
+        return out.otherwise(F.lit(1))
+
+    return bind(F.lower(text), level_of)
 
 
 def section_ceiling(content: Column) -> Column:
     """Highest level that a section can support."""
-    n, low = F.length(tx.strip(content)), F.lower(content)
-    out = F.when(n < 50, F.lit(1)).when(n <= 300, bloom_heuristic(tx.strip(content)))
-    for level, lex in lx.CEILING_KEYWORDS.items():
-        value = F.when(n >= 400, F.lit(5)).otherwise(F.lit(4)) if level == 5 else F.lit(level)
-        out = out.when(any_hit(low, lex), value)
-    return out.when(n >= 800, F.lit(5)).when(n >= 400, F.lit(4)).otherwise(F.lit(3))
+
+    def ceiling(x: Column) -> Column:
+        n, low = x["n"], x["low"]
+        out = F.when(n < 50, F.lit(1)).when(n <= 300, bloom_heuristic(low))
+        for level, lex in lx.CEILING_KEYWORDS.items():
+            value = F.when(n >= 400, F.lit(5)).otherwise(F.lit(4)) if level == 5 else F.lit(level)
+            out = out.when(any_hit(low, lex), value)
+        return out.when(n >= 800, F.lit(5)).when(n >= 400, F.lit(4)).otherwise(F.lit(3))
+
+    return bind(F.struct(F.length(tx.strip(content)).alias("n"), F.lower(content).alias("low")), ceiling)

@@ -38,13 +38,14 @@ def lit_array(words) -> Column:
 
 
 def any_hit(text: Column, lex) -> Column:
-    """Does ``text`` contain any phrase of ``lex``? A chain of ``contains``, so it stays in generated code."""
-    return reduce(lambda a, p: a | text.contains(p), lex[1:], text.contains(lex[0]))
+    """Does ``text`` contain any phrase of ``lex``? ``text`` is computed once for all phrases."""
+    return bind(text, lambda t: reduce(lambda a, p: a | t.contains(p), lex[1:], t.contains(lex[0])))
 
 
 def hits(text: Column, lex) -> Column:
     """How many phrases of ``lex`` occur in ``text``."""
-    return reduce(lambda a, p: a + text.contains(p).cast("int"), lex[1:], text.contains(lex[0]).cast("int"))
+    return bind(text, lambda t: reduce(
+        lambda a, p: a + t.contains(p).cast("int"), lex[1:], t.contains(lex[0]).cast("int")))
 
 
 def tokens(text: Column, k: int) -> Column:

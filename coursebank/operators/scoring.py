@@ -78,7 +78,8 @@ def feasibility(candidates: DataFrame) -> DataFrame:
         .when(high & (c("_analytic") >= 2), "rich_analytical_content")
         .when(high & (c("_analytic") >= 1), "moderate_analytical_content").when(high, "limited_analytical_signals")
     )
-    match = F.format_string("(%.2f)", c("_match"))
+    # format_number rounds the binary value, as the printed logs do; format_string rounds its decimal text.
+    match = F.concat(F.lit("("), F.format_number("_match", 2), F.lit(")"))
     asked = c("_fit") & c("_clo").isNotNull()
     off_topic, unsure = asked & (c("_match") < 0.08), asked & (c("_match") >= 0.08) & (c("_match") < 0.38)
     r1 = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from coursebank import lexicons as lx
 from coursebank.functions.text import lit_array
 from coursebank.plans.text_fixtures import quoted, sql_any, sql_hits, sql_math, sql_strip, sql_tokens
-from coursebank.sources.tables import load
+from coursebank.sources.tables import load, spread
 
 STEMS = (
     "Liệt kê các thành phần của", "Nêu định nghĩa", "Phân tích các", "Tại sao", "Giải thích ý nghĩa của", "Mô tả",
@@ -29,7 +29,8 @@ OUTCOMES = (
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (pair_id, level, question, answer, source, title, clo): a talk's turns against the document of its number."""
-    talk, docs = load(spark, sf_dir, "conversations"), load(spark, sf_dir, "documents")
+    talk = load(spark, sf_dir, "conversations")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = talk.where("role = 'user'").select("conv_id", "turn")
     said = talk.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
