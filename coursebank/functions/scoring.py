@@ -5,8 +5,6 @@ Points are ARRAY<STRUCT<title, content>>; token sets are arrays. No Python runs
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -253,7 +251,7 @@ def _passed(score: Column) -> Column:
 
 
 def level3_drift(q: Column) -> Column:
-    return reduce(lambda a, b: a | b, [q.rlike(p + WORD_END) for p in lx.LEVEL3_DRIFT])
+    return q.rlike("(?:" + "|".join(lx.LEVEL3_DRIFT) + ")" + WORD_END)
 
 
 def scenario_score(q: Column) -> Column:
@@ -294,9 +292,8 @@ def step_answer_rule(a: Column, points: Column) -> Column:
     step = r"^bước\s*\d+\s*(.*)$"
 
     def template(t: Column) -> Column:
-        named = reduce(lambda x, y: x | y, [
-            (t == bad) | t.startswith(bad + ":") | t.startswith(bad + " ") for bad in lx.LEVEL3_FORBIDDEN_TITLES])
-        started = reduce(lambda x, y: x | y, [t.startswith(s) for s in lx.LEVEL3_TITLE_STARTS])
+        named = t.rlike(f"^(?:{'|'.join(lx.LEVEL3_FORBIDDEN_TITLES)})(?::| |\\z)")
+        started = t.rlike(f"^(?:{'|'.join(lx.LEVEL3_TITLE_STARTS)})")
         return ~t.rlike(step) & (named | started)
 
     def bare_step(t: Column) -> Column:
@@ -349,8 +346,8 @@ def clo_overlap(text: Column, clo: Column) -> Column:
 
 def clo_topics(text: Column, clo: Column) -> Column:
     """Topics an outcome asks for that the text mentions; both lowercased."""
-    return bind(text, lambda t: F.array_compact(F.array(*[
-        F.when(any_hit(clo, asks) & any_hit(t, asks), F.lit(key)) for key, (asks, _) in lx.CLO_TOPICS.items()])))
+    asks = {key: words for key, (words, _) in lx.CLO_TOPICS.items()}
+    return F.array_intersect(tx.keys_hit(clo, asks), tx.keys_hit(text, asks))
 
 
 def clo_penalty(title: Column, content_chars: Column, clo: Column) -> Column:
@@ -388,14 +385,13 @@ def clo_score(title: Column, content: Column, clo: Column, lead_chars: int = 800
 
 def clo_aspects(clo: Column) -> Column:
     """Aspects an outcome asks for. A mere 'triển khai' is context and asks for nothing."""
-    return bind(F.lower(clo), lambda lo: F.array_compact(F.array(*[
-        F.when(any_hit(lo, asks), F.lit(k)) for k, (asks, _) in lx.CLO_ASPECTS.items()])))
+    return F.coalesce(tx.keys_hit(F.lower(clo), {k: asks for k, (asks, _) in lx.CLO_ASPECTS.items()}),
+                      F.array().cast("array<string>"))
 
 
 def aspect_hits(text: Column) -> Column:
     """Aspects that a lowercased text shows."""
-    return bind(text, lambda t: F.array_compact(F.array(*[
-        F.when(any_hit(t, shows), F.lit(k)) for k, (_, shows) in lx.CLO_ASPECTS.items()])))
+    return tx.keys_hit(text, {k: shows for k, (_, shows) in lx.CLO_ASPECTS.items()})
 
 
 def aspect_gap(question: Column, answer: Column, clo: Column, title: Column, content: Column, level: Column) -> Column:

@@ -33,19 +33,31 @@ def first_of_equal(rows: Column, key) -> Column:
     return F.transform(back, lambda x: x["r"])
 
 
+def sql_array(words) -> str:
+    """SQL text of an array literal."""
+    return "array(" + ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) + ")"
+
+
 def lit_array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Array literal, parsed as one expression rather than built word by word."""
+    return F.expr(sql_array(words))
 
 
 def any_hit(text: Column, lex) -> Column:
     """Does ``text`` contain any phrase of ``lex``? ``text`` is computed once for all phrases."""
-    return bind(text, lambda t: reduce(lambda a, p: a | t.contains(p), lex[1:], t.contains(lex[0])))
+    return bind(text, lambda t: F.exists(lit_array(lex), lambda p: t.contains(p)))
 
 
 def hits(text: Column, lex) -> Column:
     """How many phrases of ``lex`` occur in ``text``."""
-    return bind(text, lambda t: reduce(
-        lambda a, p: a + t.contains(p).cast("int"), lex[1:], t.contains(lex[0]).cast("int")))
+    return bind(text, lambda t: F.size(F.filter(lit_array(lex), lambda p: t.contains(p))))
+
+
+def keys_hit(text: Column, table: dict) -> Column:
+    """Keys of a lexicon table (key -> phrases) with a phrase that ``text`` contains, in table order."""
+    rows = ", ".join(f"named_struct('k', '{k}', 'ps', {sql_array(ps)})" for k, ps in table.items())
+    return bind(text, lambda t: F.transform(
+        F.filter(F.expr(f"array({rows})"), lambda r: F.exists(r["ps"], lambda p: t.contains(p))), lambda r: r["k"]))
 
 
 def tokens(text: Column, k: int) -> Column:

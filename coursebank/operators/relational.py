@@ -163,6 +163,12 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 ordered_distinct = first_per_key
 
+def merge_positions(first: DataFrame, second: DataFrame, key: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
+    """Rows found by two searches, one per position; where both found one, the first search counts."""
+    both = first.withColumn("_src", F.lit(1)).unionByName(second.withColumn("_src", F.lit(2)))
+    return first_per_key(both, list(key), ["_src"]).drop("_src")
+
+
 # Tables that hold a user's rows, and the columns that tie a row to a user or to a user's document.
 USER_TABLES = ("documents", "qa_results", "gate_logs", "generation_logs", "evaluation_logs", "transactions",
                "feedbacks", "user_auth_providers")

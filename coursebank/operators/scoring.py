@@ -9,6 +9,7 @@ from coursebank import lexicons as lx
 from coursebank.functions import replies as rp
 from coursebank.functions import scoring as sc
 from coursebank.functions import text as tx
+from coursebank.operators.structure import computed_once
 
 c = F.col
 
@@ -118,13 +119,13 @@ def feasibility(candidates: DataFrame) -> DataFrame:
         .otherwise(c("_q1"))
     )
     ok = c("_ok1") & ~kind.isin("short_exact_mismatch", "short_ceiling", "semantic_ceiling")
-    return df.select(
-        *keep, F.when(ok, "pass").otherwise("fail").alias("decision"), F.round(q2, 4).alias("quality"),
-        F.array_compact(F.array(c("_r0"), c("_r1"), r2)).alias("reasons"))
+    return computed_once(df, keep, {
+        "decision": F.when(ok, "pass").otherwise("fail"), "quality": F.round(q2, 4),
+        "reasons": F.array_compact(F.array(c("_r0"), c("_r1"), r2))})
 
 
-def score_pairs(qa: DataFrame) -> DataFrame:
-    """All measures of question-answer pairs.
+def score_pairs(qa: DataFrame, outcome: bool = False) -> DataFrame:
+    """All measures of question-answer pairs; with ``outcome`` also the verdict on the learning outcome.
 
     Input: level, question, answer, source; optional title and clo. Texts are tokenised once and the
     token arrays dropped again, so a row stays as wide as its scores.
@@ -149,30 +150,37 @@ def score_pairs(qa: DataFrame) -> DataFrame:
     })
     weight = sc.by_level(level, {1: F.lit(0.92), 2: F.lit(0.92), 3: F.lit(0.90), 4: F.lit(0.95)})
     blended = F.round(F.greatest("ngram_score", c("concept_score") * weight), 4)
-    return df.withColumns({
+    names = ("n_points", "question_overlap", "ngram_score", "concept_score", "anchor", "tautology", "point_overlap",
+             "verb", "scenario", "action", "creative")
+    made = {name: c(name) for name in names} | {
         "groundedness": F.when(level >= 5, c("concept_score")).otherwise(blended),
         "key_terms": F.when(level <= 3, c("concept_score")).otherwise(F.lit(1.0)),
         "diversity": sc.diversity(c("point_overlap"), c("n_points")),
         "question_ok": c("_rule.ok"), "question_score": c("_rule.score"), "question_reason": c("_rule.reason"),
         "step_ok": c("_step.ok"), "step_reason": c("_step.reason"),
         "template": sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level),
-    }).select(
-        *keep, "n_points", "question_overlap", "ngram_score", "concept_score", "groundedness", "key_terms", "anchor",
-        "tautology", "point_overlap", "diversity", "verb", "scenario", "action", "creative", "question_ok",
-        "question_score", "question_reason", "step_ok", "step_reason", "template")
+    }
+    if outcome:
+        made["aspects"] = F.when(_no_outcome(qa), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
+            c("question"), c("answer"), c("clo"), _has(qa, "title", "string"), c("source"), level), level))
+        made["source_chars"] = F.length(tx.strip(c("source")))
+    return computed_once(df, keep, made) if outcome else df.select(*keep, *[v.alias(k) for k, v in made.items()])
+
+
+def _no_outcome(df: DataFrame) -> Column:
+    clo = _has(df, "clo", "string")
+    return clo.isNull() | (F.trim(clo) == "")
 
 
 def evaluate_qa(qa: DataFrame) -> DataFrame:
     """Decision, quality and first failed rule of each pair (see ``score_pairs`` for the input)."""
-    scored = score_pairs(qa)
-    keep = scored.columns
-    level, source_chars = c("level"), F.length(tx.strip(c("source")))
-    clo = _has(qa, "clo", "string")
-    aspects = F.when(clo.isNull() | (F.trim(clo) == ""), F.lit("ok")).otherwise(sc.aspect_verdict(
-        sc.aspect_gap(c("question"), c("answer"), clo, _has(qa, "title", "string"), c("source"), level), level))
+    qa = qa if "clo" in qa.columns else qa.withColumn("clo", F.lit(None).cast("string"))
+    df = score_pairs(qa, outcome=True)
+    keep = [x for x in df.columns if x not in ("aspects", "source_chars")]
+    level = c("level")
     verdict = F.coalesce(_has(qa, "clo_verdict", "boolean"), F.lit(True))
-    floor = F.when((level >= 5) & (source_chars <= 300), F.lit(0.05)).otherwise(_lookup(level, lx.HARD_FLOORS))
-    df = scored.withColumns({"_aspects": aspects, "_floor": floor})
+    floor = F.when((level >= 5) & (c("source_chars") <= 300), F.lit(0.05)).otherwise(_lookup(level, lx.HARD_FLOORS))
+    df = df.withColumn("_floor", floor)
     one = lambda n: level == n
     ground, terms, taut = c("groundedness"), c("key_terms"), c("tautology")
     level3_low = F.least("scenario", taut, ground, terms, "question_overlap")
@@ -194,7 +202,7 @@ def evaluate_qa(qa: DataFrame) -> DataFrame:
         (one(2) & (taut < 0.62), "tautological", taut),
         (one(3) & level3_bad, "level3_floor", level3_low),
         (alike, "points_alike", F.least(c("diversity"), 1.0 - c("point_overlap"))),
-        (c("_aspects") != "ok", "outcome_missed", F.lit(0.12)),
+        (c("aspects") != "ok", "outcome_missed", F.lit(0.12)),
         (~verdict, "outcome_verdict", F.lit(0.15)),
     )
     reason, low = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
@@ -227,13 +235,14 @@ def accept_replies(replies: DataFrame) -> DataFrame:
     df = df.withColumn("answer", rp.clean_answer(c("_cut.answer")))
     df = df.withColumns({
         "_points": rp.answer_points(c("answer")), "_a": F.lower("answer"), "_q": F.lower("question")})
-    level, clo = c("level"), _has(replies, "clo", "string")
+    level = c("level")
     df = df.withColumns({
         "anchor": sc.anchor_ratio(c("_points"), c("source")), "_step": sc.step_answer_rule(c("_a"), c("_points")),
         "tautology": sc.tautology(c("_points")), "action": sc.action_score(c("_points")),
         "_rule": sc.question_rule(c("_q"), level),
-        "_aspects": F.when(clo.isNull() | (F.trim(clo) == ""), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
-            c("question"), c("answer"), clo, _has(replies, "title", "string"), c("source"), level), level))})
+        "_aspects": F.when(_no_outcome(replies), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
+            c("question"), c("answer"), _has(replies, "clo", "string"), _has(replies, "title", "string"), c("source"), level),
+            level))})
     reason = (
         F.when(c("question").isNull() | c("_r.answer").isNull(), "unreadable")
         .when(c("_cut.short"), "too_few_points")
@@ -245,8 +254,8 @@ def accept_replies(replies: DataFrame) -> DataFrame:
         .when((level <= 3) & ~c("_rule.ok"), "question_off_level")
         .when((level == 3) & (c("action") < 0.20), "no_action")
     )
-    out = df.withColumn("reject_reason", reason)
-    return out.select(*keep, "question", "answer", "reject_reason", c("reject_reason").isNull().alias("accepted"))
+    out = computed_once(df, [*keep, "question", "answer"], {"reject_reason": reason})
+    return out.withColumn("accepted", c("reject_reason").isNull())
 
 
 def reject_report(accepted: DataFrame) -> DataFrame:

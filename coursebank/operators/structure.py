@@ -312,6 +312,15 @@ def explode_sections(docs: DataFrame, sections: str = "sections", keep: tuple[st
     return explode_rows(docs, sections, keep, "pos").select(*keep, "pos", "s.*")
 
 
+def computed_once(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
+    """``keep`` and the ``made`` columns, as a step that later filters are not pushed below.
+
+    A filter on a computed column is otherwise moved below its projection and computes it again.
+    """
+    packed = F.array(F.struct(*[v.alias(k) for k, v in made.items()]))
+    return df.select(*keep, F.explode_outer(packed).alias("_made")).select(*keep, "_made.*")
+
+
 def explode_rows(df: DataFrame, array: str | Column, keep: tuple[str, ...], pos: str) -> DataFrame:
     """``posexplode`` into (pos, s).
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursebank import lexicons as lx
+from coursebank.functions.text import strip as tx_strip  # noqa: F401
 from coursebank.sources.tables import load, spread
 
 # Sentences put into the invented text, so that keyword rules have something to find.

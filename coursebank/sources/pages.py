@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coursebank.functions import text as tx
+from coursebank.operators.structure import computed_once
 
 
 def list_corpus(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -47,8 +48,7 @@ def choose_page_text(pages: DataFrame, primary: str, alternate: str) -> DataFram
     )
     rows = rows.withColumn("page_source", source)
     chosen = F.when(F.col("page_source") == "alternate", F.col("_b")).otherwise(F.col("_a"))
-    rows = rows.withColumn("text", tx.normalise_text(chosen))
-    return rows.drop("_a", "_b", "_wa", "_wb", "_sa", "_sb", "_mean")
+    return computed_once(rows, pages.columns, {"page_source": F.col("page_source"), "text": tx.normalise_text(chosen)})
 
 
 def choose_page_ocr(pages: DataFrame, layer: str, ocr: str) -> DataFrame:
@@ -69,7 +69,9 @@ def choose_page_ocr(pages: DataFrame, layer: str, ocr: str) -> DataFrame:
     rows = rows.withColumn("page_source", source)
     chosen = (F.when(F.col("page_source").isin("clean_layer", "layer"), F.col("_l"))
               .when(F.col("page_source") == "ocr", F.col("_o")).otherwise(F.lit("")))
-    return rows.withColumns({"text": tx.normalise_text(chosen), "has_layer": F.col("_has")}).drop("_l", "_o", "_has", "_n")
+    return computed_once(rows, pages.columns, {
+        "page_source": F.col("page_source"), "garbled": F.col("garbled"), "has_layer": F.col("_has"),
+        "text": tx.normalise_text(chosen)})
 
 
 def running_offset(df: DataFrame, partition: list[str], order: str, size: Column, name: str = "start") -> DataFrame:
