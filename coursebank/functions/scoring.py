@@ -182,7 +182,7 @@ def _shared_phrase(a: Column, b: Column) -> Column:
                 & F.exists(F.split(phrase, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*lx.STOP_WORDS)))
 
     by_length = [F.length(F.get(F.filter(ngrams(a["words"], n), telling), F.lit(0))) for n in (5, 4, 3, 2)]
-    return F.coalesce(F.least(F.lit(1.0), F.coalesce(*by_length) / 28), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(*by_length, F.lit(0)) / 28)
 
 
 def pair_overlap(a: Column, b: Column) -> Column:

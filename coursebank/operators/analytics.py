@@ -53,21 +53,18 @@ def bloom_distribution(qa: DataFrame, level_col: str = "bloom_level") -> DataFra
     """Canonical level distribution with share, rank order and the most frequent level.
 
     Raw labels are counted first and normalised afterwards, so the label rules run once per label.
-    The windows see one row per level.
+    Total and top level are scalar subqueries over the counts: no window without a partition.
     """
     raw = qa.groupBy(level_col).agg(F.count("*").alias("n"))
     levels = raw.groupBy(normalise_bloom(F.col(level_col)).alias("level")).agg(F.sum("n").alias("n"))
-    everything = W.partitionBy()
     known = F.array_position(F.array(*[F.lit(x) for x in lx.BLOOM_LABELS]), F.col("level"))
-    total = F.sum("n").over(everything)
-    top = F.max(F.struct(F.col("n"), F.col("level"))).over(everything)
-    share = F.round(F.lit(100.0) * F.col("n") / F.greatest(total, F.lit(1)), 1)
-    return levels.select(
+    rows = levels.withColumns({
+        "total": levels.agg(F.sum("n")).scalar(), "top": levels.agg(F.max("n")).scalar()})
+    percent = lambda n: F.round(F.lit(100.0) * F.col(n) / F.greatest("total", F.lit(1)), 1)
+    return rows.select(
         "level", bloom_short(F.col("level")).alias("short_label"), "n",
-        F.when(known > 0, known).otherwise(F.lit(7)).cast("int").alias("position"),
-        total.alias("total"), share.alias("share"),
-        (F.col("n") == top["n"]).alias("is_top"),
-        F.round(F.lit(100.0) * top["n"] / F.greatest(total, F.lit(1)), 1).alias("top_share"))
+        F.when(known > 0, known).otherwise(F.lit(7)).cast("int").alias("position"), "total",
+        percent("n").alias("share"), (F.col("n") == F.col("top")).alias("is_top"), percent("top").alias("top_share"))
 
 
 def algorithm_distribution(qa: DataFrame, hidden: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursebank import lexicons as lx
 from coursebank.functions.text import lit_array
+from coursebank.operators.structure import computed_once
 from coursebank.plans.text_fixtures import quoted, sql_any, sql_hits, sql_math, sql_strip, sql_tokens
 from coursebank.sources.tables import load, spread
 
@@ -29,14 +30,13 @@ OUTCOMES = (
 
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (pair_id, level, question, answer, source, title, clo): a talk's turns against the document of its number."""
-    talk = load(spark, sf_dir, "conversations")
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    talk, docs = spread(load(spark, sf_dir, "conversations")), load(spark, sf_dir, "documents")
     asked = talk.where("role = 'user'").select("conv_id", "turn")
     said = talk.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
     rows = asked.join(said, ["conv_id", "turn"]).join(
         docs.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("source")), "conv_id")
-    rows = rows.withColumns({
+    rows = computed_once(rows, ["conv_id", "turn", "said", "source"], {
         "k": F.col("conv_id") + F.floor(F.col("turn") / 2),
         "ss": F.regexp_extract_all("source", F.lit(r"([^.!?\n:]+[.!?])"), F.lit(1)),
         "aa": F.regexp_extract_all("said", F.lit(r"([^.!?\n:]+[.!?])"), F.lit(1))})
@@ -128,7 +128,7 @@ pf AS (SELECT pair_id, i, {sql_plain("title || ' ' || content")} AS tx,
     list_distinct(list_filter({sql_tokens('content', 3)}, lambda w: NOT list_contains({quoted(lx.STOP_WORDS + lx.WEAK_CONTENT_WORDS)}, w))) AS body,
     list_distinct(list_filter({sql_tokens('title', 3)}, lambda w: NOT list_contains({quoted(lx.WEAK_TITLE_WORDS)}, w))) AS head FROM pr2),
 pf2 AS (SELECT *, list_filter(regexp_split_to_array(tx, '\\s+'), lambda w: w <> '') AS ws FROM pf),
-po AS (SELECT x.pair_id, x.tx = '' OR y.tx = '' AS blank, coalesce(least(1.0, coalesce({", ".join("length(" + _PHRASE.format(m=n - 2, l=n - 1) + ")" for n in (5, 4, 3, 2))}) / 28), 0) AS phrase,
+po AS (SELECT x.pair_id, x.tx = '' OR y.tx = '' AS blank, least(1.0, coalesce({", ".join("length(" + _PHRASE.format(m=n - 2, l=n - 1) + ")" for n in (5, 4, 3, 2))}, 0) / 28) AS phrase,
     CASE WHEN len(x.body) > 0 AND len(y.body) > 0 THEN len(list_intersect(x.body, y.body)) / len(list_distinct(list_concat(x.body, y.body))) ELSE 0 END AS jb,
     CASE WHEN len(x.head) > 0 AND len(y.head) > 0 THEN len(list_intersect(x.head, y.head)) / len(list_distinct(list_concat(x.head, y.head))) ELSE 0 END AS jh,
     least(0.55, len(list_filter(list_intersect(x.body, y.body), lambda w: length(w) >= 5)) * 0.22) AS theme,

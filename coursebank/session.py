@@ -17,6 +17,8 @@ def build_session(app: str = "coursebank", master: str | None = None, partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Text work is bound by CPU, not by bytes: keep small shuffle partitions apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.ui.enabled", "false")
     )
     if master:
