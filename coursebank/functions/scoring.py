@@ -95,7 +95,8 @@ def concept_share(answer_tokens: Column, terms: Column) -> Column:
 
 
 def concept_overlap(answer: Column, source: Column) -> Column:
-    return bind(content_tokens(answer, 3), lambda a: concept_share(a, source_terms(source)))
+    share = bind(content_tokens(answer, 3), lambda a: concept_share(a, source_terms(source)))
+    return F.when((answer == "") | (source == ""), F.lit(0.0)).otherwise(share)
 
 
 def anchor_terms(source: Column) -> Column:
@@ -319,7 +320,7 @@ def action_score(points: Column) -> Column:
     return _ratio(F.size(good), F.size(points))
 
 
-def is_template(a: Column, step_ok: Column, anchor: Column, level: Column) -> Column:
+def is_template(a: Column, step_ok: Column, anchor: Column, level: Column, has_source: Column) -> Column:
     """Generic answer not drawn from its source; anchored answers are given more room."""
     n = hits(a, lx.TEMPLATE_MARKERS)
     low = (
@@ -327,7 +328,7 @@ def is_template(a: Column, step_ok: Column, anchor: Column, level: Column) -> Co
         | (a.contains("qualitative analysis") & a.contains("quantitative analysis"))
         | (hits(a, lx.GENERIC_TEMPLATES) >= 3) | (n >= 4) | ((n >= 2) & (anchor < 0.34))
     )
-    four = (n >= 5) | ((n >= 4) & (anchor < 0.22)) | ((n >= 3) & (anchor < 0.24))
+    four = (n >= 5) | ((n >= 4) & (anchor < 0.22)) | ((n >= 3) & has_source & (anchor < 0.24))
     return F.when(level == 3, ~step_ok).when(level >= 5, any_hit(a, lx.ANSWER_META)).when(level == 4, four).otherwise(low)
 
 

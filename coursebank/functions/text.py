@@ -13,6 +13,8 @@ WORD = r"[\p{L}\p{N}_]"
 ODD_SPACE = r"\t\r\f\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Runs of white space inside a line, other than one plain space (which needs no replacing).
 SPACES = rf" {{2,}}(?![{ODD_SPACE}])| *[{ODD_SPACE}][ {ODD_SPACE}]*"
+# The same characters as a plain string, for trimming without a regular expression.
+SPACE_CHARS = " \t\n\r\x0b\x0c\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ANY_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -67,7 +69,7 @@ def tokens(text: Column, k: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Strip all white space from both ends."""
-    return F.regexp_replace(text, rf"^{ANY_SPACE}+|{ANY_SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -85,7 +87,17 @@ def replace_each(text: Column, pairs: dict[str, str]) -> Column:
 
 def count_chars(text: Column, char_class: str) -> Column:
     """Characters of ``text`` inside a character class."""
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
+
+
+def is_ascii(text: Column) -> Column:
+    """One byte per character: such text needs none of the tests for other letters and signs."""
+    return F.octet_length(text) == F.length(text)
+
+
+def count_beyond_ascii(text: Column, char_class: str) -> Column:
+    """``count_chars`` for a class without ASCII characters."""
+    return F.when(is_ascii(text), F.lit(0)).otherwise(count_chars(text, char_class))
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -103,31 +115,31 @@ def strip_lines(text: Column) -> Column:
 
 def normalise_text(text: Column) -> Column:
     """Plain spaces, no zero-width characters, sub- and superscripts as tags, one space per run."""
-    clean = F.replace(text, F.lit(" "), F.lit(" "))
-    clean = F.regexp_replace(clean, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
+    clean = F.regexp_replace(text, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
     tags = {k: f"<sub>{v}</sub>" for k, v in lx.SUBSCRIPTS.items()}
     tags |= {k: f"<sup>{v}</sup>" for k, v in lx.SUPERSCRIPTS.items()}
-    tagged = replace_each(clean, tags)
     special = "".join(lx.SUBSCRIPTS) + "".join(lx.SUPERSCRIPTS)
-    clean = F.when(clean.rlike(f"[{special}]"), tagged).otherwise(clean)
-    return F.regexp_replace(clean, SPACES, " ")
+    tagged = bind(clean, lambda t: F.when(t.rlike(f"[{special}]"), replace_each(t, tags)).otherwise(t))
+    return F.when(is_ascii(text), F.regexp_replace(text, r" {2,}(?![\t\r\f\x0B])| *[\t\r\f\x0B][ \t\r\f\x0B]*", " ")).otherwise(
+        F.regexp_replace(tagged, SPACES, " "))
 
 
 def normalise_math(text: Column) -> Column:
     """Mathematical symbols as ASCII, so that n-grams compare across notations."""
     single = F.translate(text, "".join(lx.MATH_SINGLE), "".join(lx.MATH_SINGLE.values()))
     symbols = "".join(lx.MATH_WORDS)
-    return F.when(single.rlike(f"[{symbols}]"), replace_each(single, lx.MATH_WORDS)).otherwise(single)
+    words = bind(single, lambda t: F.when(t.rlike(f"[{symbols}]"), replace_each(t, lx.MATH_WORDS)).otherwise(t))
+    return F.when(is_ascii(text), text).otherwise(words)
 
 
 def stem_count(text: Column) -> Column:
-    return count_chars(text, lx.STEM_NARROW)
+    return count_beyond_ascii(text, lx.STEM_NARROW)
 
 
 def is_garbled(text: Column) -> Column:
     """Text whose accents come from a wrongly decoded legacy font."""
-    accents = count_chars(text, r"\x{0080}-\x{10FFFF}")
-    legit = count_chars(text, lx.VI_EXTENDED) + count_chars(text, lx.STEM_WIDE)
+    accents = count_beyond_ascii(text, r"\x{0080}-\x{10FFFF}")
+    legit = count_beyond_ascii(text, lx.VI_EXTENDED) + count_beyond_ascii(text, lx.STEM_WIDE)
     return (
         F.when(text.isNull() | (F.length(strip(text)) < 20), F.lit(True))
         .when(accents / F.length(text) < 0.03, F.lit(False))
@@ -142,7 +154,7 @@ def is_english(text: Column, sample_chars: int = 500) -> Column:
     letters = count_chars(lead, r"\p{L}")
     return (
         F.when(text.isNull() | (F.length(text) < 30) | (letters == 0), F.lit(False))
-        .otherwise(count_chars(lead, lx.VI_EXTENDED) / letters < 0.01)
+        .otherwise(count_beyond_ascii(lead, lx.VI_EXTENDED) / letters < 0.01)
     )
 
 

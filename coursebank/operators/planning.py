@@ -56,20 +56,24 @@ def first_pass(attempts: DataFrame, key: list[str], max_attempts: int = 5) -> Da
     return good.groupBy(*key).agg(F.min("attempt").alias("attempt"))
 
 
-def assign(ranked: DataFrame, targets: DataFrame, verdicts: DataFrame) -> DataFrame:
+def with_verdicts(ranked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Candidates with the attempt of their first accepted reply (NULL if none)."""
+    return ranked.join(verdicts.select("doc_id", "pos", "level", "attempt"), ["doc_id", "pos", "level"], "left")
+
+
+def assign(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     """The section of each target.
 
-    ``ranked``: doc_id, pos, level, rank, n_chars, boilerplate, feasible, by_clo. ``verdicts``: doc_id, pos,
-    level, attempt of the first accepted reply. All targets of one level share order and verdicts, so the
+    ``ranked``: doc_id, pos, level, rank, n_chars, boilerplate, feasible, by_clo, and attempt (the first
+    accepted reply, NULL if none). All targets of one level share order and verdicts, so the
     k-th target takes the k-th passing section, as long as fewer sections than the cap failed before it.
     The walk over a level's candidates is a fold over narrow rows (no texts) of one document.
     """
-    rows = ranked.join(verdicts.withColumn("passed", F.lit(True)), ["doc_id", "pos", "level"], "left")
     enough = c("n_chars") >= F.when(c("level") >= 2, 150).otherwise(80)
     heavy = c("level").isin(3, 4) & (c("boilerplate") > MAX_BOILERPLATE)
     entry = F.when(enough, F.struct("rank", "pos", heavy.alias("heavy"), "feasible",
-                                    F.coalesce("passed", F.lit(False)).alias("passed"), "attempt"))
-    per_level = rows.groupBy("doc_id", "level").agg(
+                                    c("attempt").isNotNull().alias("passed"), "attempt"))
+    per_level = ranked.groupBy("doc_id", "level").agg(
         F.array_sort(F.collect_list(entry)).alias("cands"), F.first("by_clo").alias("by_clo"))
     cap = sc.by_level(c("level"), {k: F.lit(v) for k, v in lx.SECTIONS_TRIED.items()})
     cap = F.when(c("by_clo"), F.least(cap, F.lit(lx.SECTIONS_TRIED_WITH_CLO))).otherwise(cap)

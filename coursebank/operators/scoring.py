@@ -140,7 +140,8 @@ def score_pairs(qa: DataFrame, outcome: bool = False) -> DataFrame:
         "n_points": F.size("_points"),
         "question_overlap": sc.word_overlap(c("question"), c("source")),
         "ngram_score": sc.ngram_share(sc.content_tokens(tx.normalise_math(c("answer"))), c("_s2")),
-        "concept_score": sc.concept_share(c("_a3"), c("_terms")),
+        "concept_score": F.when((c("answer") == "") | (c("source") == ""), F.lit(0.0)).otherwise(
+            sc.concept_share(c("_a3"), c("_terms"))),
         "anchor": F.when(c("source") == "", F.lit(0.0)).otherwise(sc.anchor_share(c("_points"), c("_anchors"))),
         "tautology": sc.tautology(c("_points")), "point_overlap": sc.max_point_overlap(c("_points")),
         "verb": sc.verb_score(c("_q"), level), "_rule": sc.question_rule(c("_q"), level),
@@ -158,7 +159,7 @@ def score_pairs(qa: DataFrame, outcome: bool = False) -> DataFrame:
         "diversity": sc.diversity(c("point_overlap"), c("n_points")),
         "question_ok": c("_rule.ok"), "question_score": c("_rule.score"), "question_reason": c("_rule.reason"),
         "step_ok": c("_step.ok"), "step_reason": c("_step.reason"),
-        "template": sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level),
+        "template": sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level, c("source") != ""),
     }
     if outcome:
         made["aspects"] = F.when(_no_outcome(qa), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
@@ -248,7 +249,7 @@ def accept_replies(replies: DataFrame) -> DataFrame:
         .when(c("_cut.short"), "too_few_points")
         .when(c("_aspects") != "ok", "outcome_missed")
         .when((level <= 2) & (c("tautology") < 0.65), "tautological")
-        .when(sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level), "template_answer")
+        .when(sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level, c("source") != ""), "template_answer")
         .when((level == 2) & (c("anchor") < 0.42), "few_source_terms")
         .when((level == 3) & (c("anchor") < 0.26), "few_source_terms")
         .when((level <= 3) & ~c("_rule.ok"), "question_off_level")

@@ -148,7 +148,8 @@ def c13_paid_within(spark, d):
 SECRET = "not-a-real-secret"
 
 
-@query("h30_signature_audit")
+# By construction the signatures of kind 0 are wrong and the others right, one of them in capitals.
+@query("h30_signature_audit", "SELECT event_id % 4 AS kind, count(*) AS n, CASE WHEN event_id % 4 = 0 THEN 0 ELSE count(*) END AS n_ok FROM events GROUP BY event_id % 4")
 def h30_signature_audit(spark, d):
     params = F.create_map(
         F.lit("vnp_TxnRef"), c("event_id").cast("string"), F.lit("vnp_OrderInfo"), F.concat(F.lit("Don hang *~"), c("event_type")),

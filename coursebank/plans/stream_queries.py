@@ -75,7 +75,12 @@ def k9_job_status_stream(spark, d):
     return ls.latest_rows(updates, ["job_id"])
 
 
-@query("k8_deletion_stream")
+@query("k8_deletion_stream", """
+WITH rq AS (SELECT event_id, ts, lower('User' || (user_id % 20) || '@Example.com') AS email FROM events WHERE event_type IN ('signup', 'error')),
+l AS (SELECT email, list({'id': event_id, 'ts': ts} ORDER BY ts, event_id) AS es FROM rq GROUP BY 1),
+f AS (SELECT email, list_reduce(es, lambda a, e: CASE WHEN a.lts >= e.ts - INTERVAL 15 MINUTE THEN a ELSE {'lts': e.ts, 'ids': list_append(a.ids, e.id)} END,
+    {'lts': NULL::TIMESTAMP, 'ids': []::BIGINT[]}).ids AS ids FROM l)
+SELECT event_id, email, list_contains(ids, event_id) AS accepted, ts AS created_at, CASE WHEN list_contains(ids, event_id) THEN ts + INTERVAL 48 HOUR END AS expires_at FROM rq JOIN f USING (email)""")
 def k8_deletion_stream(spark, d):
     asks = ls.read_events(spark, d).where("event_type IN ('signup', 'error')").selectExpr(
         "event_id", "ts", "concat('User', user_id % 20, '@Example.com ') AS email")
@@ -111,7 +116,7 @@ def a11_decision_log(spark, d):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("a12_experiment_file")
+@query("a12_experiment_file", "SELECT l_returnflag AS model, concat('Bloom ', l_linenumber) AS bloom_level, count(*) AS n, round(max(l_extendedprice), 2) AS top FROM lineitem GROUP BY ALL")
 def a12_experiment_file(spark, d):
     rows = load(spark, d, "lineitem").selectExpr(
         "l_returnflag AS model", "l_linestatus AS model_short", "CAST(l_partkey AS STRING) AS pdf",

@@ -95,7 +95,8 @@ def encoding_health(spark, d):
         F.count_if(tx.needs_translation(t, "en")).alias("to_translate"))
 
 
-@query("h7_mojibake")
+@query("h7_mojibake", """SELECT doc_id, doc_id % 3 = 1 AS repaired, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '  H₂SO₄ + x² → α·β ± 5° ' || chr(10)
+  WHEN doc_id % 3 = 1 THEN chr(10) || 'Giáo trình điện tễ' ELSE '' END) AS fixed_md5 FROM documents""")
 def h7_mojibake(spark, d):
     fixed = tx.fix_mojibake(c("text"))
     docs = tf.marked_documents(spark, d).select("doc_id", "text", fixed.alias("fixed"))

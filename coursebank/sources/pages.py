@@ -21,11 +21,6 @@ def check_corpus_paths(paths: DataFrame, suffix: str = ".pdf") -> DataFrame:
     return paths.where(F.lower("path").endswith(suffix))
 
 
-def _mean_word_length(words: Column) -> Column:
-    chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    return F.when(F.size(words) > 0, chars / F.size(words)).otherwise(F.lit(0.0))
-
-
 def choose_page_text(pages: DataFrame, primary: str, alternate: str) -> DataFrame:
     """Text of a page with two text layers, without recognition.
 
@@ -34,12 +29,15 @@ def choose_page_text(pages: DataFrame, primary: str, alternate: str) -> DataFram
     first = tx.strip(F.coalesce(primary, F.lit("")))
     second = tx.strip(F.coalesce(alternate, F.lit("")))
     rows = pages.withColumns({"_a": first, "_b": second})
-    rows = rows.withColumns({"_wa": tx.words(F.col("_a")), "_wb": tx.words(F.col("_b")),
+    # Letters of all words are what is left without white space, so no word is measured on its own.
+    letters = lambda x: F.length(F.regexp_replace(x, tx.ANY_SPACE, ""))
+    rows = rows.withColumns({"_wa": tx.word_count(F.col("_a")), "_wb": tx.word_count(F.col("_b")),
                              "_sa": tx.stem_count(F.col("_a")), "_sb": tx.stem_count(F.col("_b"))})
-    mean = F.when(F.size("_wa") > 10, _mean_word_length(F.col("_wa"))).otherwise(F.lit(99.0))
+    mean = F.when(F.col("_wa") > 10, letters(F.col("_a")) / F.col("_wa")).otherwise(F.lit(99.0))
     rows = rows.withColumn("_mean", mean)
-    broken = (F.col("_mean") < 4.5) & (F.size("_wa") > 15)
-    better = (F.col("_sb") > F.col("_sa")) | (broken & (_mean_word_length(F.col("_wb")) > F.col("_mean") + 0.5))
+    broken = (F.col("_mean") < 4.5) & (F.col("_wa") > 15)
+    mean_b = F.when(F.col("_wb") > 0, letters(F.col("_b")) / F.col("_wb")).otherwise(F.lit(0.0))
+    better = (F.col("_sb") > F.col("_sa")) | (broken & (mean_b > F.col("_mean") + 0.5))
     source = (
         F.when((F.col("_a") == "") & (F.col("_b") == ""), "none")
         .when(F.col("_a") == "", "alternate")
