@@ -13,9 +13,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from coursebank.llm.common import slices
+
 CACHE_WORDS = 700_000
 LEARN_WORDS = 100_000
-SLICE_CHARS = 4_000_000
 LONG = 200  # bytes, under 256
 
 # Token-position rows (word, pos, id) with their right neighbour. Each step joins them with the merge table, finds the
@@ -152,18 +153,6 @@ def loaded(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about ``most`` characters, so that memory doesn't follow the batch."""
-    for batch in batches:
-        size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
-        lo = 0
-        while lo < batch.num_rows:
-            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right"))
-            hi = max(hi, lo + 1)
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` (int array) and ``decoded`` (binary, made from the ids) of every document.
 

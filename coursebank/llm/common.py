@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ASCII white space, the separators of words.
 SPACES = " \t\n\x0b\x0c\r"
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +60,18 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``most`` bytes of text, so that memory doesn't follow the batch."""
+    for batch in batches:
+        size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right"))
+            hi = max(hi, lo + 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest reachable id of every id that has an edge: columns ``id``, ``root``.
 

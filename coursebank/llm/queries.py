@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import byte_bpe, common, lines, mixing, quality, token_files
+from coursebank.llm import byte_bpe, common, lines, mixing, quality, token_counts, token_files, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,6 +43,13 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model learned from the labels outside the held-out third."""
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.train(docs, common.table(spark, sf_dir, "labels")).score(docs)
+
+
 @query("op6_quality_rules", r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -88,6 +95,13 @@ def byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(common.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query("op8_edited_counts")
+def edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data are replaced by marks."""
+    edited = token_counts.redactions(common.table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(edited, BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 @query("op9_site_lines", rf"""
 WITH p AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS site,
@@ -117,6 +131,6 @@ FROM p LEFT JOIN (
 def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All web pages without the lines that most pages of their host repeat."""
     pages = common.table(spark, sf_dir, "pages")
-    out = lines.drop_boilerplate(pages.select("page_id", "url", lines.page_text(F.col("html")).alias("body")),
-                                 lines.host_of(F.col("url")), F.col("body"))
+    bodies = common.staged(pages.select("page_id", "url", lines.page_text(F.col("html")).alias("body")), "bodies")
+    out = lines.drop_boilerplate(bodies, lines.host_of(F.col("url")), F.col("body"))
     return out.select("page_id", "site", "n_lines", "n_dropped", "clean_text")
