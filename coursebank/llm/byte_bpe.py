@@ -131,7 +131,7 @@ class Bpe:
         pieces = [self.split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*pieces) - self.known.keys())
+        new = [w for w in set().union(*pieces) if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
         n, ids, raw = [], [], []

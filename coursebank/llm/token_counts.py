@@ -136,8 +136,9 @@ def _counter(ranks: str, pattern: str):
         def count(pieces: list[str]) -> list[int]:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for p in set(pieces) - known.keys():
-                known[p] = len(code.encode_ordinary(p))
+            for p in set(pieces):
+                if p not in known:
+                    known[p] = len(code.encode_ordinary(p))
             return [*map(known.__getitem__, pieces)]
 
         _loaded[ranks, pattern] = regex.compile(pattern).findall, count
