@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import byte_bpe, common, lines, mixing, quality, token_counts, token_files, toxicity
+from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, quality, token_counts, token_files, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_ngram_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN list_aggregate(w, 'string_agg', ' ')
+    ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+""")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 85 % of common four-word shingles."""
+    return jaccard.jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
 @query("op2_token_files")
 def token_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as packed token files and read back."""
