@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, quality, token_counts, token_files, toxicity
+from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, near_vectors, quality, token_counts, token_files, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -154,3 +154,9 @@ def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = common.staged(pages.select("page_id", "url", lines.page_text(F.col("html")).alias("body")), "bodies")
     out = lines.drop_boilerplate(bodies, lines.host_of(F.col("url")), F.col("body"))
     return out.select("page_id", "site", "n_lines", "n_dropped", "clean_text")
+
+
+@query("op10_near_vectors")
+def near_vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return near_vectors.near_vectors(common.table(spark, sf_dir, "embeddings"))
