@@ -11,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coursebank.llm.common import folder, partitions, staged
+from coursebank.llm.common import folder, partitions, slices, staged
 
 END_ID = 2
 BLOCK_IDS = 1 << 14  # a multiple of 8, so that every block starts on a byte
-SHARD_IDS = 1 << 22
-CACHE_WORDS = 1_000_000
+SHARD_IDS = 1 << 20
+SLICE = 8_000_000
+CACHE_WORDS = 400_000
 MAGIC = b"TKS1"
 _HEAD = struct.Struct("<4sIIIQQ")  # magic, bits, ids a block, 0, documents, ids
 
@@ -37,36 +39,79 @@ def _encoder(path: str):
     return _loaded[path]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of whole texts, as the library gives them without special tokens.
+def _chunks(texts: pa.Array) -> pa.Array:
+    """Lists of chunks that can be encoded alone, one list per text.
 
-    The tokenizer drops white space and no match of its pattern spans any, so the ids of a text are those of the
-    chunks between spaces and line ends. Each distinct chunk is encoded by the library once.
+    The tokenizer composes characters, lower-cases them, drops white space, and splits by a pattern no match of which
+    spans white space or runs from an ASCII letter into one of ``.,!%&#$*``. So a text may be cut at both, and its ASCII
+    letters may be lowered before. Texts with combining marks, or with what may open a special token, are only cut at
+    spaces and line ends.
+    """
+    texts = pc.fill_null(texts, "")
+    lowered = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!%&#$*]+)", r"\1 \2")
+    texts = pc.if_else(pc.match_substring_regex(texts, r"\p{M}|<\|"), texts, lowered)
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
+def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts one after another, as the library gives them without special tokens, and each text's number.
+
+    The library encodes each distinct chunk once.
     """
     tok, known = _encoder(path)
     if len(known) > CACHE_WORDS:
         known.clear()
         known[""] = b""
-    chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*chunks) - known.keys())
-    for i in range(0, len(new), 20_000):
-        some = new[i:i + 20_000]
-        for chunk, enc in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            known[chunk] = array("I", enc.ids).tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, doc)), "<u4") for doc in chunks]
+    flat = _chunks(texts)
+    coded = flat.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    found = [*map(known.get, distinct)]
+    new = [i for i, ids in enumerate(found) if ids is None]
+    for lo in range(0, len(new), 20_000):
+        some = [distinct[i] for i in new[lo:lo + 20_000]]
+        for i, chunk, enc in zip(new[lo:], some, tok.encode_batch_fast(some, add_special_tokens=False)):
+            found[i] = known[chunk] = array("I", enc.ids).tobytes()
+    n_of = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    at_of = np.cumsum(n_of) - n_of
+    codes = coded.indices.to_numpy()
+    n = n_of[codes]
+    ends = np.cumsum(n)
+    take = np.repeat(at_of[codes] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
+    ids = np.frombuffer(b"".join(found), "<u4")[take]
+    stops = flat.offsets.to_numpy()[1:] - flat.offsets[0].as_py()
+    return ids, np.diff(ends[stops - 1], prepend=0) if len(stops) else np.zeros(0, np.int64)
+
+
+def _lanes(bits: int) -> Iterator[tuple[int, int, int, int]]:
+    """Eight ids fill ``bits`` bytes: for each, its place, first byte, shift inside it, and number of bytes."""
+    for lane in range(8):
+        yield lane, lane * bits // 8, lane * bits % 8, -(-(lane * bits % 8 + bits) // 8)
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, lowest bit first."""
-    planes = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(planes.reshape(-1), bitorder="little").tobytes()
+    n = len(ids)
+    wide = np.zeros((-(-n // 8), 8), np.uint64)
+    wide.reshape(-1)[:n] = ids
+    out = np.zeros((len(wide), bits), np.uint8)
+    for lane, first, shift, count in _lanes(bits):
+        value = wide[:, lane] << np.uint64(shift)
+        for k in range(count):
+            out[:, first + k] |= (value >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()[:-(-n * bits // 8)]
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes."""
-    planes = np.zeros((n, 32), np.uint8)
-    planes[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:n * bits].reshape(n, bits)
-    return np.packbits(planes, axis=1, bitorder="little").view("<u4").reshape(-1)
+    rows = np.zeros((-(-n // 8), bits), np.uint8)
+    rows.reshape(-1)[:len(data)] = np.frombuffer(data, np.uint8)[:rows.size]
+    out = np.empty((len(rows), 8), "<u4")
+    for lane, first, shift, count in _lanes(bits):
+        value = np.zeros(len(rows), np.uint64)
+        for k in range(count):
+            value |= rows[:, first + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, lane] = (value >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+    return out.reshape(-1)[:n]
 
 
 def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> bytes:
@@ -146,17 +191,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             return pa.RecordBatch.from_pylist([{"part": part, "shard": n, "file": name, "n_docs": len(ids),
                                                 "n_ids": size}], schema=shape)
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                for i, got in zip(some.column(0).to_pylist(), encode_texts(tokenizer, some.column(1).to_pylist())):
-                    got = np.concatenate([got, tail])
-                    ids.append(i)
-                    held.append(got)
-                    size += len(got)
-                    if size >= shard_ids:
-                        yield close()
-                        ids, held, size, n = [], [], 0, n + 1
+        for some in slices(batches, 1, SLICE):
+            flat, lens = encode_texts(tokenizer, some.column(1))
+            for i, got in zip(some.column(0).to_pylist(), np.split(flat, np.cumsum(lens)[:-1])):
+                got = np.concatenate([got, tail])
+                ids.append(i)
+                held.append(got)
+                size += len(got)
+                if size >= shard_ids:
+                    yield close()
+                    ids, held, size, n = [], [], 0, n + 1
         if ids:
             yield close()
 
@@ -175,14 +219,13 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
     """Read the files back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, from the files' ids alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tks").load(path)
     files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    # A null manifest means that there is no shard at all.
     rows = files.join(manifest.select("file", "base"), "file").select("base", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard = Shard(data.as_py())
-                docs = [shard.read(a, b) for a, b in zip(shard.starts[:-1], shard.starts[1:])]
+                docs = np.split(shard.read(0, shard.n_ids), shard.starts[1:-1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(shard.doc_ids, pa.int64()), pa.array(shard.starts[:-1] + base, pa.int64()),
                     pa.array([len(d) for d in docs], pa.int64()),
