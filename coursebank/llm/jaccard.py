@@ -20,6 +20,7 @@ HEAVY = 100_000  # shingles with a known frequency, at most; they only set the o
 HEAVY_DOCS = 16
 SEEN_DOCS = 3
 FLUSH = 4_000_000
+BITMAP = 1 << 23  # bits; the broadcast bitmap has one row per 64 of them at most
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,6 +151,13 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                                              names=["node", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
+    # A bitmap of fixed size keeps most other texts out of the shuffle of the exact join below.
+    place = F.pmod("t", F.lit(BITMAP))
+    bits = wanted.select(F.pmod("th", F.lit(BITMAP)).alias("p"))
+    bits = bits.groupBy(F.shiftright("p", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    rows = rows.withColumn("p", place).join(F.broadcast(bits), F.shiftright("p", 6) == F.col("at"))
+    rows = rows.where("bits & shiftleft(1L, cast(p % 64 AS int)) <> 0")
     rows = rows.join(wanted.select("doc_id", "th"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
     return staged(rows.select("text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
 
@@ -199,15 +207,16 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
     groups = nodes.groupBy("gid").agg(F.min("node").alias("first"))
     within = nodes.select("gid", "node").join(groups, "gid").where("node <> first")
     within = within.select(F.col("first").alias("a"), F.col("node").alias("b"))
-    posts = nodes.join(groups.select(F.col("first").alias("node")), "node", "left_semi")
-    posts = posts.select(F.explode("prefix").alias("token"), "node", "n")
+    # Dealt by shingle once: the counts and the join below reuse that exchange. Only lists of two or more go on.
+    posts = nodes.select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
     heads = posts.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    across = posts.join(heads, "token").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    lists = staged(posts.join(heads.drop("c"), "token"), "lists")
+    across = lists.where("node <> head").join(groups.select(F.col("first").alias("node")), "node", "left_semi")
+    across = across.select(F.col("head").alias("a"), F.col("node").alias("b"))
     first = verify(within.union(across).distinct(), nodes, rows, docs, words, percent)
     found = staged(components(first), "first-components")
 
-    posts = nodes.select(F.explode("prefix").alias("token"), "node", "n").join(
-        found.select(F.col("id").alias("node"), "root"), "node", "left")
+    posts = lists.select("token", "node", "n").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
     posts = posts.withColumn("root", F.coalesce("root", "node"))
     several = posts.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     posts = staged(posts.join(several.select("token"), "token", "left_semi"), "posts")

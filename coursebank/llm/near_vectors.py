@@ -19,6 +19,8 @@ MISS = 0.02  # chance that a pair just at the threshold shares no band
 BLOCK = 512
 SURE = 4.0  # deviations of the estimate beyond which a pair needs no exact value
 SEED = 23
+BATCH = 4000  # rows compared at a time, besides the rest of a bucket
+GROUP = ["dim", "band", "key", "bi", "bj"]
 
 
 def bands_for(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -74,51 +76,64 @@ def classes(rows: DataFrame, bits: int, bands: int) -> DataFrame:
     return staged(one.mapInArrow(run, "rep long, copies long, vec binary, keys array<bigint>"), "vectors")
 
 
-def block_links(rows: pd.DataFrame, bits: int, bands: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of one block pair: per row the copies that it newly links with, and a spanning forest of the links.
+def _pairs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows in the same run, by distance; the runs stand one after another."""
+    for step in range(1, len(run)):
+        x = np.flatnonzero(run[:-step] == run[step:])
+        if not len(x):
+            return
+        yield x, x + step
 
-    A pair belongs to the first band in which its keys meet, so it is counted in one band only. The estimate
-    <code_a, b> / <code_a, a> of the inner product is unbiased under the rotation, and its deviation follows from the
-    stored correction <code_a, a>; only pairs whose bound reaches the threshold get an exact inner product.
+
+def bucket_links(rows: pd.DataFrame, bits: int, bands: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links inside whole buckets: per row the copies that it newly links with, and a spanning forest of the links.
+
+    Rows stand sorted by bucket and block pair, and their vectors have one length. A pair belongs to the first band in
+    which its keys meet, so it is counted in one band only. The estimate <code_x, y> / <code_x, x> of the inner
+    product is unbiased under the rotation, and its deviation follows from the correction <code_x, x>; only pairs
+    whose bound reaches the threshold get an exact inner product.
     """
-    band = int(rows["band"].iat[0])
-    left, right = int(rows["bi"].iat[0]), int(rows["bj"].iat[0])
-    vec = np.stack([np.frombuffer(x, np.float64) for x in rows["vec"]])
-    rep, copies, block = (rows[c].to_numpy() for c in ("rep", "copies", "block"))
+    vec = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
+    rep, copies, block, band = (rows[c].to_numpy() for c in ("rep", "copies", "block", "band"))
+    same = (rows["bi"] == rows["bj"]).to_numpy()
+    run = rows.groupby(GROUP, sort=False).ngroup().to_numpy()
     rotated = vec @ rotation(vec.shape[1], bits * bands).T
-    code = np.where(rotated >= 0, 1.0, -1.0) / math.sqrt(rotated.shape[1])
-    fix = (code * rotated).sum(1)  # the correction factor of each code
+    width = rotated.shape[1]
+    code = np.where(rotated >= 0, 1.0, -1.0) / math.sqrt(width)
+    fix = (code * rotated).sum(1)
     length = (rotated ** 2).sum(1)
     keys = band_keys(rotated, bits)
-    a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    estimate = (code[a] @ rotated[b].T) / fix[a][:, None] * length[a][:, None]
-    spread = np.sqrt(np.maximum(length[a] / fix[a] ** 2 - 1, 0)) / math.sqrt(max(rotated.shape[1] - 1, 1))
-    maybe = estimate + SURE * spread[:, None] + (1 - length[b])[None] >= cosine
-    if left == right:
-        maybe &= rep[a][:, None] < rep[b][None]
-    x, y = np.nonzero(maybe)
-    x, y = a[x], b[y]
-    exact = np.einsum("ij,ij->i", vec[x], vec[y]) >= cosine
-    x, y = x[exact], y[exact]
-    fresh = ~(keys[x, :band] == keys[y, :band]).any(1)
-    x, y = x[fresh], y[fresh]
+    spread = SURE * np.sqrt(np.maximum(length / fix ** 2 - 1, 0)) / math.sqrt(max(width - 1, 1))
+    xs, ys = [], []
+    for x, y in _pairs(run):
+        x, y = ((z[same[x] | (block[x] != block[y])]) for z in (x, y))
+        estimate = np.einsum("ij,ij->i", code[x], rotated[y]) / fix[x] * length[x]
+        maybe = estimate + spread[x] + (1 - length[y]) >= cosine
+        x, y = x[maybe], y[maybe]
+        x, y = (z[np.einsum("ij,ij->i", vec[x], vec[y]) >= cosine] for z in (x, y))
+        if len(x):
+            earlier = np.arange(bands)[None] < band[x][:, None]
+            fresh = ~((keys[x] == keys[y]) & earlier).any(1)
+            xs.append(x[fresh])
+            ys.append(y[fresh])
+    x = np.concatenate(xs) if xs else np.zeros(0, np.int64)
+    y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
     n = np.zeros(len(rows), np.int64)
     np.add.at(n, x, copies[y])
     np.add.at(n, y, copies[x])
-    root = list(range(len(rows)))
+    root: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+        while root.get(i, i) != i:
+            root[i] = i = root.get(root[i], root[i])
         return i
 
     edges = []
-    for i, j in zip(x.tolist(), y.tolist()):
+    for i, j in zip(rep[x].tolist(), rep[y].tolist()):
         i, j = find(i), find(j)
         if i != j:
             root[max(i, j)] = min(i, j)
-            edges.append((int(rep[i]), int(rep[j])))
+            edges.append((i, j))
     return n, edges
 
 
@@ -140,19 +155,34 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     at = at.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     at = at.select("*", other.alias("o")).withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")})
-    group = ["dim", "band", "key", "bi", "bj"]
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        n, edges = block_links(df, bits, bands, cosine)
-        some = np.flatnonzero(n)
-        rep = df["rep"].to_numpy()
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        none = np.zeros(len(ends), np.int64)
-        return pd.DataFrame({"a": np.concatenate([rep[some], ends[:, 0]]),
-                             "b": np.concatenate([rep[some], ends[:, 1]]),
-                             "n": np.concatenate([n[some], none])})
-
-    found = staged(at.groupBy(*group).applyInPandas(run, "a long, b long, n long"), "vector-links")
+    at = at.select(*GROUP, "block", "rep", "copies", "vec").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+
+        def links(df: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+            for _, some in df.groupby("dim", sort=False):
+                n, edges = bucket_links(some, bits, bands, cosine)
+                kept = np.flatnonzero(n)
+                rep, ends = some["rep"].to_numpy()[kept], np.array(edges, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([rep, ends[:, 0]])), pa.array(np.concatenate([rep, ends[:, 1]])),
+                    pa.array(np.concatenate([n[kept], np.zeros(len(ends), np.int64)]))], names=["a", "b", "n"])
+
+        for batch in batches:
+            held.append(batch.to_pandas())
+            if sum(map(len, held)) < BATCH:
+                continue
+            df = pd.concat(held, ignore_index=True)
+            # The last bucket may go on in the next batch.
+            last = (df[GROUP] == df[GROUP].iloc[-1]).all(axis=1).to_numpy()
+            held = [df[last]]
+            if not last.all():
+                yield from links(df[~last])
+        if held:
+            yield from links(pd.concat(held, ignore_index=True))
+
+    found = staged(at.mapInArrow(run, "a long, b long, n long"), "vector-links")
     counts = found.where("a = b").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     roots = components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("rep"), "root")
     known = cls.select("rep", "copies", "vec").join(counts, "rep", "left").join(roots, "rep", "left")
