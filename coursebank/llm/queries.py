@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, near_vectors, quality, token_counts, token_files, toxicity
+from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, near_vectors, quality, repeats, token_counts, token_files, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +63,13 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query("op4_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that an earlier document has."""
+    out = repeats.without_repeats(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model learned from the labels outside the held-out third."""
