@@ -164,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for part in slices(batches, 1):
             _, ids, raw = loaded(ranks, pattern).encode([t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([list(map(int, x.split(","))) if x else [] for x in ids],
+                part.column(0), pa.array([np.array(x.split(",") if x else [], np.int32) for x in ids],
                                          pa.list_(pa.int32())), pa.array(raw, pa.binary())],
                 names=["doc_id", "ids", "decoded"])
 

@@ -194,18 +194,26 @@ class ToxicityModel:
     calibration: IsotonicRegressionModel | None
     constant: float = 0.0
 
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (``text`` and any others) with ``score`` for the text."""
+        if self.trees is None:
+            return rows.withColumn("score", F.lit(self.constant)).drop("text")
+        raw = _raw_scores(self.trees, add_features(rows, self.lexicon))
+        calibrated = self.calibration.transform(raw)
+        score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction")))
+        return calibrated.withColumn("score", score).drop("raw", "features", "prediction")
+
     def score(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row; a null text counts as empty."""
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        if self.trees is None:
-            scored = rows.select("doc_id", F.lit(self.constant).alias("score"))
-        else:
-            raw = _raw_scores(self.trees, add_features(rows, self.lexicon))
-            scored = self.calibration.transform(raw).select(
-                "doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
+        scored = self._scored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
         return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                              (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
+    def accepted(self, docs: DataFrame) -> DataFrame:
+        """The rows whose text scores below the threshold, with all their columns."""
+        rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
+        return self._scored(rows).where(F.col("score") < THRESHOLD).select("row.*")
+
 
 def _raw_scores(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     scored = trees.transform(rows).withColumn("raw", vector_to_array("probability")[1])
