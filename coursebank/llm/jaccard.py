@@ -16,9 +16,9 @@ from coursebank.llm.common import components, slices, staged
 
 WORDS = 4
 PERCENT = 85
-HEAVY = 100_000  # shingles with a known frequency, at most; they only set the order, never the result
-HEAVY_DOCS = 16
-SEEN_DOCS = 3
+HEAVY = 400_000  # shingles with a known frequency, at most; they only set the order, never the result
+HEAVY_DOCS = 6
+SEEN_DOCS = 2
 FLUSH = 4_000_000
 BITMAP = 1 << 23  # bits; the broadcast bitmap has one row per 64 of them at most
 
@@ -162,19 +162,20 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return staged(rows.select("text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) of nodes that are linked.
+def prefix_length(n, percent: int):
+    """n - ceil(t * n) + 1, for a column of set sizes."""
+    return n - F.ceil(n * percent / 100) + 1
 
-    First by sizes and prefixes: past the shorter reach of two prefixes at most the rest of one set can be common.
-    Whole sets are made, and moved, only for pairs that may still reach the threshold.
-    """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
-                                  F.col("prefix").alias(f"p{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    common = F.size(F.array_intersect("pa", "pb"))
-    most = common + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-    near = staged(near.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "near")
+
+def may_link(common, na, nb, percent: int):
+    """False only for pairs that can't link: past the shorter reach of two prefixes, at most the rest of one set is common."""
+    most = common + F.greatest(na - prefix_length(na, percent), nb - prefix_length(nb, percent))
+    return (100 + percent) * most >= percent * (na + nb)
+
+
+def verify(near: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) of nodes that are linked, by their whole sets."""
+    near = staged(near, "near")
     ids = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     wanted = staged(rows.join(ids, "node").select("doc_id", "th"), "wanted")
     sets = node_sets(docs, wanted, words)
@@ -213,7 +214,12 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
     lists = staged(posts.join(heads.drop("c"), "token"), "lists")
     across = lists.where("node <> head").join(groups.select(F.col("first").alias("node")), "node", "left_semi")
     across = across.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first = verify(within.union(across).distinct(), nodes, rows, docs, words, percent)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
+                                  F.col("prefix").alias(f"p{x}"))
+    near = within.union(across).distinct().join(side("a"), "a").join(side("b"), "b")
+    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    near = near.where(may_link(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent))
+    first = verify(near.select("a", "b"), rows, docs, words, percent)
     found = staged(components(first), "first-components")
 
     posts = lists.select("token", "node", "n").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
@@ -226,8 +232,14 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
         "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "m")
     pairs = posts.join(minor, "token").where(
         f"root <> ra AND 100 * least(n, na) >= {percent} * greatest(n, na) AND (root = m OR node > a)")
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    second = verify(pairs, nodes, rows, docs, words, percent)
+    # Every shingle that two prefixes share gives the pair once, so their number is known here.
+    swap = F.col("a") > F.col("node")
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"),
+                         F.when(swap, F.col("n")).otherwise(F.col("na")).alias("na"),
+                         F.when(swap, F.col("na")).otherwise(F.col("n")).alias("nb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    pairs = pairs.where(may_link(F.col("c"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    second = verify(pairs, rows, docs, words, percent)
     edges = second.union(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return components(edges).select(F.col("id").alias("node"), "root")
 
