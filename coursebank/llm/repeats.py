@@ -13,6 +13,7 @@ from coursebank.llm.common import partitions, slices, staged
 
 DEPTH = 50
 GRAM = 25
+BITMAP = 1 << 26  # bits
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 
 _rng = np.random.default_rng(11)
@@ -74,14 +75,16 @@ def equal_windows(context: np.ndarray, group: np.ndarray, doc: np.ndarray, ok: n
                   gram: int) -> Iterator[tuple[int, np.ndarray]]:
     """For every offset, the rows whose window also stands in a smaller document.
 
-    Radix passes from the most significant digit, eight bytes each, down to ``depth`` bytes: rows that are alone in
-    their document group leave after each pass; what is equal to the end is a repeated window.
+    ``context`` holds the bytes before and after the gram, which is equal inside a group. Radix passes from the most
+    significant digit, eight bytes each, go down to ``depth`` bytes: groups of one document leave after each pass;
+    what is equal to the end is a repeated window.
     """
+    side = depth - gram
     for offset in range(depth - gram + 1):
         rows = np.flatnonzero(ok[:, offset])
         key = group[rows]
-        window = context[:, offset:offset + depth]
-        for digit in range(-1, -(-depth // 8)):
+        window = context[:, offset:offset + side]
+        for digit in range(-1, -(-side // 8)):
             if digit >= 0:
                 part = np.zeros((len(rows), 8), np.uint8)
                 some = window[rows, 8 * digit:8 * digit + 8]
@@ -133,62 +136,71 @@ def _lists(doc: np.ndarray, th: np.ndarray, values: list[np.ndarray]) -> tuple[n
     return doc[first], th[first], [pa.ListArray.from_arrays(at, pa.array(v[order].astype(np.int32))) for v in values]
 
 
-def candidates(rows: DataFrame, buckets: int, depth: int, gram: int) -> DataFrame:
-    """``doc``, ``th``, ``pos`` (array): anchors whose gram stands in two documents or more.
+def repeated_grams(rows: DataFrame, buckets: int, depth: int, gram: int) -> np.ndarray:
+    """Bitmap of the anchors' grams that stand in two documents or more; BITMAP bits at any size of the input.
 
-    The first radix pass deals grams to buckets by the top digit of their hash; a bucket sorts the rest.
+    The first radix pass deals grams to buckets by the top digit of their hash; a bucket sorts the rest. A bit set by
+    another gram lets an anchor through that the sort of the windows then drops; none is missed.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2):
-            data, stops = _texts(part, 2)
+        for part in slices(batches, 1):
+            data, stops = _texts(part, 1)
             at, h = anchors(data, stops, depth, gram)
-            of = np.searchsorted(stops, at, "right")
-            start = np.concatenate([[0], stops])
-            columns = {"h": h.view(np.int64), "doc": part.column(0).to_numpy()[of], "th": part.column(1).to_numpy()[of],
-                       "pos": (at - start[of]).astype(np.int32)}
-            out = list(_by_bucket((h >> np.uint64(32)).astype(np.int64) % buckets, columns))
+            doc = part.column(0).to_numpy()[np.searchsorted(stops, at, "right")]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            # Per gram the least and the greatest document of the slice are enough.
+            edge = np.flatnonzero(h[1:] != h[:-1])
+            first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(h) - 1]])
+            ends = np.concatenate([first, last[doc[first] != doc[last]]]) if len(h) else np.zeros(0, np.int64)
+            ends = np.sort(ends)
+            columns = {"h": h[ends].view(np.int64), "doc": doc[ends]}
+            out = list(_by_bucket((h[ends] >> np.uint64(32)).astype(np.int64) % buckets, columns))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *(
-                pa.array([c[k] for _, c in out], pa.list_(pa.int32() if k == "pos" else pa.int64())) for k in columns)],
-                names=["bucket", *columns])
+                pa.array([c[k] for _, c in out], pa.list_(pa.int64())) for k in columns)], names=["bucket", *columns])
 
     def repeated(table: pa.Table) -> pa.Table:
-        h, doc, th, pos = (_flat(table, k) for k in ("h", "doc", "th", "pos"))
+        h, doc = (_flat(table, k) for k in ("h", "doc"))
         order = np.lexsort((doc, h))
-        key = np.concatenate([[0], np.cumsum(h[order][1:] != h[order][:-1])])
-        last = np.concatenate([np.flatnonzero(np.diff(key)), [len(key) - 1]])
+        h, doc = h[order], doc[order]
+        last = np.concatenate([np.flatnonzero(h[1:] != h[:-1]), [len(h) - 1]])
         first = np.concatenate([[0], last[:-1] + 1])
-        keep = order[(doc[order][first] != doc[order][last])[key]]
-        d, t, (p,) = _lists(doc[keep], th[keep], [pos[keep]])
-        return pa.table({"doc": pa.array(d, pa.int64()), "th": pa.array(t, pa.int64()), "pos": p})
+        bit = np.unique(h[first[doc[first] != doc[last]]].view(np.uint64) % np.uint64(BITMAP))
+        word, at = np.unique(bit >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), at) if len(at) else bit
+        return pa.table({"word": pa.array(word.astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
 
-    found = rows.mapInArrow(find, "bucket int, h array<bigint>, doc array<bigint>, th array<bigint>, pos array<int>")
-    found = found.groupBy("bucket").applyInArrow(repeated, "doc long, th long, pos array<int>")
-    return staged(found, "anchors")
+    found = rows.select("doc", "text").mapInArrow(find, "bucket int, h array<bigint>, doc array<bigint>")
+    found = found.groupBy("bucket").applyInArrow(repeated, "word long, bits long")
+    got = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP // 64, np.uint64)
+    bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
 
 
-def repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, depth: int, gram: int) -> DataFrame:
+def repeated_windows(rows: DataFrame, bitmap: np.ndarray, buckets: int, depth: int, gram: int) -> DataFrame:
     """``doc``, ``th``, ``pos`` (array): starts of windows that also start in a smaller document."""
     side = depth - gram
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             data, stops = _texts(part, 2)
             start = np.concatenate([[0], stops])
-            lists = part.column(3)
-            n = np.diff(lists.offsets.to_numpy())
-            of = np.repeat(np.arange(len(n)), n)
-            pos = lists.flatten().to_numpy().astype(np.int64)
+            places, hashes = anchors(data, stops, depth, gram)
+            bit = hashes % np.uint64(BITMAP)
+            hit = (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+            places, hashes = places[hit], hashes[hit]
             wide = np.concatenate([np.zeros(side, np.uint8), data, np.zeros(depth, np.uint8)])
+            around = np.concatenate([np.arange(side), np.arange(depth, side + depth)])
             step = 200_000
-            for lo in range(0, len(pos), step):
-                o, p = of[lo:lo + step], pos[lo:lo + step]
-                at = start[o] + p
-                context = wide[at[:, None] + np.arange(side + depth)[None]]
-                h = gram_hashes_at(context[:, side:side + gram])
+            for lo in range(0, len(places), step):
+                at, h = places[lo:lo + step], hashes[lo:lo + step]
+                o = np.searchsorted(stops, at, "right")
                 columns = {"h": h.view(np.int64), "doc": part.column(0).to_numpy()[o],
-                           "th": part.column(1).to_numpy()[o], "pos": p.astype(np.int32),
-                           "len": (stops[o] - start[o]).astype(np.int32), "context": context}
+                           "th": part.column(1).to_numpy()[o], "pos": (at - start[o]).astype(np.int32),
+                           "len": (stops[o] - start[o]).astype(np.int32), "context": wide[at[:, None] + around[None]]}
                 out = list(_by_bucket((h >> np.uint64(32)).astype(np.int64) % buckets, columns))
                 small = ("pos", "len")
                 yield pa.RecordBatch.from_arrays([
@@ -199,7 +211,7 @@ def repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, depth: int
 
     def starts(table: pa.Table) -> pa.Table:
         h, doc, th, pos, length = (_flat(table, k) for k in ("h", "doc", "th", "pos", "len"))
-        context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(len(h), -1)
+        context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(len(h), 2 * side)
         begin = pos.astype(np.int64)[:, None] - side + np.arange(side + 1)[None]
         ok = (begin >= 0) & (begin + depth <= length[:, None])
         group = np.unique(h, return_inverse=True)[1]
@@ -209,20 +221,15 @@ def repeated_windows(rows: DataFrame, found: DataFrame, buckets: int, depth: int
         d, t, (p,) = _lists(doc[where], th[where], [at])
         return pa.table({"doc": pa.array(d, pa.int64()), "th": pa.array(t, pa.int64()), "pos": p})
 
-    full = gathered(rows, found, "inner").mapInArrow(cut, "bucket int, h array<bigint>, doc array<bigint>, "
-                                                     "th array<bigint>, pos array<int>, len array<int>, context binary")
+    full = rows.mapInArrow(cut, "bucket int, h array<bigint>, doc array<bigint>, "
+                           "th array<bigint>, pos array<int>, len array<int>, context binary")
     return staged(full.groupBy("bucket").applyInArrow(starts, "doc long, th long, pos array<int>"), "windows")
 
 
-def gram_hashes_at(grams: np.ndarray) -> np.ndarray:
-    """Hashes of single grams, as gram_hashes gives them in a text."""
-    return _mixed((_BYTE[grams] * _powers(_INVERSE, grams.shape[1])[None]).sum(1, dtype=np.uint64))
-
-
-def gathered(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Rows with all their places: ``doc``, ``th``, ``text``, ``pos``."""
+def gathered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with all their places: ``doc``, ``th``, ``text``, ``copy``, ``pos``."""
     lists = found.groupBy("doc", "th").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    return rows.join(lists, ["doc", "th"], how).select("doc", "th", "text", "pos")
+    return rows.join(lists, ["doc", "th"], "left").select("doc", "th", "text", "copy", "pos")
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -235,16 +242,23 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
     buckets = 4 * partitions(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
                        F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(rows, buckets, depth, gram)
-    gone = repeated_windows(rows, found, buckets, depth, gram)
+    # Of equal texts only those of the smallest document are searched; in the others every window is repeated.
+    copies = rows.groupBy(F.unhex(F.md5("text")).alias("m")).agg(F.min("doc").alias("first"), F.count("*").alias("c"))
+    copies = staged(copies.where("c > 1").select("m", "first"), "copies")
+    rows = rows.join(copies, F.unhex(F.md5("text")) == F.col("m"), "left")
+    rows = rows.withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("m", "first")
+    searched = rows.where("NOT copy").drop("copy")
+    gone = repeated_windows(searched, repeated_grams(searched, buckets, depth, gram), buckets, depth, gram)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             n, removed, spans, kept = [], [], [], []
-            for text, pos in zip(part.column(2), part.column(3)):
+            for text, copy, pos in zip(part.column(2), part.column(3).to_pylist(), part.column(4)):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 edge = np.zeros(len(raw) + 1, np.int64)
-                if pos.is_valid:
+                if copy and len(raw) >= depth:
+                    edge[0] = 1
+                elif pos.is_valid:
                     at = np.unique(pos.values.to_numpy())
                     edge[at] += 1
                     np.subtract.at(edge, at + depth, 1)
@@ -257,5 +271,5 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
                                               pa.array(kept, pa.binary())], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    out = gathered(rows, gone, "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = gathered(rows, gone).mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
