@@ -173,6 +173,17 @@ def may_link(common, na, nb, percent: int):
     return (100 + percent) * most >= percent * (na + nb)
 
 
+def may_be_first(pos_a, pos_b, na, nb, percent: int):
+    """Whether a common shingle at these places can be the first one of a linked pair.
+
+    A linked pair shares so many prefix shingles that behind the first one the others must still have room in both.
+    """
+    pa_, pb_ = prefix_length(na, percent), prefix_length(nb, percent)
+    need = F.ceil(percent * (na + nb) / (100 + percent) - 1e-6) - F.greatest(na - pa_, nb - pb_)
+    need = F.greatest(need, F.lit(1))
+    return (pos_a + need <= pa_) & (pos_b + need <= pb_) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+
+
 def verify(near: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of nodes that are linked, by their whole sets."""
     near = staged(near, "near")
@@ -209,37 +220,36 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
     within = nodes.select("gid", "node").join(groups, "gid").where("node <> first")
     within = within.select(F.col("first").alias("a"), F.col("node").alias("b"))
     # Dealt by shingle once: the counts and the join below reuse that exchange. Only lists of two or more go on.
-    posts = nodes.select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
-    heads = posts.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    lists = staged(posts.join(heads.drop("c"), "token"), "lists")
-    across = lists.where("node <> head").join(groups.select(F.col("first").alias("node")), "node", "left_semi")
-    across = across.select(F.col("head").alias("a"), F.col("node").alias("b"))
+    posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    heads = posts.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("h"), F.count("*").alias("c"))
+    lists = staged(posts.join(heads.where("c > 1").drop("c"), "token"), "lists")
+    across = lists.where(F.col("node") != F.col("h.node")).where(
+        may_be_first(F.col("pos"), F.col("h.pos"), F.col("n"), F.col("h.n"), percent))
+    across = across.join(groups.select(F.col("first").alias("node")), "node", "left_semi")
+    across = across.select(F.col("h.node").alias("a"), F.col("node").alias("b"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"),
                                   F.col("prefix").alias(f"p{x}"))
-    near = within.union(across).distinct().join(side("a"), "a").join(side("b"), "b")
-    near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    near = near.where(may_link(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent))
-    first = verify(near.select("a", "b"), rows, docs, words, percent)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("a"), "a").join(side("b"), "b")
+        near = near.where(may_link(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"), percent))
+        return verify(near.select("a", "b"), rows, docs, words, percent)
+
+    first = checked(within.union(across).distinct())
     found = staged(components(first), "first-components")
 
-    posts = lists.select("token", "node", "n").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
+    posts = lists.select("token", "node", "n", "pos").join(found.select(F.col("id").alias("node"), "root"), "node", "left")
     posts = posts.withColumn("root", F.coalesce("root", "node"))
     several = posts.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
     posts = staged(posts.join(several.select("token"), "token", "left_semi"), "posts")
     sizes = posts.groupBy("token", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m")).select("token", F.col("m.root").alias("m"))
     minor = posts.join(largest, "token").where("root <> m").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "m")
-    pairs = posts.join(minor, "token").where(
-        f"root <> ra AND 100 * least(n, na) >= {percent} * greatest(n, na) AND (root = m OR node > a)")
-    # Every shingle that two prefixes share gives the pair once, so their number is known here.
-    swap = F.col("a") > F.col("node")
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"),
-                         F.when(swap, F.col("n")).otherwise(F.col("na")).alias("na"),
-                         F.when(swap, F.col("na")).otherwise(F.col("n")).alias("nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    pairs = pairs.where(may_link(F.col("c"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    second = verify(pairs, rows, docs, words, percent)
+        "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("qa"), F.col("root").alias("ra"), "m")
+    pairs = posts.join(minor, "token").where("root <> ra AND (root = m OR node > a)").where(
+        may_be_first(F.col("pos"), F.col("qa"), F.col("n"), F.col("na"), percent))
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    second = checked(pairs)
     edges = second.union(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     return components(edges).select(F.col("id").alias("node"), "root")
 
