@@ -13,7 +13,8 @@ from coursebank.llm.common import partitions, slices, staged
 
 DEPTH = 50
 GRAM = 25
-BITMAP = 1 << 26  # bits
+BITMAP = 1 << 25  # bits
+COPY_BITS = 1 << 23
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes after all others
 
 _rng = np.random.default_rng(11)
@@ -139,7 +140,7 @@ def _lists(doc: np.ndarray, th: np.ndarray, values: list[np.ndarray]) -> tuple[n
 def repeated_grams(rows: DataFrame, buckets: int, depth: int, gram: int) -> np.ndarray:
     """Bitmap of the anchors' grams that stand in two documents or more; BITMAP bits at any size of the input.
 
-    The first radix pass deals grams to buckets by the top digit of their hash; a bucket sorts the rest. A bit set by
+    The first radix pass deals grams to buckets by the top digit of their hash; a bucket sorts the low digit. A bit set by
     another gram lets an anchor through that the sort of the windows then drops; none is missed.
     """
 
@@ -155,10 +156,11 @@ def repeated_grams(rows: DataFrame, buckets: int, depth: int, gram: int) -> np.n
             first, last = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(h) - 1]])
             ends = np.concatenate([first, last[doc[first] != doc[last]]]) if len(h) else np.zeros(0, np.int64)
             ends = np.sort(ends)
-            columns = {"h": h[ends].view(np.int64), "doc": doc[ends]}
-            out = list(_by_bucket((h[ends] >> np.uint64(32)).astype(np.int64) % buckets, columns))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), *(
-                pa.array([c[k] for _, c in out], pa.list_(pa.int64())) for k in columns)], names=["bucket", *columns])
+            low = (h[ends] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            out = list(_by_bucket((h[ends] >> np.uint64(32)).astype(np.int64) % buckets, {"h": low, "doc": doc[ends]}))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([b for b, _ in out], pa.int32()), pa.array([c["h"] for _, c in out], pa.list_(pa.int32())),
+                pa.array([c["doc"] for _, c in out], pa.list_(pa.int64()))], names=["bucket", "h", "doc"])
 
     def repeated(table: pa.Table) -> pa.Table:
         h, doc = (_flat(table, k) for k in ("h", "doc"))
@@ -166,16 +168,17 @@ def repeated_grams(rows: DataFrame, buckets: int, depth: int, gram: int) -> np.n
         h, doc = h[order], doc[order]
         last = np.concatenate([np.flatnonzero(h[1:] != h[:-1]), [len(h) - 1]])
         first = np.concatenate([[0], last[:-1] + 1])
-        bit = np.unique(h[first[doc[first] != doc[last]]].view(np.uint64) % np.uint64(BITMAP))
+        again = h[first[doc[first] != doc[last]]].astype(np.int32).view(np.uint32)
+        bit = np.unique(again.astype(np.uint64) % np.uint64(BITMAP))
         word, at = np.unique(bit >> np.uint64(6), return_index=True)
         bits = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), at) if len(at) else bit
         return pa.table({"word": pa.array(word.astype(np.int64)), "bits": pa.array(bits.view(np.int64))})
 
-    found = rows.select("doc", "text").mapInArrow(find, "bucket int, h array<bigint>, doc array<bigint>")
+    found = rows.select("doc", "text").mapInArrow(find, "bucket int, h array<int>, doc array<bigint>")
     found = found.groupBy("bucket").applyInArrow(repeated, "word long, bits long")
-    got = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.uint64)
-    bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bitmap
 
 
@@ -243,10 +246,19 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Da
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
                        F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     # Of equal texts only those of the smallest document are searched; in the others every window is repeated.
-    copies = rows.groupBy(F.unhex(F.md5("text")).alias("m")).agg(F.min("doc").alias("first"), F.count("*").alias("c"))
-    copies = staged(copies.where("c > 1").select("m", "first"), "copies")
-    rows = rows.join(copies, F.unhex(F.md5("text")) == F.col("m"), "left")
-    rows = rows.withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False))).drop("m", "first")
+    copies = rows.groupBy(F.unhex(F.md5("text")).alias("m")).agg(
+        F.min("doc").alias("first"), F.min("th").alias("th"), F.count("*").alias("c"))
+    copies = staged(copies.where("c > 1").select("m", "first", "th"), "copies")
+    # A bitmap of fixed size tells most single texts apart without moving them.
+    bits = copies.select(F.pmod("th", F.lit(COPY_BITS)).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    rows = rows.withColumn("p", F.pmod("th", F.lit(COPY_BITS)))
+    rows = rows.join(F.broadcast(bits), F.shiftright("p", 6) == F.col("at"), "left")
+    maybe = F.coalesce(F.expr("bits & shiftleft(1L, cast(p % 64 AS int)) <> 0"), F.lit(False))
+    single = rows.where(~maybe).select("doc", "th", "text", F.lit(False).alias("copy"))
+    rows = rows.where(maybe).join(copies.select("m", "first"), F.unhex(F.md5("text")) == F.col("m"), "left")
+    rows = rows.select("doc", "th", "text", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)).alias("copy"))
+    rows = single.union(rows)
     searched = rows.where("NOT copy").drop("copy")
     gone = repeated_windows(searched, repeated_grams(searched, buckets, depth, gram), buckets, depth, gram)
 
