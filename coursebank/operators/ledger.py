@@ -185,13 +185,13 @@ def admit_jobs(requests: DataFrame, balances: DataFrame, block: str = "DAY") ->
 def paid_within(orders: DataFrame, payments: DataFrame, minutes: int = 30, step: str = "HOUR") -> DataFrame:
     """Payments that follow an order of the same user within ``minutes``, with the latest such order.
 
-    An interval join on (user, time bucket): an order is put into its own bucket and the next, so each
+    An interval join on (user, time bucket): an order is put into every bucket of its span, so each
     payment meets only orders near it, whatever a user's whole history.
     """
     span = F.expr(f"INTERVAL {minutes} MINUTE")
     bucket = lambda x: F.date_trunc(step, x)
     left = orders.select("user_id", "order_id", c("ts").alias("ordered_at")).withColumn(
-        "bucket", F.explode(F.array_distinct(F.array(bucket(c("ordered_at")), bucket(c("ordered_at") + span)))))
+        "bucket", F.explode(F.sequence(bucket(c("ordered_at")), bucket(c("ordered_at") + span), F.expr(f"INTERVAL 1 {step}"))))
     right = payments.select("user_id", "payment_id", c("ts").alias("paid_at")).withColumn("bucket", bucket(c("paid_at")))
     hits = right.join(left, ["user_id", "bucket"]).where(
         (c("paid_at") >= c("ordered_at")) & (c("paid_at") <= c("ordered_at") + span))
