@@ -350,7 +350,7 @@ STEM_SIGNALS = (
     "α", "β", "γ", "δ", "ε", "ζ", "η", "θ", "λ", "μ", "π", "σ", "τ", "ω",
     "Α", "Β", "Γ", "Δ", "Σ", "Ω",
     "H₂", "O₂", "CO₂", "H₂O", "Fe", "Na", "Cl", "SO₄", "NO₃", "NH₃",
-    "Δ", "Ω", "°C", "°K", "eV", "mol", "pH",
+    "Δ", "\u2126", "°C", "°K", "eV", "mol", "pH",
     "→", "⇌", "↔", "⇒",
 )
 
