@@ -6,6 +6,9 @@ before the shuffle, or a running sum over blocks of time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,18 +171,49 @@ def adjust_credits(users: DataFrame, deltas: DataFrame, block: str = "DAY") -> D
     return out.select("user_id", "credits", F.coalesce(clamped, c("credits")).alias("balance"))
 
 
-def admit_jobs(requests: DataFrame, balances: DataFrame, block: str = "DAY") -> DataFrame:
+ADMITTED = "job_id long, user_id long, requested long, charge long, balance_before long, admitted boolean"
+
+
+def _admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold over rows sorted by user and time; the state is the last user and that user's balance."""
+    last, balance = None, 0
+    for batch in batches:
+        charges, before, admitted = [], [], []
+        for user, start, requested, produced in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            if user != last:
+                last, balance = user, start
+            ok = requested is not None and balance >= requested
+            before.append(balance)
+            admitted.append(ok)
+            charges.append(produced if ok else 0)
+            balance -= charges[-1]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(charges, pa.int64()), pa.array(before, pa.int64()),
+             pa.array(admitted, pa.bool_())], names=["job_id", "user_id", "requested", "charge", "balance_before", "admitted"])
+
+
+def admit_jobs(requests: DataFrame, balances: DataFrame) -> DataFrame:
     """Admission of jobs (job_id, user_id, ts, requested, produced) against the balance at their time.
 
-    A job costs what it produced; a failed one (NULL) costs nothing.
+    An admitted job costs what it produced; a refused one is not run and costs nothing, as does a failed one
+    (NULL). Whether a job is admitted depends on all admissions before it, so the jobs of a user are folded in
+    order; the sort spills, and the fold holds one number, so a busy user needs time but no memory. A job without
+    a time comes first, one without a requested amount is refused, and one without a user meets a balance of 0
+    that nothing is charged to.
     """
-    rows = requests.withColumns({"block": F.date_trunc(block, c("ts")), "charge": F.coalesce("produced", F.lit(0))})
-    spent = running_before(rows, "user_id", ["ts", "job_id"], "charge", "block", "spent")
-    out = spent.join(balances.select("user_id", c("balance").alias("start_balance")), "user_id", "left")
-    before = F.coalesce("start_balance", F.lit(0)) - c("spent")
-    return out.withColumn("balance_before", before).select(
-        "job_id", "user_id", "requested", "charge", "balance_before",
-        (c("balance_before") >= c("requested")).alias("admitted"))
+    rows = requests.select(
+        c("job_id").cast("long"), c("user_id").cast("long"), "ts", c("requested").cast("long"),
+        F.coalesce(c("produced").cast("long"), F.lit(0).cast("long")).alias("produced"))
+    known = rows.where("user_id IS NOT NULL").join(
+        balances.select(c("user_id").cast("long"), c("balance").cast("long").alias("start")), "user_id", "left")
+    ordered = known.repartition("user_id").sortWithinPartitions("user_id", "ts", "job_id")
+    folded = ordered.select(
+        "job_id", "user_id", F.coalesce("start", F.lit(0).cast("long")).alias("start"), "requested", "produced").mapInArrow(_admit, ADMITTED)
+    free = F.coalesce(c("requested") <= 0, F.lit(False))
+    nobody = rows.where("user_id IS NULL").select(
+        "job_id", "user_id", "requested", F.when(free, c("produced")).otherwise(0).alias("charge"),
+        F.lit(0).cast("long").alias("balance_before"), free.alias("admitted"))
+    return folded.unionByName(nobody)
 
 
 def paid_within(orders: DataFrame, payments: DataFrame, minutes: int = 30, step: str = "HOUR") -> DataFrame:

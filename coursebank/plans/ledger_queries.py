@@ -126,8 +126,11 @@ def k6_adjusted_credits(spark, d):
 
 
 @query("k7_admitted_jobs", f"""WITH {fx.USERS_SQL}, j AS (SELECT event_id AS job_id, user_id, ts, event_id % 30 AS requested, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 7 END AS charge FROM events),
-s AS (SELECT *, coalesce(sum(charge) OVER (PARTITION BY user_id ORDER BY ts, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM j)
-SELECT job_id, user_id, requested, charge, CAST(coalesce(credits % 200, 0) - spent AS BIGINT) AS balance_before, coalesce(credits % 200, 0) - spent >= requested AS admitted FROM s LEFT JOIN users u ON u.id = user_id""")
+s AS (SELECT j.*, CAST(coalesce(credits % 200, 0) AS BIGINT) AS start, row_number() OVER (PARTITION BY user_id ORDER BY ts, job_id) AS rn FROM j LEFT JOIN users u ON u.id = user_id),
+l AS (SELECT user_id, any_value(start) AS start, list({{'job': job_id, 'req': requested, 'charge': charge}} ORDER BY rn) AS js FROM s GROUP BY user_id),
+f AS (SELECT unnest(list_reduce(js, lambda a, x: {{'bal': CASE WHEN a.bal >= x.req THEN a.bal - x.charge ELSE a.bal END, 'out': list_append(a.out, {{'job_id': x.job, 'bal': a.bal}})}},
+    {{'bal': start, 'out': []::STRUCT(job_id BIGINT, bal BIGINT)[]}}).out) AS r FROM l)
+SELECT j.job_id, user_id, requested, CASE WHEN r.bal >= requested THEN charge ELSE 0 END AS charge, r.bal AS balance_before, r.bal >= requested AS admitted FROM j JOIN f ON r.job_id = j.job_id""")
 def k7_admitted_jobs(spark, d):
     jobs = load(spark, d, "events").selectExpr(
         "event_id AS job_id", "user_id", "ts", "event_id % 30 AS requested",

@@ -128,14 +128,14 @@ def bank_fill_rate(spark, d):
     return bank_rows(spark, d).groupBy("level").agg(F.count("*").alias("targets"), F.count("pos").alias("filled"))
 
 
-PSEUDO_SQL = f"""{tf.SECTIONS_SQL}, pc AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sections WHERE {NO_CHUNKS}),
+PSEUDO_SQL = f"""{tf.SECTIONS_SQL}, pc AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sections),
 pseudo AS (SELECT doc_id, pos, coalesce('Chương ' || nullif(regexp_extract(title, '^(\\d+)\\.', 1), ''), nullif(CASE WHEN chapter <> 'Unknown' THEN chapter END, ''),
   'Chương ' || CASE WHEN n >= 15 THEN CASE WHEN pos / n < 0.25 THEN 1 WHEN pos / n < 0.5 THEN 2 WHEN pos / n < 0.75 THEN 3 ELSE 4 END
     WHEN n >= 6 THEN CASE WHEN pos / n < 0.4 THEN 1 WHEN pos / n < 0.75 THEN 2 ELSE 3 END ELSE pos + 1 END) AS slot_chapter FROM pc)"""
 
 
 def _slotted(spark, d):
-    return pl.pseudo_chapter(st.split_sections(tf.books(spark, d)).where(NO_CHUNKS)).select("doc_id", "pos", "slot_chapter")
+    return pl.pseudo_chapter(st.split_sections(tf.books(spark, d))).select("doc_id", "pos", "slot_chapter")
 
 
 @query("e8_pseudo_chapters", f"WITH {PSEUDO_SQL} SELECT * FROM pseudo")

@@ -48,10 +48,10 @@ def k13_deduped_notices(spark, d):
     return ls.run_available(once, shared_folder(spark, "notices"), "notices").drop("batch_no")
 
 
-@query("k1_settlement_stream", f"WITH {lq.NOTES_SQL} SELECT code, user_id, credits_added FROM settled WHERE outcome = 'settled'")
+@query("k1_settlement_stream", f"WITH {lq.NOTES_SQL} SELECT code, user_id, credits_added, ts FROM settled WHERE outcome = 'settled'")
 def k1_settlement_stream(spark, d):
-    paid = ls.settle_stream(_note_stream(spark, d), fx.transactions(spark, d)).drop("ts")
-    return ls.run_available(paid, shared_folder(spark, "settled"), "settled").drop("batch_no")
+    paid = ls.settle_stream(_note_stream(spark, d), fx.transactions(spark, d))
+    return ls.latest_rows(ls.run_available(paid, shared_folder(spark, "settled"), "settled", "update"), ["code"])
 
 
 # An order is given up when the watermark, the smaller of both sides' latest times less 10 minutes, passes its limit.

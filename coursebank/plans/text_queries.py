@@ -162,14 +162,14 @@ def h18_section_label(spark, d):
     return rows.select("doc_id", "pos", tx.section_label(c("chapter"), c("num"), c("title"), c("pos")).alias("label"))
 
 
-@query("h32_source_excerpt", f"""WITH {tf.SECTIONS_SQL}, lv AS (SELECT *, unnest([2, 3]) AS level, {tf.sql_strip('content')} AS t FROM sections WHERE chapter <> 'Tài liệu' OR chapter IS NULL),
+@query("h32_source_excerpt", f"""WITH {tf.SECTIONS_SQL}, lv AS (SELECT *, unnest([2, 3]) AS level, {tf.sql_strip('content')} AS t FROM sections),
 q AS (SELECT *, CASE WHEN level = 3 AND length(t) > 4000 THEN {tf.sql_snippets('t', 8, 160)} END AS qs FROM lv)
 SELECT doc_id, pos, level, md5(CASE WHEN level = 3 AND length(t) > 4000 THEN substring(concat_ws(chr(10), {tf.sql_strip('substring(t, 1, 2200)')},
     chr(10) || '[...]' || chr(10) || {tf.sql_strip('right(t, 1800)')},
     CASE WHEN len(qs) > 0 THEN chr(10) || 'CÁC CÂU TRÍCH TỪ MỤC (bắt buộc dùng thuật ngữ trong đáp án):' || chr(10) || array_to_string(list_transform(qs, lambda s: '  • ' || s), chr(10)) END), 1, 5200)
   WHEN level = 3 THEN substring(t, 1, 4500) ELSE substring(t, 1, 3000) END) AS excerpt_md5 FROM q""")
 def h32_source_excerpt(spark, d):
-    rows = st.split_sections(tf.books(spark, d)).where("chapter IS NULL OR chapter <> 'Tài liệu'")
+    rows = st.split_sections(tf.books(spark, d))
     leveled = rows.select("doc_id", "pos", "content", F.explode(F.array(F.lit(2), F.lit(3))).alias("level"))
     return leveled.select("doc_id", "pos", "level", F.md5(tx.source_excerpt(c("content"), c("level"))).alias("excerpt_md5"))
 

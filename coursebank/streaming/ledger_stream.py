@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from coursebank.functions import text as tx
 from coursebank.operators import ledger as lg
 from coursebank.sources.tables import DRIVER_SCHEMAS
 
@@ -63,16 +64,17 @@ def dedupe_notices(notes: DataFrame, key: list[str], watermark: str, ts: str = "
     return notes.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)
 
 
-def settle_stream(notes: DataFrame, txn: DataFrame, watermark: str = "40 days") -> DataFrame:
-    """Orders settled by a stream of transfer notes against the stored orders, each once.
+def settle_stream(notes: DataFrame, txn: DataFrame) -> DataFrame:
+    """Orders settled by a stream of transfer notes against the stored orders, with the earliest fitting note (update mode).
 
-    The order's state is kept for the watermark only; notes dropped as late go to the batch settlement,
-    which finds such orders paid.
+    One row per order: a later batch can only move its ``ts`` back, and credits belong to the order, not to the
+    emission, so write by ``code``. A note is honoured however late it comes, so state has no watermark: it holds
+    one row per settled order.
     """
-    fitting = lg.match_transfers(notes.withWatermark("ts", watermark), txn).where(
-        c("amount_fits") & (c("old_status") != "paid"))
-    once = fitting.dropDuplicatesWithinWatermark(["code"])
-    return once.select("code", "user_id", "credits_added", "ts")
+    fitting = lg.match_transfers(notes, txn).where(c("amount_fits") & (c("old_status") != "paid"))
+    first = fitting.groupBy("code").agg(
+        F.min(F.struct("ts", "note_id")).alias("first"), F.min("user_id").alias("user_id"), F.min("credits_added").alias("credits_added"))
+    return first.select("code", "user_id", "credits_added", c("first.ts").alias("ts"))
 
 
 def expire_stream(orders: DataFrame, payments: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
@@ -104,7 +106,8 @@ DELETION_OUT = "event_id BIGINT, email STRING, accepted BOOLEAN, created_at TIME
 def deletion_stream(requests: DataFrame, cooldown: int = 15, ttl_hours: int = 48, delay: str = "1 hour") -> DataFrame:
     """Deletion requests (event_id, ts, email): refused within the cooldown of the last accepted one.
 
-    State per address is one time; a timer drops it when the cooldown is over.
+    State per address is one time; a timer drops it when the cooldown is over. All rows of an address in a
+    micro-batch are put in order first, however they are cut into chunks.
     """
     gap, ttl = pd.Timedelta(minutes=cooldown), pd.Timedelta(hours=ttl_hours)
 
@@ -113,21 +116,20 @@ def deletion_stream(requests: DataFrame, cooldown: int = 15, ttl_hours: int = 48
             state.remove()
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        for chunk in chunks:
-            chunk = chunk.sort_values(["ts", "event_id"])
-            accepted = []
-            for ts in chunk["ts"]:
-                ok = last is None or last < ts - gap
-                last = ts if ok else last
-                accepted.append(ok)
-            yield pd.DataFrame({
-                "event_id": chunk["event_id"], "email": key[0], "accepted": accepted, "created_at": chunk["ts"],
-                "expires_at": (chunk["ts"] + ttl).where(pd.Series(accepted, index=chunk.index))})
+        rows = pd.concat(chunks).sort_values(["ts", "event_id"], ignore_index=True)
+        accepted = []
+        for ts in rows["ts"]:
+            ok = last is None or last < ts - gap
+            last = ts if ok else last
+            accepted.append(ok)
+        yield pd.DataFrame({
+            "event_id": rows["event_id"], "email": key[0], "accepted": accepted, "created_at": rows["ts"],
+            "expires_at": (rows["ts"] + ttl).where(pd.Series(accepted))})
         state.update((int(last.value // 1000),))
         limit = int((last + gap).value // 10**6)
         state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
 
-    rows = requests.withColumns({"email": F.lower(F.trim("email")), "ts": c("ts").cast("timestamp")})
+    rows = requests.withColumns({"email": F.lower(tx.strip(c("email"))), "ts": c("ts").cast("timestamp")})
     valid = rows.where(c("email").contains("@")).withWatermark("ts", delay)
     return valid.groupBy("email").applyInPandasWithState(
         handle, DELETION_OUT, "last_us BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
