@@ -14,7 +14,7 @@ from coursebank.operators import scoring as ops
 from coursebank.plans import scoring_fixtures as sf
 from coursebank.plans import text_fixtures as tf
 from coursebank.plans.registry import query
-from coursebank.plans.scoring_queries import NO_CHUNKS, gated_sections
+from coursebank.plans.scoring_queries import gated_sections
 from coursebank.sources.tables import load, spread
 
 c = F.col
@@ -44,7 +44,7 @@ def j15_targets(spark, d):
 
 def candidates(spark, d):
     """Gate-tested, ranked candidates of every level (narrow rows)."""
-    rows = gated_sections(spark, d).where(NO_CHUNKS).withColumn("boilerplate", st.boilerplate(c("content")))
+    rows = gated_sections(spark, d).withColumn("boilerplate", st.boilerplate(c("content")))
     rows = ops.gate_features(rows).drop("content", "title")
     rows = rows.withColumn("size_chars", c("n_chars"))
     tested = ops.feasibility(rows.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
@@ -56,7 +56,7 @@ def candidates(spark, d):
 
 RANKED_SQL = f"""{tf.SECTIONS_SQL}, {sf.gate_sql()}, {sf.FEASIBLE_SQL},
 ca AS (SELECT *, CASE WHEN content = '' THEN 1 ELSE least(1.0, len(list_filter(string_split(lower(content), chr(10)), lambda l: {tf.sql_any('l', lx.BOILERPLATE_PHRASES)})) / 2.5) END AS plate,
-  trim(clo) <> '' AND clo_match >= 0.06 AS fits FROM feasible WHERE {NO_CHUNKS}),
+  trim(clo) <> '' AND clo_match >= 0.06 AS fits FROM feasible),
 cb AS (SELECT *, max(CAST(fits AS INT)) OVER (PARTITION BY doc_id, level) = 1 AS by_clo FROM ca),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, level ORDER BY CASE WHEN by_clo THEN -clo_match END, CASE WHEN by_clo THEN abs(ceiling - level) END, CASE WHEN by_clo THEN plate END,
     CASE WHEN ceiling = level THEN 0 ELSE 2 END, CASE WHEN level >= 3 THEN plate ELSE 0 END, pos) AS INTEGER) AS rank FROM cb WHERE fits OR NOT by_clo)"""

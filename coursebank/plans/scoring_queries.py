@@ -169,10 +169,6 @@ def gated_sections(spark, d):
                              "ceiling": sc.section_ceiling(c("content"))})
 
 
-# Titles of fixed chunks carry a repaired first line that SQL cannot follow; the outcome score reads titles.
-NO_CHUNKS = "chapter IS NULL OR chapter <> 'Tài liệu'"
-
-
 @query("i24_ceilings", f"""WITH {tf.SECTIONS_SQL}, {sf.gate_sql()} SELECT doc_id, pos, ceiling, chapter_chars, chapter_words FROM outcomes""")
 def i24_ceilings(spark, d):
     rows = st.sections_with_chapter_size(st.sectioned(tf.books(spark, d)))
@@ -182,9 +178,9 @@ def i24_ceilings(spark, d):
 
 @query("i19_outcome_scores", f"""WITH {tf.SECTIONS_SQL}, {sf.gate_sql()}
 SELECT doc_id, pos, round(CAST(clo_match AS DOUBLE), 6) AS clo_match, round(CAST(penalty AS DOUBLE), 4) AS penalty, round(ov_content, 6) AS overlap, CAST(n_topics AS INTEGER) AS n_topics
-FROM outcomes WHERE {NO_CHUNKS}""")
+FROM outcomes""")
 def i19_outcome_scores(spark, d):
-    rows = gated_sections(spark, d).where(NO_CHUNKS)
+    rows = gated_sections(spark, d)
     lo = F.lower("clo")
     lead = F.lower(F.concat(c("title"), F.lit("\n"), F.substring("content", 1, 8000)))
     return rows.select(
@@ -200,16 +196,16 @@ def gate(spark, d):
 
 
 @query("level_gate", f"""WITH {tf.SECTIONS_SQL}, {sf.gate_sql()}, {sf.FEASIBLE_SQL}
-SELECT doc_id, pos, level, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS decision, quality, reasons FROM feasible WHERE {NO_CHUNKS}""")
+SELECT doc_id, pos, level, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS decision, quality, reasons FROM feasible""")
 def level_gate(spark, d):
-    return gate(spark, d).where(NO_CHUNKS).select(
+    return gate(spark, d).select(
         "doc_id", "pos", "level", "decision", "quality", F.array_join("reasons", " ").alias("reasons"))
 
 
 @query("level_gate_report", f"""WITH {tf.SECTIONS_SQL}, {sf.gate_sql()}, {sf.FEASIBLE_SQL}
-SELECT level, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS decision, count(*) AS n, round(avg(quality), 4) AS mean_quality FROM feasible WHERE {NO_CHUNKS} GROUP BY ALL""")
+SELECT level, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS decision, count(*) AS n, round(avg(quality), 4) AS mean_quality FROM feasible GROUP BY ALL""")
 def level_gate_report(spark, d):
-    return gate(spark, d).where(NO_CHUNKS).groupBy("level", "decision").agg(
+    return gate(spark, d).groupBy("level", "decision").agg(
         F.count("*").alias("n"), F.round(F.avg("quality"), 4).alias("mean_quality"))
 
 

@@ -173,13 +173,52 @@ np5 AS (SELECT *, {sql_strip("regexp_replace(" + sql_strip("regexp_replace(body,
 numbered_sections AS (SELECT doc_id, p, 'Đoạn ' || num AS chapter, 'Đoạn ' || num || ': ' || substring(content, 1, 60)
     || CASE WHEN length(content) > 60 THEN '...' ELSE '' END AS title, content FROM np5 WHERE length(content) > 50)"""
 
+# A letter border written out: this dialect has no lookaround, and its own border knows ASCII only.
+NO_LETTER = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def sql_title_rule(text: str, rule: str, gap: str, fold: bool = True) -> str:
+    """One rule of the title repair as a replacement; borders become groups of their own."""
+    rule = rule.replace(r"\s", r"[\s\p{Z}]")
+    new = rf"\1{gap}\2"
+    if rule.startswith(r"\b"):
+        rule, new = f"(^|{NO_LETTER}){rule[2:]}", rf"\1\2{gap}\3"
+    if rule.endswith(r"\b"):
+        rule, new = f"{rule[:-2]}({NO_LETTER}|$)", rf"{new}\3"
+    return f"regexp_replace({text}, '{'(?i)' if fold else ''}{rule}', '{new}', 'g')"
+
+
+def sql_repair(source: str, name: str) -> str:
+    """Tables that end in ``name``: the rows of ``source`` with the title ``t`` repaired."""
+    joins, splits = "t", "t"
+    for rule in lx.TITLE_JOINS:
+        joins = sql_title_rule(joins, rule, "")
+    for rule, fold in lx.TITLE_SPLITS:
+        splits = sql_title_rule(splits, rule, " ", fold)
+    pairs = "t"
+    for a, b in lx.TITLE_PAIRS:
+        pairs = sql_title_rule(pairs, rf"\b({a})({b})", " ")
+    last = sql_title_rule("t", lx.TITLE_LAST_SPLIT, " ")
+    steps = [f"CASE WHEN regexp_matches(t, '[\\x{{00C0}}-\\x{{1EF9}}] | [\\x{{00C0}}-\\x{{1EF9}}]') THEN {joins} ELSE t END"] * lx.TITLE_JOIN_ROUNDS
+    steps += [splits, pairs, f"trim(regexp_replace({last}, ' {{2,}}', ' ', 'g'))"]
+    names = [source, *(f"{name}{i}" for i in range(1, len(steps))), name]
+    return ", ".join(f"{b} AS (SELECT * REPLACE ({s} AS t) FROM {a})" for a, b, s in zip(names, names[1:], steps))
+
+
+def sql_cut(t: str, n: int) -> str:
+    """A repaired title cut at the last space past 70 % of ``n`` characters, else at ``n``."""
+    upto = f"regexp_extract(left({t}, {n}), '^(.*) ', 1)"
+    return f"CASE WHEN length({t}) <= {n} THEN {t} WHEN length({upto}) > {n} * 0.7 THEN trim({upto}) ELSE trim(left({t}, {n})) END"
+
+
 CHUNK_SQL = f"""
 cp AS (SELECT doc_id, list_filter(list_transform(range(0, greatest(length(text), 1), 2000), lambda i: {sql_strip('substring(text, i + 1, 2000)')}),
     lambda c: length(c) > 300) AS cs FROM prep),
-fixed_chunks AS (SELECT doc_id, unnest(range(1, len(cs) + 1)) AS p, 'Tài liệu' AS chapter, 'Đoạn ' || unnest(range(1, len(cs) + 1)) AS title,
-    unnest(cs) AS content FROM cp)"""
+cq AS (SELECT doc_id, unnest(range(1, len(cs) + 1)) AS p, unnest(cs) AS content FROM cp),
+cl AS (SELECT *, trim(regexp_replace({sql_strip("string_split(content, chr(10))[1]")}, ' {{2,}}', ' ', 'g')) AS t FROM cq),
+{sql_repair('cl', 'cr')},
+fixed_chunks AS (SELECT doc_id, p, 'Tài liệu' AS chapter, 'Đoạn ' || p || ': ' || {sql_cut('t', 300)} AS title, content FROM cr)"""
 
-# Titles of fixed chunks are compared up to their label: what follows it is a repaired first line.
 SECTIONS_SQL = f"""{HEADER_SQL}, {LESSON_SQL}, {NUMBERED_SQL}, {CHUNK_SQL},
 methods AS (SELECT 1 AS m, * FROM header_sections UNION ALL SELECT 2, * FROM lesson_sections UNION ALL SELECT 3, * FROM numbered_sections
     UNION ALL SELECT 4, * FROM fixed_chunks),

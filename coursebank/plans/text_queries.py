@@ -16,13 +16,8 @@ from coursebank.sources.tables import load, spread
 c = F.col
 
 
-def _title_head(title, chapter):
-    """Title up to its label for chunks, whose remainder is a repaired first line."""
-    return F.when(chapter == st.DOCUMENT_CHAPTER, F.substring_index(title, ":", 1)).otherwise(title)
-
-
 def _short(df):
-    return df.select("doc_id", "pos", "chapter", _title_head(c("title"), c("chapter")).alias("title"),
+    return df.select("doc_id", "pos", "chapter", "title",
                      F.md5("content").alias("content_md5"), "word_count", "char_count")
 
 
@@ -282,7 +277,7 @@ def j6_page_chunks(spark, d):
     docs = pg.merge_pages(pg.choose_page_text(tf.pages(spark, d), "layer_text", "alt_text"))
     rows = docs.select("doc_id", tx.prepared(c("text")).alias("text"), "page_boundaries")
     packed = rows.select("doc_id", st.page_chunks(c("text"), c("page_boundaries")).alias("sections"))
-    return _short(st.explode_sections(packed)).withColumn("title", F.substring_index("title", ":", 1))
+    return _short(st.explode_sections(packed))
 
 
 # --- structure ---------------------------------------------------------------------
@@ -327,7 +322,7 @@ plan_sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORD
 @query("j12_plan_sections", f"WITH {PLAN_SQL} SELECT doc_id, pos, chapter, title, md5(content) AS content_md5, boilerplate FROM plan_sections")
 def j12_plan_sections(spark, d):
     rows = st.plan_sections(st.sectioned(tf.books(spark, d)))
-    return rows.select("doc_id", "pos", "chapter", _title_head(c("title"), c("chapter")).alias("title"),
+    return rows.select("doc_id", "pos", "chapter", "title",
                        F.md5("content").alias("content_md5"), "boilerplate")
 
 
@@ -386,9 +381,9 @@ SELECT doc_id, pos, CASE WHEN length(title) < 5 THEN 'short_title' WHEN {tf.sql_
     AND ({" OR ".join(f"regexp_matches(lower(title), '(?i){p}')" for p in lx.INTRO_TITLES).replace(chr(92), chr(92))}) THEN 'intro_title'
   WHEN len(regexp_extract_all(substring(content, 1, 800), '\\b\\d{{1,3}}\\s*\\n')) > 5 THEN 'page_numbers' WHEN length(content) < 100 THEN 'short_content'
   WHEN length(content) > 20000 THEN 'long_content' WHEN len(regexp_split_to_array(content, '[.!?]+')) < 2 THEN 'few_sentences' END AS reason
-FROM sections WHERE chapter IS NULL OR chapter <> 'Tài liệu'""")
+FROM sections""")
 def i37_section_usable(spark, d):
-    rows = st.split_sections(tf.books(spark, d)).where("chapter IS NULL OR chapter <> 'Tài liệu'")
+    rows = st.split_sections(tf.books(spark, d))
     return rows.select("doc_id", "pos", tx.section_usable(c("title"), c("content")).alias("reason"))
 
 
@@ -448,12 +443,12 @@ def i34_sentence_score(spark, d):
 
 @query("i35_extractive_answer", f"""
 WITH {tf.SECTIONS_SQL}, s AS (SELECT doc_id, pos, title, chapter, pos % 6 + 1 AS level, 4 + pos % 3 AS np,
-  list_filter(list_transform(regexp_split_to_array({tf.sql_strip('content')}, '[.!?]+\\s+'), lambda x: {tf.sql_strip('x')}), lambda x: length(x) > 30) AS ss FROM sections WHERE chapter IS NULL OR chapter <> 'Tài liệu'),
+  list_filter(list_transform(regexp_split_to_array({tf.sql_strip('content')}, '[.!?]+\\s+'), lambda x: {tf.sql_strip('x')}), lambda x: length(x) > 30) AS ss FROM sections),
 r AS (SELECT *, greatest(2, len(ss) // np) AS run, CASE level {" ".join(f"WHEN {k} THEN {tf.quoted(v)}" for k, v in lx.ANSWER_TITLES.items())} END AS ts FROM s)
 SELECT doc_id, pos, md5(array_to_string(list_transform(range(0, np), lambda i: '- ' || coalesce(ts[i + 1], 'Nội dung ' || (i + 1)) || chr(10)
   || coalesce(nullif(array_to_string(ss[i * run + 1:(i + 1) * run], ' '), ''), 'Nội dung liên quan được trình bày trong mục ' || chr(39) || title || chr(39) || ', bao gồm các khái niệm và phương pháp cụ thể.') || chr(10)), chr(10))) AS answer_md5 FROM r""")
 def i35_extractive_answer(spark, d):
-    rows = st.split_sections(tf.books(spark, d)).where("chapter IS NULL OR chapter <> 'Tài liệu'")
+    rows = st.split_sections(tf.books(spark, d))
     drafts = tm.extractive_answer(rows, c("pos") % 6 + 1, c("pos") % 3 + 4)
     return drafts.select("doc_id", "pos", F.md5("answer").alias("answer_md5"))
 
