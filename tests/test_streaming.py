@@ -35,9 +35,13 @@ def test_orders_settle_once_over_batches(spark):
         "order_code string, user_id bigint, amount_vnd bigint, credits_added bigint, status string")
     schema = "note_id bigint, ts timestamp, content string, amount double"
     batches = [[(i + 10 * b, T0 + timedelta(minutes=i + b), f"DH {i}", 1000.0 + 5000 * (i == 4)) for i in range(6)] for b in range(3)]
-    got = ls.run_available(ls.settle_stream(stream_of(spark, batches, schema), txn), shared_folder(spark, "t"), "t2")
-    want = lg.settle_transfers(spark.createDataFrame(sum(batches, []), schema), txn).where("outcome = 'settled'")
-    assert sorted(r.code for r in got.collect()) == sorted(r.code for r in want.collect()) == ["0", "1", "2", "5"]
+    # Far later and late notes of a settled order change nothing but an earlier time.
+    batches += [[(40, T0 + timedelta(days=102), "DH 1", 1000.0), (41, T0 - timedelta(days=1), "DH 2", 1000.0)]]
+    updates = ls.run_available(ls.settle_stream(stream_of(spark, batches, schema), txn), shared_folder(spark, "t"), "t2", "update")
+    got = ls.latest_rows(updates, ["code"])
+    want = ls.plain_times(lg.settle_transfers(spark.createDataFrame(sum(batches, []), schema), txn).where("outcome = 'settled'"))
+    assert sorted((r.code, r.ts) for r in got.collect()) == sorted((r.code, r.ts) for r in want.collect())
+    assert sorted(r.code for r in got.collect()) == ["0", "1", "2", "5"]
 
 
 def test_deletion_stream_across_batches(spark):
@@ -49,6 +53,20 @@ def test_deletion_stream_across_batches(spark):
     assert {r.event_id: r.expires_at is not None for r in got} == {1: True, 2: False, 3: False, 5: True}
 
 
+def test_deletion_stream_in_small_chunks(spark):
+    schema = "event_id bigint, ts timestamp, email string"
+    rows = [(i, T0 + timedelta(minutes=7 * (9 - i)), "\tA@x ") for i in range(10)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = ls.run_available(ls.deletion_stream(stream_of(spark, [rows], schema)), shared_folder(spark, "t"), "t6").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asks = spark.createDataFrame(rows, schema).selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "email", "'request' kind", "0L request_id")
+    want = lg.deletion_requests(asks).collect()
+    assert {r.event_id: r.accepted for r in got} == {r.event_id: r.accepted for r in want}
+    assert sum(r.accepted for r in got) == 4
+
+
 def test_duplicate_notices(spark):
     schema = "note_id bigint, ts timestamp"
     batches = [[(1, T0), (2, T0)], [(1, T0), (3, T0)]]
