@@ -76,6 +76,16 @@ def test_admission(spark):
     assert got == {1: (10, True), 2: (6, True), 3: (6, False), 4: (6, True), 5: (0, False)}
 
 
+def test_refused_jobs_cost_nothing(spark):
+    jobs = [(1, 1, at(0), 60, 9), (2, 1, at(1), 8, 9), (3, 1, None, 2, 1), (4, 1, at(2), None, 5), (5, None, at(0), 0, 3),
+            (6, None, at(1), 1, 3), (7, 2, at(0), 0, 0)]
+    df = spark.createDataFrame(jobs, "job_id bigint, user_id bigint, ts timestamp_ntz, requested bigint, produced bigint")
+    balances = spark.createDataFrame([(1, 10)], "user_id bigint, balance bigint")
+    got = {r.job_id: (r.balance_before, r.admitted, r.charge) for r in lg.admit_jobs(df, balances).collect()}
+    assert got == {3: (10, True, 1), 1: (9, False, 0), 2: (9, True, 9), 4: (0, False, 0), 5: (0, True, 3), 6: (0, False, 0),
+                   7: (0, True, 0)}
+
+
 def test_paid_within_bounds(spark):
     orders = spark.createDataFrame([(1, 10, at(50)), (1, 11, at(59)), (2, 12, at(0))], "user_id bigint, order_id bigint, ts timestamp_ntz")
     pays = spark.createDataFrame([(1, 1, at(80)), (1, 2, at(81)), (1, 3, at(89)), (1, 4, at(90)), (2, 5, at(10))],
