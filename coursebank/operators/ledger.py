@@ -136,20 +136,6 @@ def replay_orders(events: DataFrame) -> DataFrame:
     return rows.select("order_code", status.alias("status"), c("pay.ts").alias("paid_at"), c("pay.kind").alias("paid_by"))
 
 
-def running_before(df: DataFrame, key: str, order: list[str], value: str, block: str, name: str) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of a key, in two steps over blocks of time.
-
-    ``block`` names a column that rises with ``order``. A key with very many rows is spread over its
-    blocks; only one row per block meets in the second step.
-    """
-    inner = W.partitionBy(key, block).orderBy(*order)
-    outer = W.partitionBy(key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    blocks = df.groupBy(key, block).agg(F.sum(value).alias("_sum")).select(
-        key, block, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"))
-    within = df.withColumn("_in", F.coalesce(F.sum(value).over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(blocks, [key, block]).withColumn(name, c("_base") + c("_in")).drop("_base", "_in")
-
-
 def adjust_credits(users: DataFrame, deltas: DataFrame, block: str = "DAY") -> DataFrame:
     """Credits after ordered changes ``max(0, credits + delta)``, for deltas (user_id, ts, seq, delta).
 
