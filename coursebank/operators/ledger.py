@@ -1,7 +1,7 @@
 """Orders, payments and credits as batch jobs.
 
 Per-order and per-user histories are never collected: each outcome is an aggregate that combines
-before the shuffle, or a running sum over blocks of time.
+before the shuffle, a running sum over blocks of time, or a fold over sorted rows.
 """
 
 from __future__ import annotations
