@@ -210,8 +210,8 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
                  percent: int) -> DataFrame:
     """Component of every node that has a link: ``node``, ``root``.
 
-    Two rounds. The first checks each group's members against its first node, and each group against the first group
-    of every prefix shingle; this joins large groups of near copies in linear work. The second checks all remaining
+    Two rounds. The first checks each group's members against its first node, and each group against the node that has
+    a prefix shingle earliest, for every such shingle; this joins large groups of near copies in linear work. The second checks all remaining
     pairs that share a prefix shingle and aren't yet in one component; on one side of a list stand only the nodes
     outside its largest component, since two nodes of that one need no check. So no link between components is lost.
     """
@@ -221,7 +221,9 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
     within = within.select(F.col("first").alias("a"), F.col("node").alias("b"))
     # Dealt by shingle once: the counts and the join below reuse that exchange. Only lists of two or more go on.
     posts = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    heads = posts.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("h"), F.count("*").alias("c"))
+    # The node that has the shingle earliest can link most others by it; ties differ from list to list.
+    tie = F.xxhash64("node", "token").alias("tie")
+    heads = posts.groupBy("token").agg(F.min(F.struct("pos", tie, "node", "n")).alias("h"), F.count("*").alias("c"))
     lists = staged(posts.join(heads.where("c > 1").drop("c"), "token"), "lists")
     across = lists.where(F.col("node") != F.col("h.node")).where(
         may_be_first(F.col("pos"), F.col("h.pos"), F.col("n"), F.col("h.n"), percent))
