@@ -16,6 +16,9 @@ from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, toxicity
 ORACLE_SQL = None
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near copies of the corpus; the op1 query has its own values.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of near copies; rows without an id stay."""
-    groups = jaccard.jaccard_components(docs)
+    """The document of smallest doc_id of every group of near copies; rows without an id stay.
+
+    Near copies have at least 80 % of their five-word shingles in common.
+    """
+    groups = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(common.staged(keep, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
