@@ -28,8 +28,8 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that their source repeats on more than a tenth of its documents."""
-    out = lines.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), F.col("text"))
+    """All documents, without the lines that their source repeats on more than a tenth of its different texts."""
+    out = lines.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), F.col("text"), copies_count=False)
     return out.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.coalesce(
         F.length("clean_text").cast("long"), "n_chars").alias("n_chars"))
 

@@ -47,21 +47,24 @@ def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 
 def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, copies_count: bool = True) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines`` and ``n_dropped``.
 
     A line goes from all pages of its host when at least ``min_pages`` of them and more than ``max_ratio`` of them
     have it. Pages without a host form one group of their own. Lines without a word stay and aren't counted; a null
-    text stays null; what is left keeps its order. Repeated rows stay and count as pages. Only line digests are
-    shuffled for the counts; each page meets its own drop list by a digest of the page.
+    text stays null; what is left keeps its order. Repeated rows stay and count as pages; with ``copies_count`` false
+    all rows of a host with the same text count as one page, in both numbers, so copies alone never drop a line. Only
+    line digests are shuffled for the counts; each page meets its own drop list by a digest of the page.
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host.alias("host"),
                        text.alias("text"))
     rows = rows.withColumn("page", F.unhex(F.md5(F.concat_ws("\x00", F.coalesce("host", F.lit("")), "text"))))
-    slim = staged(rows.select("host", "page", _keys(F.coalesce("text", F.lit(""))).alias("keys")), "lines")
+    slim = rows.select("host", "page", _keys(F.coalesce("text", F.lit(""))).alias("keys"))
+    slim = staged(slim if copies_count else slim.dropDuplicates(["host", "page"]), "lines")
     bad = boilerplate(slim, max_ratio, min_pages).select(F.col("host").alias("h"), "line")
-    at = slim.dropDuplicates(["host", "page"]).select("host", "page", F.posexplode("keys").alias("pos", "line"))
+    once = slim.dropDuplicates(["host", "page"]) if copies_count else slim
+    at = once.select("host", "page", F.posexplode("keys").alias("pos", "line"))
     at = at.where("line IS NOT NULL").join(
         bad.withColumnRenamed("line", "l"), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
     drops = at.groupBy("host", "page").agg(F.collect_list("pos").alias("drops"))

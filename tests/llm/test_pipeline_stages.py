@@ -37,3 +37,13 @@ def test_near_copies_by_five_words(spark):
     assert len(sets[-1] & sets[-2]) * 5 == len(sets[-1] | sets[-2]) * 4
     got = corpus_pipeline.one_of_each_group(spark, _docs(spark, [(i, " ".join(w), "s") for i, w in enumerate(texts)]), "")
     assert sorted(r.doc_id for r in got.collect()) == [i for i, r in enumerate(root) if i == r]
+
+
+def test_copies_are_no_boilerplate(spark):
+    copy = "a clean text\nof two lines"
+    rows = [(i, copy if i % 3 == 0 else f"menu\npage {i}", "s") for i in range(60)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, _docs(spark, rows), "").collect()}
+    # A third of the source is copies of one text; the menu stands on 40 of 41 different texts.
+    assert got == {i: copy if i % 3 == 0 else f"page {i}" for i in range(60)}
+    kept = corpus_pipeline.one_of_each_group(spark, _docs(spark, [(i, got[i], "s") for i in got]), "").collect()
+    assert [r.doc_id for r in kept if r.text == copy] == [0]
