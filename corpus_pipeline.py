@@ -35,13 +35,18 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of near copies; rows without an id stay.
+    """One row of every group of near copies: that of smallest doc_id, then text hash; rows without an id stay.
 
-    Near copies have at least 80 % of their five-word shingles in common.
+    Near copies have at least 80 % of their five-word shingles in common. Rows are told apart by doc_id and text, so
+    different texts with one doc_id are different documents; rows without words each form a group of their own.
     """
-    groups = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(common.staged(keep, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = jaccard.component_rows(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id IS NOT NULL")
+    keep = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
+    keep = keep.union(rows.where("root IS NULL").select("doc_id", "th").distinct())
+    keep = common.staged(keep, "kept")
+    th = F.xxhash64("text")
+    one = docs.select(*COLUMNS, th.alias("th")).join(keep, ["doc_id", "th"], "left_semi")
+    one = one.dropDuplicates(["doc_id", "th"])
     return one.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -256,8 +256,11 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, heavy: tuple[np.ndarray, np.n
     return components(edges).select(F.col("id").alias("node"), "root")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` of every row.
+def component_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``th``, ``n_shingles``, ``root``, ``component_id`` of every row.
+
+    ``doc_id`` and ``th``, the xxhash64 of the text, are the key of a row where ids repeat. ``root`` names the component
+    even then, while two components can have one ``component_id``; null for a row with an empty set.
 
     Takes ``doc_id`` and ``text``. Rows link when their shingle sets' Jaccard similarity is at least ``percent`` / 100;
     ``component_id`` is the smallest doc_id reachable by links. Equal sets are one node from the start, so copies cost
@@ -272,7 +275,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = staged(linked_nodes(docs, reps, heavy_order(seen), words, percent), "components")
     both = reps.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = both.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = both.select("node", "root").join(least, "root").select("node", "component_id")
+    ids = both.select("node", "root").join(least, "root").select("node", "root", "component_id")
     out = rows.join(ids, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "root",
                       F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` of every row, by the links of ``component_rows``."""
+    return component_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id")

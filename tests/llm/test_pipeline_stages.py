@@ -47,3 +47,12 @@ def test_copies_are_no_boilerplate(spark):
     assert got == {i: copy if i % 3 == 0 else f"page {i}" for i in range(60)}
     kept = corpus_pipeline.one_of_each_group(spark, _docs(spark, [(i, got[i], "s") for i in got]), "").collect()
     assert [r.doc_id for r in kept if r.text == copy] == [0]
+
+
+def test_repeated_ids(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, text("a"), "s"), (7, text("a") + " more", "s"), *[(7, text(x), "s") for x in "bcdefgh"],
+            (8, text("b"), "t"), (9, text("i"), "s"), (9, text("i"), "s"), (5, "", "s"), (5, "", "s"), (6, "", "s")]
+    got = corpus_pipeline.one_of_each_group(spark, _docs(spark, rows), "").collect()
+    want = [(3, text("a")), *[(7, text(x)) for x in "bcdefgh"], (9, text("i")), (5, ""), (6, "")]
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
