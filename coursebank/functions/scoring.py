@@ -363,8 +363,8 @@ def clo_penalty(title: Column, content_chars: Column, clo: Column) -> Column:
     return sum((F.when(cond, F.lit(v)).otherwise(F.lit(0.0)) for cond, v in parts), F.lit(0.0))
 
 
-def clo_score(title: Column, content: Column, clo: Column, lead_chars: int = 8000) -> Column:
-    """Match of a section with an outcome, 0 to 1; the rule reads the section's first 8000 characters."""
+def clo_score(title: Column, content: Column, clo: Column, lead_chars: int | None = None) -> Column:
+    """Match of a section, or of its first ``lead_chars`` characters, with an outcome, 0 to 1."""
 
     def capped(score: Column, condition: Column, bonus: Column) -> Column:
         return bind(score, lambda r: F.when(condition, F.least(F.lit(1.0), r + bonus)).otherwise(r))
@@ -379,7 +379,7 @@ def clo_score(title: Column, content: Column, clo: Column, lead_chars: int = 800
         raw = capped(raw, topics > 0, topics * 0.06)
         return F.greatest(F.lit(0.0), raw - clo_penalty(lt, x["chars"], lo))
 
-    parts = F.struct(F.lower(F.substring(content, 1, lead_chars)).alias("lead"), F.lower(title).alias("title"),
+    parts = F.struct(F.lower(tx.lead(content, lead_chars)).alias("lead"), F.lower(title).alias("title"),
                      F.lower(clo).alias("clo"), F.length(tx.strip(content)).alias("chars"))
     return F.when(clo.isNull() | (clo == ""), F.lit(0.0)).otherwise(bind(parts, scored))
 
@@ -395,13 +395,14 @@ def aspect_hits(text: Column) -> Column:
     return tx.keys_hit(text, {k: shows for k, (_, shows) in lx.CLO_ASPECTS.items()})
 
 
-def aspect_gap(question: Column, answer: Column, clo: Column, title: Column, content: Column, level: Column) -> Column:
+def aspect_gap(question: Column, answer: Column, clo: Column, title: Column, content: Column, level: Column,
+               lead_chars: int | None = None) -> Column:
     """What an outcome asks for against what question and answer show.
 
     STRUCT(aspects, skills, topics, q_hit, a_hit, content_hit, content_missing, and coverages).
     """
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
-    section = F.concat(low(title), F.lit("\n"), F.substring(low(content), 1, 6000))
+    section = F.concat(low(title), F.lit("\n"), tx.lead(low(content), lead_chars))
     base = F.struct(
         clo_aspects(clo).alias("aspects"), aspect_hits(low(question)).alias("q"), aspect_hits(low(answer)).alias("a"),
         aspect_hits(F.concat(low(question), F.lit("\n"), low(answer))).alias("qa"), aspect_hits(section).alias("s"))

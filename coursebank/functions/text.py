@@ -396,12 +396,16 @@ def snippet_sentences(text: Column, min_chars: int = 28, max_chars: int = 140) -
     return F.filter(parts, lambda s: F.length(s).between(min_chars, max_chars))
 
 
-def ranked_snippets(text: Column, n: int = 4, max_chars: int = 140) -> Column:
-    """The ``n`` sentences of the lead with most content words; equal beginnings only once.
+def lead(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or the whole text."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def ranked_snippets(text: Column, n: int = 4, max_chars: int = 140, lead_chars: int | None = None) -> Column:
+    """The ``n`` sentences of the text, or of its lead, with most content words; equal beginnings only once.
 
     Sentences are sorted by (score, position), and of each 35-character beginning the best stays.
     """
-    lead = F.substring(strip(text), 1, 4500)
     stop = lit_array(lx.STOP_WORDS)
 
     def scored(s: Column, i: Column) -> Column:
@@ -411,15 +415,15 @@ def ranked_snippets(text: Column, n: int = 4, max_chars: int = 140) -> Column:
             (-(t["n"] + t["d"])).alias("rank"), i.alias("pos"),
             F.substring(s, 1, 35).alias("head"), s.alias("text"), t["n"].alias("n")))
 
-    rows = F.array_sort(F.filter(F.transform(snippet_sentences(lead, 28, max_chars), scored), lambda r: r["n"] >= 4))
+    rows = F.array_sort(F.filter(F.transform(snippet_sentences(lead(strip(text), lead_chars), 28, max_chars), scored), lambda r: r["n"] >= 4))
     firsts = first_of_equal(rows, lambda r: r["head"])
     return F.transform(F.slice(firsts, 1, n), lambda r: r["text"])
 
 
-def source_excerpt(text: Column, level: Column) -> Column:
+def source_excerpt(text: Column, level: Column, snippet_chars: int | None = None) -> Column:
     """Part of a source that goes with a request: the lead, or head, tail and snippets of a long level 3 source."""
     t = strip(text)
-    quotes = ranked_snippets(t, 8, 160)
+    quotes = ranked_snippets(t, 8, 160, snippet_chars)
     quoted = F.concat(
         F.lit("\nCÁC CÂU TRÍCH TỪ MỤC (bắt buộc dùng thuật ngữ trong đáp án):\n"),
         F.array_join(F.transform(quotes, lambda s: F.concat(F.lit("  • "), s)), "\n"))
@@ -433,13 +437,13 @@ def source_excerpt(text: Column, level: Column) -> Column:
     )
 
 
-def is_stem(text: Column) -> Column:
-    """Formula-bearing text: three signals, a chemical formula or a LaTeX marker in its lead."""
-    lead = F.substring(text, 1, 2000)
+def is_stem(text: Column, lead_chars: int | None = None, signal_chars: int | None = None) -> Column:
+    """Formula-bearing text: three signals, a chemical formula or a LaTeX marker in the text or its lead."""
+    start = lead(text, lead_chars)
     return (
-        (hits(F.substring(strip(text), 1, 3000), lx.STEM_SIGNALS) >= 3)
-        | lead.rlike(r"[A-Z][a-z]?\d+[A-Z]?")
-        | lead.rlike(r"\^\{|\\frac|\\sum|\\int|\\sqrt")
+        (hits(lead(strip(text), signal_chars), lx.STEM_SIGNALS) >= 3)
+        | start.rlike(r"[A-Z][a-z]?\d+[A-Z]?")
+        | start.rlike(r"\^\{|\\frac|\\sum|\\int|\\sqrt")
     )
 
 

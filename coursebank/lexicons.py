@@ -399,6 +399,14 @@ TITLE_JOINS = (
     rf"([{_V}]) ([a-zđ][{_V}])",
 )
 TITLE_JOIN_ROUNDS = 6
+# How much of a text the reference's rules read, in characters (BLEU: sentences, or words where there are none).
+OUTCOME_CHARS = 8000
+ASPECT_CHARS = 6000
+PHRASE_CHARS = 5000
+SNIPPET_CHARS = 4500
+STRUCTURE_CHARS = 3000
+STEM_CHARS, STEM_SIGNAL_CHARS = 2000, 3000
+BLEU_SENTENCES, BLEU_WORDS = 7, 200
 
 # Rules that part two words run together; the flag says whether case is ignored.
 TITLE_SPLITS = (

@@ -57,17 +57,21 @@ def plain_words(text: Column) -> Column:
     return tx.words(F.lower(text))
 
 
-def reference_words(hyp: Column, ref: Column, top_n: int) -> Column:
-    """Words of the ``top_n`` reference sentences that share most words with ``hyp``; ties by position."""
+def reference_words(hyp: Column, ref: Column, top_n: int | None = None, fallback_words: int | None = None) -> Column:
+    """Words of the reference sentences, those first that share most words with ``hyp``; ties by position.
+
+    At most ``top_n`` sentences; a text without sentences gives its words, at most ``fallback_words``.
+    """
     wanted = F.array_except(plain_words(hyp), tx.lit_array(lx.BLEU_STOP_WORDS))
 
     def ranked(words: Column) -> Column:
         rows = F.transform(tx.sentences(ref), lambda s, i: tx.bind(plain_words(s), lambda ws: F.struct(
             (-F.size(F.array_intersect(ws, words))).alias("rank"), i.alias("i"), ws.alias("ws"))))
-        return F.flatten(F.transform(F.slice(F.array_sort(rows), 1, top_n), lambda r: r["ws"]))
+        best = F.array_sort(rows) if top_n is None else F.slice(F.array_sort(rows), 1, top_n)
+        return F.flatten(F.transform(best, lambda r: r["ws"]))
 
-    return tx.bind(tx.bind(wanted, ranked), lambda ws: F.when(F.size(ws) > 0, ws).otherwise(
-        F.slice(plain_words(ref), 1, 200)))
+    words = plain_words(ref) if fallback_words is None else F.slice(plain_words(ref), 1, fallback_words)
+    return tx.bind(tx.bind(wanted, ranked), lambda ws: F.when(F.size(ws) > 0, ws).otherwise(words))
 
 
 def bleu_scores(pairs: DataFrame, key: list[str], hyp: str, ref: str, orders: tuple[int, ...] = (1, 2, 4),
@@ -107,12 +111,13 @@ def _tagged(words: Column, n: int, side: int) -> Column:
         F.lit(n).alias("n"), F.lit(side).cast("bigint").alias("side"), g.alias("gram")))
 
 
-def chapter_scores(answers: DataFrame, chapters: DataFrame, top_n: int = 7, orders: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def chapter_scores(answers: DataFrame, chapters: DataFrame, top_n: int | None = None, orders: tuple[int, ...] = (1, 2, 4),
+                   fallback_words: int | None = None) -> DataFrame:
     """BLEU of each answer against every chapter of its own document (an equi join on the document)."""
     pairs = answers.select("doc_id", "pair_id", "answer").join(
         chapters.select("doc_id", "chapter_pos", "chapter", "content"), "doc_id")
     ready = pairs.select("doc_id", "pair_id", "chapter_pos", "chapter", plain_words(F.col("answer")).alias("hyp"),
-                         reference_words(F.col("answer"), F.col("content"), top_n).alias("ref"))
+                         reference_words(F.col("answer"), F.col("content"), top_n, fallback_words).alias("ref"))
     return bleu_scores(ready, ["doc_id", "pair_id", "chapter_pos", "chapter"], "hyp", "ref", orders)
 
 

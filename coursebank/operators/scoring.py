@@ -26,16 +26,17 @@ def _has(df: DataFrame, name: str, kind: str) -> Column:
 GATE_FEATURES = ("n_chars", "n_words", "n_analytic", "n_basic", "clo_norm", "clo_fit")
 
 
-def gate_features(sections: DataFrame) -> DataFrame:
+def gate_features(sections: DataFrame, lead_chars: int | None = None) -> DataFrame:
     """What the gate needs of a section whatever the level: computed before levels are multiplied out.
 
-    ``clo_match`` (the section's outcome score) is used where present, else plain term overlap.
+    ``clo_match`` (the section's outcome score) is used where present, else plain term overlap,
+    of the first ``lead_chars`` characters where given.
     """
     clo = F.nullif(F.substring(F.trim(_has(sections, "clo", "string")), 1, 2000), F.lit(""))
     df = sections.withColumns({
         "_low": F.lower("content"), "clo_norm": clo, "n_chars": F.length(tx.strip(c("content"))),
         "n_words": tx.word_count(c("content"))})
-    own = sc.clo_overlap(F.concat(c("title"), F.lit("\n"), F.substring("content", 1, 8000)), c("clo_norm"))
+    own = sc.clo_overlap(F.concat(c("title"), F.lit("\n"), tx.lead(c("content"), lead_chars)), c("clo_norm"))
     return df.withColumns({
         "n_analytic": tx.hits(c("_low"), lx.ANALYTIC_SIGNALS), "n_basic": tx.hits(c("_low"), lx.BASIC_SIGNALS),
         "clo_fit": F.when(c("clo_norm").isNotNull(), F.coalesce(_has(sections, "clo_match", "double"), own))}).drop("_low")
@@ -124,7 +125,7 @@ def feasibility(candidates: DataFrame) -> DataFrame:
         "reasons": F.array_compact(F.array(c("_r0"), c("_r1"), r2))})
 
 
-def score_pairs(qa: DataFrame, outcome: bool = False) -> DataFrame:
+def score_pairs(qa: DataFrame, outcome: bool = False, aspect_chars: int | None = None) -> DataFrame:
     """All measures of question-answer pairs; with ``outcome`` also the verdict on the learning outcome.
 
     Input: level, question, answer, source; optional title and clo. Texts are tokenised once and the
@@ -163,7 +164,8 @@ def score_pairs(qa: DataFrame, outcome: bool = False) -> DataFrame:
     }
     if outcome:
         made["aspects"] = F.when(_no_outcome(qa), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
-            c("question"), c("answer"), c("clo"), _has(qa, "title", "string"), c("source"), level), level))
+            c("question"), c("answer"), c("clo"), _has(qa, "title", "string"), c("source"), level, aspect_chars),
+            level))
         made["source_chars"] = F.length(tx.strip(c("source")))
     return computed_once(df, keep, made) if outcome else df.select(*keep, *[v.alias(k) for k, v in made.items()])
 
@@ -173,10 +175,10 @@ def _no_outcome(df: DataFrame) -> Column:
     return clo.isNull() | (F.trim(clo) == "")
 
 
-def evaluate_qa(qa: DataFrame) -> DataFrame:
+def evaluate_qa(qa: DataFrame, aspect_chars: int | None = None) -> DataFrame:
     """Decision, quality and first failed rule of each pair (see ``score_pairs`` for the input)."""
     qa = qa if "clo" in qa.columns else qa.withColumn("clo", F.lit(None).cast("string"))
-    df = score_pairs(qa, outcome=True)
+    df = score_pairs(qa, outcome=True, aspect_chars=aspect_chars)
     keep = [x for x in df.columns if x not in ("aspects", "source_chars")]
     level = c("level")
     verdict = F.coalesce(_has(qa, "clo_verdict", "boolean"), F.lit(True))
@@ -225,7 +227,7 @@ def evaluate_qa(qa: DataFrame) -> DataFrame:
         F.when(c("_reason").isNull() & ~passed, "below_threshold").otherwise(c("_reason")).alias("fail_reason"))
 
 
-def accept_replies(replies: DataFrame) -> DataFrame:
+def accept_replies(replies: DataFrame, aspect_chars: int | None = None) -> DataFrame:
     """Generated replies to usable pairs, with the first reason of rejection.
 
     Input: raw, level, source, required_points; optional title and clo.
@@ -242,8 +244,8 @@ def accept_replies(replies: DataFrame) -> DataFrame:
         "tautology": sc.tautology(c("_points")), "action": sc.action_score(c("_points")),
         "_rule": sc.question_rule(c("_q"), level),
         "_aspects": F.when(_no_outcome(replies), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
-            c("question"), c("answer"), _has(replies, "clo", "string"), _has(replies, "title", "string"), c("source"), level),
-            level))})
+            c("question"), c("answer"), _has(replies, "clo", "string"), _has(replies, "title", "string"), c("source"), level,
+            aspect_chars), level))})
     reason = (
         F.when(c("question").isNull() | c("_r.answer").isNull(), "unreadable")
         .when(c("_cut.short"), "too_few_points")

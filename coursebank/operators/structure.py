@@ -417,13 +417,13 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"(?iu)({pattern})"), F.lit(1)))
 
 
-def detect_structure(docs: DataFrame) -> DataFrame:
-    """Decimal numbering in the first 3000 characters, else at least two lesson markers there."""
+def detect_structure(docs: DataFrame, lead_chars: int | None = None) -> DataFrame:
+    """Decimal numbering in the text or its first ``lead_chars`` characters, else at least two lesson markers there."""
     lead = F.col("lead")
     patterns = (r"\b\d+\.\d+(?:\.\d+)?\b", r"mục\s+\d+\.\d+", r"\d+\.\d+\.\d+", r"section\s+\d+(?:\.\d+)?")
     decimal = sum((F.least(_matches(lead, p), F.lit(3)) for p in patterns[1:]), F.least(_matches(lead, patterns[0]), F.lit(3)))
     lessons = _matches(lead, r"Bài\s+\d+[.:;)\s]")
-    rows = docs.select("doc_id", tx.normalise_text(F.substring("text", 1, 3000)).alias("lead")).select(
+    rows = docs.select("doc_id", tx.normalise_text(tx.lead(F.col("text"), lead_chars)).alias("lead")).select(
         "doc_id", decimal.alias("decimal_matches"), lessons.alias("lesson_matches"))
     kind = F.when(F.col("decimal_matches") > 0, "decimal").when(F.col("lesson_matches") >= 2, "lesson").otherwise("none")
     return rows.withColumn("kind", kind).withColumn("has_sections", F.col("kind") != "none")

@@ -30,9 +30,9 @@ def _phrases(words: Column) -> Column:
     return F.concat(grams(2), grams(3))
 
 
-def key_phrases(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
-    """Up to ``k`` key phrases per row: frequent phrases of the lead, then frequent single words."""
-    lead = F.regexp_replace(F.substring(text, 1, 5000), r"[^\p{L}\p{N}_\s]", " ")
+def key_phrases(df: DataFrame, key: str, text: str, k: int = 5, lead_chars: int | None = None) -> DataFrame:
+    """Up to ``k`` key phrases per row: frequent phrases of the text or its lead, then frequent single words."""
+    lead = F.regexp_replace(tx.lead(F.col(text), lead_chars), r"[^\p{L}\p{N}_\s]", " ")
     good = F.filter(tx.words(lead), lambda w: (
         F.length(w).between(3, 25) & ~w.rlike(r"^\d+$") & ~F.lower(w).isin(*lx.KEYWORD_STOP_WORDS)))
     base = df.select(key, good.alias("words"))

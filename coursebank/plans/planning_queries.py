@@ -45,7 +45,7 @@ def j15_targets(spark, d):
 def candidates(spark, d):
     """Gate-tested, ranked candidates of every level (narrow rows)."""
     rows = gated_sections(spark, d).withColumn("boilerplate", st.boilerplate(c("content")))
-    rows = ops.gate_features(rows).drop("content", "title")
+    rows = ops.gate_features(rows, lx.OUTCOME_CHARS).drop("content", "title")
     rows = rows.withColumn("size_chars", c("n_chars"))
     tested = ops.feasibility(rows.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
     clo_match = F.when(F.trim("clo") != "", c("clo_match"))
@@ -219,7 +219,8 @@ bleu AS (SELECT doc_id, pair_id, chapter, first_pos, CAST(len(hyp) AS INTEGER) A
 
 @query("i29_bleu", f"WITH {BLEU_SQL} SELECT doc_id, pair_id, chapter, hyp_len, ref_len, bleu1, bleu2, bleu4 FROM bleu")
 def i29_bleu(spark, d):
-    return gr.chapter_scores(_answers(spark, d), _chapters(spark, d)).drop("chapter_pos")
+    return gr.chapter_scores(
+        _answers(spark, d), _chapters(spark, d), lx.BLEU_SENTENCES, fallback_words=lx.BLEU_WORDS).drop("chapter_pos")
 
 
 @query("i30_attribution", f"""WITH {BLEU_SQL}, own AS (SELECT p.doc_id, p.pair_id, c.chapter AS source_chapter FROM pairs p JOIN (SELECT doc_id, arg_min(chapter, first_pos) AS chapter FROM chapters GROUP BY 1) c USING (doc_id)),
@@ -229,7 +230,8 @@ def i30_attribution(spark, d):
     answers, chapters = _answers(spark, d), _chapters(spark, d)
     firsts = chapters.where("chapter_pos = 0").select("doc_id", F.col("chapter").alias("source_chapter"))
     own = answers.select("doc_id", "pair_id").join(firsts, "doc_id")
-    return gr.attribute_chapter(gr.chapter_scores(answers, chapters, orders=(4,)), own)
+    scores = gr.chapter_scores(answers, chapters, lx.BLEU_SENTENCES, orders=(4,), fallback_words=lx.BLEU_WORDS)
+    return gr.attribute_chapter(scores, own)
 
 
 # --- experiment reports --------------------------------------------------------------------------

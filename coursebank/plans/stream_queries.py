@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coursebank import lexicons as lx
 from coursebank.functions import sqlfuncs
 from coursebank.operators import relational as rel
 from coursebank.operators import scoring as ops
@@ -98,7 +99,7 @@ def a3_corpus_listing(spark, d):
 @query("a10_results", f"""WITH {sf.EVALUATE_SQL} SELECT doc_id AS document_id, md5(substring(source, 1, 1000)) AS content_md5, question, md5(answer) AS answer_md5, 'Bloom ' || level AS bloom_level,
   '20240131093000' AS batch_id, CAST(0.5 + 0.5 * level AS DOUBLE) AS total_points FROM evaluated WHERE decision = 'pass'""")
 def a10_results(spark, d):
-    passed = ops.evaluate_qa(sf.qa_pairs(spark, d)).where("decision = 'pass'")
+    passed = ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS).where("decision = 'pass'")
     path = shared_folder(spark, "results")
     sinks.write_results(sinks.result_rows(passed, "2024-01-31 09:30:00"), path)
     rows = spark.read.schema("document_id BIGINT, content STRING, question STRING, answer STRING, bloom_level STRING, total_points DOUBLE, batch_id STRING").parquet(path)
@@ -108,7 +109,7 @@ def a10_results(spark, d):
 
 @query("a11_decision_log")
 def a11_decision_log(spark, d):
-    decided = ops.evaluate_qa(sf.qa_pairs(spark, d))
+    decided = ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS)
     rows = sinks.log_rows(decided, "evaluation", ["pair_id", "level"], ["question_overlap", "verb", "groundedness"],
                           F.array_compact(F.array("fail_reason")))
     path = shared_folder(spark, "log")

@@ -166,14 +166,14 @@ SELECT doc_id, pos, level, md5(CASE WHEN level = 3 AND length(t) > 4000 THEN sub
 def h32_source_excerpt(spark, d):
     rows = st.split_sections(tf.books(spark, d))
     leveled = rows.select("doc_id", "pos", "content", F.explode(F.array(F.lit(2), F.lit(3))).alias("level"))
-    return leveled.select("doc_id", "pos", "level", F.md5(tx.source_excerpt(c("content"), c("level"))).alias("excerpt_md5"))
+    return leveled.select("doc_id", "pos", "level", F.md5(tx.source_excerpt(c("content"), c("level"), lx.SNIPPET_CHARS)).alias("excerpt_md5"))
 
 
 @query("h33_stem_sections", f"""WITH {tf.MARKED_SQL}
 SELECT doc_id, {tf.sql_hits('substring(' + tf.sql_strip('text') + ', 1, 3000)', lx.STEM_SIGNALS)} >= 3
   OR regexp_matches(substring(text, 1, 2000), '[A-Z][a-z]?\\d+[A-Z]?') OR regexp_matches(substring(text, 1, 2000), '\\^\\{{|\\\\frac|\\\\sum|\\\\int|\\\\sqrt') AS is_stem FROM marked""")
 def h33_stem_sections(spark, d):
-    return tf.marked_documents(spark, d).select("doc_id", tx.is_stem(c("text")).alias("is_stem"))
+    return tf.marked_documents(spark, d).select("doc_id", tx.is_stem(c("text"), lx.STEM_CHARS, lx.STEM_SIGNAL_CHARS).alias("is_stem"))
 
 
 SENTENCES_SQL = ("list_filter(list_transform(string_split(regexp_replace(text, '([.!?\\n])\\s+', '\\1' || chr(57344), 'g'), chr(57344)), lambda s: "
@@ -346,7 +346,7 @@ m AS (SELECT doc_id, CAST({_cnt(r'\b\d+\.\d+(?:\.\d+)?\b')} + {_cnt(r'mục\s+\d
 SELECT *, CASE WHEN decimal_matches > 0 THEN 'decimal' WHEN lesson_matches >= 2 THEN 'lesson' ELSE 'none' END AS kind,
   decimal_matches > 0 OR lesson_matches >= 2 AS has_sections FROM m""")
 def j17_structure(spark, d):
-    return st.detect_structure(tf.books(spark, d))
+    return st.detect_structure(tf.books(spark, d), lx.STRUCTURE_CHARS)
 
 
 LESSON_LINES_SQL = f"""{tf.BOOKS_SQL}, bl AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, {tf.sql_strip('unnest(ls)')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM books)),
@@ -402,7 +402,7 @@ def d18_top_terms(spark, d):
 @query("i32_snippets", f"""WITH {tf.SECTIONS_SQL} SELECT doc_id, pos, array_to_string({tf.sql_snippets('content', 4, 140)}, ' | ') AS snippets FROM sections""")
 def i32_snippets(spark, d):
     rows = st.split_sections(tf.books(spark, d))
-    return rows.select("doc_id", "pos", F.array_join(tx.ranked_snippets(c("content")), " | ").alias("snippets"))
+    return rows.select("doc_id", "pos", F.array_join(tx.ranked_snippets(c("content"), lead_chars=lx.SNIPPET_CHARS), " | ").alias("snippets"))
 
 
 @query("i33_key_phrases", f"""
@@ -422,7 +422,7 @@ SELECT doc_id, array_to_string(list_reduce(wl, lambda a, x: CASE WHEN len(a) >=
 FROM j""")
 def i33_key_phrases(spark, d):
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    return tm.key_phrases(docs, "doc_id", "text").select("doc_id", F.array_join("phrases", " | ").alias("phrases"))
+    return tm.key_phrases(docs, "doc_id", "text", lead_chars=lx.PHRASE_CHARS).select("doc_id", F.array_join("phrases", " | ").alias("phrases"))
 
 
 KEYWORDS = ("the", "with", "des", "und")
