@@ -52,12 +52,17 @@ def select_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     return df.join(wanted.distinct(), id_col, "left_semi")
 
 
-def valid_feedback(df: DataFrame) -> DataFrame:
-    """Messages with both fields and within their length limits, trimmed."""
+def checked_feedback(df: DataFrame) -> DataFrame:
+    """All messages, trimmed, with ``reason``: NULL for those with both fields and within their length limits."""
     clean = df.withColumns({"email": F.trim("email"), "message": F.trim("message")})
-    return clean.where(
-        (F.col("email") != "") & (F.col("message") != "")
-        & (F.length("email") <= 255) & (F.length("message") <= 5000))
+    return clean.withColumn("reason", F.when(F.coalesce("email", F.lit("")) == "", "no_email")
+                            .when(F.coalesce("message", F.lit("")) == "", "no_message")
+                            .when(F.length("email") > 255, "long_email").when(F.length("message") > 5000, "long_message"))
+
+
+def valid_feedback(df: DataFrame) -> DataFrame:
+    """The messages of ``checked_feedback`` without a reason."""
+    return checked_feedback(df).where("reason IS NULL").drop("reason")
 
 
 def hide_algorithms(df: DataFrame, hidden: list[str], col: str = "algorithm") -> DataFrame:

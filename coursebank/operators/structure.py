@@ -79,18 +79,23 @@ def _longer(sections: Column, n: int) -> Column:
     return F.filter(sections, lambda s: s["char_count"] > n)
 
 
-def header_sections(text: Column, stem_headers: bool = False) -> Column:
-    """Sections opened by header lines; text before the first header is dropped.
-
-    Headers that set a chapter and those that do not get different marks, so splitting twice
-    gives each section the chapter of the block it lies in, with no carrying over lines.
-    """
+def _header_blocks(text: Column, stem_headers: bool) -> Column:
+    """Text in blocks of one chapter each, the sections within marked; the first block precedes the first chapter."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def marked(line: Column) -> Column:
         mark = F.when(chapter_key(line).isNotNull(), F.lit(CHAPTER_MARK)).otherwise(F.lit(ITEM_MARK))
         return F.when(is_header(line, stem_headers), F.concat(mark, line)).otherwise(line)
 
+    return F.split(F.array_join(F.transform(lines, marked), "\n"), "\n?" + CHAPTER_MARK)
+
+
+def header_sections(text: Column, stem_headers: bool = False, min_chars: int = 100) -> Column:
+    """Sections of more than ``min_chars`` characters opened by header lines (``left_out`` has the rest).
+
+    Headers that set a chapter and those that do not get different marks, so splitting twice
+    gives each section the chapter of the block it lies in, with no carrying over lines.
+    """
     def block(body: Column, i: Column) -> Column:
         chapter = F.when(i > 0, chapter_key(_first_line(body)))
 
@@ -100,13 +105,16 @@ def header_sections(text: Column, stem_headers: bool = False) -> Column:
 
         return F.transform(F.split(body, "\n?" + ITEM_MARK), section)
 
-    blocks = F.split(F.array_join(F.transform(lines, marked), "\n"), "\n?" + CHAPTER_MARK)
-    return _longer(F.flatten(F.transform(blocks, block)), 100)
+    return _longer(F.flatten(F.transform(_header_blocks(text, stem_headers), block)), min_chars)
+
+
+def _lesson_pieces(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, f"(?iu){LESSON}", CHAPTER_MARK + "$0"), CHAPTER_MARK)
 
 
-def lesson_sections(text: Column) -> Column:
+def lesson_sections(text: Column, min_chars: int = 50) -> Column:
     """Sections that start at lesson markers anywhere in a line and end at the next marker."""
-    pieces = F.split(F.regexp_replace(text, f"(?iu){LESSON}", CHAPTER_MARK + "$0"), CHAPTER_MARK)
+    pieces = _lesson_pieces(text)
 
     def section(piece: Column) -> Column:
         topic = _topic(F.regexp_extract(piece, f"(?iu)^{LESSON}", 2))
@@ -114,10 +122,10 @@ def lesson_sections(text: Column) -> Column:
         content = tx.strip(F.regexp_replace(tx.strip(piece), r"\n—\s*\z", ""))
         return make_section(F.concat(F.lit("Chủ đề: "), topic), F.concat(F.lit("Bài "), number, F.lit(". "), topic), content)
 
-    return _longer(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), section), 50)
+    return _longer(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), section), min_chars)
 
 
-def numbered_sections(text: Column) -> Column:
+def numbered_sections(text: Column, min_chars: int = 50) -> Column:
     """Numbered paragraphs: the quoted form if there is any, else number line and free text. First of equal numbers."""
     pieces = F.split(text, r"(?<![^\n])(?=\d{1,3}\.\s)")
     quoted = r"(?s)^(\d{1,3})\.\s*\n?[“\"'](.+)[”\"']\s*\z"
@@ -138,7 +146,7 @@ def numbered_sections(text: Column) -> Column:
             head = F.when(F.length(body) > 60, F.concat(F.substring(body, 1, 60), F.lit("..."))).otherwise(body)
             return make_section(label, F.concat(label, F.lit(": "), head), body)
 
-        return _longer(F.transform(firsts, section), 50)
+        return _longer(F.transform(firsts, section), min_chars)
 
     return tx.bind(matches(quoted), lambda q: F.when(F.size(q) > 0, sections(q)).otherwise(
         tx.bind(matches(free), sections)))
@@ -336,6 +344,42 @@ def split_sections(docs: DataFrame, boundaries: str | None = None, stem_headers:
     return explode_sections(sectioned(docs, boundaries, stem_headers))
 
 
+def left_out(docs: DataFrame, boundaries: str | None = None, stem_headers: bool = False) -> DataFrame:
+    """What ``split_sections`` has no section for: ``doc_id``, ``pos``, ``reason``, ``title``, ``content``, ``char_count``.
+
+    ``short`` for pieces below the size rule of the form that the document was split by, ``before_first_header`` for
+    the text before the first header or lesson.
+    """
+    ready = docs.select("doc_id", *([boundaries] if boundaries else []), tx.prepared(F.col("text")).alias("text"))
+    text = F.col("text")
+
+    def rest(sections: Column, most: int) -> Column:
+        short = F.filter(sections, lambda s: s["char_count"] <= most)
+        return F.transform(short, lambda s: F.struct(
+            F.lit("short").alias("reason"), s["title"].alias("title"), s["content"].alias("content")))
+
+    def lead(content: Column) -> Column:
+        one = F.struct(F.lit("before_first_header").alias("reason"), F.lit(None).cast("string").alias("title"),
+                       tx.strip(content).alias("content"))
+        return F.filter(F.array(one), lambda s: s["content"] != "")
+
+    def last() -> Column:
+        fixed = rest(fixed_chunks(text, min_chars=0), 300)
+        if not boundaries:
+            return fixed
+        b = F.col(boundaries)
+        return F.when(F.size(b) > 1, rest(page_chunks(text, b, min_chars=0), 200)).otherwise(fixed)
+
+    before = F.get(F.split(F.get(_header_blocks(text, stem_headers), F.lit(0)), "\n?" + ITEM_MARK), F.lit(0))
+    by_header = F.concat(lead(before), rest(header_sections(text, stem_headers, 0), 100))
+    by_lesson = F.concat(lead(F.get(_lesson_pieces(text), F.lit(0))), rest(lesson_sections(text, 0), 50))
+    pieces = (F.when(F.size(header_sections(text, stem_headers)) > 0, by_header)
+              .when(F.size(lesson_sections(text)) > 0, by_lesson)
+              .when(F.size(numbered_sections(text)) > 0, rest(numbered_sections(text, 0), 50)).otherwise(last()))
+    rows = explode_rows(ready.select("doc_id", pieces.alias("pieces")), "pieces", ("doc_id",), "pos")
+    return rows.select("doc_id", "pos", "s.*", F.length("s.content").alias("char_count"))
+
+
 def explode_chapters(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per chapter with the text of its sections in order; no shuffle."""
     named = F.transform("sections", lambda s: F.struct(
