@@ -156,8 +156,23 @@ def ordered_edits(edits, n_chars: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def merged(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Overlapping matches (start, end, mark) as one from the least start to the greatest end, with the longest's mark."""
+    out: list[tuple[int, int, str]] = []
+    longest = 0
+    for start, end, mark in sorted(found):
+        if out and start < out[-1][1]:
+            a, b, m = out[-1]
+            out[-1] = a, max(b, end), mark if end - start > longest else m
+            longest = max(longest, end - start)
+        else:
+            out.append((start, end, mark))
+            longest = end - start
+    return out
+
+
 def redactions(docs: DataFrame) -> DataFrame:
-    """Add ``edits``: replacements of mail and IP addresses, long numbers and long secrets by a mark."""
+    """Add ``edits``: replacements of mail and IP addresses, long numbers and long secrets by a mark, none overlapping."""
     find = [(regex.compile(p), mark) for p, mark in REDACTIONS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +182,7 @@ def redactions(docs: DataFrame) -> DataFrame:
                 found: list[tuple[int, int, str]] = []
                 for pattern, mark in find:
                     found += [(m.start(), m.end(), mark) for m in pattern.finditer(text or "")]
-                rows.append([{"start": a, "length": b - a, "text": mark} for a, b, mark in sorted(found)])
+                rows.append([{"start": a, "length": b - a, "text": mark} for a, b, mark in merged(found)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kind)],
                                              names=["doc_id", "text", "edits"])
 
