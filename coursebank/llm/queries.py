@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import byte_bpe, common, jaccard, lines, mixing, near_vectors, quality, repeats, token_counts, token_files, toxicity
+from coursebank.llm import (byte_bpe, common, hard_negatives, jaccard, lines, mixing, near_vectors, quality, repeats, tiles,
+                            token_counts, token_files, top_search, toxicity)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -167,3 +168,52 @@ def site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return near_vectors.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_top_search", f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND {GOOD}
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+""")
+def top_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products among all embeddings for each 20th."""
+    rows = common.table(spark, sf_dir, "embeddings").where(tiles.finite(F.col("embedding")))
+    rows = rows.select("vec_id", tiles.whole(F.col("embedding"), 64).alias("v"))
+    return top_search.top_search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+@query("op12_hard_negatives", f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {GOOD}
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3
+""")
+def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives between 50 and 95 percent of the positives' scores for each 50th embedding."""
+    rows = common.table(spark, sf_dir, "embeddings").where(tiles.finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), tiles.whole(F.col("embedding"), 256).alias("v"))
+    return hard_negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
