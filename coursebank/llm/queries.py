@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebank.llm import (byte_bpe, common, hard_negatives, jaccard, lines, mixing, near_vectors, quality, repeats, tiles,
-                            token_counts, token_files, top_search, toxicity)
+from coursebank.llm import (byte_bpe, common, hard_negatives, jaccard, lines, mixing, near_vectors, prefix_trie, quality, repeats,
+                            tiles, token_counts, token_files, top_search, toxicity)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -217,3 +217,47 @@ def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select("vec_id", label.alias("label"), tiles.whole(F.col("embedding"), 256).alias("v"))
     return hard_negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
+# CRC-32 of the decimal id, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)))"""
+
+
+@query("op13_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' ||
+      coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, list(x ORDER BY r) AS own FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 20 AS base, {CRC} % 4 AS h FROM c),
+b AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(c.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS s
+  FROM h LEFT JOIN c ON c.conv_id = h.base
+), p AS (SELECT conv_id, unnest(range(len(s) + 1)) AS depth, s FROM b),
+q AS (SELECT conv_id, depth, CASE WHEN depth = 0 THEN [] ELSE list_slice(s, 1, depth) END AS pre, len(s) AS n FROM p),
+m AS (SELECT conv_id, depth, n, pre, min(conv_id) OVER (PARTITION BY depth, pre) AS owner FROM q),
+g AS (
+  SELECT owner, depth, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+  FROM m GROUP BY owner, depth
+), o AS (
+  SELECT g.*, up.owner AS parent, coalesce(len(regexp_extract_all(m.pre[g.depth].text, '[^\x20\x09-\x0D]+')), 0) AS words
+  FROM g JOIN m ON m.conv_id = g.owner AND m.depth = g.depth
+  LEFT JOIN m up ON up.conv_id = g.owner AND up.depth = g.depth - 1
+), k AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM o WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT o.*, coalesce(k.n_children, 0) AS n_children FROM o LEFT JOIN k USING (owner, depth)),
+down AS (
+  SELECT m.owner, m.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+  FROM x JOIN m ON m.conv_id = x.owner AND m.depth <= x.depth GROUP BY ALL
+)
+SELECT owner AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM x JOIN down USING (owner, depth)
+""")
+def prefix_trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each rebuilt on the first turns of the one it belongs to."""
+    turns = common.staged(prefix_trie.turn_rows(common.table(spark, sf_dir, "conversations")), "turns")
+    convs = common.staged(turns.select("conv").distinct(), "conversations")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(turns, convs), convs)
