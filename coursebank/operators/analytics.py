@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coursebank import lexicons as lx
 from coursebank.functions.labels import bloom_short, normalise_bloom
 from coursebank.operators.relational import hide_algorithms
+from coursebank.operators.ledger import running_balance
 
 
 def dashboard(users: DataFrame, qa: DataFrame, txn: DataFrame, documents: DataFrame, as_of: str) -> DataFrame:
@@ -121,11 +122,18 @@ def unread_count(feedbacks: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(~F.coalesce("is_read", F.lit(False))).alias("unread"))
 
 
-def credit_balance(users: DataFrame, txn: DataFrame, qa: DataFrame) -> DataFrame:
+def credit_balance(users: DataFrame, txn: DataFrame, qa: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
     """Start credits + credits of paid orders - questions produced, per user.
 
-    Each movement table is reduced to one row per user before the union.
+    Each movement table is reduced to one row per user before the union. With ``adjustments`` (user_id, ts, seq, delta),
+    which never leave a negative balance, the order of times counts: orders act when paid, questions at their
+    ``created_at``.
     """
+    if adjustments is not None:
+        paid = txn.where(F.col("status") == "paid").select("user_id", F.col("paid_at").alias("ts"), F.col("credits_added").alias("delta"))
+        used = qa.select("user_id", F.col("created_at").alias("ts"), F.lit(-1).alias("delta"))
+        start = users.select(F.col("id").alias("user_id"), "credits")
+        return running_balance(start, [paid, used], adjustments).select("user_id", "balance")
     paid = txn.where(F.col("status") == "paid").groupBy("user_id").agg(F.sum("credits_added").alias("amount"))
     used = qa.groupBy("user_id").agg((-F.count("*")).alias("amount"))
     start = users.select(F.col("id").alias("user_id"), F.col("credits").alias("amount"))

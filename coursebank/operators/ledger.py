@@ -25,13 +25,19 @@ def _orders(txn: DataFrame) -> DataFrame:
                       c("status").alias("old_status"))
 
 
+def _join_known(rows: DataFrame, other: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left join on ``key``. Rows without one match nothing; they are dealt out by ``row_id`` instead of sharing a task."""
+    at = F.coalesce(c(key), F.concat(F.lit("\x00"), c(row_id).cast("string")))
+    return rows.withColumn("join_key", at).join(other.withColumnRenamed(key, "join_key"), "join_key", "left").drop("join_key")
+
+
 def match_transfers(notes: DataFrame, txn: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Notes (note_id, ts, content, amount) with their order and whether the amount fits.
 
     The amount is tested only when one is given.
     """
     read = notes.withColumn("code", rp.order_code(c("content")))
-    rows = read.join(_orders(txn), "code", "left")
+    rows = _join_known(read, _orders(txn), "code", "note_id")
     fits = (c("amount") <= 0) | (F.abs(c("amount") - c("expected")) <= tolerance)
     return rows.withColumn("amount_fits", F.coalesce(fits, F.lit(False)))
 
@@ -45,7 +51,7 @@ def settle_transfers(notes: DataFrame, txn: DataFrame, tolerance: int = TOLERANC
     open_order = c("old_status") != "paid"
     winners = rows.where(c("amount_fits") & open_order).groupBy("code").agg(
         F.min(F.struct("ts", "note_id")).alias("winner"))
-    rows = rows.join(winners, "code", "left").withColumn("me", F.struct("ts", "note_id"))
+    rows = _join_known(rows, winners, "code", "note_id").withColumn("me", F.struct("ts", "note_id"))
     blank = c("content").isNull() | (c("content") == "")
     outcome = (
         F.when(blank, "missing_content").when(c("code").isNull(), "no_code")
@@ -75,12 +81,12 @@ def gateway_notices(notices: DataFrame, txn: DataFrame, tolerance: int = TOLERAN
     97 bad signature, 01 unknown order, 02 already paid, 04 wrong amount, else 00; of the 00 ones a
     response other than 00 marks the order failed.
     """
-    rows = notices.join(_orders(txn), "code", "left")
+    rows = _join_known(notices, _orders(txn), "code", "notice_id")
     fits = F.abs(c("amount") - c("expected")) <= tolerance
     open_order = c("old_status") != "paid"
     pays = c("signed") & F.coalesce(fits & open_order, F.lit(False)) & (c("response") == "00")
     winners = rows.where(pays).groupBy("code").agg(F.min(F.struct("ts", "notice_id")).alias("winner"))
-    rows = rows.join(winners, "code", "left").withColumn("me", F.struct("ts", "notice_id"))
+    rows = _join_known(rows, winners, "code", "notice_id").withColumn("me", F.struct("ts", "notice_id"))
     answer = (
         F.when(~c("signed"), "97").when(c("old_status").isNull(), "01")
         .when(~open_order | (c("winner") < c("me")), "02").when(~fits, "04").otherwise("00")
@@ -92,13 +98,14 @@ def gateway_notices(notices: DataFrame, txn: DataFrame, tolerance: int = TOLERAN
 
 def gateway_returns(returns: DataFrame, txn: DataFrame) -> DataFrame:
     """Effect of each return page (notice_id, ts, code, response, signed): it settles without an amount test."""
-    rows = returns.join(_orders(txn), "code", "left")
+    rows = _join_known(returns, _orders(txn), "code", "notice_id")
     open_order = c("old_status") != "paid"
     pays = c("signed") & F.coalesce(open_order, F.lit(False)) & (c("response") == "00")
     winners = rows.where(pays).groupBy("code").agg(F.min(F.struct("ts", "notice_id")).alias("winner"))
     first_fail = rows.where(c("signed") & (c("old_status") == "pending") & (c("response") != "00")).groupBy("code").agg(
         F.min(F.struct("ts", "notice_id")).alias("failer"))
-    rows = rows.join(winners, "code", "left").join(first_fail, "code", "left").withColumn("me", F.struct("ts", "notice_id"))
+    rows = _join_known(_join_known(rows, winners, "code", "notice_id"), first_fail, "code", "notice_id")
+    rows = rows.withColumn("me", F.struct("ts", "notice_id"))
     paid_before = ~open_order | F.coalesce(c("winner") < c("me"), F.lit(False))
     effect = (
         F.when(~c("signed"), "bad_signature").when(c("old_status").isNull(), "not_found")
@@ -136,25 +143,45 @@ def replay_orders(events: DataFrame) -> DataFrame:
     return rows.select("order_code", status.alias("status"), c("pay.ts").alias("paid_at"), c("pay.kind").alias("paid_by"))
 
 
-def adjust_credits(users: DataFrame, deltas: DataFrame, block: str = "DAY") -> DataFrame:
-    """Credits after ordered changes ``max(0, credits + delta)``, for deltas (user_id, ts, seq, delta).
+def running_balance(start: DataFrame, changes: list[DataFrame], adjustments: DataFrame, block: str = "DAY") -> DataFrame:
+    """Balance of each user after plain changes and clamped adjustments, in the order of their times.
 
-    Clamped additions compose: after n changes the balance is ``S_n + max(start, -min S_i)`` with the
-    running sums S_i. So it needs a sum and a smallest running sum, both taken per block of time and
-    then over the blocks.
+    ``start`` has user_id and credits, ``changes`` user_id, ts and delta (added as they are), ``adjustments`` user_id, ts,
+    seq and delta (``max(0, balance + delta)``). A change is the map ``x -> max(x + sum, floor)`` with no floor where it
+    isn't clamped, and such maps compose: after all of them the balance is ``S + max(start, -min S_i)``, S the sum of all
+    and S_i the running sum up to each clamped one. So most rows only need sums: changes and adjustments are summed per
+    user and block of time, with map-side combination, and only blocks that hold an adjustment are put in order. Changes
+    of the same time come before adjustments. Rows without a user are left out, those without a time come first, in a
+    block of their own; a user without a start has 0.
     """
-    rows = deltas.withColumn("block", F.date_trunc(block, c("ts")))
-    inner = W.partitionBy("user_id", "block").orderBy("ts", "seq")
-    run = rows.withColumn("run", F.sum("delta").over(inner))
-    blocks = run.groupBy("user_id", "block").agg(F.sum("delta").alias("total"), F.min("run").alias("low"))
+    plain = [x.select("user_id", c("ts").cast("timestamp_ntz").alias("ts"), c("delta").cast("long").alias("delta")) for x in changes]
+    clamped = adjustments.where("user_id IS NOT NULL").select(
+        "user_id", c("ts").cast("timestamp_ntz").alias("ts"), c("seq").cast("long").alias("seq"), c("delta").cast("long").alias("delta"))
+    both = clamped.withColumn("floor", F.lit(True))
+    for x in plain:
+        both = both.unionByName(x.where("user_id IS NOT NULL").withColumns({"seq": F.lit(None).cast("long"), "floor": F.lit(False)}))
+    both = both.where("delta IS NOT NULL").withColumn("block", F.date_trunc(block, "ts"))
+    sums = both.groupBy("user_id", "block").agg(F.sum("delta").alias("total"))
+    marked = clamped.where("delta IS NOT NULL").select(
+        c("user_id").alias("u"), F.date_trunc(block, "ts").alias("b")).distinct()
+    held = both.join(marked, (c("user_id") == c("u")) & c("block").eqNullSafe(c("b")), "left_semi")
+    inner = W.partitionBy("user_id", "block").orderBy("ts", "floor", "seq").rowsBetween(W.unboundedPreceding, 0)
+    lows = held.withColumn("run", F.sum("delta").over(inner)).where("floor").groupBy("user_id", "block").agg(F.min("run").alias("low"))
+    lows = lows.select(c("user_id").alias("u"), c("block").alias("b"), "low")
+    blocks = sums.join(lows, (c("user_id") == c("u")) & c("block").eqNullSafe(c("b")), "left").drop("u", "b")
     outer = W.partitionBy("user_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     based = blocks.withColumn("base", F.coalesce(F.sum("total").over(outer), F.lit(0)))
-    per_user = based.groupBy("user_id").agg(
-        F.sum("total").alias("total"), F.min(c("base") + c("low")).alias("low"), F.count("*").alias("n_blocks"))
+    per_user = based.groupBy("user_id").agg(F.sum("total").alias("total"), F.min(c("base") + c("low")).alias("low"))
+    out = start.select("user_id", c("credits").cast("long").alias("credits")).join(per_user, "user_id", "full")
+    credits, total = F.coalesce("credits", F.lit(0)), F.coalesce("total", F.lit(0))
+    return out.select("user_id", credits.alias("credits"), (total + F.greatest(credits, -c("low"))).alias("balance"))
+
+
+def adjust_credits(users: DataFrame, deltas: DataFrame, block: str = "DAY") -> DataFrame:
+    """Credits after ordered changes ``max(0, credits + delta)``, for deltas (user_id, ts, seq, delta)."""
     start = users.select(c("id").alias("user_id"), "credits")
-    out = start.join(per_user, "user_id", "left")
-    clamped = c("total") + F.greatest(c("credits"), -c("low"))
-    return out.select("user_id", "credits", F.coalesce(clamped, c("credits")).alias("balance"))
+    known = running_balance(start, [], deltas, block)
+    return known.join(start.select("user_id"), "user_id", "left_semi")
 
 
 ADMITTED = "job_id long, user_id long, requested long, charge long, balance_before long, admitted boolean"
@@ -240,11 +267,13 @@ def deletion_requests(events: DataFrame, cooldown: int = 15, ttl_hours: int = 48
     per_mail = W.partitionBy("email").orderBy("ts", "event_id")
     starts = F.coalesce(c("ts") > F.lag("ts").over(per_mail) + gap, F.lit(True)).cast("int")
     asks = asks.withColumn("session", F.sum(starts).over(per_mail))
-    first_confirm = rows.where(c("kind") == "confirm").groupBy("request_id").agg(F.min("ts").alias("confirm_ts"))
-    asks = asks.drop("request_id").join(first_confirm.withColumnRenamed("request_id", "event_id"), "event_id", "left")
     limit = F.expr(f"INTERVAL {ttl_hours} HOUR")
-    good = c("confirm_ts") <= c("ts") + limit
-    asks = asks.withColumn("confirmed_at", F.when(good & (c("confirm_ts") >= c("ts")), c("confirm_ts")))
+    # The first confirmation within the life of its request; one before the request finds nothing.
+    confirms = rows.where(c("kind") == "confirm").select(c("request_id").alias("event_id"), c("ts").alias("confirm_ts"))
+    in_time = confirms.join(asks.select("event_id", "ts"), "event_id").where(
+        (c("confirm_ts") >= c("ts")) & (c("confirm_ts") <= c("ts") + limit))
+    first = in_time.groupBy("event_id").agg(F.min("confirm_ts").alias("confirmed_at"))
+    asks = asks.drop("request_id").join(first, "event_id", "left")
     folded = asks.groupBy("email", "session").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "confirmed_at"))).alias("es"))
     kept = "array<struct<event_id:bigint,ts:timestamp_ntz,confirmed_at:timestamp_ntz,accepted:boolean>>"
@@ -270,7 +299,7 @@ def job_status(events: DataFrame, as_of: str, keep: int = 10) -> DataFrame:
     """Latest progress of each job (job_id, ts, seq, percent, phase, done); finished ones older than ``keep`` minutes drop out."""
     latest = events.groupBy("job_id").agg(F.max_by(F.struct("ts", "percent", "phase", "done"), F.struct("ts", "seq")).alias("s"))
     rows = latest.select("job_id", "s.*")
-    return rows.where(~c("done") | (c("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {keep} MINUTE")))
+    return rows.where(~F.coalesce("done", F.lit(False)) | (c("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {keep} MINUTE")))
 
 
 def windowed_revenue(payments: DataFrame, width: str, ts: str = "ts", amount: str = "amount") -> DataFrame:

@@ -171,16 +171,20 @@ def deletion_events(spark, d):
         "CASE WHEN event_type = 'view' THEN 'confirm' ELSE 'request' END AS kind", "event_id - 1 AS request_id")
 
 
-@query("k8_deletion_requests", """
-WITH ev AS (SELECT event_id, ts, lower('User' || (user_id % 20) || '@Example.com') AS email, CASE WHEN event_type = 'view' THEN 'confirm' ELSE 'request' END AS kind, event_id - 1 AS request_id
-  FROM events WHERE event_type IN ('signup', 'error', 'view')),
-cf AS (SELECT request_id, min(ts) AS cts FROM ev WHERE kind = 'confirm' GROUP BY 1),
-rq AS (SELECT ev.event_id, ts, email, CASE WHEN cts >= ts AND cts <= ts + INTERVAL 48 HOUR THEN cts END AS cat FROM ev LEFT JOIN cf ON cf.request_id = ev.event_id WHERE kind = 'request'),
+# Decisions over ``ev`` in the order of times: a fold per address whose state is the last accepted request.
+DELETION_FOLD = """rq AS (SELECT r.event_id, r.ts, r.email, min(k.ts) AS cat FROM ev r LEFT JOIN ev k ON k.kind = 'confirm' AND k.request_id = r.event_id AND k.ts BETWEEN r.ts AND r.ts + INTERVAL 48 HOUR
+  WHERE r.kind = 'request' GROUP BY ALL),
 l AS (SELECT email, list({'id': event_id, 'ts': ts, 'cat': cat} ORDER BY ts, event_id) AS es FROM rq GROUP BY 1),
 f AS (SELECT email, list_reduce(es, lambda a, e: CASE WHEN a.lts >= e.ts - INTERVAL 15 MINUTE AND (a.lcat IS NULL OR a.lcat > e.ts) THEN {'lts': a.lts, 'lcat': a.lcat, 'ids': a.ids}
     ELSE {'lts': e.ts, 'lcat': e.cat, 'ids': list_append(a.ids, e.id)} END, {'lts': NULL::TIMESTAMP, 'lcat': NULL::TIMESTAMP, 'ids': []::BIGINT[]}).ids AS ids FROM l)
 SELECT event_id, email, ts AS created_at, list_contains(ids, event_id) AS accepted, CASE WHEN list_contains(ids, event_id) THEN ts + INTERVAL 48 HOUR END AS expires_at,
-  CASE WHEN list_contains(ids, event_id) THEN cat END AS confirmed_at FROM rq JOIN f USING (email)""")
+  CASE WHEN list_contains(ids, event_id) THEN cat END AS confirmed_at FROM rq JOIN f USING (email)"""
+
+
+@query("k8_deletion_requests", f"""
+WITH ev AS (SELECT event_id, ts, lower('User' || (user_id % 20) || '@Example.com') AS email, CASE WHEN event_type = 'view' THEN 'confirm' ELSE 'request' END AS kind, event_id - 1 AS request_id
+  FROM events WHERE event_type IN ('signup', 'error', 'view')),
+{DELETION_FOLD}""")
 def k8_deletion_requests(spark, d):
     return lg.deletion_requests(deletion_events(spark, d))
 
@@ -189,7 +193,7 @@ JOB_COLS = ("event_id % 700 AS job_id", "ts", "event_id AS seq", "CAST(event_id
 
 
 @query("k9_job_status", f"""WITH j AS (SELECT {", ".join(JOB_COLS)} FROM events), l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1)
-SELECT job_id, ts, percent, phase, done FROM l WHERE NOT done OR ts >= TIMESTAMP '2024-01-30 23:50:00'""")
+SELECT job_id, ts, percent, phase, done FROM l WHERE NOT coalesce(done, false) OR ts >= TIMESTAMP '2024-01-30 23:50:00'""")
 def k9_job_status(spark, d):
     return lg.job_status(load(spark, d, "events").selectExpr(*JOB_COLS), "2024-01-31 00:00:00")
 

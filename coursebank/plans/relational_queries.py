@@ -10,6 +10,7 @@ from coursebank.operators import analytics as an
 from coursebank.operators import relational as rel
 from coursebank.plans import fixtures as fx
 from coursebank.plans.registry import query
+from coursebank.sources.tables import load
 from coursebank.sources import tables as tb
 
 AT = f"TIMESTAMP '{fx.AS_OF}'"
@@ -329,13 +330,25 @@ def d17_unread(spark, d):
     return an.unread_count(fx.feedbacks(spark, d))
 
 
+# Questions count on the day their line is shipped; adjustments are events moved back by 25 years, among the orders.
+_ADJUST = "user_id, ts - INTERVAL {n} DAY{s} AS ts, event_id AS seq, CAST(event_id % 61 - 40 AS BIGINT) AS delta"
+
+
 @query("d20_credit_balance", f"""
-WITH {fx.USERS_SQL}, {fx.QA_SQL}, {fx.TXN_SQL},
-m AS (SELECT id AS user_id, credits AS amount FROM users UNION ALL SELECT user_id, credits_added FROM txn WHERE status = 'paid'
-  UNION ALL SELECT user_id, -1 FROM qa)
-SELECT user_id, CAST(sum(amount) AS BIGINT) AS balance FROM m GROUP BY 1""")
+WITH {fx.USERS_SQL}, {fx.TXN_SQL},
+m AS (SELECT user_id, paid_at AS ts, false AS floor, NULL::BIGINT AS seq, credits_added AS delta FROM txn WHERE status = 'paid'
+  UNION ALL SELECT o_custkey, l_shipdate, false, NULL, -1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT user_id, ts, true, seq, delta FROM (SELECT {_ADJUST.format(n=9131, s="")} FROM events)),
+l AS (SELECT user_id, list({{'floor': floor, 'delta': delta}} ORDER BY ts NULLS FIRST, floor, seq) AS ms FROM m GROUP BY 1)
+SELECT coalesce(id, user_id) AS user_id, CAST(CASE WHEN ms IS NULL THEN credits ELSE list_reduce(ms, lambda a, x: CASE WHEN x.floor
+  THEN {{'floor': true, 'delta': greatest(0, a.delta + x.delta)}} ELSE {{'floor': true, 'delta': a.delta + x.delta}} END,
+  {{'floor': true, 'delta': coalesce(credits, 0)}}).delta END AS BIGINT) AS balance
+FROM users FULL JOIN l ON l.user_id = id""")
 def d20_credit_balance(spark, d):
-    return an.credit_balance(fx.users(spark, d), fx.transactions(spark, d), fx.qa_results(spark, d))
+    lines, orders = load(spark, d, "lineitem"), load(spark, d, "orders")
+    made = lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr("o_custkey AS user_id", "l_shipdate AS created_at")
+    adjusted = load(spark, d, "events").selectExpr(*fx._exprs(_ADJUST.format(n="'9131'", s="")))
+    return an.credit_balance(fx.users(spark, d), fx.transactions(spark, d), made, adjusted)
 
 
 @query("e1_visible_batches", f"""

@@ -19,6 +19,7 @@ from coursebank.sources import pages as pg
 from coursebank.sources import sinks
 from coursebank.sources.tables import load
 from coursebank.streaming import ledger_stream as ls
+from coursebank.streaming import stateful as sl
 
 c = F.col
 
@@ -68,24 +69,49 @@ def k4_expiry_stream(spark, d):
     return ls.run_available(late, shared_folder(spark, "expired"), "expired").drop("batch_no")
 
 
-@query("k9_job_status_stream", f"""WITH j AS (SELECT {", ".join(lq.JOB_COLS)} FROM events)
-SELECT job_id, ts, percent, phase, done FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1""")
+@query("k9_job_status_stream", f"""WITH j AS (SELECT {", ".join(lq.JOB_COLS)} FROM events), l AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1)
+SELECT job_id, ts, percent, phase, done FROM l WHERE NOT coalesce(done, false) OR ts >= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 70 MINUTE FROM j)""")
 def k9_job_status_stream(spark, d):
-    progress = ls.job_progress(ls.read_events(spark, d).selectExpr(*lq.JOB_COLS))
-    updates = ls.run_available(progress, shared_folder(spark, "jobs"), "jobs", "update")
-    return ls.latest_rows(updates, ["job_id"])
+    board = sl.job_board(ls.read_events(spark, d).selectExpr(*lq.JOB_COLS))
+    return sl.shown_jobs(ls.run_available(board, shared_folder(spark, "jobs"), "jobs", "update"))
 
 
-@query("k8_deletion_stream", """
-WITH rq AS (SELECT event_id, ts, lower('User' || (user_id % 20) || '@Example.com') AS email FROM events WHERE event_type IN ('signup', 'error')),
-l AS (SELECT email, list({'id': event_id, 'ts': ts} ORDER BY ts, event_id) AS es FROM rq GROUP BY 1),
-f AS (SELECT email, list_reduce(es, lambda a, e: CASE WHEN a.lts >= e.ts - INTERVAL 15 MINUTE THEN a ELSE {'lts': e.ts, 'ids': list_append(a.ids, e.id)} END,
-    {'lts': NULL::TIMESTAMP, 'ids': []::BIGINT[]}).ids AS ids FROM l)
-SELECT event_id, email, list_contains(ids, event_id) AS accepted, ts AS created_at, CASE WHEN list_contains(ids, event_id) THEN ts + INTERVAL 48 HOUR END AS expires_at FROM rq JOIN f USING (email)""")
+# A confirmation belongs to the address of the request it names. Decided is what the watermark, an hour behind, has passed.
+@query("k8_deletion_stream", f"""
+WITH rq0 AS (SELECT event_id, ts, lower('User' || (user_id % 20) || '@Example.com') AS email FROM events WHERE event_type IN ('signup', 'error')),
+ev0 AS (SELECT event_id, ts, email, 'request' AS kind, NULL::BIGINT AS request_id FROM rq0
+  UNION ALL SELECT e.event_id, e.ts, r.email, 'confirm', e.event_id - 1 FROM events e JOIN rq0 r ON r.event_id = e.event_id - 1 WHERE event_type = 'view'),
+ev AS (SELECT * FROM ev0 WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM ev0)),
+{lq.DELETION_FOLD}""")
 def k8_deletion_stream(spark, d):
-    asks = ls.read_events(spark, d).where("event_type IN ('signup', 'error')").selectExpr(
-        "event_id", "ts", "concat('User', user_id % 20, '@Example.com ') AS email")
-    return ls.run_available(ls.deletion_stream(asks), shared_folder(spark, "deletion"), "deletion").drop("batch_no")
+    who = "concat('User', user_id % 20, '@Example.com ')"
+    asked = load(spark, d, "events").where("event_type IN ('signup', 'error')").selectExpr("event_id AS request_id", f"{who} AS asker")
+    events = ls.read_events(spark, d).where("event_type IN ('signup', 'error', 'view')").selectExpr(
+        "event_id", "ts", f"{who} AS own", "CASE WHEN event_type = 'view' THEN 'confirm' ELSE 'request' END AS kind",
+        "CASE WHEN event_type = 'view' THEN event_id - 1 END AS request_id").join(asked, "request_id", "left")
+    events = events.withColumn("email", F.when(c("kind") == "confirm", c("asker")).otherwise(c("own")))
+    updates = ls.run_available(sl.deletion_stream(events), shared_folder(spark, "deletion"), "deletion", "update")
+    return sl.latest_deletions(updates)
+
+
+# Notes arrive in four parts by time, but every 25th only with the last part.
+_ARRIVAL = "CASE WHEN note_id % 25 = 0 THEN 3 ELSE CAST(floor((day(ts) - 1) * 4 / 31) AS INT) END"
+
+
+@query("k1_reconciled", f"""WITH {lq.NOTES_SQL}, a AS (SELECT *, {_ARRIVAL} AS part FROM mm),
+marks AS (SELECT part, max(ts) AS latest FROM a GROUP BY part),
+z AS (SELECT a.*, coalesce(a.ts < (SELECT max(latest) FROM marks WHERE marks.part < a.part) - INTERVAL 60 MINUTE, false) AS late FROM a)
+SELECT code, any_value(user_id) AS user_id, any_value(credits_added) AS credits_added, min(ts) AS ts, arg_min(note_id, (ts, note_id)) AS note_id,
+  arg_min(late, (ts, note_id)) AS late FROM z WHERE fits AND old_status <> 'paid' GROUP BY code""")
+def k1_reconciled(spark, d):
+    txn, folder = fx.transactions(spark, d), shared_folder(spark, "reconciled")
+    notes = lq.notes(spark, d).withColumns({"part": F.expr(_ARRIVAL), "ts": c("ts").cast("timestamp")})
+    schema = "note_id BIGINT, ts TIMESTAMP, content STRING, amount DOUBLE"
+    for part in range(4):
+        notes.where(c("part") == part).drop("part").write.parquet(f"{folder}/arrived/part={part}")
+        arrived = spark.readStream.schema(schema).option("basePath", f"{folder}/arrived").parquet(f"{folder}/arrived/part=*")
+        ls.settle_on_time(arrived.select("note_id", "ts", "content", "amount"), txn, folder, "reconciled")
+    return ls.reconcile(spark, folder, txn)
 
 
 # --- sinks -----------------------------------------------------------------------------

@@ -101,3 +101,34 @@ def test_deletion_cooldown(spark):
     df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, email string, kind string, request_id bigint")
     got = {r.event_id: (r.accepted, r.confirmed_at) for r in lg.deletion_requests(df).collect()}
     assert got == {1: (True, None), 2: (False, None), 3: (False, None), 4: (True, None), 5: (True, at(31)), 7: (True, None)}
+
+
+def test_running_balance_equals_a_fold(spark):
+    rng, start, plain, clamped, want = random.Random(8), [], [], [], {}
+    for user in range(40):
+        credits, ops = rng.randint(0, 20), []
+        for i in range(rng.randint(0, 30)):
+            when = at(rng.choice([0, 5, 600, 1500, 1500, 3000, 9000]))
+            ops.append((when, rng.random() < 0.4, i, rng.randint(-15, 12)))
+        balance = credits
+        for when, floor, i, delta in sorted(ops):
+            balance = max(0, balance + delta) if floor else balance + delta
+            (clamped if floor else plain).append((user, when, i, delta))
+        want[user] = balance
+        start.append((user, credits))
+    plain += [(None, at(1), 0, 99), (99, at(0), 0, 7)]
+    want[99] = 7
+    schema = "user_id bigint, ts timestamp_ntz, seq bigint, delta bigint"
+    plain, clamped = (spark.createDataFrame(x, schema) for x in (plain, clamped))
+    parts = [plain.where("seq % 2 = 0"), plain.where("seq % 2 = 1").withColumn("extra", plain.seq)]
+    got = lg.running_balance(spark.createDataFrame(start, "user_id bigint, credits bigint"), parts, clamped).collect()
+    assert {r.user_id: r.balance for r in got} == want
+    none = lg.running_balance(spark.createDataFrame(start, "user_id bigint, credits bigint"), [], clamped.where("false")).collect()
+    assert {r.user_id: r.balance for r in none} == dict(start)
+
+
+def test_adjustments_without_a_time_come_first(spark):
+    schema = "user_id bigint, ts timestamp_ntz, seq bigint, delta bigint"
+    changes = spark.createDataFrame([(1, None, 1, -50), (1, at(0), 2, 4), (1, at(0), 3, None)], schema)
+    got = lg.running_balance(spark.createDataFrame([(1, 10)], "user_id bigint, credits bigint"), [], changes).first()
+    assert got.balance == 4
