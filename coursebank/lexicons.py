@@ -407,6 +407,7 @@ SNIPPET_CHARS = 4500
 STRUCTURE_CHARS = 3000
 STEM_CHARS, STEM_SIGNAL_CHARS = 2000, 3000
 BLEU_SENTENCES, BLEU_WORDS = 7, 200
+BLEU_SECTION_SENTENCES = 3
 
 # Rules that part two words run together; the flag says whether case is ignored.
 TITLE_SPLITS = (

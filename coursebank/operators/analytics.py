@@ -140,7 +140,7 @@ def credit_balance(users: DataFrame, txn: DataFrame, qa: DataFrame, adjustments:
     return start.unionByName(paid).unionByName(used).groupBy("user_id").agg(F.sum("amount").alias("balance"))
 
 
-def bleu_report(qa_eval: DataFrame) -> DataFrame:
+def bleu_report(qa_eval: DataFrame, digits: int = 4) -> DataFrame:
     """Mean scores and times per model, model x level, model x document, document x chapter, and overall."""
     keys = ("model", "bloom_short", "pdf", "source_chapter")
     view = qa_eval.groupingSets(
@@ -150,7 +150,7 @@ def bleu_report(qa_eval: DataFrame) -> DataFrame:
             "bleu4_ans_section": "bleu4_section", "process_time_s": "seconds"}
     return view.agg(
         F.grouping_id().cast("int").alias("grouping"), F.count("*").alias("n"),
-        *[F.round(F.avg(c), 4).alias(name) for c, name in mean.items()])
+        *[F.round(F.avg(c), digits).alias(name) for c, name in mean.items()])
 
 
 def bleu_matrix(qa_eval: DataFrame, metric: str, models: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from coursebank.operators import grounding as gr
 from coursebank.operators import planning as pl
 from coursebank.operators import relational as rel
 from coursebank.operators import structure as st
+from coursebank.functions import scoring as sc
 from coursebank.operators import scoring as ops
 from coursebank.plans import scoring_fixtures as sf
 from coursebank.plans import text_fixtures as tf
@@ -117,6 +118,79 @@ def j14_assignment(spark, d):
     return bank_rows(spark, d)
 
 
+# --- several outcomes a level -------------------------------------------------------------------
+
+
+def two_row_plan(spark, d):
+    """Two plan rows of each level per document, for its own outcome and the next one."""
+    rows = load(spark, d, "documents").select(
+        "doc_id", F.explode(F.array(*[F.lit(i) for i in range(1, 7)])).alias("level"), F.lit(0).alias("z"))
+    rows = rows.select("doc_id", "level", F.explode(F.array(F.lit(0), F.lit(1))).alias("item"))
+    return rows.select(
+        "doc_id", "level", "item", ((c("doc_id") + c("level") * (c("item") + 1)) % 4 + 1).cast("int").alias("count"),
+        F.lit(None).cast("double").alias("points"), sf.outcome_of(c("doc_id") + c("item")).alias("clo"))
+
+
+def outcome_candidates(spark, d):
+    """Sections of every level against both outcomes of their document (narrow rows), with stand-in verdicts."""
+    rows = st.sections_with_chapter_size(st.sectioned(tf.books(spark, d)))
+    rows = rows.withColumns({"ceiling": sc.section_ceiling(c("content")), "boilerplate": st.boilerplate(c("content"))})
+    rows = rows.withColumn("item", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumn("clo", sf.outcome_of(c("doc_id") + c("item")))
+    rows = rows.withColumn("clo_match", sc.clo_score(c("title"), c("content"), c("clo")))
+    rows = ops.gate_features(rows).drop("content", "title")
+    rows = rows.withColumn("size_chars", c("n_chars"))
+    tested = ops.feasibility(rows.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
+    tries = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda a: (c("doc_id") + c("pos") * 3 + c("level") * 5 + a) % 7 == 0)
+    return tested.select(
+        "doc_id", "pos", "level", "clo", "ceiling", "boilerplate", c("size_chars").alias("n_chars"), "clo_match",
+        (c("decision") == "pass").alias("feasible"), F.get(tries, F.lit(0)).alias("attempt"))
+
+
+# The walk of one target: a fold over its order, which the recursion rebuilds without the sections used so far.
+PLAN_ROWS_SQL = f"""{tf.SECTIONS_SQL}, twice AS (SELECT * FROM sections, (SELECT unnest([0, 1]) AS item)),
+{sf.gate_sql("twice", "item").replace("substring(content, 1, 8000)", "content")}, {sf.FEASIBLE_SQL},
+cx AS (SELECT doc_id, pos, level, trim(clo) AS clo, ok, n_chars, ceiling, clo_match, list_filter([1, 2, 3, 4, 5], lambda a: (doc_id + pos * 3 + level * 5 + a) % 7 = 0)[1] AS attempt,
+  CASE WHEN content = '' THEN 1 ELSE least(1.0, len(list_filter(string_split(lower(content), chr(10)), lambda l: {tf.sql_any('l', lx.BOILERPLATE_PHRASES)})) / 2.5) END AS plate FROM feasible),
+cy AS (SELECT *, {{'pos': pos, 'attempt': attempt, 'ok': ok, 'heavy': level IN (3, 4) AND plate > 0.72, 'enough': n_chars >= CASE WHEN level >= 2 THEN 150 ELSE 80 END}} AS x FROM cx),
+cz AS (SELECT doc_id, level, clo, list(x ORDER BY CASE WHEN ceiling = level THEN 0 ELSE 2 END, CASE WHEN level >= 3 THEN plate ELSE 0 END, pos) AS plain,
+  coalesce(list(x ORDER BY -clo_match, abs(ceiling - level), plate, pos) FILTER (clo <> '' AND clo_match >= 0.06), []) AS by_clo FROM cy GROUP BY ALL),
+pr AS (SELECT doc_id, level, item, CAST((doc_id + level * (item + 1)) % 4 + 1 AS INTEGER) AS n, trim({sf.quoted(sf.OUTCOMES)}[(doc_id + item) % {len(sf.OUTCOMES)} + 1]) AS clo
+  FROM documents, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS level), (SELECT unnest([0, 1]) AS item)),
+tg AS (SELECT doc_id, level, item, clo, CAST(unnest(range(1, n + 1)) + coalesce(sum(n) OVER (PARTITION BY doc_id, level ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS k FROM pr),
+walks AS (
+  SELECT doc_id, level, 0 AS k, []::INTEGER[] AS used, NULL::INTEGER AS pos, NULL::INTEGER AS attempt, NULL::VARCHAR AS why FROM pr WHERE item = 0
+  UNION ALL
+  SELECT doc_id, level, k, CASE WHEN w.pos IS NULL THEN used ELSE list_append(used, w.pos) END, w.pos, w.attempt,
+    CASE WHEN w.pos IS NOT NULL THEN NULL WHEN plain IS NULL THEN 'no_sections' WHEN len(o) = 0 THEN 'used_up' WHEN w.capped THEN 'cap' ELSE 'none_passed' END
+  FROM (SELECT *, list_reduce(o, lambda a, x: CASE WHEN NOT x.enough OR a.pos IS NOT NULL THEN a
+      WHEN x.heavy AND a.skipped < 20 AND a.tried < most - 2 THEN {{'skipped': a.skipped + 1, 'tried': a.tried, 'capped': a.capped, 'pos': a.pos, 'attempt': a.attempt}}
+      WHEN NOT x.ok THEN a WHEN a.tried >= most THEN {{'skipped': a.skipped, 'tried': a.tried, 'capped': true, 'pos': a.pos, 'attempt': a.attempt}}
+      ELSE {{'skipped': a.skipped, 'tried': a.tried + 1, 'capped': a.capped, 'pos': CASE WHEN x.attempt IS NOT NULL THEN CAST(x.pos AS INTEGER) END, 'attempt': CAST(x.attempt AS INTEGER)}} END,
+      {{'skipped': 0, 'tried': 0, 'capped': false, 'pos': NULL::INTEGER, 'attempt': NULL::INTEGER}}) AS w
+    FROM (SELECT *, CASE WHEN len(f) > 0 THEN f ELSE list_filter(plain, lambda x: NOT list_contains(used, x.pos)) END AS o
+      FROM (SELECT walks.doc_id, walks.level, tg.k, used, plain, list_filter(by_clo, lambda x: NOT list_contains(used, x.pos)) AS f,
+          CASE WHEN tg.clo <> '' THEN least(8, CASE walks.level {_CAPS} END) ELSE CASE walks.level {_CAPS} END END AS most
+        FROM walks JOIN tg ON tg.doc_id = walks.doc_id AND tg.level = walks.level AND tg.k = walks.k + 1
+        LEFT JOIN cz ON cz.doc_id = tg.doc_id AND cz.level = tg.level AND cz.clo = tg.clo))))
+SELECT doc_id, level, item, k, tg.clo, pos, attempt, why FROM tg JOIN walks USING (doc_id, level, k)"""
+
+
+def plan_rows_assigned(spark, d):
+    targets = pl.expand_plan(two_row_plan(spark, d)).withColumn("clo", F.trim("clo"))
+    return pl.assign_plan(outcome_candidates(spark, d), targets).select("doc_id", "level", "item", "k", "clo", "pos", "attempt", "why")
+
+
+@query("j14_plan_rows", "WITH RECURSIVE " + PLAN_ROWS_SQL)
+def j14_plan_rows(spark, d):
+    return plan_rows_assigned(spark, d)
+
+
+@query("j14_empty_targets", f"WITH a AS (WITH RECURSIVE {PLAN_ROWS_SQL}) SELECT level, coalesce(why, 'filled') AS outcome, count(*) AS n FROM a GROUP BY ALL")
+def j14_empty_targets(spark, d):
+    return plan_rows_assigned(spark, d).groupBy("level", F.coalesce("why", F.lit("filled")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("bank_plan")
 def bank_plan(spark, d):
     sections = st.split_sections(tf.books(spark, d))
@@ -179,7 +253,8 @@ dg AS (SELECT doc_id, unnest({GRAMS4}) AS gram FROM (SELECT doc_id, {sf.sql_cont
 s AS (SELECT item_id, doc_id, count(*) AS shared FROM pg JOIN dg USING (gram) GROUP BY ALL),
 n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_grams FROM pg GROUP BY 1),
 b AS (SELECT item_id, doc_id AS best_doc, shared, count(*) OVER (PARTITION BY item_id) AS n_sources FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1)
-SELECT item_id, best_doc, shared, n_grams, round(shared / n_grams, 4) AS share, n_sources FROM b JOIN n USING (item_id)""")
+SELECT item_id, best_doc, coalesce(shared, 0) AS shared, coalesce(n_grams, 0) AS n_grams, coalesce(round(shared / n_grams, 4), 0) AS share, coalesce(n_sources, 0) AS n_sources
+FROM benchmark LEFT JOIN b USING (item_id) LEFT JOIN n USING (item_id)""")
 def c16_corpus_attribution(spark, d):
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
     return gr.corpus_attribution(load(spark, d, "benchmark"), docs)
@@ -198,40 +273,76 @@ def _answers(spark, d):
 _WS = "list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> '')"
 _SENT = ("list_filter(list_transform(string_split(regexp_replace(content, '([.!?\\n])\\s+', '\\1' || chr(57344), 'g'), chr(57344)), lambda s: "
          + tf.sql_strip("s") + "), lambda s: length(s) >= 10)")
-BLEU_SQL = f"""{sf.QA_SQL}, {tf.SECTIONS_SQL},
-chapters AS (SELECT doc_id, coalesce(chapter, 'Nội dung') AS chapter, min(pos) AS first_pos, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM sections GROUP BY 1, 2),
-bp AS (SELECT p.doc_id, p.pair_id, chapter, first_pos, {_WS.format(x='answer')} AS hyp, content,
-    list_filter(list_distinct({_WS.format(x='answer')}), lambda w: NOT list_contains({tf.quoted(lx.BLEU_STOP_WORDS)}, w)) AS hw FROM pairs p JOIN chapters c ON p.doc_id = c.doc_id),
-bs AS (SELECT *, list_sort(list_transform({_SENT}, lambda s, i: {{'r': -len(list_intersect({_WS.format(x='s')}, hw)), 'i': i, 'ws': {_WS.format(x='s')}}}))[1:7] AS top FROM bp),
-br AS (SELECT doc_id, pair_id, chapter, first_pos, hyp, CASE WHEN len(flatten(list_transform(top, lambda t: t.ws))) > 0 THEN flatten(list_transform(top, lambda t: t.ws)) ELSE ({_WS.format(x='content')})[1:200] END AS ref FROM bs),
-bg AS (SELECT doc_id, pair_id, chapter, first_pos, n, unnest(list_transform(range(1, greatest(len(hyp) - n + 2, 1)), lambda i: array_to_string(hyp[i:i + n - 1], ' '))) AS g, 1 AS h, 0 AS r FROM br, (SELECT unnest([1, 2, 3, 4]) AS n)
-  UNION ALL SELECT doc_id, pair_id, chapter, first_pos, n, unnest(list_transform(range(1, greatest(len(ref) - n + 2, 1)), lambda i: array_to_string(ref[i:i + n - 1], ' '))), 0, 1 FROM br, (SELECT unnest([1, 2, 3, 4]) AS n)),
-bc AS (SELECT doc_id, pair_id, chapter, first_pos, n, g, sum(h) AS h, sum(r) AS r FROM bg GROUP BY ALL),
-bm AS (SELECT doc_id, pair_id, chapter, first_pos, n, sum(least(h, r)) AS m, sum(h) AS t FROM bc GROUP BY ALL),
-bl AS (SELECT doc_id, pair_id, chapter, first_pos, sum(m) FILTER (n = 1) AS m1, ln(coalesce(max(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1)) FILTER (n = 1), 0.1)) AS l1,
-  ln(coalesce(max(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1)) FILTER (n = 2), 0.1)) AS l2, ln(coalesce(max(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1)) FILTER (n = 3), 0.1)) AS l3,
-  ln(coalesce(max(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1)) FILTER (n = 4), 0.1)) AS l4 FROM bm GROUP BY ALL),
-bleu AS (SELECT doc_id, pair_id, chapter, first_pos, CAST(len(hyp) AS INTEGER) AS hyp_len, CAST(len(ref) AS INTEGER) AS ref_len,
-  CASE WHEN m1 = 0 OR len(ref) < 1 THEN 0 ELSE round(b * exp(l1), 4) END AS bleu1, CASE WHEN m1 = 0 OR len(ref) < 2 THEN 0 ELSE round(b * exp((l1 + l2) / 2), 4) END AS bleu2,
-  CASE WHEN m1 = 0 OR len(ref) < 4 THEN 0 ELSE round(b * exp((l1 + l2 + l3 + l4) / 4), 4) END AS bleu4
-  FROM (SELECT *, CASE WHEN len(hyp) > len(ref) THEN 1.0 ELSE exp(1 - len(ref) / len(hyp)) END AS b FROM br JOIN bl USING (doc_id, pair_id, chapter, first_pos)))"""
+
+
+def bleu_ctes(name: str, rows: str, key: str, text: str, content: str, top: int) -> str:
+    """CTEs that end in ``name``: ``key``, word counts and BLEU-1, 2, 4 of ``text`` against the ``top`` nearest sentences of ``content``."""
+    p, kinds = name, "(SELECT unnest([1, 2, 3, 4]) AS n)"
+    grams = "unnest(list_transform(range(1, greatest(len({x}) - n + 2, 1)), lambda i: array_to_string({x}[i:i + n - 1], ' ')))"
+    log = "ln(coalesce(max(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1)) FILTER (n = {n}), 0.1)) AS l{n}"
+    return f"""{p}_p AS (SELECT {key}, {_WS.format(x=text)} AS hyp, {content} AS content,
+    list_filter(list_distinct({_WS.format(x=text)}), lambda w: NOT list_contains({tf.quoted(lx.BLEU_STOP_WORDS)}, w)) AS hw FROM {rows}),
+{p}_s AS (SELECT *, list_sort(list_transform({_SENT}, lambda s, i: {{'r': -len(list_intersect({_WS.format(x='s')}, hw)), 'i': i, 'ws': {_WS.format(x='s')}}}))[1:{top}] AS top FROM {p}_p),
+{p}_r AS (SELECT {key}, hyp, CASE WHEN len(flatten(list_transform(top, lambda t: t.ws))) > 0 THEN flatten(list_transform(top, lambda t: t.ws)) ELSE {_WS.format(x='content')} END AS ref FROM {p}_s),
+{p}_g AS (SELECT {key}, n, {grams.format(x="hyp")} AS g, 1 AS h, 0 AS r FROM {p}_r, {kinds} UNION ALL SELECT {key}, n, {grams.format(x="ref")}, 0, 1 FROM {p}_r, {kinds}),
+{p}_c AS (SELECT {key}, n, g, sum(h) AS h, sum(r) AS r FROM {p}_g GROUP BY ALL),
+{p}_m AS (SELECT {key}, n, sum(least(h, r)) AS m, sum(h) AS t FROM {p}_c GROUP BY ALL),
+{p}_l AS (SELECT {key}, sum(m) FILTER (n = 1) AS m1, {", ".join(log.format(n=n) for n in (1, 2, 3, 4))} FROM {p}_m GROUP BY ALL),
+{p} AS (SELECT {key}, CAST(len(hyp) AS INTEGER) AS hyp_len, CAST(len(ref) AS INTEGER) AS ref_len,
+  CASE WHEN coalesce(m1, 0) = 0 OR len(ref) < 1 THEN 0 ELSE round(b * exp(l1), 4) END AS bleu1, CASE WHEN coalesce(m1, 0) = 0 OR len(ref) < 2 THEN 0 ELSE round(b * exp((l1 + l2) / 2), 4) END AS bleu2,
+  CASE WHEN coalesce(m1, 0) = 0 OR len(ref) < 4 THEN 0 ELSE round(b * exp((l1 + l2 + l3 + l4) / 4), 4) END AS bleu4
+  FROM (SELECT *, CASE WHEN len(hyp) > len(ref) THEN 1.0 ELSE exp(1 - len(ref) / greatest(len(hyp), 1)) END AS b FROM {p}_r LEFT JOIN {p}_l USING ({key})))"""
+
+
+CHAPTERS_SQL = "chapters AS (SELECT doc_id, coalesce(chapter, 'Nội dung') AS chapter, min(pos) AS first_pos, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM sections GROUP BY 1, 2)"
+_EVERY = "(SELECT p.doc_id, pair_id, chapter, first_pos, answer, content FROM pairs p JOIN chapters c ON p.doc_id = c.doc_id)"
+BLEU_SQL = f"""{sf.QA_SQL}, {tf.SECTIONS_SQL}, {CHAPTERS_SQL},
+{bleu_ctes("bleu", _EVERY, "doc_id, pair_id, chapter, first_pos", "answer", "content", lx.BLEU_SENTENCES)}"""
 
 
 @query("i29_bleu", f"WITH {BLEU_SQL} SELECT doc_id, pair_id, chapter, hyp_len, ref_len, bleu1, bleu2, bleu4 FROM bleu")
 def i29_bleu(spark, d):
-    return gr.chapter_scores(
-        _answers(spark, d), _chapters(spark, d), lx.BLEU_SENTENCES, fallback_words=lx.BLEU_WORDS).drop("chapter_pos")
+    return gr.chapter_scores(_answers(spark, d), _chapters(spark, d), lx.BLEU_SENTENCES).drop("chapter_pos")
 
 
 @query("i30_attribution", f"""WITH {BLEU_SQL}, own AS (SELECT p.doc_id, p.pair_id, c.chapter AS source_chapter FROM pairs p JOIN (SELECT doc_id, arg_min(chapter, first_pos) AS chapter FROM chapters GROUP BY 1) c USING (doc_id)),
 b AS (SELECT doc_id, pair_id, chapter AS best_chapter, bleu4 AS best_score FROM bleu QUALIFY row_number() OVER (PARTITION BY doc_id, pair_id ORDER BY bleu4 DESC, first_pos) = 1)
 SELECT doc_id, pair_id, source_chapter, best_chapter, best_score, best_chapter = source_chapter AS is_correct FROM own JOIN b USING (doc_id, pair_id)""")
 def i30_attribution(spark, d):
-    answers, chapters = _answers(spark, d), _chapters(spark, d)
-    firsts = chapters.where("chapter_pos = 0").select("doc_id", F.col("chapter").alias("source_chapter"))
-    own = answers.select("doc_id", "pair_id").join(firsts, "doc_id")
-    scores = gr.chapter_scores(answers, chapters, lx.BLEU_SENTENCES, orders=(4,), fallback_words=lx.BLEU_WORDS)
-    return gr.attribute_chapter(scores, own)
+    # The stand-in's own chapter is the first one of its document.
+    scores = gr.chapter_scores(_answers(spark, d), _chapters(spark, d), lx.BLEU_SENTENCES, orders=(4,))
+    return gr.attribute_chapter(scores, F.min_by("chapter", "chapter_pos"))
+
+
+# Rows of the experiment: a pair belongs to one section of its document; models are told apart by the pair's number.
+_OWN = "(SELECT p.*, s.content AS own, s.title AS section_title, coalesce(s.chapter, 'Nội dung') AS source_chapter FROM asked p LEFT JOIN sections s ON s.doc_id = p.doc_id AND s.pos = section_pos)"
+_KEY = "doc_id, pair_id"
+ANSWERS_SQL = f"""{BLEU_SQL}, asked AS (SELECT p.*, CAST(pair_id % n AS INTEGER) AS section_pos FROM pairs p JOIN (SELECT doc_id, count(*) AS n FROM sections GROUP BY 1) USING (doc_id)),
+named AS {_OWN},
+{bleu_ctes("near", "named", _KEY, "answer", "own", lx.BLEU_SECTION_SENTENCES)},
+{bleu_ctes("qs", "(SELECT n.doc_id, pair_id, question, c.content FROM named n JOIN chapters c ON c.doc_id = n.doc_id AND c.chapter = source_chapter)", _KEY, "question", "content", lx.BLEU_SENTENCES)},
+bests AS (SELECT doc_id, pair_id, chapter AS best_bleu_chapter, bleu4 AS best_bleu_score FROM bleu QUALIFY row_number() OVER (PARTITION BY doc_id, pair_id ORDER BY bleu4 DESC, first_pos) = 1),
+answers AS (SELECT doc_id, pair_id, n.source_chapter, section_title, b.bleu1 AS bleu1_ans_chapter, b.bleu2 AS bleu2_ans_chapter, b.bleu4 AS bleu4_ans_chapter, best_bleu_chapter, best_bleu_score,
+    best_bleu_chapter = n.source_chapter AS is_correct, near.bleu4 AS bleu4_ans_section, qs.bleu4 AS bleu4_q_chapter, b.hyp_len AS answer_words, qs.hyp_len AS question_words,
+    CAST(len({_WS.format(x="c.content")}) AS INTEGER) AS chapter_words, CAST(len({_WS.format(x="own")}) AS INTEGER) AS section_words, level
+  FROM named n JOIN bests USING ({_KEY}) JOIN near USING ({_KEY}) JOIN qs USING ({_KEY}) JOIN bleu b USING ({_KEY}) JOIN chapters c USING (doc_id)
+  WHERE b.chapter = n.source_chapter AND c.chapter = n.source_chapter)"""
+_MODEL = ("CASE pair_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS model", "concat('B', level) AS bloom_short", "CAST(doc_id % 4 AS INT) AS pdf",
+          "CAST(pair_id % 50 AS DOUBLE) AS process_time_s")
+
+
+def _reported(spark, d):
+    pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer")
+    books = st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"]))
+    n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
+    asked = pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n")
+    report = gr.answer_report(asked, books)
+    return report.join(pairs.select("doc_id", "pair_id", "level"), ["doc_id", "pair_id"])
+
+
+@query("i29_answer_report", f"WITH {ANSWERS_SQL} SELECT * FROM answers")
+def i29_answer_report(spark, d):
+    return _reported(spark, d)
 
 
 # --- experiment reports --------------------------------------------------------------------------
@@ -285,6 +396,33 @@ def d11_attribution_errors(spark, d):
     return an.attribution_errors(evaluated(spark, d))
 
 
+# The same reports over the scored answers.
+SCORED_SQL = f"{ANSWERS_SQL}, ev AS (SELECT *, {', '.join(_MODEL)} FROM answers)"
+
+
+def _scored(spark, d):
+    return _reported(spark, d).selectExpr("*", *_MODEL)
+
+
+@query("d8_answer_bleu", f"""WITH {SCORED_SQL} SELECT {_KEYS}, CAST(GROUPING_ID({_KEYS}) AS INTEGER) AS "grouping", count(*) AS n, round(avg(bleu1_ans_chapter), 10) AS bleu1, round(avg(bleu2_ans_chapter), 10) AS bleu2,
+  round(avg(bleu4_ans_chapter), 10) AS bleu4, round(avg(bleu4_ans_section), 10) AS bleu4_section, round(avg(process_time_s), 10) AS seconds
+FROM ev GROUP BY GROUPING SETS ((model), (model, bloom_short), (model, pdf), (pdf, source_chapter), ())""")
+def d8_answer_bleu(spark, d):
+    return an.bleu_report(_scored(spark, d), 10)
+
+
+@query("d9_answer_matrix", f"""WITH {SCORED_SQL} SELECT bloom_short, round(avg(bleu4_q_chapter) FILTER (model = 'A'), 4) AS "A", round(avg(bleu4_q_chapter) FILTER (model = 'N'), 4) AS "N",
+  round(avg(bleu4_q_chapter) FILTER (model = 'R'), 4) AS "R" FROM ev GROUP BY 1""")
+def d9_answer_matrix(spark, d):
+    return an.bleu_matrix(_scored(spark, d), "bleu4_q_chapter", ["A", "N", "R"])
+
+
+@query("d11_answer_accuracy", f"""WITH {SCORED_SQL} SELECT {_KEYS}, CAST(GROUPING_ID({_KEYS}) AS INTEGER) AS "grouping", count(*) AS n, CAST(count_if(is_correct) AS BIGINT) AS correct,
+  round(100.0 * count_if(is_correct) / count(*), 1) AS accuracy FROM ev GROUP BY GROUPING SETS ((model), (model, bloom_short), (pdf, source_chapter), ())""")
+def d11_answer_accuracy(spark, d):
+    return an.attribution_accuracy(_scored(spark, d))
+
+
 _SYS = "CAST(1 + doc_id % 6 AS INT)"
 JUDGED = ("doc_id", f"{_SYS} AS sys_bloom_int", "CAST(quality AS INT) AS quality",
           *[f"CASE WHEN doc_id % 17 = {j} THEN NULL WHEN (doc_id * {j + 3}) % 5 < 3 THEN {_SYS} ELSE 1 + ({_SYS} % 6) END AS bloom_pred_{j}" for j in range(3)])

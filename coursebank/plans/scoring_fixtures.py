@@ -282,11 +282,13 @@ def _ceiling_sql() -> str:
     return f"CASE WHEN n_chars < 50 THEN 1 WHEN n_chars <= 300 THEN {exact} {keyed} WHEN n_chars >= 800 THEN 5 WHEN n_chars >= 400 THEN 4 ELSE 3 END"
 
 
-def gate_sql(sections: str = "sections") -> str:
+def gate_sql(sections: str = "sections", shift: str = "") -> str:
+    """``shift``: a column that moves a document's outcome on, for sections that are taken once per outcome."""
+    move, each = (f" + {shift}", f", {shift}") if shift else ("", "")
     return f"""
-ot AS (SELECT *, {quoted(OUTCOMES)}[doc_id % {len(OUTCOMES)} + 1] AS clo, {sql_strip('content')} AS sc,
+ot AS (SELECT *, {quoted(OUTCOMES)}[(doc_id{move}) % {len(OUTCOMES)} + 1] AS clo, {sql_strip('content')} AS sc,
     CAST(sum(char_count) OVER w + 2 * (count(*) OVER w - 1) AS BIGINT) AS chapter_chars, CAST(sum(word_count) OVER w AS BIGINT) AS chapter_words FROM {sections}
-    WINDOW w AS (PARTITION BY doc_id, coalesce(chapter, 'Nội dung'))),
+    WINDOW w AS (PARTITION BY doc_id{each}, coalesce(chapter, 'Nội dung'))),
 ot2 AS (SELECT *, length(sc) AS n_chars, {clo_terms_sql('clo')} AS lot, {clo_terms_sql('title')} AS tt, {clo_terms_sql('substring(content, 1, 8000)')} AS ct FROM ot),
 ot3 AS (SELECT *, CAST({_ceiling_sql()} AS INTEGER) AS ceiling, {sql_share('lot', 'tt')} AS ov_title, {sql_share('lot', 'ct')} AS ov_content FROM ot2),
 ot4 AS (SELECT *, CASE WHEN contains({_LO}, 'khái niệm') AND contains({_LT}, 'khái niệm') THEN least(1.0, ov_title * 0.55 + ov_content * 0.45 + 0.12) ELSE ov_title * 0.55 + ov_content * 0.45 END AS r1 FROM ot3),

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -123,3 +124,58 @@ def test_attribution_with_copies(spark):
     got = gr.corpus_attribution(spark.createDataFrame([(1, passage)], "item_id bigint, text string"),
                                 spark.createDataFrame(docs, "doc_id bigint, text string")).first()
     assert (got.best_doc, got.shared, got.n_grams, got.share, got.n_sources) == (0, 9, 9, 1.0, 41)
+
+
+def test_attribution_equals_brute_force(spark, monkeypatch):
+    """A gram of all documents, copies, passages without grams or source; lists cut into many small blocks."""
+    monkeypatch.setattr(gr, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(gr, "LIST_BLOCKS", 2)
+    rng = random.Random(3)
+    common = "chung đoạn mở đầu riêng biệt"
+    words = [f"từ{chr(97 + i)}" for i in range(12)]
+    docs = [(i, common + " " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    docs += [(100 + i, docs[3][1]) for i in range(30)] + [(200, None), (201, "")]
+    passages = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(15)]
+    passages += [(50, common), (51, common + " " + docs[7][1]), (52, None), (53, ""), (54, "quá ngắn"), (55, "không nơi nào có những lời thế"), (56, common)]
+
+    def grams(texts, key):
+        df = spark.createDataFrame(texts, f"{key} bigint, text string")
+        out = {}
+        for r in gr.gram_rows(df, key, "text", 4).collect():
+            out.setdefault(r[0], set()).add(r.gram)
+        return df, out
+
+    (p, pg), (d, dg) = grams(passages, "item_id"), grams(docs, "doc_id")
+    want = {}
+    for i, _ in passages:
+        hits = sorted((-len(pg.get(i, set()) & g), k) for k, g in dg.items() if pg.get(i, set()) & g)
+        top = hits[0] if hits else (0, None)
+        n = len(pg.get(i, ()))
+        want[i] = (top[1], -top[0], n, round(-top[0] / n, 4) if n else 0.0, len(hits))
+    got = {r.item_id: tuple(r)[1:] for r in gr.corpus_attribution(p, d).collect()}
+    assert got == want
+    assert want[50][4] > 80 and want[55][4] == 0 and want[54][2] == 0
+    few = gr.corpus_attribution(p, d, min_shared=3).collect()
+    assert all(r.shared == 0 or r.shared >= 3 for r in few) and len(few) == len(passages)
+    assert gr.corpus_attribution(p, d.where("false")).agg({"n_sources": "sum"}).first()[0] == 0
+    assert gr.corpus_attribution(p.where("false"), d).count() == 0
+
+
+def test_bleu_of_long_and_empty_texts(spark):
+    rng = random.Random(1)
+    long = [rng.choice("abcdefgh") for _ in range(6000)]
+    rows = [(0, long, long[:5000]), (1, [], []), (2, None, ["a"]), (3, ["a"], None), (4, long[:900], [])]
+    got = gr.bleu_scores(spark.createDataFrame(rows, "i int, h array<string>, r array<string>"), ["i"], "h", "r").collect()
+    found = {r.i: (r.bleu1, r.bleu2, r.bleu4) for r in got}
+    assert found[0] == tuple(bleu(long, long[:5000], n) for n in (1, 2, 4))
+    assert all(found[i] == (0.0, 0.0, 0.0) for i in range(1, 5))
+
+
+def test_answers_without_chapters_stay(spark):
+    answers = spark.createDataFrame([(1, 10, "Một câu trả lời."), (2, 20, "Một câu."), (1, 11, None)], "doc_id bigint, pair_id bigint, answer string")
+    chapters = spark.createDataFrame([(1, 0, "A", "Một câu trả lời ở đây. Và nữa."), (1, 1, "B", None)],
+                                     "doc_id bigint, chapter_pos int, chapter string, content string")
+    own = answers.selectExpr("doc_id", "pair_id", "'A' AS source_chapter")
+    rows = gr.attribute_chapter(gr.chapter_scores(answers, chapters), own).collect()
+    got = {r.pair_id: (r.best_chapter, r.best_score > 0) for r in rows}
+    assert got == {10: ("A", True), 20: ("A", False), 11: ("A", False)}
