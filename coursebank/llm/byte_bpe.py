@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -15,8 +14,10 @@ from pyspark.sql import DataFrame
 
 from coursebank.llm.common import slices
 
-CACHE_WORDS = 700_000
-LEARN_WORDS = 100_000
+CACHE_BYTES = 96_000_000  # of coded words that a task keeps
+WORD_BYTES = 330  # of Python's objects for a coded word, besides its characters
+DUCK_MEMORY = "200MB"
+LEARN_WORDS = 30_000
 LONG = 200  # bytes, under 256
 
 # Token-position rows (word, pos, id) with their right neighbour. Each step joins them with the merge table, finds the
@@ -84,7 +85,7 @@ class Bpe:
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1})
-        self.con.execute("SET memory_limit = '500MB'")
+        self.con.execute(f"SET memory_limit = '{DUCK_MEMORY}'")
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items()
                   for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         l, r, i = (pa.array(x, pa.int32()) for x in zip(*merges))
@@ -93,6 +94,13 @@ class Bpe:
                                    "hex": pa.array([t.hex() for t in self.ranks])})
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.size = 0
+
+    def forget(self) -> None:
+        """Give back what the words seen so far take."""
+        self.known, self.size = {}, 0
+        for name in ("done_rows", "start_rows"):
+            self.con.execute(f"DROP TABLE IF EXISTS {name}")
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -125,12 +133,13 @@ class Bpe:
             SELECT word, count(*), string_agg(id::VARCHAR, ',' ORDER BY pos), string_agg(hex, '' ORDER BY pos)
             FROM (FROM done_rows UNION ALL FROM ({CONTRACT})) JOIN vocabulary USING (id) GROUP BY word""").fetchall()
         self.known.update((new[i], (n, joined, bytes.fromhex(hexed))) for i, n, joined, hexed in rows)
+        self.size += WORD_BYTES * len(rows) + sum(len(joined) + len(hexed) for _, _, joined, hexed in rows)
 
     def encode(self, texts: list[str]) -> tuple[list[int], list[str], list[bytes]]:
         """Per text: number of ids, the ids joined by commas, and the bytes that the ids decode to."""
         pieces = [self.split(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if self.size > CACHE_BYTES:
+            self.forget()
         new = [w for w in set().union(*pieces) if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
@@ -147,7 +156,7 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 
 
 def loaded(path: str, pattern: str) -> Bpe:
-    """The worker's coder for a rank file; kept between tasks."""
+    """The worker's coder for a rank file; its tables are kept between tasks, its words are not."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(path, pattern)
     return _loaded[path, pattern]
@@ -161,29 +170,16 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            _, ids, raw = loaded(ranks, pattern).encode([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([np.array(x.split(",") if x else [], np.int32) for x in ids],
-                                         pa.list_(pa.int32())), pa.array(raw, pa.binary())],
-                names=["doc_id", "ids", "decoded"])
+        coder = loaded(ranks, pattern)
+        try:
+            for part in slices(batches, 1):
+                n, ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                flat = np.array([x for one in ids if one for x in one.split(",")], np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(raw, pa.binary())],
+                                                 names=["doc_id", "ids", "decoded"])
+        finally:
+            coder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
-
-
-def encoding_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every document; digests leave the task, not ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            n, ids, raw = loaded(ranks, pattern).encode([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(n, pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x).hexdigest() for x in raw])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -120,7 +120,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_bpe")
 def byte_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the bytes decoded from them, as digests."""
-    return byte_bpe.encoding_digests(common.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode_documents(common.table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_edited_counts")

@@ -26,7 +26,7 @@ LEAST_DOCS = 3
 PREFIXES = range(3, 8)
 NEAR = 5  # words around a hit in which a second person counts
 THRESHOLD = 0.7
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000  # distinct words that a task keeps the features of
 FEATURES = ("weight", "hits", "strongest", "log_hits", "near_you", "capitals", "punctuation", "shouting", "obfuscated",
             "uncovered")
 
@@ -170,19 +170,22 @@ def feature_rows(texts: pa.Array, lexicon: Lexicon, key: str) -> np.ndarray:
 
 
 def add_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``rows`` with the text replaced by the vector ``features``; the other columns are kept."""
-    others, key = [c for c in rows.columns if c != "text"], digest(lexicon)
+    """``rows`` with the vector ``features`` of their text. Only the text goes to Python, and only the vector comes back."""
+    key = digest(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
-            got = feature_rows(part.column(0), lexicon, key)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(got.reshape(-1)), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([lists.cast(pa.list_(pa.float64())), *part.columns[1:]],
-                                             names=["f", *others])
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+                parts = [feature_rows(part.column(0), lexicon, key) for part in slices([whole], 0)]
+                got = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(got.reshape(-1)), len(FEATURES))
+                yield lists.cast(pa.list_(pa.float64()))
+        finally:
+            _chunks.clear()
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
-    out = rows.select("text", *others).mapInArrow(run, f"f array<double>, {kinds}")
-    return out.select(*others, array_to_vector("f").alias("features"))
+    return rows.withColumn("features", array_to_vector(features("text")))
 
 
 @dataclass
@@ -197,7 +200,7 @@ class ToxicityModel:
     def _scored(self, rows: DataFrame) -> DataFrame:
         """``rows`` (``text`` and any others) with ``score`` for the text."""
         if self.trees is None:
-            return rows.withColumn("score", F.lit(self.constant)).drop("text")
+            return rows.withColumn("score", F.lit(self.constant))
         raw = _raw_scores(self.trees, add_features(rows, self.lexicon))
         calibrated = self.calibration.transform(raw)
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction")))
