@@ -363,25 +363,47 @@ def clo_penalty(title: Column, content_chars: Column, clo: Column) -> Column:
     return sum((F.when(cond, F.lit(v)).otherwise(F.lit(0.0)) for cond, v in parts), F.lit(0.0))
 
 
-def clo_score(title: Column, content: Column, clo: Column, lead_chars: int | None = None) -> Column:
-    """Match of a section, or of its first ``lead_chars`` characters, with an outcome, 0 to 1."""
+def section_features(title: Column, content: Column, lead_chars: int | None = None) -> Column:
+    """What a match with outcomes needs of a section, whatever the outcome."""
+    def read(x: Column) -> Column:
+        lead, low = x["lead"], x["title"]
+        return F.struct(low.alias("title"), clo_terms(low).alias("title_terms"), clo_terms(lead).alias("terms"),
+                        tx.keys_hit(F.concat(low, F.lit("\n"), lead), _asked_topics()).alias("topics"), x["chars"].alias("chars"))
+
+    return bind(F.struct(F.lower(tx.lead(content, lead_chars)).alias("lead"), F.lower(title).alias("title"),
+                         F.length(tx.strip(content)).alias("chars")), read)
+
+
+def outcome_features(clo: Column) -> Column:
+    """What a match with sections needs of an outcome, whatever the section."""
+    return bind(F.lower(clo), lambda low: F.struct(
+        low.alias("clo"), clo_terms(low).alias("terms"), tx.keys_hit(low, _asked_topics()).alias("topics")))
+
+
+def _asked_topics() -> dict:
+    return {key: words for key, (words, _) in lx.CLO_TOPICS.items()}
+
+
+def match_score(section: Column, outcome: Column) -> Column:
+    """Match of a section with an outcome, 0 to 1, from the features of both."""
 
     def capped(score: Column, condition: Column, bonus: Column) -> Column:
         return bind(score, lambda r: F.when(condition, F.least(F.lit(1.0), r + bonus)).otherwise(r))
 
-    def scored(x: Column) -> Column:
-        lead, lt, lo = x["lead"], x["title"], x["clo"]
-        raw = clo_overlap(lt, lo) * 0.55 + clo_overlap(lead, lo) * 0.45
-        raw = capped(raw, lo.contains("khái niệm") & lt.contains("khái niệm"), F.lit(0.12))
-        raw = capped(raw, lo.contains("mô hình") & lt.contains("mô hình"), F.lit(0.10))
-        raw = capped(raw, lo.contains("thuật ngữ") & any_hit(lt, lx.CLO_TERM_TITLES), F.lit(0.08))
-        topics = F.size(clo_topics(F.concat(lt, F.lit("\n"), lead), lo))
-        raw = capped(raw, topics > 0, topics * 0.06)
-        return F.greatest(F.lit(0.0), raw - clo_penalty(lt, x["chars"], lo))
-
-    parts = F.struct(F.lower(tx.lead(content, lead_chars)).alias("lead"), F.lower(title).alias("title"),
-                     F.lower(clo).alias("clo"), F.length(tx.strip(content)).alias("chars"))
-    return F.when(clo.isNull() | (clo == ""), F.lit(0.0)).otherwise(bind(parts, scored))
+    lt, lo = section["title"], outcome["clo"]
+    raw = set_share(outcome["terms"], section["title_terms"]) * 0.55 + set_share(outcome["terms"], section["terms"]) * 0.45
+    raw = capped(raw, lo.contains("khái niệm") & lt.contains("khái niệm"), F.lit(0.12))
+    raw = capped(raw, lo.contains("mô hình") & lt.contains("mô hình"), F.lit(0.10))
+    raw = capped(raw, lo.contains("thuật ngữ") & any_hit(lt, lx.CLO_TERM_TITLES), F.lit(0.08))
+    topics = F.size(F.array_intersect(outcome["topics"], section["topics"]))
+    raw = capped(raw, topics > 0, topics * 0.06)
+    return F.greatest(F.lit(0.0), raw - clo_penalty(lt, section["chars"], lo))
+
+
+def clo_score(title: Column, content: Column, clo: Column, lead_chars: int | None = None) -> Column:
+    """Match of a section, or of its first ``lead_chars`` characters, with an outcome, 0 to 1."""
+    both = F.struct(section_features(title, content, lead_chars).alias("s"), outcome_features(clo).alias("o"))
+    return F.when(clo.isNull() | (clo == ""), F.lit(0.0)).otherwise(bind(both, lambda x: match_score(x["s"], x["o"])))
 
 
 def clo_aspects(clo: Column) -> Column:

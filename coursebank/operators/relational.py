@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coursebank.functions.labels import display_name
+from coursebank.sources.tables import COURSE_SCHEMAS, load_course_table
 
 
 def in_batch(df: DataFrame, key: str | None) -> DataFrame:
@@ -198,3 +199,28 @@ def erase_users(tables: Mapping[str, DataFrame], user_ids: DataFrame) -> dict[st
             df = df.join(doomed_docs, "document_id", "left_anti")
         out[name] = df
     return out
+
+
+def erase_store(spark: SparkSession, source: str, target: str, user_ids: DataFrame,
+                names: tuple[str, ...] = tuple(COURSE_SCHEMAS)) -> DataFrame:
+    """Erase users from all stored tables: reads ``source``, writes every table to ``target``; ``table_name``, before, after.
+
+    The cascade is that of ``erase_users``: a user's rows, and rows about a user's documents. Rows without a user stay, as
+    do administrators and unknown ids. Every table is read by its declared schema and written whole; writing again
+    replaces it, so a job that failed halfway is simply run again. The users to erase are written first, so that all
+    tables see the same ones.
+    """
+    tables = {name: load_course_table(spark, f"{source}/{name}", name) for name in names}
+    chosen = f"{target}/_erased_ids"
+    user_ids.select(F.col("user_id").cast("long").alias("user_id")).where("user_id IS NOT NULL").distinct().write.mode(
+        "overwrite").parquet(chosen)
+    kept = erase_users(tables, spark.read.schema("user_id BIGINT").parquet(chosen))
+    report = None
+    for name, df in kept.items():
+        df.write.mode("overwrite").parquet(f"{target}/{name}")
+        rows = tables[name].select(F.lit(1).alias("before"), F.lit(0).alias("after")).unionAll(
+            load_course_table(spark, f"{target}/{name}", name).select(F.lit(0), F.lit(1)))
+        part = rows.agg(F.coalesce(F.sum("before"), F.lit(0)).alias("n_before"), F.coalesce(F.sum("after"), F.lit(0)).alias("n_after"))
+        part = part.select(F.lit(name).alias("table_name"), "n_before", "n_after")
+        report = part if report is None else report.unionByName(part)
+    return report

@@ -521,6 +521,35 @@ def chapter_inventory(docs: DataFrame) -> DataFrame:
     return ready.select("doc_id", found.alias("chapters")).withColumn("n_chapters", F.size("chapters"))
 
 
+def chapter_number_set(text: Column) -> Column:
+    """Ascending distinct numbers of the chapters and parts that a text names, in digits or as Roman numerals I to XX.
+
+    Any case of the words counts; a numeral counts in capitals and in its usual spelling only, so ``IIII`` names none.
+    """
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+    roman = F.create_map(*[F.lit(x) for i, r in enumerate(lx.ROMAN[:lx.CHAPTER_ROMANS], 1) for x in (r, i)])
+    digits = F.concat(*[all_of(p) for p in lx.CHAPTER_NUMBERS])
+    # Numbers beyond a long name no chapter.
+    plain = F.transform(digits, lambda x: F.when(F.length(F.ltrim(x, F.lit("0"))) <= 18, x.cast("bigint")))
+    parts = F.concat(*[all_of(p) for p in lx.CHAPTER_NUMERALS])
+    named = F.transform(parts, lambda x: F.try_element_at(roman, x).cast("bigint"))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(plain, named))))
+
+
+def chapter_numbers(docs: DataFrame) -> DataFrame:
+    """Chapters that a document names anywhere, as numbers and names; a document that names none has one chapter.
+
+    Input doc_id and text; a null text names none. Works within the row.
+    """
+    rows = computed_once(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"],
+                         {"numbers": chapter_number_set(F.col("text"))})
+    names = F.transform("numbers", lambda n: F.concat(F.lit("Chương "), n.cast("string")))
+    chapters = F.when(F.size("numbers") > 0, names).otherwise(F.array(F.lit("Chương 1")))
+    return rows.select("doc_id", "numbers", chapters.alias("chapters"), F.size(chapters).alias("n_chapters"))
+
+
 def _part_number(roman: Column) -> Column:
     return tx.roman_to_int(roman, 6)
 

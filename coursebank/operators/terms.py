@@ -102,6 +102,48 @@ def extractive_answer(sections: DataFrame, level: Column, n_points: Column) -> D
     return rows.withColumn("answer", answer).drop("sents", "titles", "run")
 
 
+def structured_answer(sentences: Column, n_points: Column, titles: Column, keywords: Column, min_chars: int = 50,
+                      min_words: int = 25, picked_per_point: int = 3) -> Column:
+    """Draft under titles from full sentences, those of most importance first, linked by connective words.
+
+    Sentences that only number or announce something, and short ones, are left out. Where keywords are given and more than
+    two sentences a point are left, the ``picked_per_point`` best per point are taken in the order of ``sentence_score``,
+    ties by position, else all in their order. They are dealt out in equal runs of at least two; inside a run an equal
+    sentence counts once. Points without a sentence are left out, so the answer may be empty.
+    """
+    starts = "(?iu)^(?:" + "|".join(lx.DRAFT_METADATA_STARTS) + ")"
+    good = F.filter(sentences, lambda s: ~tx.strip(s).rlike(starts) & (F.length(tx.strip(s)) > min_chars) & (tx.word_count(s) >= min_words))
+
+    def picked(kept: Column) -> Column:
+        ranked = F.array_sort(F.transform(kept, lambda s, i: F.struct(
+            (-sentence_score(s, i, keywords)).alias("score"), i.alias("i"), s.alias("s"))))
+        best = F.transform(F.slice(ranked, 1, n_points * picked_per_point), lambda r: r["s"])
+        return F.when((F.size(keywords) > 0) & (F.size(kept) > n_points * 2), best).otherwise(kept)
+
+    def linked(part: Column) -> Column:
+        words, before = tx.lit_array(lx.DRAFT_CONNECTORS), tx.lit_array(lx.DRAFT_LINKED_STARTS)
+
+        def link(s: Column, j: Column) -> Column:
+            own = F.exists(before, lambda w: tx.strip(s).startswith(w))
+            return F.when(j == 0, s).when(own, F.concat(F.lit(" "), tx.strip(s))).otherwise(
+                F.concat(F.lit(" "), F.get(words, (j % len(lx.DRAFT_CONNECTORS)).cast("int")), F.lit(" "), tx.strip(s)))
+
+        return tx.strip(F.array_join(F.transform(part, link), ""))
+
+    def points(ss: Column) -> Column:
+        run = F.greatest(F.lit(2), F.floor(F.size(ss) / n_points)).cast("int")
+
+        def point(i: Column) -> Column:
+            title = F.coalesce(F.get(titles, i), F.concat(F.lit("Chi tiết bổ sung "), (i - F.size(titles) + 1).cast("string")))
+            part = tx.first_of_equal(F.slice(ss, i * run + 1, run), lambda s: F.lower(tx.strip(s)))
+            return tx.bind(F.filter(part, lambda s: F.length(tx.strip(s)) > 20), lambda p: F.when(
+                F.size(p) > 0, F.concat(F.lit("- "), title, linked(p))).otherwise(""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), n_points - 1), point), "")
+
+    return F.when(n_points > 0, tx.bind(tx.bind(good, picked), points)).otherwise("")
+
+
 def unsupported_lines(answers: DataFrame, key: str, answer: str, source: str) -> DataFrame:
     """Lines of an answer with under half of their content words in the source. Lines are only reported."""
     known = F.array_distinct(tx.tokens(F.col(source), 2))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from coursebank import lexicons as lx
 from coursebank.operators import analytics as an
 from coursebank.operators import grounding as gr
+from coursebank.operators import outcomes as oc
 from coursebank.operators import planning as pl
 from coursebank.operators import relational as rel
 from coursebank.operators import structure as st
@@ -46,7 +47,7 @@ def j15_targets(spark, d):
 def candidates(spark, d):
     """Gate-tested, ranked candidates of every level (narrow rows)."""
     rows = gated_sections(spark, d).withColumn("boilerplate", st.boilerplate(c("content")))
-    rows = ops.gate_features(rows, lx.OUTCOME_CHARS).drop("content", "title")
+    rows = ops.gate_features(rows).drop("content", "title")
     rows = rows.withColumn("size_chars", c("n_chars"))
     tested = ops.feasibility(rows.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
     clo_match = F.when(F.trim("clo") != "", c("clo_match"))
@@ -149,7 +150,7 @@ def outcome_candidates(spark, d):
 
 # The walk of one target: a fold over its order, which the recursion rebuilds without the sections used so far.
 PLAN_ROWS_SQL = f"""{tf.SECTIONS_SQL}, twice AS (SELECT * FROM sections, (SELECT unnest([0, 1]) AS item)),
-{sf.gate_sql("twice", "item").replace("substring(content, 1, 8000)", "content")}, {sf.FEASIBLE_SQL},
+{sf.gate_sql("twice", "item")}, {sf.FEASIBLE_SQL},
 cx AS (SELECT doc_id, pos, level, trim(clo) AS clo, ok, n_chars, ceiling, clo_match, list_filter([1, 2, 3, 4, 5], lambda a: (doc_id + pos * 3 + level * 5 + a) % 7 = 0)[1] AS attempt,
   CASE WHEN content = '' THEN 1 ELSE least(1.0, len(list_filter(string_split(lower(content), chr(10)), lambda l: {tf.sql_any('l', lx.BOILERPLATE_PHRASES)})) / 2.5) END AS plate FROM feasible),
 cy AS (SELECT *, {{'pos': pos, 'attempt': attempt, 'ok': ok, 'heavy': level IN (3, 4) AND plate > 0.72, 'enough': n_chars >= CASE WHEN level >= 2 THEN 150 ELSE 80 END}} AS x FROM cx),
@@ -191,6 +192,46 @@ def j14_empty_targets(spark, d):
     return plan_rows_assigned(spark, d).groupBy("level", F.coalesce("why", F.lit("filled")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+# --- outcomes -----------------------------------------------------------------------------------
+
+
+def _outcome_scores(spark, d):
+    """Sections against two outcomes of their document."""
+    sections = st.split_sections(tf.books(spark, d)).select("doc_id", "pos", "title", "content")
+    asked = load(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("outcome_id"))
+    return oc.outcome_scores(sections, asked.withColumn("clo", sf.outcome_of(c("doc_id") + c("outcome_id"))))
+
+
+def _mask_sql(x, which):
+    return "CAST(" + " + ".join(f"CASE WHEN {tf.sql_any(x, v[which])} THEN {1 << i} ELSE 0 END" for i, v in enumerate(lx.CLO_ASPECTS.values())) + " AS BIGINT)"
+
+
+def _names_sql(x):
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN ({x}) & {1 << i} <> 0 THEN '{k}' END" for i, k in enumerate(lx.CLO_ASPECTS)) + "], lambda z: z IS NOT NULL), ' ')"
+
+
+MATCH_SQL = f"""{tf.SECTIONS_SQL}, twice AS (SELECT * FROM sections, (SELECT unnest([0, 1]) AS item)), {sf.gate_sql("twice", "item")},
+scored AS (SELECT doc_id, item AS outcome_id, pos, CAST(CASE WHEN trim(clo) = '' THEN 0 ELSE clo_match END AS DOUBLE) AS score, {_mask_sql("lower(clo)", 0)} AS asked,
+  {_mask_sql("lower(title || chr(10) || content)", 1)} AS shown FROM outcomes)"""
+
+
+@query("outcome_match", f"""WITH {MATCH_SQL}, g AS (SELECT doc_id, outcome_id, any_value(asked) AS asked, count(*) FILTER (score >= 0.06) AS n_sections, coalesce(bit_or(shown) FILTER (score >= 0.06), 0) AS shown,
+  arg_min(pos, (-score, pos)) FILTER (score >= 0.06) AS best_pos, max(score) FILTER (score >= 0.06) AS best_score FROM scored GROUP BY ALL)
+SELECT doc_id, outcome_id, n_sections, best_pos, round(best_score, 6) AS best_score, {_names_sql("asked")} AS asked, {_names_sql("asked & shown")} AS covered, {_names_sql("xor(asked, asked & shown)")} AS missing,
+  CASE WHEN asked = 0 THEN 1.0 ELSE round(bit_count(asked & shown) / bit_count(asked), 4) END AS ratio, CAST(bit_count(xor(asked, asked & shown) & {oc.SKILLS}) AS INTEGER) AS skills_missing FROM g""")
+def outcome_match(spark, d):
+    rows = oc.coverage(_outcome_scores(spark, d))
+    names = {x: F.array_join(x, " ") for x in ("asked", "covered", "missing")}
+    return rows.withColumns(names | {"best_score": F.round("best_score", 6)})
+
+
+@query("i19_ranked_matches", f"""WITH {MATCH_SQL} SELECT doc_id, outcome_id, pos, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id, outcome_id ORDER BY score DESC, pos) AS INTEGER) AS rank,
+  {_names_sql("asked & shown")} AS covers FROM scored WHERE score >= 0.06""")
+def i19_ranked_matches(spark, d):
+    rows = oc.ranked_matches(_outcome_scores(spark, d))
+    return rows.withColumns({"score": F.round("score", 6), "covers": F.array_join(oc.aspect_names(c("covers")), " ")})
+
+
 @query("bank_plan")
 def bank_plan(spark, d):
     sections = st.split_sections(tf.books(spark, d))

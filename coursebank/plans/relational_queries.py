@@ -9,8 +9,10 @@ from coursebank.functions import labels
 from coursebank.operators import analytics as an
 from coursebank.operators import relational as rel
 from coursebank.plans import fixtures as fx
+from coursebank.plans import store
 from coursebank.plans.registry import query
 from coursebank.sources.tables import load
+from coursebank.session import shared_folder
 from coursebank.sources import tables as tb
 
 AT = f"TIMESTAMP '{fx.AS_OF}'"
@@ -416,6 +418,51 @@ def g4_erasure(spark, d):
     return out
 
 
+# Who is erased: users with an error event; administrators stay.
+_GONE = """doomed AS (SELECT id FROM users WHERE NOT is_admin AND id IN (SELECT user_id FROM events WHERE event_type = 'error')),
+gone_docs AS (SELECT id FROM documents_t WHERE user_id IN (FROM doomed))"""
+
+
+def _kept_sql(name):
+    own = "(user_id IS NULL OR user_id NOT IN (FROM doomed))" if name in rel.USER_TABLES else "true"
+    about = "(document_id IS NULL OR document_id NOT IN (FROM gone_docs))" if name in rel.DOCUMENT_TABLES else "true"
+    return "id NOT IN (FROM doomed)" if name == "users" else f"{own} AND {about}"
+
+
+def _erased(spark, d):
+    source, target = shared_folder(spark, "store"), shared_folder(spark, "erased")
+    store.make_store(spark, d, source)
+    gone = tb.load(spark, d, "events").where("event_type = 'error'").select("user_id")
+    return rel.erase_store(spark, source, target, gone), target
+
+
+@query("erasure", f"WITH {store.STORE_SQL}, {_GONE} " + " UNION ALL ".join(f"{store.sql_content(x)} WHERE {_kept_sql(x)}" for x in tb.COURSE_SCHEMAS))
+def erasure(spark, d):
+    _, target = _erased(spark, d)
+    return store.content_rows({x: tb.load_course_table(spark, f"{target}/{x}", x) for x in tb.COURSE_SCHEMAS})
+
+
+@query("g4_erasure_report", f"WITH {store.STORE_SQL}, {_GONE} " + " UNION ALL ".join(
+    f"SELECT '{x}' AS table_name, count(*) AS n_before, count(*) FILTER ({_kept_sql(x)}) AS n_after FROM {store.SQL_NAMES[x]}" for x in tb.COURSE_SCHEMAS))
+def g4_erasure_report(spark, d):
+    return _erased(spark, d)[0]
+
+
+@query("a1_stored_tables", f"WITH {store.STORE_SQL} " + " UNION ALL ".join(
+    f"SELECT table_name, count(*) AS n, count(DISTINCT row_key) AS n_keys, {len(tb.COURSE_SCHEMAS[x].fields)} AS n_columns FROM ({store.sql_content(x)}) GROUP BY 1" for x in tb.COURSE_SCHEMAS))
+def a1_stored_tables(spark, d):
+    """Every stored table through its typed scan; columns that the files lack read as NULL."""
+    path = shared_folder(spark, "store")
+    store.make_store(spark, d, path)
+    out = None
+    for name in tb.COURSE_SCHEMAS:
+        df = tb.load_course_table(spark, f"{path}/{name}", name)
+        part = df.agg(F.count("*").alias("n"), F.count_distinct(store.key_of(name)).alias("n_keys")).select(
+            F.lit(name).alias("table_name"), "n", "n_keys", F.lit(len(df.columns)).alias("n_columns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("h21_bloom_codes", f"""
 WITH {fx.QA_SQL}, c AS (SELECT DISTINCT bloom_level, {NORMALISED} AS level FROM qa)
 SELECT bloom_level, level, try_cast(nullif(regexp_extract(level, 'Bloom\\s*(\\d)', 1), '') AS INTEGER) AS num,

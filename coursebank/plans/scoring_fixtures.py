@@ -209,7 +209,7 @@ def gap_sql(table: str, key: str) -> str:
     return f"""
 ga AS (SELECT *, {_aspect_list('lower(clo)', 0)} AS aspects, {_aspect_list("lower(coalesce(question, ''))", 1)} AS gq, {_aspect_list("lower(coalesce(answer, ''))", 1)} AS gan,
     {_aspect_list("lower(coalesce(question, '') || chr(10) || coalesce(answer, ''))", 1)} AS gqa,
-    {_aspect_list("lower(title || chr(10) || substring(source, 1, 6000))", 1)} AS gs FROM {table}),
+    {_aspect_list("lower(title || chr(10) || source)", 1)} AS gs FROM {table}),
 gb AS (SELECT *, list_filter(aspects, lambda z: list_contains({_SKILLS}, z)) AS skills, list_filter(aspects, lambda z: NOT list_contains({_SKILLS}, z)) AS t0 FROM ga),
 gc AS (SELECT *, list_filter(t0, lambda z: list_contains(gqa, z) OR list_contains(gs, z)) AS rel FROM gb),
 gd AS (SELECT *, CASE WHEN level > 2 OR len(t0) = 0 THEN t0 WHEN len(rel) > 0 THEN rel
@@ -266,7 +266,7 @@ def clo_terms_sql(x: str) -> str:
 # ``gated`` sections with outcome, ceiling and chapter size; built on the CTE ``sections``.
 _LT, _LO = "lower(title)", "lower(clo)"
 _TOPICS = "(" + " + ".join(
-    f"CAST({sql_any(_LO, v[0])} AND {sql_any('lower(title || chr(10) || substring(content, 1, 8000))', v[0])} AS INT)" for v in lx.CLO_TOPICS.values()) + ")"
+    f"CAST({sql_any(_LO, v[0])} AND {sql_any('lower(title || chr(10) || content)', v[0])} AS INT)" for v in lx.CLO_TOPICS.values()) + ")"
 _PENALTY = (
     f"(CASE WHEN regexp_matches({_LT}, '^(chương|chapter)\\s*[\\divxlcdm]+') AND length({sql_strip('content')}) < 1500 THEN 0.40 ELSE 0 END "
     f"+ CASE WHEN {sql_any(_LO, lx.CLO_CONCEPT)} AND {sql_any(_LT, lx.CLO_BUILD_TITLES)} THEN 0.30 ELSE 0 END "
@@ -289,7 +289,7 @@ def gate_sql(sections: str = "sections", shift: str = "") -> str:
 ot AS (SELECT *, {quoted(OUTCOMES)}[(doc_id{move}) % {len(OUTCOMES)} + 1] AS clo, {sql_strip('content')} AS sc,
     CAST(sum(char_count) OVER w + 2 * (count(*) OVER w - 1) AS BIGINT) AS chapter_chars, CAST(sum(word_count) OVER w AS BIGINT) AS chapter_words FROM {sections}
     WINDOW w AS (PARTITION BY doc_id{each}, coalesce(chapter, 'Nội dung'))),
-ot2 AS (SELECT *, length(sc) AS n_chars, {clo_terms_sql('clo')} AS lot, {clo_terms_sql('title')} AS tt, {clo_terms_sql('substring(content, 1, 8000)')} AS ct FROM ot),
+ot2 AS (SELECT *, length(sc) AS n_chars, {clo_terms_sql('clo')} AS lot, {clo_terms_sql('title')} AS tt, {clo_terms_sql('content')} AS ct FROM ot),
 ot3 AS (SELECT *, CAST({_ceiling_sql()} AS INTEGER) AS ceiling, {sql_share('lot', 'tt')} AS ov_title, {sql_share('lot', 'ct')} AS ov_content FROM ot2),
 ot4 AS (SELECT *, CASE WHEN contains({_LO}, 'khái niệm') AND contains({_LT}, 'khái niệm') THEN least(1.0, ov_title * 0.55 + ov_content * 0.45 + 0.12) ELSE ov_title * 0.55 + ov_content * 0.45 END AS r1 FROM ot3),
 ot5 AS (SELECT *, CASE WHEN contains({_LO}, 'mô hình') AND contains({_LT}, 'mô hình') THEN least(1.0, r1 + 0.10) ELSE r1 END AS r2 FROM ot4),

@@ -42,13 +42,13 @@ for _name, _columns in {
 
 @query("qa_quality", f"WITH {sf.EVALUATE_SQL} SELECT pair_id, level, groundedness, quality, decision, CASE WHEN decision = 'pass' THEN NULL ELSE coalesce(hard, 'below_threshold') END AS fail_reason FROM evaluated")
 def qa_quality(spark, d):
-    return ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS).select("pair_id", "level", "groundedness", "quality", "decision", "fail_reason")
+    return ops.evaluate_qa(sf.qa_pairs(spark, d)).select("pair_id", "level", "groundedness", "quality", "decision", "fail_reason")
 
 
 @query("qa_pass_rate", f"""WITH {sf.EVALUATE_SQL} SELECT level, count(*) AS n, CAST(count_if(decision = 'pass') AS BIGINT) AS passed,
   round(100.0 * count_if(decision = 'pass') / count(*), 1) AS rate FROM evaluated GROUP BY level""")
 def qa_pass_rate(spark, d):
-    return ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS).groupBy("level").agg(
+    return ops.evaluate_qa(sf.qa_pairs(spark, d)).groupBy("level").agg(
         F.count("*").alias("n"), F.count_if(c("decision") == "pass").alias("passed"),
         F.round(100.0 * F.count_if(c("decision") == "pass") / F.count("*"), 1).alias("rate"))
 
@@ -66,7 +66,7 @@ SELECT pair_id, array_to_string(aspects, ',') AS aspects, array_to_string(skills
 FROM gaps JOIN verdicts USING (pair_id)""")
 def i21_aspect_gap(spark, d):
     rows = sf.qa_pairs(spark, d).select("pair_id", "level", sc.aspect_gap(
-        c("question"), c("answer"), c("clo"), c("title"), c("source"), c("level"), lx.ASPECT_CHARS).alias("g"))
+        c("question"), c("answer"), c("clo"), c("title"), c("source"), c("level")).alias("g"))
     lists = [F.array_join(c("g")[x], ",").alias(x) for x in ("aspects", "skills", "topics", "q_hit", "a_hit", "content_missing")]
     return rows.select("pair_id", *lists, F.round("g.q_coverage", 4).alias("q_coverage"),
                        F.round("g.content_coverage", 4).alias("content_coverage"),
@@ -130,12 +130,12 @@ accepted AS (SELECT *, CASE WHEN question = '' OR ans IS NULL THEN 'unreadable'
 
 @query("reply_intake", f"WITH {ACCEPT_SQL} SELECT pair_id, question, md5(answer) AS answer_md5, reject_reason, reject_reason IS NULL AS accepted FROM accepted")
 def reply_intake(spark, d):
-    return ops.accept_replies(_replies(spark, d), lx.ASPECT_CHARS).select("pair_id", "question", F.md5("answer").alias("answer_md5"), "reject_reason", "accepted")
+    return ops.accept_replies(_replies(spark, d)).select("pair_id", "question", F.md5("answer").alias("answer_md5"), "reject_reason", "accepted")
 
 
 @query("i27_reject_report", f"WITH {ACCEPT_SQL} SELECT level, coalesce(reject_reason, 'accepted') AS outcome, count(*) AS n FROM accepted GROUP BY ALL")
 def i27_reject_report(spark, d):
-    return ops.reject_report(ops.accept_replies(_replies(spark, d), lx.ASPECT_CHARS))
+    return ops.reject_report(ops.accept_replies(_replies(spark, d)))
 
 
 @query("h26_verdicts", f"""WITH {sf.QA_SQL}, v AS (SELECT pair_id, CASE WHEN pair_id % 5 = 0 THEN answer ELSE 'Decision: ' || CASE WHEN pair_id % 3 = 0 THEN 'PASS' ELSE 'fail' END || chr(10) || 'Reason: ' || question || chr(10) || 'Feedback: ' || title END AS raw FROM pairs)
@@ -165,7 +165,7 @@ def gated_sections(spark, d):
     """Sections with ceiling, outcome, outcome score and chapter size."""
     rows = st.sections_with_chapter_size(st.sectioned(tf.books(spark, d)))
     rows = rows.withColumn("clo", sf.outcome_of(c("doc_id")))
-    return rows.withColumns({"clo_match": sc.clo_score(c("title"), c("content"), c("clo"), lx.OUTCOME_CHARS),
+    return rows.withColumns({"clo_match": sc.clo_score(c("title"), c("content"), c("clo")),
                              "ceiling": sc.section_ceiling(c("content"))})
 
 
@@ -182,16 +182,16 @@ FROM outcomes""")
 def i19_outcome_scores(spark, d):
     rows = gated_sections(spark, d)
     lo = F.lower("clo")
-    lead = F.lower(F.concat(c("title"), F.lit("\n"), tx.lead(c("content"), lx.OUTCOME_CHARS)))
+    lead = F.lower(F.concat(c("title"), F.lit("\n"), c("content")))
     return rows.select(
         "doc_id", "pos", F.round("clo_match", 6).alias("clo_match"),
         F.round(sc.clo_penalty(F.lower("title"), F.length(tx.strip(c("content"))), lo), 4).alias("penalty"),
-        F.round(sc.clo_overlap(tx.lead(c("content"), lx.OUTCOME_CHARS), c("clo")), 6).alias("overlap"),
+        F.round(sc.clo_overlap(c("content"), c("clo")), 6).alias("overlap"),
         F.size(sc.clo_topics(lead, lo)).alias("n_topics"))
 
 
 def gate(spark, d):
-    rows = ops.gate_features(gated_sections(spark, d), lx.OUTCOME_CHARS).drop("content", "title", "clo")
+    rows = ops.gate_features(gated_sections(spark, d)).drop("content", "title", "clo")
     return ops.feasibility(rows.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
 
 

@@ -12,6 +12,7 @@ from coursebank.operators import structure as st
 from coursebank.plans import fixtures as fx
 from coursebank.plans import ledger_queries as lq
 from coursebank.plans import scoring_fixtures as sf
+from coursebank.plans import scoring_queries as qs
 from coursebank.plans import text_fixtures as tf
 from coursebank.plans.registry import query
 from coursebank.session import shared_folder
@@ -125,34 +126,63 @@ def a3_corpus_listing(spark, d):
 @query("a10_results", f"""WITH {sf.EVALUATE_SQL} SELECT doc_id AS document_id, md5(substring(source, 1, 1000)) AS content_md5, question, md5(answer) AS answer_md5, 'Bloom ' || level AS bloom_level,
   '20240131093000' AS batch_id, CAST(0.5 + 0.5 * level AS DOUBLE) AS total_points FROM evaluated WHERE decision = 'pass'""")
 def a10_results(spark, d):
-    passed = ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS).where("decision = 'pass'")
+    passed = ops.evaluate_qa(sf.qa_pairs(spark, d)).where("decision = 'pass'")
     path = shared_folder(spark, "results")
-    sinks.write_results(sinks.result_rows(passed, "2024-01-31 09:30:00"), path)
+    rows = sinks.result_rows(passed, "2024-01-31 09:30:00")
+    for _ in range(2):  # as a retry does
+        sinks.write_results(rows, path)
     rows = spark.read.schema("document_id BIGINT, content STRING, question STRING, answer STRING, bloom_level STRING, total_points DOUBLE, batch_id STRING").parquet(path)
     return rows.select("document_id", F.md5("content").alias("content_md5"), "question", F.md5("answer").alias("answer_md5"),
                        "bloom_level", "batch_id", "total_points")
 
 
-@query("a11_decision_log")
-def a11_decision_log(spark, d):
-    decided = ops.evaluate_qa(sf.qa_pairs(spark, d), lx.ASPECT_CHARS)
-    rows = sinks.log_rows(decided, "evaluation", ["pair_id", "level"], ["question_overlap", "verb", "groundedness"],
-                          F.array_compact(F.array("fail_reason")))
-    path = shared_folder(spark, "log")
-    sinks.write_log(rows, path)
-    return spark.read.schema(rows.schema).parquet(path)
+_STAGES_SQL = f"""gate_rows AS (WITH {tf.SECTIONS_SQL}, {sf.gate_sql()}, {sf.FEASIBLE_SQL}
+  SELECT 'gate' AS stage, doc_id AS document_id, CAST(NULL AS VARCHAR) AS item, level, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS decision, quality AS quality_score, reasons, title AS section_title,
+    CAST(n_chars AS INTEGER) AS content_len, CAST(NULL AS DOUBLE) AS faithfulness FROM feasible),
+reply_rows AS (WITH {qs.ACCEPT_SQL} SELECT 'generation', pair_id // 8, CAST(pair_id AS VARCHAR), level, CASE WHEN reject_reason IS NULL THEN 'pass' ELSE 'fail' END,
+  CASE WHEN reject_reason IS NULL THEN 0.75 ELSE 0.0 END, CASE WHEN reject_reason IS NULL THEN 'generation_success' ELSE 'generation_failed ' || reject_reason END, title, NULL, NULL FROM accepted),
+judged_rows AS (WITH {sf.EVALUATE_SQL} SELECT 'evaluation', pair_id // 8, CAST(pair_id AS VARCHAR), level, decision, quality,
+  CASE WHEN decision = 'pass' THEN '' ELSE coalesce(hard, 'below_threshold') END, NULL, NULL, round(groundedness, 4) FROM evaluated)"""
 
 
-@query("a12_experiment_file", "SELECT l_returnflag AS model, concat('Bloom ', l_linenumber) AS bloom_level, count(*) AS n, round(max(l_extendedprice), 2) AS top FROM lineitem GROUP BY ALL")
+@query("a11_decision_log", f"WITH {_STAGES_SQL} SELECT * FROM gate_rows UNION ALL SELECT * FROM reply_rows UNION ALL SELECT * FROM judged_rows")
+def a11_decision_log(spark, d):
+    """Logs of all three stages, each written twice, and read back as one table."""
+    path, batch = shared_folder(spark, "log"), "20240131093000"
+    gated = ops.gate_features(qs.gated_sections(spark, d)).withColumn("content_len", c("n_chars")).drop("content")
+    gated = ops.feasibility(gated.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(1, 7)]))))
+    replies = ops.accept_replies(qs._replies(spark, d)).withColumn("doc_id", F.expr("pair_id div 8"))
+    logs = [sinks.gate_log(gated, batch), sinks.generation_log(replies, batch),
+            sinks.evaluation_log(ops.evaluate_qa(sf.qa_pairs(spark, d)), batch)]
+    for rows in (logs[0], logs[1], logs[2], logs[2]):
+        sinks.write_log(rows, path)
+    title = F.coalesce(F.get_json_object("metrics_json", "$.section_title"), F.get_json_object("structure_summary_json", "$.section_title"))
+    level = F.coalesce(F.get_json_object("metrics_json", "$.bloom_num"), F.get_json_object("structure_summary_json", "$.bloom"),
+                       F.regexp_extract("target_bloom", r"(\d)", 1)).cast("int")
+    return sinks.read_log(spark, path).select(
+        "stage", "document_id", F.coalesce("plan_item_id", F.get_json_object("plan_summary_json", "$.plan_item_id")).alias("item"),
+        level.alias("level"), "decision", "quality_score", F.array_join(F.from_json("reasons_json", "array<string>"), " ").alias("reasons"),
+        title.alias("section_title"), F.get_json_object("metrics_json", "$.content_len").cast("int").alias("content_len"),
+        c("source_faithfulness_score").alias("faithfulness"))
+
+
+# Questions hold quotes, separators and line ends; experiments replace these by bars before they are written.
+_ASKED = "concat('He said \"', l_returnflag, '\", ', chr(92), ' and; left', chr(10), '\"', l_linenumber, '\"')"
+
+
+@query("a12_experiment_file", f"""SELECT l_returnflag AS model, concat('Bloom ', l_linenumber) AS bloom_level, replace({_ASKED}, chr(10), ' | ') AS question, count(*) AS n, round(max(l_extendedprice), 2) AS top
+FROM lineitem GROUP BY ALL""")
 def a12_experiment_file(spark, d):
     rows = load(spark, d, "lineitem").selectExpr(
         "l_returnflag AS model", "l_linestatus AS model_short", "CAST(l_partkey AS STRING) AS pdf",
-        "concat('Bloom ', l_linenumber) AS bloom_level", "l_extendedprice AS best_bleu_score", "l_tax AS extra")
+        "concat('Bloom ', l_linenumber) AS bloom_level", "l_extendedprice AS best_bleu_score", "l_tax AS extra",
+        f"{_ASKED} AS question")
     path = shared_folder(spark, "experiment")
-    sinks.write_experiment(rows, path, ["model", "model_short", "pdf", "bloom_level", "best_bleu_score"])
-    back = spark.read.option("header", True).schema(
-        "model STRING, model_short STRING, pdf STRING, bloom_level STRING, best_bleu_score DOUBLE").csv(path)
-    return back.groupBy("model", "bloom_level").agg(F.count("*").alias("n"), F.round(F.max("best_bleu_score"), 2).alias("top"))
+    columns = ["model", "model_short", "pdf", "bloom_level", "best_bleu_score", "question"]
+    sinks.write_experiment(rows.withColumn("question", sinks.one_line(c("question"))), path, columns)
+    back = spark.read.option("header", True).option("escape", '"').schema(
+        "model STRING, model_short STRING, pdf STRING, bloom_level STRING, best_bleu_score DOUBLE, question STRING").csv(path)
+    return back.groupBy("model", "bloom_level", "question").agg(F.count("*").alias("n"), F.round(F.max("best_bleu_score"), 2).alias("top"))
 
 
 # --- functions for SQL users, merged positions, direct splitting ------------------------------

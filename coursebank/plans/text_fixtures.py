@@ -306,7 +306,7 @@ def sql_math(x: str) -> str:
 
 def sql_snippets(x: str, n: int, max_len: int) -> str:
     """Scalar subquery-free list expression of the best sentences of ``x``."""
-    parts = (f"list_transform(string_split(regexp_replace(regexp_replace({sql_strip(f'substring({sql_strip(x)}, 1, 4500)')}, "
+    parts = (f"list_transform(string_split(regexp_replace(regexp_replace({sql_strip(x)}, "
              f"'([.!?…])\\s+', '\\1' || chr(57344), 'g'), '\\n+', chr(57344), 'g'), chr(57344)), "
              f"lambda s: regexp_replace({sql_strip('s')}, '\\s+', ' ', 'g'))")
     toks = f"list_filter({sql_tokens('s', 3)}, lambda w: NOT list_contains({quoted(lx.STOP_WORDS)}, w))"

@@ -170,10 +170,10 @@ def h32_source_excerpt(spark, d):
 
 
 @query("h33_stem_sections", f"""WITH {tf.MARKED_SQL}
-SELECT doc_id, {tf.sql_hits('substring(' + tf.sql_strip('text') + ', 1, 3000)', lx.STEM_SIGNALS)} >= 3
-  OR regexp_matches(substring(text, 1, 2000), '[A-Z][a-z]?\\d+[A-Z]?') OR regexp_matches(substring(text, 1, 2000), '\\^\\{{|\\\\frac|\\\\sum|\\\\int|\\\\sqrt') AS is_stem FROM marked""")
+SELECT doc_id, {tf.sql_hits(tf.sql_strip('text'), lx.STEM_SIGNALS)} >= 3
+  OR regexp_matches(text, '[A-Z][a-z]?\\d+[A-Z]?') OR regexp_matches(text, '\\^\\{{|\\\\frac|\\\\sum|\\\\int|\\\\sqrt') AS is_stem FROM marked""")
 def h33_stem_sections(spark, d):
-    return tf.marked_documents(spark, d).select("doc_id", tx.is_stem(c("text"), lx.STEM_CHARS, lx.STEM_SIGNAL_CHARS).alias("is_stem"))
+    return tf.marked_documents(spark, d).select("doc_id", tx.is_stem(c("text")).alias("is_stem"))
 
 
 SENTENCES_SQL = ("list_filter(list_transform(string_split(regexp_replace(text, '([.!?\\n])\\s+', '\\1' || chr(57344), 'g'), chr(57344)), lambda s: "
@@ -340,13 +340,13 @@ def _cnt(p):
     return f"least(len(regexp_extract_all(lead, '(?i){p}')), 3)"
 
 
-@query("j17_structure", f"""WITH {tf.BOOKS_SQL}, l AS (SELECT doc_id, {tf.sql_normalise('substring(text, 1, 3000)')} AS lead FROM books),
+@query("j17_structure", f"""WITH {tf.BOOKS_SQL}, l AS (SELECT doc_id, {tf.sql_normalise('text')} AS lead FROM books),
 m AS (SELECT doc_id, CAST({_cnt(r'\b\d+\.\d+(?:\.\d+)?\b')} + {_cnt(r'mục\s+\d+\.\d+')} + {_cnt(r'\d+\.\d+\.\d+')} + {_cnt(r'section\s+\d+(?:\.\d+)?')} AS INTEGER) AS decimal_matches,
   CAST(len(regexp_extract_all(lead, '(?i)Bài\\s+\\d+[.:;)\\s]')) AS INTEGER) AS lesson_matches FROM l)
 SELECT *, CASE WHEN decimal_matches > 0 THEN 'decimal' WHEN lesson_matches >= 2 THEN 'lesson' ELSE 'none' END AS kind,
   decimal_matches > 0 OR lesson_matches >= 2 AS has_sections FROM m""")
 def j17_structure(spark, d):
-    return st.detect_structure(tf.books(spark, d), lx.STRUCTURE_CHARS)
+    return st.detect_structure(tf.books(spark, d))
 
 
 LESSON_LINES_SQL = f"""{tf.BOOKS_SQL}, bl AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, {tf.sql_strip('unnest(ls)')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM books)),
@@ -360,11 +360,62 @@ def d19_lesson_topics(spark, d):
     return st.lesson_topics(st.lesson_lines(tf.books(spark, d)))
 
 
-@query("j18_chapter_inventory")
+# Chapter and part lines by first appearance, else topics of lesson lines, else of lessons inside lines, else one chapter.
+_ROMAN_SQL = "MAP {" + ", ".join(f"'{r}': '{i}'" for i, r in enumerate(lx.ROMAN[:6], 1)) + "}"
+
+
+def _first_seen(xs: str) -> str:
+    return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+
+def _topics_sql(pairs: str) -> str:
+    """Topics of (lesson, topic) rows by their least lesson, ties by first appearance."""
+    seen = f"list_filter({pairs}, lambda p, i: list_position(list_transform({pairs}, lambda q: q.topic), p.topic) = i)"
+    return (f"list_transform(list_sort(list_transform({seen}, lambda p, i: {{'lesson': list_min(list_transform(list_filter({pairs}, lambda q: q.topic = p.topic), "
+            "lambda q: q.lesson)), 'i': i, 't': p.topic})), lambda z: 'Chủ đề: ' || z.t)")
+
+
+def _pair_sql(x: str, pattern: str) -> str:
+    topic = tf.sql_strip(f"regexp_replace({tf.sql_strip(f"regexp_extract({x}, '{pattern}', 2)")}, '\\.+$', '')")
+    return f"{{'lesson': try_cast(regexp_extract({x}, '{pattern}', 1) AS BIGINT), 'topic': {topic}}}"
+
+
+_LESSON_RE = r"(?i)^(?:Bài|Bai)\s+(\d+)[.:;)\s]\s*(.*)"
+_INLINE_RE = r"(?i)^Bài\s+(\d+)[.:;)\s]\s*([^\n]{3,60})"
+INVENTORY_SQL = f"""{tf.BOOKS_SQL}, n AS (SELECT doc_id, {tf.sql_normalise('text')} AS text FROM books),
+l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: {tf.sql_strip('x')}) AS ls FROM n),
+k AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: coalesce(nullif(regexp_extract(x, '(?i)^Chương\\s+(\\d+)', 1), ''),
+    coalesce(element_at({_ROMAN_SQL}, upper(regexp_extract(x, '(?i)^Phần\\s+([IVX]+)', 1)))[1], nullif(regexp_extract(x, '(?i)^Phần\\s+([IVX]+)', 1), '')))), lambda x: x IS NOT NULL) AS nums,
+  list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '{_LESSON_RE}')), lambda x: {_pair_sql('x', _LESSON_RE)}), lambda p: p.topic <> '') AS lines,
+  list_filter(list_transform(regexp_extract_all(text, '(?i)(Bài\\s+\\d+[.:;)\\s]\\s*[^\\n]{{3,60}})', 1), lambda x: {_pair_sql('x', _INLINE_RE)}), lambda p: p.topic <> '') AS inl FROM l),
+v AS (SELECT doc_id, CASE WHEN len(nums) > 0 THEN list_transform({_first_seen('nums')}, lambda x: 'Chương ' || x) WHEN len(lines) > 0 THEN {_topics_sql('lines')}
+  WHEN len(inl) > 0 THEN {_topics_sql('inl')} ELSE ['Chương 1'] END AS chapters FROM k)"""
+
+
+@query("j18_chapter_inventory", f"WITH {INVENTORY_SQL} SELECT doc_id, CAST(len(chapters) AS INTEGER) AS n_chapters, array_to_string(chapters, ' | ') AS chapters FROM v")
 def j18_chapter_inventory(spark, d):
     return st.chapter_inventory(tf.books(spark, d)).select("doc_id", "n_chapters", F.array_join("chapters", " | ").alias("chapters"))
 
 
+_NUMERALS = "MAP {" + ", ".join(f"'{r}': {i}" for i, r in enumerate(lx.ROMAN[:lx.CHAPTER_ROMANS], 1)) + "}"
+
+
+# Odd documents also name parts, in digits, in numerals and in lower case.
+_NAMED = "text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PHẦN ' || (CASE doc_id % 5 WHEN 0 THEN 'IV' WHEN 1 THEN 'xii' WHEN 2 THEN 'XIX' WHEN 3 THEN 'IIII' ELSE 'X' END) || ' và chapter 0' || (doc_id % 9) ELSE '' END"
+
+
+@query("j18_chapter_numbers", f"""WITH {tf.BOOKS_SQL}, b AS (SELECT doc_id, {_NAMED} AS text FROM books),
+n AS (SELECT doc_id, list_sort(list_distinct(list_concat(
+  list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMBERS[0].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(x AS BIGINT)), list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMBERS[1].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(x AS BIGINT)),
+  list_filter(list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMERALS[0].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(element_at({_NUMERALS}, x)[1] AS BIGINT)), lambda x: x IS NOT NULL)))) AS numbers FROM b)
+SELECT doc_id, array_to_string(numbers, ',') AS numbers, CAST(greatest(len(numbers), 1) AS INTEGER) AS n_chapters,
+  CASE WHEN len(numbers) = 0 THEN 'Chương 1' ELSE array_to_string(list_transform(numbers, lambda x: 'Chương ' || x), ' | ') END AS chapters FROM n""")
+def j18_chapter_numbers(spark, d):
+    named = tf.books(spark, d).select("doc_id", F.expr(_NAMED.replace("chr(10)", "'\n'")).alias("text"))
+    return st.chapter_numbers(named).select(
+        "doc_id", F.array_join(c("numbers").cast("array<string>"), ",").alias("numbers"), "n_chapters", F.array_join("chapters", " | ").alias("chapters"))
+
+
 @query("j19_outline", f"""WITH {tf.BOOKS_SQL}, l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM books),
 t AS (SELECT doc_id, ls, coalesce(list_filter(list_transform(ls[1:10], lambda x: {tf.sql_strip('x')}), lambda x: length(x) > 5 AND length(x) < 100 AND x = upper(x) AND x <> lower(x))[1], '') AS title,
   unnest(range(0, least(len(ls), 200))) AS i FROM l)
@@ -402,11 +453,11 @@ def d18_top_terms(spark, d):
 @query("i32_snippets", f"""WITH {tf.SECTIONS_SQL} SELECT doc_id, pos, array_to_string({tf.sql_snippets('content', 4, 140)}, ' | ') AS snippets FROM sections""")
 def i32_snippets(spark, d):
     rows = st.split_sections(tf.books(spark, d))
-    return rows.select("doc_id", "pos", F.array_join(tx.ranked_snippets(c("content"), lead_chars=lx.SNIPPET_CHARS), " | ").alias("snippets"))
+    return rows.select("doc_id", "pos", F.array_join(tx.ranked_snippets(c("content")), " | ").alias("snippets"))
 
 
 @query("i33_key_phrases", f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(substring(text, 1, 5000), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '{tf.SP}+'),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '{tf.SP}+'),
   lambda w: length(w) BETWEEN 3 AND 25 AND NOT regexp_matches(w, '^\\d+$') AND NOT list_contains({tf.quoted(lx.KEYWORD_STOP_WORDS)}, lower(w))) AS ws FROM documents),
 g AS (SELECT doc_id, list_concat(list_transform(range(1, len(ws)), lambda i: {{'g': lower(ws[i] || ' ' || ws[i + 1]), 'z': 2}}),
    list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: {{'g': lower(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]), 'z': 3}})) AS gs FROM w),
@@ -422,7 +473,7 @@ SELECT doc_id, array_to_string(list_reduce(wl, lambda a, x: CASE WHEN len(a) >=
 FROM j""")
 def i33_key_phrases(spark, d):
     docs = spread(load(spark, d, "documents").select("doc_id", "text"))
-    return tm.key_phrases(docs, "doc_id", "text", lead_chars=lx.PHRASE_CHARS).select("doc_id", F.array_join("phrases", " | ").alias("phrases"))
+    return tm.key_phrases(docs, "doc_id", "text").select("doc_id", F.array_join("phrases", " | ").alias("phrases"))
 
 
 KEYWORDS = ("the", "with", "des", "und")
@@ -453,6 +504,42 @@ def i35_extractive_answer(spark, d):
     return drafts.select("doc_id", "pos", F.md5("answer").alias("answer_md5"))
 
 
+_SCORE = f"""CASE WHEN regexp_matches(s, '(?i)^(?:{"|".join(lx.METADATA_STARTS)})') THEN -100 WHEN nw < 20 THEN 0 ELSE
+  len(regexp_extract_all(lower(s), '\\d+[.,]?\\d*\\s*%|\\d+[.,]\\d+|\\d{{4}}|\\d+ [a-zà-ỹ]+')) * 10 + len(regexp_extract_all(s, '[A-ZÀ-Ỹ][a-zà-ỹ]+(?:\\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)+')) * 6
+  + {tf.sql_hits('lower(s)', lx.EXAMPLE_MARKERS)} * 8 - {tf.sql_hits('lower(s)', lx.GENERIC_SENTENCE_PHRASES)} * 8 + kw * 12 + CASE WHEN kw >= 2 THEN 8 ELSE 0 END
+  + CASE WHEN nw BETWEEN 30 AND 120 THEN 6 WHEN nw BETWEEN 20 AND 29 OR nw BETWEEN 121 AND 150 THEN 3 ELSE 0 END + CASE WHEN i < 2 THEN 5 WHEN i < 5 THEN 3 ELSE 0 END
+  + {tf.sql_hits('lower(s)', lx.DEFINITION_MARKERS)} * 3 - CASE WHEN length(s) - length(regexp_replace(s, '[|*#]', '', 'g')) > 3 THEN 5 ELSE 0 END END"""
+_TITLES = f"CASE level {' '.join(f'WHEN {k} THEN {tf.quoted(v)}' for k, v in lx.ANSWER_TITLES.items())} END"
+
+
+@query("i35_structured_answer", f"""
+WITH {tf.MARKED_SQL}, d AS (SELECT doc_id, doc_id % 6 + 1 AS level, doc_id % 6 + 1 AS np, doc_id % 2 = 0 AS keyed, {SENTENCES_SQL} AS ss FROM marked),
+u AS (SELECT doc_id, unnest(range(0, len(ss))) AS k, {tf.sql_strip('unnest(ss)')} AS s FROM d),
+g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, {tf.sql_words('s')} AS nw, {tf.sql_hits('lower(s)', KEYWORDS)} AS kw FROM u
+  WHERE NOT regexp_matches(s, '(?i)^(?:{"|".join(lx.DRAFT_METADATA_STARTS)})') AND length(s) > 50 AND {tf.sql_words('s')} >= 25),
+h AS (SELECT doc_id, list(s ORDER BY i) AS plain, list(s ORDER BY {_SCORE} DESC, i) AS best FROM g GROUP BY doc_id),
+p AS (SELECT d.doc_id, np, {_TITLES} AS ts, CASE WHEN keyed AND len(plain) > np * 2 THEN best[1:np * 3] ELSE coalesce(plain, []) END AS ss FROM d LEFT JOIN h USING (doc_id)),
+q AS (SELECT *, greatest(2, len(ss) // np) AS run FROM p),
+r AS (SELECT doc_id, i, ts, list_slice(ss, i * run + 1, (i + 1) * run) AS part FROM (SELECT *, unnest(range(0, np)) AS i FROM q)),
+t AS (SELECT doc_id, i, ts, list_filter(part, lambda x, j: list_position(list_transform(part, lambda y: lower(y)), lower(x)) = j) AS us FROM r),
+a AS (SELECT doc_id, i, CASE WHEN len(us) > 0 THEN '- ' || coalesce(ts[i + 1], 'Chi tiết bổ sung ' || (i - len(ts) + 1)) || array_to_string(list_transform(us, lambda x, j: CASE WHEN j = 1 THEN x
+  WHEN {" OR ".join(f"starts_with(x, '{w}')" for w in lx.DRAFT_LINKED_STARTS)} THEN ' ' || x ELSE ' ' || {tf.quoted(lx.DRAFT_CONNECTORS)}[(j - 1) % 7 + 1] || ' ' || x END), '') ELSE '' END AS piece FROM t)
+SELECT doc_id, md5(string_agg(piece, '' ORDER BY i)) AS answer_md5, CAST(count(*) FILTER (piece <> '') AS INTEGER) AS n_points FROM a GROUP BY doc_id""")
+def i35_structured_answer(spark, d):
+    level = c("doc_id") % 6 + 1
+    titles = F.create_map(*[x for lv, names in lx.ANSWER_TITLES.items() for x in (F.lit(lv).cast("bigint"), tx.lit_array(names))])
+    keywords = F.when(c("doc_id") % 2 == 0, tx.lit_array(KEYWORDS)).otherwise(F.array().cast("array<string>"))
+    rows = tf.marked_documents(spark, d).select("doc_id", tx.sentences(c("text")).alias("ss"))
+    answer = tm.structured_answer(c("ss"), level.cast("int"), F.element_at(titles, level), keywords)
+    rows = st.computed_once(rows, ["doc_id"], {"answer": answer})
+    # Sentences hold no dash after their start of the form that begins a point.
+    points = F.size(F.regexp_extract_all("answer", F.lit(_POINT_STARTS), F.lit(0)))
+    return rows.select("doc_id", F.md5("answer").alias("answer_md5"), points.cast("int").alias("n_points"))
+
+
+_POINT_STARTS = "- (?:" + "|".join([*sorted({t for ts in lx.ANSWER_TITLES.values() for t in ts}, key=len, reverse=True), r"Chi tiết bổ sung \d"]) + ")"
+
+
 @query("i36_unsupported_lines", f"""
 WITH qa AS (SELECT c.conv_id, c.turn, c.conv_id * 8 + c.turn AS pair_id, c.text AS answer, d.text AS source FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'assistant'),
 l AS (SELECT pair_id, source, unnest(range(0, len(ls))) AS line_no, {tf.sql_strip('unnest(ls)')} AS line FROM (SELECT pair_id, source, string_split(answer, chr(10)) AS ls FROM qa)),
