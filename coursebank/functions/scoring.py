@@ -44,6 +44,15 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.round(bind(content_tokens(a), lambda x: set_share(x, content_tokens(b))), 4)
 
 
+def source_features(source: Column, lead_chars: int | None = None) -> Column:
+    """What the scores of a pair need of its source, whatever the pair: read once where many pairs share a source."""
+    low = F.lower(F.coalesce(source, F.lit("")))
+    return F.struct(
+        F.array_distinct(content_tokens(source)).alias("words"), content_tokens(tx.normalise_math(source)).alias("tokens"),
+        source_terms(source).alias("terms"), anchor_terms(source).alias("anchors"), aspect_hits(tx.lead(low, lead_chars)).alias("shown"),
+        F.length(tx.strip(source)).alias("chars"), (source == "").alias("empty"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     def grams(toks: Column) -> Column:
         starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(
@@ -418,16 +427,18 @@ def aspect_hits(text: Column) -> Column:
 
 
 def aspect_gap(question: Column, answer: Column, clo: Column, title: Column, content: Column, level: Column,
-               lead_chars: int | None = None) -> Column:
+               lead_chars: int | None = None, shown: Column | None = None) -> Column:
     """What an outcome asks for against what question and answer show.
 
-    STRUCT(aspects, skills, topics, q_hit, a_hit, content_hit, content_missing, and coverages).
+    STRUCT(aspects, skills, topics, q_hit, a_hit, content_hit, content_missing, and coverages). ``shown`` gives the aspects of
+    the content where they are known already.
     """
     low = lambda x: F.lower(F.coalesce(x, F.lit("")))
-    section = F.concat(low(title), F.lit("\n"), tx.lead(low(content), lead_chars))
+    section = F.concat(low(title), F.lit("\n"), tx.lead(low(content), lead_chars)) if shown is None else low(title)
     base = F.struct(
         clo_aspects(clo).alias("aspects"), aspect_hits(low(question)).alias("q"), aspect_hits(low(answer)).alias("a"),
-        aspect_hits(F.concat(low(question), F.lit("\n"), low(answer))).alias("qa"), aspect_hits(section).alias("s"))
+        aspect_hits(F.concat(low(question), F.lit("\n"), low(answer))).alias("qa"),
+        (aspect_hits(section) if shown is None else F.array_union(aspect_hits(section), shown)).alias("s"))
     skills = tx.lit_array(lx.SKILL_ASPECTS)
 
     def narrowed(x: Column) -> Column:

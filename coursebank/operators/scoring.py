@@ -9,7 +9,7 @@ from coursebank import lexicons as lx
 from coursebank.functions import replies as rp
 from coursebank.functions import scoring as sc
 from coursebank.functions import text as tx
-from coursebank.operators.structure import computed_once
+from coursebank.operators.structure import DEFAULT_CHAPTER, computed_once, explode_chapters, explode_sections
 
 c = F.col
 
@@ -128,22 +128,23 @@ def feasibility(candidates: DataFrame) -> DataFrame:
 def score_pairs(qa: DataFrame, outcome: bool = False, aspect_chars: int | None = None) -> DataFrame:
     """All measures of question-answer pairs; with ``outcome`` also the verdict on the learning outcome.
 
-    Input: level, question, answer, source; optional title and clo. Texts are tokenised once and the
-    token arrays dropped again, so a row stays as wide as its scores.
+    Input: level, question, answer, source; optional title and clo. Instead of ``source`` a row may carry ``features``
+    (see ``read_sources``). Texts are tokenised once and the token arrays dropped again, so a row stays as wide as its scores.
     """
-    keep = qa.columns
-    df = qa.withColumns({
+    keep = [x for x in qa.columns if x != "features"]
+    df = qa if "features" in qa.columns else qa.withColumn("features", sc.source_features(c("source"), aspect_chars))
+    df = df.withColumns({
         "_q": F.lower("question"), "_a": F.lower("answer"), "_points": rp.answer_points(c("answer")),
-        "_s2": sc.content_tokens(tx.normalise_math(c("source"))), "_terms": sc.source_terms(c("source")),
-        "_anchors": sc.anchor_terms(c("source")), "_a3": sc.content_tokens(c("answer"), 3)})
+        "_a3": sc.content_tokens(c("answer"), 3)})
+    empty = c("features.empty")
     level = c("level")
     df = df.withColumns({
         "n_points": F.size("_points"),
-        "question_overlap": sc.word_overlap(c("question"), c("source")),
-        "ngram_score": sc.ngram_share(sc.content_tokens(tx.normalise_math(c("answer"))), c("_s2")),
-        "concept_score": F.when((c("answer") == "") | (c("source") == ""), F.lit(0.0)).otherwise(
-            sc.concept_share(c("_a3"), c("_terms"))),
-        "anchor": F.when(c("source") == "", F.lit(0.0)).otherwise(sc.anchor_share(c("_points"), c("_anchors"))),
+        "question_overlap": F.round(tx.bind(sc.content_tokens(c("question")), lambda q: sc.set_share(q, c("features.words"))), 4),
+        "ngram_score": sc.ngram_share(sc.content_tokens(tx.normalise_math(c("answer"))), c("features.tokens")),
+        "concept_score": F.when((c("answer") == "") | empty, F.lit(0.0)).otherwise(
+            sc.concept_share(c("_a3"), c("features.terms"))),
+        "anchor": F.when(empty, F.lit(0.0)).otherwise(sc.anchor_share(c("_points"), c("features.anchors"))),
         "tautology": sc.tautology(c("_points")), "point_overlap": sc.max_point_overlap(c("_points")),
         "verb": sc.verb_score(c("_q"), level), "_rule": sc.question_rule(c("_q"), level),
         "scenario": F.when(level == 3, sc.scenario_score(c("_q"))).otherwise(F.lit(1.0)),
@@ -160,13 +161,12 @@ def score_pairs(qa: DataFrame, outcome: bool = False, aspect_chars: int | None =
         "diversity": sc.diversity(c("point_overlap"), c("n_points")),
         "question_ok": c("_rule.ok"), "question_score": c("_rule.score"), "question_reason": c("_rule.reason"),
         "step_ok": c("_step.ok"), "step_reason": c("_step.reason"),
-        "template": sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level, c("source") != ""),
+        "template": sc.is_template(c("_a"), c("_step.ok"), c("anchor"), level, ~empty),
     }
     if outcome:
         made["aspects"] = F.when(_no_outcome(qa), F.lit("ok")).otherwise(sc.aspect_verdict(sc.aspect_gap(
-            c("question"), c("answer"), c("clo"), _has(qa, "title", "string"), c("source"), level, aspect_chars),
-            level))
-        made["source_chars"] = F.length(tx.strip(c("source")))
+            c("question"), c("answer"), c("clo"), _has(qa, "title", "string"), F.lit(""), level, shown=c("features.shown")), level))
+        made["source_chars"] = c("features.chars")
     return computed_once(df, keep, made) if outcome else df.select(*keep, *[v.alias(k) for k, v in made.items()])
 
 
@@ -175,6 +175,48 @@ def _no_outcome(df: DataFrame) -> Column:
     return clo.isNull() | (F.trim(clo) == "")
 
 
+def read_sources(pairs: DataFrame, sections: DataFrame) -> DataFrame:
+    """``pairs`` (doc_id, section_pos, level, ...) with the ``features`` and ``title`` of the source that their level is judged by.
+
+    Levels 3 and 4 are judged by the pair's own section, the others by the whole chapter it stands in. ``sections`` has
+    doc_id and an array ``sections`` (see ``structure.sectioned``). Only the sources that some pair needs are read, each once,
+    however many pairs share it. A pair without such a section has an empty source.
+    """
+    parts = explode_sections(sections).select(
+        "doc_id", c("pos").alias("section_pos"), F.coalesce("chapter", F.lit(DEFAULT_CHAPTER)).alias("chapter"), "title", "content")
+    named = pairs.drop("title", "source").join(parts.drop("content"), ["doc_id", "section_pos"], "left")
+    own = c("level").isin(3, 4)
+    named = named.withColumns({"at": F.when(own, c("section_pos")), "of": F.when(~own, c("chapter"))})
+    wanted = named.select("doc_id", "at", "of").distinct()
+    near = parts.join(wanted.where("at IS NOT NULL").select("doc_id", c("at").alias("section_pos")), ["doc_id", "section_pos"], "left_semi")
+    wide = explode_chapters(sections).join(wanted.where("of IS NOT NULL").select("doc_id", c("of").alias("chapter")), ["doc_id", "chapter"], "left_semi")
+    both = near.select("doc_id", c("section_pos").cast("int").alias("at"), F.lit(None).cast("string").alias("of"), "content").unionByName(
+        wide.select("doc_id", F.lit(None).cast("int").alias("at"), c("chapter").alias("of"), "content"))
+    read = computed_once(both, ["doc_id", "at", "of"], {"features": sc.source_features(c("content"))})
+    # One key for both kinds, so that one join serves them.
+    key = lambda: F.coalesce(F.concat(F.lit("#"), c("at").cast("string")), F.concat(F.lit("="), c("of")))
+    read = read.select("doc_id", key().alias("source_key"), "features")
+    rows = named.withColumn("source_key", key()).drop("at", "of").join(read, ["doc_id", "source_key"], "left")
+    return rows.withColumns({"features": F.coalesce("features", sc.source_features(F.lit(""))), "title": F.coalesce("title", F.lit(""))}).drop("source_key", "chapter")
+
+
+def judged_replies(replies: DataFrame, sections: DataFrame, aspect_chars: int | None = None) -> DataFrame:
+    """Verdict of each reply (doc_id, section_pos, level, attempt, raw, required_points, clo) by both later gates.
+
+    A reply is first read and tested against its section; a usable one is then scored against the source of its level.
+    Adds ``passed`` and ``why`` (the first reason of either gate).
+    """
+    texts = explode_sections(sections).select("doc_id", c("pos").alias("section_pos"), "title", c("content").alias("source"))
+    known = replies.join(texts, ["doc_id", "section_pos"], "left").withColumns(
+        {"title": F.coalesce("title", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    key = ["doc_id", "section_pos", "level", "attempt"]
+    read = accept_replies(known, aspect_chars).select(*key, "clo", "question", "answer", "accepted", "reject_reason")
+    scored = evaluate_qa(read_sources(read.where("accepted").drop("accepted", "reject_reason"), sections), aspect_chars)
+    scored = scored.select(*key, (c("decision") == "pass").alias("good"), "fail_reason")
+    rows = read.join(scored, key, "left")
+    return rows.select(*key, F.coalesce("good", F.lit(False)).alias("passed"), F.coalesce("reject_reason", "fail_reason").alias("why"))
+
+
 def evaluate_qa(qa: DataFrame, aspect_chars: int | None = None) -> DataFrame:
     """Decision, quality and first failed rule of each pair (see ``score_pairs`` for the input)."""
     qa = qa if "clo" in qa.columns else qa.withColumn("clo", F.lit(None).cast("string"))

@@ -16,7 +16,9 @@ from coursebank.operators import scoring as ops
 from coursebank.plans import scoring_fixtures as sf
 from coursebank.plans import text_fixtures as tf
 from coursebank.plans.registry import query
+from coursebank.plans import scoring_queries as qs
 from coursebank.plans.scoring_queries import gated_sections
+from coursebank.session import written
 from coursebank.sources.tables import load, spread
 
 c = F.col
@@ -374,7 +376,7 @@ _MODEL = ("CASE pair_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS mode
 
 def _reported(spark, d):
     pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer")
-    books = st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"]))
+    books = written(st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"])), "sectioned")
     n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
     asked = pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n")
     report = gr.answer_report(asked, books)
@@ -386,6 +388,67 @@ def i29_answer_report(spark, d):
     return _reported(spark, d)
 
 
+# --- verdicts -----------------------------------------------------------------------------------
+
+
+def _placed(spark, d):
+    """Pairs with the section they belong to, and the sectioned documents."""
+    pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer", "clo")
+    books = written(st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"])), "sectioned")
+    n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
+    return pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n"), books
+
+
+def judged_sql(pairs: str) -> str:
+    """The evaluation of ``pairs``, whose sources are the own section at levels 3 and 4 and the whole chapter else."""
+    rest = sf.EVALUATE_SQL.removeprefix(sf.QA_SQL)
+    return f"""{sf.QA_SQL.replace("pairs AS (SELECT", "all_pairs AS (SELECT", 1)}, book_sections AS (WITH {tf.SECTIONS_SQL} SELECT * FROM sections),
+book_chapters AS (SELECT doc_id, coalesce(chapter, 'Nội dung') AS chapter, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content FROM book_sections GROUP BY 1, 2),
+placed AS (SELECT p.*, CAST(pair_id % n AS INTEGER) AS section_pos FROM all_pairs p JOIN (SELECT doc_id, count(*) AS n FROM book_sections GROUP BY 1) USING (doc_id)),
+{pairs}{rest}"""
+
+
+_SOURCED = """pairs AS (SELECT p.pair_id, p.doc_id, p.level, p.question, p.answer, CASE WHEN level IN (3, 4) THEN s.content ELSE h.content END AS source, s.title AS title, p.clo
+  FROM {rows} p JOIN book_sections s ON s.doc_id = p.doc_id AND s.pos = section_pos JOIN book_chapters h ON h.doc_id = p.doc_id AND h.chapter = coalesce(s.chapter, 'Nội dung'))"""
+
+
+@query("i28_by_level", f"""WITH {judged_sql(_SOURCED.format(rows="placed"))} SELECT pair_id, level, question_overlap, groundedness, quality, decision,
+  CASE WHEN decision = 'pass' THEN NULL ELSE coalesce(hard, 'below_threshold') END AS fail_reason FROM evaluated""")
+def i28_by_level(spark, d):
+    pairs, books = _placed(spark, d)
+    return ops.evaluate_qa(ops.read_sources(pairs, books)).select(
+        "pair_id", "level", "question_overlap", "groundedness", "quality", "decision", "fail_reason")
+
+
+# A pair is a reply to its section and level, the n-th by pair number is the n-th attempt.
+_ATTEMPT = "CAST(row_number() OVER (PARTITION BY doc_id, section_pos, level ORDER BY pair_id) AS INTEGER)"
+_USABLE = f"""replies AS (SELECT *, {_ATTEMPT} AS attempt FROM placed),
+gated AS (WITH pairs AS (SELECT p.* EXCLUDE (source, title), s.content AS source, s.title AS title FROM placed p JOIN book_sections s ON s.doc_id = p.doc_id AND s.pos = section_pos)
+  {qs.ACCEPT_SQL.removeprefix(sf.QA_SQL)} SELECT pair_id, question, answer, reject_reason FROM accepted),
+usable AS (SELECT p.* REPLACE (g.question AS question, g.answer AS answer) FROM placed p JOIN gated g USING (pair_id) WHERE g.reject_reason IS NULL), {_SOURCED.format(rows="usable")}"""
+JUDGED_REPLIES_SQL = f"""judged_replies AS (WITH {judged_sql(_USABLE)} SELECT r.doc_id, r.section_pos, r.level, r.attempt, coalesce(e.decision = 'pass', false) AS passed,
+  coalesce(g.reject_reason, CASE WHEN e.decision = 'fail' THEN coalesce(e.hard, 'below_threshold') END) AS why FROM replies r JOIN gated g USING (pair_id) LEFT JOIN evaluated e USING (pair_id))"""
+
+
+def _judged(spark, d):
+    pairs, books = _placed(spark, d)
+    return ops.judged_replies(pairs.selectExpr(
+        "doc_id", "section_pos", "level", "clo", f"{_ATTEMPT} AS attempt", f"{qs.raw_reply()} AS raw", f"{qs.NEED} AS required_points"), books)
+
+
+@query("j14_verdicts", f"WITH {JUDGED_REPLIES_SQL} SELECT * FROM judged_replies")
+def j14_verdicts(spark, d):
+    return _judged(spark, d)
+
+
+@query("j14_judged_assignment", f"WITH {JUDGED_REPLIES_SQL}, " + ASSIGN_SQL.replace(
+    ATTEMPT_SQL, "firsts AS (SELECT doc_id, section_pos AS pos, level, min(attempt) AS attempt FROM judged_replies WHERE passed AND attempt <= 5 GROUP BY ALL)"))
+def j14_judged_assignment(spark, d):
+    """Sections go to targets by what the gates say of their replies."""
+    verdicts = pl.first_pass(_judged(spark, d).withColumnRenamed("section_pos", "pos"), ["doc_id", "pos", "level"])
+    return pl.assign(pl.with_verdicts(candidates(spark, d), verdicts), pl.expand_plan(plan(spark, d)))
+
+
 # --- experiment reports --------------------------------------------------------------------------
 
 EVAL = ("l_returnflag AS model", "concat('B', least(l_linenumber, 6)) AS bloom_short", "CAST(l_partkey % 4 AS INT) AS pdf",

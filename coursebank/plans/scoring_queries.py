@@ -79,9 +79,17 @@ _RAW = "concat('**BLOOM:** Bloom ', level, '\n**QUESTION:** ', question, '\nANSW
 _NEED = "CAST(3 + pair_id % 4 AS INT)"
 
 
+NEED = _NEED
+
+
+def raw_reply() -> str:
+    """Spark SQL of the stand-in reply of a pair."""
+    return _RAW.replace("\n", "\\n")
+
+
 def _replies(spark, d):
     rows = sf.qa_pairs(spark, d)
-    return rows.select("pair_id", "level", "source", "title", "clo", F.expr(_RAW.replace("\n", "\\n")).alias("raw"),
+    return rows.select("pair_id", "level", "source", "title", "clo", F.expr(raw_reply()).alias("raw"),
                        F.expr(_NEED).alias("required_points"))
 
 
