@@ -221,5 +221,7 @@ def round_robin(sections: DataFrame, n_slots: int, seed: int = 0) -> DataFrame:
     mine = F.get("ch", c("slot") % n)
     picked = slots.select("doc_id", "slot", mine["slot_chapter"].alias("slot_chapter"),
                           (F.floor(c("slot") / n) % mine["n_sections"]).cast("int").alias("idx"))
-    level = (F.pmod(F.xxhash64(F.lit(seed), c("doc_id"), c("slot")), F.lit(6)) + 1).cast("int")
+    # The first 60 bits of a digest, as a number.
+    name = F.md5(F.concat_ws("/", F.lit(str(seed)), c("doc_id").cast("string"), c("slot").cast("string")))
+    level = (F.conv(F.substring(name, 1, 15), 16, 10).cast("bigint") % 6 + 1).cast("int")
     return picked.join(placed, ["doc_id", "slot_chapter", "idx"]).select("doc_id", "slot", "slot_chapter", "pos", level.alias("level"))

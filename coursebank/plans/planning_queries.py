@@ -17,6 +17,7 @@ from coursebank.plans import scoring_fixtures as sf
 from coursebank.plans import text_fixtures as tf
 from coursebank.plans.registry import query
 from coursebank.plans import scoring_queries as qs
+from coursebank.plans import text_queries as tq
 from coursebank.plans.scoring_queries import gated_sections
 from coursebank.session import written
 from coursebank.sources.tables import load, spread
@@ -234,7 +235,17 @@ def i19_ranked_matches(spark, d):
     return rows.withColumns({"score": F.round("score", 6), "covers": F.array_join(oc.aspect_names(c("covers")), " ")})
 
 
-@query("bank_plan")
+_CHAPTER_NO = "nullif(regexp_extract({x}, '(?i)^Chapter\\s+(\\d+)', 1), '')"
+BANK_SQL = f"""assigned AS (WITH {ASSIGN_SQL}), {tf.SECTIONS_SQL},
+titles AS (SELECT doc_id, pos, chapter, title, {tq.TITLE_LINE_SQL} AS t FROM sections), {tq.REPAIRED_SQL},
+shown_titles AS (SELECT doc_id, pos, num, coalesce(nullif({tq._SHOWN}, ''), title) AS shown FROM repaired_titles),
+labelled AS (SELECT a.*, {tq._english_sql("coalesce(s.chapter, 'Nội dung')")} AS chap, {tq._english_sql("coalesce(num, '')")} AS sec, num, shown
+  FROM assigned a JOIN sections s ON s.doc_id = a.doc_id AND s.pos = a.pos JOIN shown_titles h ON h.doc_id = a.doc_id AND h.pos = a.pos)"""
+
+
+@query("bank_plan", f"""WITH {BANK_SQL} SELECT doc_id, level, k, pos, attempt, points AS total_points, CAST(floor(points / 0.25) AS INTEGER) AS sub_points_count,
+  array_to_string(list_transform(range(1, CAST(floor(points / 0.25) AS BIGINT) + 1), lambda i: 'Ý ' || i || ': 0.25đ'), ' | ') AS points_breakdown,
+  CASE WHEN num IS NULL OR {_CHAPTER_NO.format(x="chap")} = {_CHAPTER_NO.format(x="sec")} THEN chap || ': ' || shown ELSE chap || ' - Section ' || sec || ': ' || shown END AS section_info, clo FROM labelled""")
 def bank_plan(spark, d):
     sections = st.split_sections(tf.books(spark, d))
     return pl.assemble_results(bank_rows(spark, d), sections, "en")
@@ -272,7 +283,7 @@ def e11_round_robin(spark, d):
     return pl.round_robin(_slotted(spark, d), 12).drop("level")
 
 
-@query("j20_slot_levels")
+@query("j20_slot_levels", f"WITH {ROBIN_SQL} SELECT *, CAST(CAST('0x' || left(md5('7/' || doc_id || '/' || slot), 15) AS BIGINT) % 6 + 1 AS INTEGER) AS level FROM robin")
 def j20_slot_levels(spark, d):
     return pl.round_robin(_slotted(spark, d), 12, seed=7)
 

@@ -162,6 +162,19 @@ def b10_valid_feedback(spark, d):
         "id", "email", F.length("message").cast("bigint").alias("message_chars"))
 
 
+# Every message with the reason why it isn't stored; long ones are made by repeating the text.
+_LONG = "CASE WHEN id % 5 = 0 THEN repeat(message, 30) ELSE message END"
+
+
+@query("b10_checked_feedback", f"""
+WITH {fx.FEEDBACK_SQL}, f AS (SELECT id, trim(email) AS email, trim({_LONG}) AS message FROM feedback)
+SELECT id, email, length(message) AS message_chars, CASE WHEN coalesce(email, '') = '' THEN 'no_email' WHEN coalesce(message, '') = '' THEN 'no_message'
+  WHEN length(email) > 255 THEN 'long_email' WHEN length(message) > 5000 THEN 'long_message' END AS reason FROM f""")
+def b10_checked_feedback(spark, d):
+    rows = fx.feedbacks(spark, d).withColumn("message", F.expr(_LONG))
+    return rel.checked_feedback(rows).select("id", "email", F.length("message").cast("bigint").alias("message_chars"), "reason")
+
+
 @query("b12_hidden_algorithms", f"""
 WITH {fx.QA_SQL} SELECT algorithm, count(*) AS n FROM qa WHERE NOT coalesce(contains(lower(algorithm), 'ao'), false) GROUP BY ALL""")
 def b12_hidden_algorithms(spark, d):

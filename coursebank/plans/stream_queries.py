@@ -123,6 +123,19 @@ def a3_corpus_listing(spark, d):
     return pg.list_corpus(spark, d, "*.parquet").select("name", "length")
 
 
+_CORPUS = {"documents": "text", "benchmark": "text", "pages": "html", "conversations": "text"}
+
+
+@query("a3_corpus_contents", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS name, count(*) AS n_rows, CAST(sum(coalesce(length({x}), 0)) AS BIGINT) AS n_chars FROM {t}" for t, x in _CORPUS.items()))
+def a3_corpus_contents(spark, d):
+    out = None
+    for table, text in _CORPUS.items():
+        part = pg.corpus_contents(spark.read.parquet(f"{d}/{table}.parquet"), text)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a10_results", f"""WITH {sf.EVALUATE_SQL} SELECT doc_id AS document_id, md5(substring(source, 1, 1000)) AS content_md5, question, md5(answer) AS answer_md5, 'Bloom ' || level AS bloom_level,
   '20240131093000' AS batch_id, CAST(0.5 + 0.5 * level AS DOUBLE) AS total_points FROM evaluated WHERE decision = 'pass'""")
 def a10_results(spark, d):

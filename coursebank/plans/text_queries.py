@@ -106,8 +106,10 @@ SECTION_NO_SQL = """coalesce(nullif(regexp_extract(t, '^(\\d+\\.\\d+\\.\\d+\\.\\
   'Mục ' || nullif(regexp_extract(t, '(?i)^(?:Mục|MUC)\\s+(\\d+(?:\\.\\d+)*)', 1), ''),
   nullif(regexp_extract(t, '(?i)^(\\d+)\\s+[a-zA-Z""" + lx._V + """đ]', 1), ''))"""
 
+# The title as its number is read from it.
+TITLE_LINE_SQL = r"regexp_replace(regexp_replace(trim(regexp_replace(title, '\s+', ' ', 'g')), '(\d+)\.\s+(\d+)', '\1.\2', 'g'), '(\d+)\.\s+(\d+)', '\1.\2', 'g')"
 TITLES_SQL = f"""{tf.HEADER_SQL}, titles AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS pos, chapter, title, content,
-  regexp_replace(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '(\\d+)\\.\\s+(\\d+)', '\\1.\\2', 'g'), '(\\d+)\\.\\s+(\\d+)', '\\1.\\2', 'g') AS t FROM header_sections)"""
+  {TITLE_LINE_SQL} AS t FROM header_sections)"""
 
 
 def _headed(spark, d):
@@ -128,7 +130,31 @@ def h8_title_tests(spark, d):
                                     tx.is_chapter_title(t).alias("is_chapter"), tx.is_usable_title(t).alias("usable"))
 
 
-@query("h9_title_repair")
+def _english_sql(t):
+    """Section words in English; words are bounded as in Unicode."""
+    for pattern, word in lx.LOCALISED:
+        bound = pattern.removeprefix(r"\b")
+        tail = ""
+        if bound.endswith(r"\b"):
+            bound, tail = bound.removesuffix(r"\b"), f"({tf.NO_LETTER}|$)"
+        for _ in range(2):  # neighbours share a border
+            t = f"regexp_replace({t}, '(?i)(^|{tf.NO_LETTER}){bound}{tail}', '\\1{word}{chr(92) * 1 + '2' if tail else ''}', 'g')"
+    return t
+
+
+_DOUBLED = r"(?i)^(Chapter\s+\d+)\s*-\s*Section\s+(Chapter\s+\d+)\s*:\s*"
+_SHOWN = ("trim(regexp_replace(trim(regexp_replace(CASE WHEN num IS NOT NULL AND starts_with(s, num) THEN trim(regexp_replace(trim(substring(s, length(num) + 1)), '^:+', '')) ELSE s END, "
+          "'(?i)^Chương\\s*\\d+\\s*[:.]?\\s*', '')), '(?i)^Bài\\s+\\d+[:.\\s]+\\s*', ''))")
+REPAIRED_SQL = f"""numbered_titles AS (SELECT *, {SECTION_NO_SQL} AS num FROM titles), whole AS (SELECT doc_id, pos, title, num, title AS t FROM numbered_titles), {tf.sql_repair('whole', 'rw')},
+trimmed AS (SELECT doc_id, pos, trim(title) AS t FROM titles), {tf.sql_repair('trimmed', 'rt')},
+repaired_titles AS (SELECT rw.doc_id, rw.pos, rw.t AS repaired, {tf.sql_cut('rt.t', 40)} AS cut, title, num, rw.t AS s FROM rw JOIN rt USING (doc_id, pos)),
+english_titles AS (SELECT *, {_english_sql('title')} AS e FROM repaired_titles)"""
+
+
+@query("h9_title_repair", f"""WITH {TITLES_SQL}, {REPAIRED_SQL}
+SELECT doc_id, pos, repaired, cut, coalesce(nullif({_SHOWN}, ''), title) AS shown,
+  CASE WHEN lower(regexp_extract(e, '{_DOUBLED}', 1)) = lower(regexp_extract(e, '{_DOUBLED}', 2)) AND regexp_matches(e, '{_DOUBLED}') THEN regexp_replace(e, '{_DOUBLED}', '\\1: ') ELSE e END AS english
+FROM english_titles""")
 def h9_title_repair(spark, d):
     t = c("title")
     return _headed(spark, d).select("doc_id", "pos", tx.repair_title(t).alias("repaired"), tx.cut_title(t, 40).alias("cut"),
@@ -141,12 +167,21 @@ def h15_strict_headers(spark, d):
     return tf.books(spark, d).select("doc_id", tx.strict_header_count(c("text")).alias("n_headers"))
 
 
-@query("h16_roman", f"""SELECT doc_id, coalesce({tf.ROMAN_MAP}[upper(r)], r) AS n FROM
-  (SELECT doc_id, {tf.quoted(lx.ROMAN + ("xl", "iv", "7"))}[doc_id % 33 + 1] AS r FROM documents)""")
+# Odd documents also name parts, in digits, in numerals and in lower case.
+NAMED = "text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PHẦN ' || (CASE doc_id % 5 WHEN 0 THEN 'IV' WHEN 1 THEN 'xii' WHEN 2 THEN 'XIX' WHEN 3 THEN 'IIII' ELSE 'X' END) || ' và chapter 0' || (doc_id % 9) ELSE '' END"
+
+
+# Numerals of part lines that are added to the books (see NAMED), and what follows "Chương" in the books.
+_FOUND = r"(?i)(?:PHẦN|Chương)\s+([A-Za-z]+|\d+)"
+
+
+@query("h16_roman", f"""WITH {tf.BOOKS_SQL}, b AS (SELECT doc_id, {NAMED} AS text FROM books),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_FOUND}', 1)) AS r FROM b) SELECT doc_id, coalesce({tf.ROMAN_MAP}[upper(r)], r) AS n, count(*) AS times FROM r GROUP BY ALL""")
 def h16_roman(spark, d):
-    names = lx.ROMAN + ("xl", "iv", "7")
-    raw = F.get(tx.lit_array(names), (c("doc_id") % len(names)).cast("int"))
-    return load(spark, d, "documents").select("doc_id", tx.roman_to_int(raw).alias("n"))
+    named = tf.books(spark, d).select("doc_id", F.expr(NAMED.replace("chr(10)", "'\\n'")).alias("text"))
+    found = F.regexp_extract_all("text", F.lit(_FOUND.replace("(?i)", "(?iu)")), F.lit(1))
+    rows = named.select("doc_id", F.explode(found).alias("r"))
+    return rows.select("doc_id", tx.roman_to_int(c("r")).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times"))
 
 
 @query("h18_section_label", f"""WITH {TITLES_SQL}, n AS (SELECT *, {SECTION_NO_SQL} AS num FROM titles)
@@ -272,7 +307,22 @@ def c12_page_of_offset(spark, d):
     return pg.page_of_offset(positions, docs)
 
 
-@query("j6_page_chunks")
+# Pages packed by a fold over their places in the merged text; the text is prepared after the places were taken.
+PAGE_CHUNK_SQL = f"""{MERGED_SQL}, mg AS (SELECT doc_id, {tf.sql_strip("string_agg(text, chr(10) || chr(10) ORDER BY page_num)")} AS text,
+  list({{'page': CAST(page_num AS INTEGER), 'start': CAST(start AS INTEGER)}} ORDER BY page_num) AS bs FROM off GROUP BY doc_id),
+mg1 AS (SELECT doc_id, bs, {tf.sql_break(tf.sql_normalise('text'))} AS text FROM mg), mg2 AS (SELECT doc_id, bs, {tf.sql_long_lines('text')} AS text FROM mg1),
+mp AS (SELECT doc_id, text, list_transform(bs, lambda b, i: {{'page': b.page, 'start': b.start, 'stop': CAST(coalesce(bs[i + 1].start - 2, length(text)) AS INTEGER)}}) AS ps FROM mg2),
+mf AS (SELECT doc_id, text, list_reduce(ps, lambda a, p: CASE WHEN a.cur IS NULL THEN {{'done': a.done, 'cur': {{'f': p.page, 'l': p.page, 's': p.start, 'e': p.stop, 'n': p.stop - p.start}}}}
+  WHEN a.cur.n > 0 AND a.cur.n + (p.stop - p.start) > 2500 THEN {{'done': list_append(a.done, a.cur), 'cur': {{'f': p.page, 'l': p.page, 's': p.start, 'e': p.stop, 'n': p.stop - p.start}}}}
+  ELSE {{'done': a.done, 'cur': {{'f': a.cur.f, 'l': p.page, 's': a.cur.s, 'e': p.stop, 'n': a.cur.n + (p.stop - p.start)}}}} END,
+  {{'done': []::STRUCT(f INTEGER, l INTEGER, s INTEGER, e INTEGER, n INTEGER)[], 'cur': NULL::STRUCT(f INTEGER, l INTEGER, s INTEGER, e INTEGER, n INTEGER)}}) AS z FROM mp),
+mu AS (SELECT doc_id, text, unnest(list_append(z.done, z.cur)) AS g FROM mf),
+mc AS (SELECT doc_id, g.s AS p, g.f AS f, g.l AS l, {tf.sql_strip("substring(text, g.s + 1, greatest(g.e - g.s, 0))")} AS content FROM mu),
+ml AS (SELECT *, trim(regexp_replace({tf.sql_strip("string_split(content, chr(10))[1]")}, ' {{2,}}', ' ', 'g')) AS t FROM mc), {tf.sql_repair('ml', 'mr')},
+page_sections AS (SELECT doc_id, p, 'Tài liệu' AS chapter, 'Trang ' || f || CASE WHEN f <> l THEN '-' || l ELSE '' END || ': ' || {tf.sql_cut('t', 300)} AS title, content FROM mr WHERE length(content) > 200)"""
+
+
+@query("j6_page_chunks", f"WITH {PAGE_CHUNK_SQL} {_short_sql('page_sections')}")
 def j6_page_chunks(spark, d):
     docs = pg.merge_pages(pg.choose_page_text(tf.pages(spark, d), "layer_text", "alt_text"))
     rows = docs.select("doc_id", tx.prepared(c("text")).alias("text"), "page_boundaries")
@@ -280,6 +330,17 @@ def j6_page_chunks(spark, d):
     return _short(st.explode_sections(packed))
 
 
+# Documents as they come have no headers, so what is left out of them are the short chunks.
+@query("j7_left_out", f"""WITH ld1 AS (SELECT doc_id, {tf.sql_break(tf.sql_normalise('text'))} AS text FROM documents), ld AS (SELECT doc_id, {tf.sql_long_lines('text')} AS text FROM ld1),
+lc AS (SELECT doc_id, list_filter(list_transform(range(0, greatest(length(text), 1), 2000), lambda i: {tf.sql_strip('substring(text, i + 1, 2000)')}), lambda x: x <> '') AS cs FROM ld),
+lu AS (SELECT doc_id, unnest(range(1, len(cs) + 1)) AS p, unnest(cs) AS content FROM lc), ls AS (SELECT * FROM lu WHERE length(content) <= 300),
+ll AS (SELECT *, trim(regexp_replace({tf.sql_strip("string_split(content, chr(10))[1]")}, ' {{2,}}', ' ', 'g')) AS t FROM ls), {tf.sql_repair('ll', 'lr')}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS pos, 'short' AS reason, 'Đoạn ' || p || ': ' || {tf.sql_cut('t', 300)} AS title, md5(content) AS content_md5, CAST(length(content) AS INTEGER) AS char_count FROM lr""")
+def j7_left_out(spark, d):
+    rows = st.left_out(load(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "pos", "reason", "title", F.md5("content").alias("content_md5"), "char_count")
+
+
 # --- structure ---------------------------------------------------------------------
 
 
@@ -400,18 +461,14 @@ def j18_chapter_inventory(spark, d):
 _NUMERALS = "MAP {" + ", ".join(f"'{r}': {i}" for i, r in enumerate(lx.ROMAN[:lx.CHAPTER_ROMANS], 1)) + "}"
 
 
-# Odd documents also name parts, in digits, in numerals and in lower case.
-_NAMED = "text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || 'PHẦN ' || (CASE doc_id % 5 WHEN 0 THEN 'IV' WHEN 1 THEN 'xii' WHEN 2 THEN 'XIX' WHEN 3 THEN 'IIII' ELSE 'X' END) || ' và chapter 0' || (doc_id % 9) ELSE '' END"
-
-
-@query("j18_chapter_numbers", f"""WITH {tf.BOOKS_SQL}, b AS (SELECT doc_id, {_NAMED} AS text FROM books),
+@query("j18_chapter_numbers", f"""WITH {tf.BOOKS_SQL}, b AS (SELECT doc_id, {NAMED} AS text FROM books),
 n AS (SELECT doc_id, list_sort(list_distinct(list_concat(
   list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMBERS[0].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(x AS BIGINT)), list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMBERS[1].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(x AS BIGINT)),
   list_filter(list_transform(regexp_extract_all(text, '{lx.CHAPTER_NUMERALS[0].replace("(?iu)", "(?i)")}', 1), lambda x: CAST(element_at({_NUMERALS}, x)[1] AS BIGINT)), lambda x: x IS NOT NULL)))) AS numbers FROM b)
 SELECT doc_id, array_to_string(numbers, ',') AS numbers, CAST(greatest(len(numbers), 1) AS INTEGER) AS n_chapters,
   CASE WHEN len(numbers) = 0 THEN 'Chương 1' ELSE array_to_string(list_transform(numbers, lambda x: 'Chương ' || x), ' | ') END AS chapters FROM n""")
 def j18_chapter_numbers(spark, d):
-    named = tf.books(spark, d).select("doc_id", F.expr(_NAMED.replace("chr(10)", "'\n'")).alias("text"))
+    named = tf.books(spark, d).select("doc_id", F.expr(NAMED.replace("chr(10)", "'\n'")).alias("text"))
     return st.chapter_numbers(named).select(
         "doc_id", F.array_join(c("numbers").cast("array<string>"), ",").alias("numbers"), "n_chapters", F.array_join("chapters", " | ").alias("chapters"))
 

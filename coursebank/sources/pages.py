@@ -16,6 +16,13 @@ def list_corpus(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFram
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), "length").orderBy("name")
 
 
+def corpus_contents(df: DataFrame, text: str, suffix: str = ".parquet") -> DataFrame:
+    """What each file, or directory of part files, of a table holds: name, rows and characters of its text."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+{suffix})(?:/|$)", 1)
+    return df.select(name.alias("name"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n")).groupBy("name").agg(
+        F.count("*").alias("n_rows"), F.sum("n").alias("n_chars"))
+
+
 def check_corpus_paths(paths: DataFrame, suffix: str = ".pdf") -> DataFrame:
     """Explicitly listed paths that have the wanted suffix, whatever its case."""
     return paths.where(F.lower("path").endswith(suffix))
