@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from coursebank import lexicons as lx
 
 WORD = r"[\p{L}\p{N}_]"
-ODD_SPACE = r"\t\r\f\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ODD_SPACE = r"\t\r\f\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Runs of white space inside a line, other than one plain space (which needs no replacing).
 SPACES = rf" {{2,}}(?![{ODD_SPACE}])| *[{ODD_SPACE}][ {ODD_SPACE}]*"
 # The same characters as a plain string, for trimming without a regular expression.
-SPACE_CHARS = " \t\n\r\x0b\x0c\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-ANY_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ANY_SPACE = r"[\s\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 # --- helpers ------------------------------------------------------------------
@@ -120,7 +120,7 @@ def normalise_text(text: Column) -> Column:
     tags |= {k: f"<sup>{v}</sup>" for k, v in lx.SUPERSCRIPTS.items()}
     special = "".join(lx.SUBSCRIPTS) + "".join(lx.SUPERSCRIPTS)
     tagged = bind(clean, lambda t: F.when(t.rlike(f"[{special}]"), replace_each(t, tags)).otherwise(t))
-    return F.when(is_ascii(text), F.regexp_replace(text, r" {2,}(?![\t\r\f\x0B])| *[\t\r\f\x0B][ \t\r\f\x0B]*", " ")).otherwise(
+    return F.when(is_ascii(text), F.regexp_replace(text, r" {2,}(?![\t\r\f\x0B\x1C-\x1F])| *[\t\r\f\x0B\x1C-\x1F][ \t\r\f\x0B\x1C-\x1F]*", " ")).otherwise(
         F.regexp_replace(tagged, SPACES, " "))
 
 

@@ -54,18 +54,21 @@ def bloom_distribution(qa: DataFrame, level_col: str = "bloom_level") -> DataFra
     """Canonical level distribution with share, rank order and the most frequent level.
 
     Raw labels are counted first and normalised afterwards, so the label rules run once per label.
-    Total and top level are scalar subqueries over the counts: no window without a partition.
+    Total and top level are scalar subqueries over the counts: no window without a partition. One level is the top one;
+    of equal counts the lowest level is, and of other labels the last by name.
     """
     raw = qa.groupBy(level_col).agg(F.count("*").alias("n"))
     levels = raw.groupBy(normalise_bloom(F.col(level_col)).alias("level")).agg(F.sum("n").alias("n"))
     known = F.array_position(F.array(*[F.lit(x) for x in lx.BLOOM_LABELS]), F.col("level"))
-    rows = levels.withColumns({
-        "total": levels.agg(F.sum("n")).scalar(), "top": levels.agg(F.max("n")).scalar()})
+    position = F.when(known > 0, known).otherwise(F.lit(7)).cast("int")
+    first = F.max(F.struct("n", (-position).alias("back"), "level"))
+    rows = levels.withColumns({"total": levels.agg(F.sum("n")).scalar(), "first": levels.agg(first).scalar()})
+    rows = rows.withColumn("top", F.col("first.n"))
     percent = lambda n: F.round(F.lit(100.0) * F.col(n) / F.greatest("total", F.lit(1)), 1)
     return rows.select(
         "level", bloom_short(F.col("level")).alias("short_label"), "n",
-        F.when(known > 0, known).otherwise(F.lit(7)).cast("int").alias("position"), "total",
-        percent("n").alias("share"), (F.col("n") == F.col("top")).alias("is_top"), percent("top").alias("top_share"))
+        position.alias("position"), "total", percent("n").alias("share"),
+        (F.col("level") == F.col("first.level")).alias("is_top"), percent("top").alias("top_share"))
 
 
 def algorithm_distribution(qa: DataFrame, hidden: list[str]) -> DataFrame:

@@ -303,10 +303,10 @@ def d2_raw_label_counts(spark, d):
 
 @query("d3_bloom_distribution", f"""
 WITH {fx.QA_SQL}, c AS (SELECT {NORMALISED} AS level, count(*) AS n FROM qa GROUP BY 1)
-SELECT level, regexp_replace(level, '^Bloom\\s*(\\d)\\s*\\((.+)\\)\\s*$', 'Bloom \\1 · \\2') AS short_label, n,
-  CAST(coalesce(list_position([{", ".join(f"'{x}'" for x in lx.BLOOM_LABELS)}], level), 7) AS INTEGER) AS position,
+SELECT level, regexp_replace(level, '^Bloom\\s*(\\d)\\s*\\((.+)\\)\\s*$', 'Bloom \\1 · \\2') AS short_label, n, position,
   CAST(sum(n) OVER () AS BIGINT) AS total, round(100.0 * n / sum(n) OVER (), 1) AS share,
-  n = max(n) OVER () AS is_top, round(100.0 * (max(n) OVER ()) / sum(n) OVER (), 1) AS top_share FROM c""")
+  row_number() OVER (ORDER BY n DESC, position, level DESC) = 1 AS is_top, round(100.0 * (max(n) OVER ()) / sum(n) OVER (), 1) AS top_share
+FROM (SELECT *, CAST(coalesce(list_position([{", ".join(f"'{x}'" for x in lx.BLOOM_LABELS)}], level), 7) AS INTEGER) AS position FROM c)""")
 def d3_bloom_distribution(spark, d):
     return an.bloom_distribution(fx.qa_results(spark, d))
 

@@ -69,7 +69,7 @@ BOOKS_SQL = f"""books AS (SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN text ELSE
     || substring(text, i * 600 + 1, 600) || chr(10) || {quoted(PHRASES)}[(doc_id + i) % 8 + 1]), chr(10)) END AS text
   FROM documents)"""
 
-SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SP = r"[\s\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def sql_strip(x: str) -> str:
@@ -84,7 +84,7 @@ def sql_normalise(x: str) -> str:
     x = f"regexp_replace(replace({x}, chr(160), ' '), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]', '', 'g')"
     for tag, chars in (("sub", lx.SUBSCRIPTS), ("sup", lx.SUPERSCRIPTS)):
         x = reduce(lambda t, kv: f"replace({t}, '{kv[0]}', '<{tag}>{kv[1]}</{tag}>')", chars.items(), x)
-    return (f"regexp_replace({x}, '[ \\t\\r\\f\\x0B\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}"
+    return (f"regexp_replace({x}, '[ \\t\\r\\f\\x0B\\x1C-\\x1F\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}"
             f"\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')")
 
 

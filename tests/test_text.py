@@ -110,3 +110,11 @@ def test_hmac(col):
     assert col(lambda t: replies.hmac_sha512(t, long), ["m"]) == [want]
     signed = lambda t: replies.signed_text(F.create_map(F.lit("b"), t, F.lit("a"), F.lit("~*")))
     assert col(signed, ["x y&é"]) == ["a=~%2A&b=x+y%26%C3%A9"]
+
+
+def test_all_white_space_counts(col):
+    """Separators of files and records, and the next-line sign, are white space, in ASCII texts and others."""
+    odd = "\x1c\x1d\x1e\x1f"
+    assert col(tx.strip, [(f"{odd} a\x85b \x85{odd}",)]) == ["a\x85b"]
+    assert col(lambda x: F.size(tx.words(x)), [("a\x1cb\x1fc\x85d",)]) == [4]
+    assert col(tx.normalise_text, [("a\x1c \x1db",), ("ạ\x85\x1fb",), ("a  b",), ("a\nb",)]) == ["a b", "ạ b", "a b", "a\nb"]
