@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from coursebank.llm.common import slices
+from coursebank.llm.common import give_back, slices
 
 CACHE_BYTES = 96_000_000  # of coded words that a task keeps
 WORD_BYTES = 330  # of Python's objects for a coded word, besides its characters
@@ -180,6 +180,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                                                  names=["doc_id", "ids", "decoded"])
         finally:
             coder.forget()
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

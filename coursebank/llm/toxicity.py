@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursebank.llm.common import slices, staged
+from coursebank.llm.common import give_back, slices, staged
 
 SAMPLE_ROWS = 6000  # labelled rows that a model learns from, at most
 LEXICON_SIZE = 3000  # entries, at most
@@ -184,6 +184,7 @@ def add_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield lists.cast(pa.list_(pa.float64()))
         finally:
             _chunks.clear()
+            give_back()
 
     return rows.withColumn("features", array_to_vector(features("text")))
 
