@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import duckdb
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from coursebank.llm.common import give_back, slices
 
 CACHE_BYTES = 96_000_000  # of coded words that a task keeps
-WORD_BYTES = 330  # of Python's objects for a coded word, besides its characters
+WORD_BYTES = 300  # of Python's objects for a coded word, besides its characters and ids
 DUCK_MEMORY = "200MB"
 LEARN_WORDS = 30_000
 LONG = 200  # bytes, under 256
@@ -93,7 +94,7 @@ class Bpe:
         self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()),
                                    "hex": pa.array([t.hex() for t in self.ranks])})
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.size = 0
 
     def forget(self) -> None:
@@ -130,26 +131,25 @@ class Bpe:
         self._table("start_rows", {"word": pa.array(np.repeat(np.array(short, np.int64), lens), pa.int32()),
                                    "pos": pa.array(at, pa.int32()), "id": pa.array(self.byte_id[flat], pa.int32())})
         rows = self.con.execute(f"""
-            SELECT word, count(*), string_agg(id::VARCHAR, ',' ORDER BY pos), string_agg(hex, '' ORDER BY pos)
+            SELECT word, list(id ORDER BY pos), string_agg(hex, '' ORDER BY pos)
             FROM (FROM done_rows UNION ALL FROM ({CONTRACT})) JOIN vocabulary USING (id) GROUP BY word""").fetchall()
-        self.known.update((new[i], (n, joined, bytes.fromhex(hexed))) for i, n, joined, hexed in rows)
-        self.size += WORD_BYTES * len(rows) + sum(len(joined) + len(hexed) for _, _, joined, hexed in rows)
+        self.known.update((new[i], (array("i", ids).tobytes(), bytes.fromhex(hexed))) for i, ids, hexed in rows)
+        self.size += WORD_BYTES * len(rows) + sum(4 * len(ids) + len(hexed) for _, ids, hexed in rows)
 
-    def encode(self, texts: list[str]) -> tuple[list[int], list[str], list[bytes]]:
-        """Per text: number of ids, the ids joined by commas, and the bytes that the ids decode to."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Per text the ids as 32-bit integers, and the bytes that the ids decode to."""
         pieces = [self.split(t) for t in texts]
         if self.size > CACHE_BYTES:
             self.forget()
         new = [w for w in set().union(*pieces) if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
-        n, ids, raw = [], [], []
+        ids, raw = [], []
         for doc in pieces:
             got = [*map(self.known.__getitem__, doc)]
-            n.append(sum(x[0] for x in got))
-            ids.append(",".join([x[1] for x in got]))
-            raw.append(b"".join([x[2] for x in got]))
-        return n, ids, raw
+            ids.append(b"".join([x[0] for x in got]))
+            raw.append(b"".join([x[1] for x in got]))
+        return ids, raw
 
 
 _loaded: dict[tuple[str, str], Bpe] = {}
@@ -173,9 +173,9 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         coder = loaded(ranks, pattern)
         try:
             for part in slices(batches, 1):
-                n, ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                flat = np.array([x for one in ids if one for x in one.split(",")], np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
+                ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                ends = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(raw, pa.binary())],
                                                  names=["doc_id", "ids", "decoded"])
         finally:
