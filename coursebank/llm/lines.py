@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursebank.llm.common import SPACES, bare, staged
 
+MADE = ("site", "clean_text", "n_lines", "n_dropped")
 MIN_PAGES = 5
 MAX_RATIO = 0.1
 
@@ -48,7 +49,7 @@ def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES, copies_count: bool = True) -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_lines`` and ``n_dropped``.
+    """``docs`` with ``site``, ``clean_text``, ``n_lines`` and ``n_dropped``; own columns of these names give way to them.
 
     A line goes from all pages of its host when at least ``min_pages`` of them and more than ``max_ratio`` of them
     have it. Pages without a host form one group of their own. Lines without a word stay and aren't counted; a null
@@ -74,6 +75,7 @@ def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: flo
                                  lambda x, i: F.coalesce(~F.array_contains("drops", i), F.lit(True))), "\n")
     kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: bare(x) != ""))
-    return out.select(*[F.col("row")[c].alias(c) for c in names], F.col("host").alias("site"),
+    kept_names = [c for c in names if c.lower() not in MADE]
+    return out.select(*[F.col("row")[c].alias(c) for c in kept_names], F.col("host").alias("site"),
                       kept.alias("clean_text"), n_lines.cast("long").alias("n_lines"),
                       F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))

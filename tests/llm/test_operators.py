@@ -153,3 +153,13 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and set(rows.columns) == {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"}
+
+
+def test_lines_with_clashing_names(spark):
+    rows = [(i, "shared\nown " + str(i), "h", "x", 7, 8, None) for i in range(9)] + [(9, None, None, None, None, None, "t")]
+    df = spark.createDataFrame(rows, "id int, text string, host string, site string, n_lines int, N_Dropped int, clean_text string")
+    got = lines.drop_boilerplate(df, F.col("host"), F.col("text"))
+    assert sorted(got.columns) == sorted(["id", "text", "host", "site", "clean_text", "n_lines", "n_dropped"])
+    found = {r.id: (r.site, r.clean_text, r.n_lines, r.n_dropped) for r in got.collect()}
+    assert found == {i: ("h", f"own {i}", 2, 1) for i in range(9)} | {9: (None, None, 0, 0)}
+    assert lines.drop_boilerplate(df.where("false"), F.col("host"), F.col("text")).count() == 0
