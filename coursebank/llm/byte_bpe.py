@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from coursebank.llm.common import give_back, slices
 
-CACHE_BYTES = 96_000_000  # of coded words that a task keeps
+CACHE_BYTES = 80_000_000  # of coded words that a worker keeps, about
 WORD_BYTES = 300  # of Python's objects for a coded word, besides its characters and ids
 DUCK_MEMORY = "200MB"
 LEARN_WORDS = 30_000
@@ -98,8 +99,9 @@ class Bpe:
         self.size = 0
 
     def forget(self) -> None:
-        """Give back what the words seen so far take."""
-        self.known, self.size = {}, 0
+        """Give back what the words seen so far take, once that is much, and the rows of the last contraction."""
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
         for name in ("done_rows", "start_rows"):
             self.con.execute(f"DROP TABLE IF EXISTS {name}")
 
@@ -139,8 +141,7 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Per text the ids as 32-bit integers, and the bytes that the ids decode to."""
         pieces = [self.split(t) for t in texts]
-        if self.size > CACHE_BYTES:
-            self.forget()
+        self.forget()
         new = [w for w in set().union(*pieces) if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
@@ -156,7 +157,7 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 
 
 def loaded(path: str, pattern: str) -> Bpe:
-    """The worker's coder for a rank file; its tables are kept between tasks, its words are not."""
+    """The worker's coder for a rank file; kept between tasks, with words of CACHE_BYTES at most."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(path, pattern)
     return _loaded[path, pattern]
@@ -171,6 +172,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(ranks, pattern)
+        gc.disable()  # no cycles are made here, and a large cache makes every collection long
         try:
             for part in slices(batches, 1):
                 ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
@@ -179,6 +181,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(raw, pa.binary())],
                                                  names=["doc_id", "ids", "decoded"])
         finally:
+            gc.enable()
             coder.forget()
             give_back()
 
