@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from coursebank.llm.common import give_back, slices
 
-CACHE_BYTES = 80_000_000  # of coded words that a worker keeps, about
+CACHE_BYTES = 80_000_000  # of coded words that a task keeps, about
 WORD_BYTES = 300  # of Python's objects for a coded word, besides its characters and ids
 DUCK_MEMORY = "200MB"
 LEARN_WORDS = 30_000
@@ -81,29 +81,32 @@ def _heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Bpe:
-    """Merge table and vocabulary in a DuckDB of the worker process, and the words it has coded."""
+    """Merge table and vocabulary in a DuckDB of the task, and the words it has coded."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1})
-        self.con.execute(f"SET memory_limit = '{DUCK_MEMORY}'")
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items()
                   for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         l, r, i = (pa.array(x, pa.int32()) for x in zip(*merges))
-        self._table("merges", {"l": l, "r": r, "id": i})
-        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()),
-                                   "hex": pa.array([t.hex() for t in self.ranks])})
+        self.tables = {"merges": {"l": l, "r": r, "id": i}, "vocabulary": {
+            "id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}}
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.con = None
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.size = 0
 
-    def forget(self) -> None:
-        """Give back what the words seen so far take, once that is much, and the rows of the last contraction."""
-        if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-        for name in ("done_rows", "start_rows"):
-            self.con.execute(f"DROP TABLE IF EXISTS {name}")
+    def open(self) -> None:
+        """A database in memory with the merge table and the vocabulary, for one task."""
+        self.con = duckdb.connect(config={"threads": 1})
+        self.con.execute(f"SET memory_limit = '{DUCK_MEMORY}'")
+        for name, columns in self.tables.items():
+            self._table(name, columns)
+
+    def close(self) -> None:
+        """Give back the database and the words; between tasks a worker only holds the ranks."""
+        self.con.close()
+        self.con, self.known, self.size = None, {}, 0
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -141,7 +144,8 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Per text the ids as 32-bit integers, and the bytes that the ids decode to."""
         pieces = [self.split(t) for t in texts]
-        self.forget()
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
         new = [w for w in set().union(*pieces) if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
@@ -157,7 +161,7 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 
 
 def loaded(path: str, pattern: str) -> Bpe:
-    """The worker's coder for a rank file; kept between tasks, with words of CACHE_BYTES at most."""
+    """The worker's coder for a rank file; its ranks are kept between tasks, its database and words are not."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(path, pattern)
     return _loaded[path, pattern]
@@ -173,6 +177,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(ranks, pattern)
         gc.disable()  # no cycles are made here, and a large cache makes every collection long
+        coder.open()
         try:
             for part in slices(batches, 1):
                 ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
@@ -182,7 +187,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                                                  names=["doc_id", "ids", "decoded"])
         finally:
             gc.enable()
-            coder.forget()
+            coder.close()
             give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
