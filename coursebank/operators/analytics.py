@@ -156,9 +156,9 @@ def bleu_report(qa_eval: DataFrame, digits: int = 4) -> DataFrame:
         *[F.round(F.avg(c), digits).alias(name) for c, name in mean.items()])
 
 
-def bleu_matrix(qa_eval: DataFrame, metric: str, models: list[str]) -> DataFrame:
+def bleu_matrix(qa_eval: DataFrame, metric: str, models: list[str], digits: int = 4) -> DataFrame:
     """Level x model matrix of a mean score."""
-    return qa_eval.groupBy("bloom_short").pivot("model", models).agg(F.round(F.avg(metric), 4))
+    return qa_eval.groupBy("bloom_short").pivot("model", models).agg(F.round(F.avg(metric), digits))
 
 
 def success_rate(qa_eval: DataFrame, plan: DataFrame) -> DataFrame:

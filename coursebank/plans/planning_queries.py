@@ -526,10 +526,10 @@ def d8_answer_bleu(spark, d):
     return an.bleu_report(_scored(spark, d), 10)
 
 
-@query("d9_answer_matrix", f"""WITH {SCORED_SQL} SELECT bloom_short, round(avg(bleu4_q_chapter) FILTER (model = 'A'), 4) AS "A", round(avg(bleu4_q_chapter) FILTER (model = 'N'), 4) AS "N",
-  round(avg(bleu4_q_chapter) FILTER (model = 'R'), 4) AS "R" FROM ev GROUP BY 1""")
+@query("d9_answer_matrix", f"""WITH {SCORED_SQL} SELECT bloom_short, round(avg(bleu4_q_chapter) FILTER (model = 'A'), 10) AS "A", round(avg(bleu4_q_chapter) FILTER (model = 'N'), 10) AS "N",
+  round(avg(bleu4_q_chapter) FILTER (model = 'R'), 10) AS "R" FROM ev GROUP BY 1""")
 def d9_answer_matrix(spark, d):
-    return an.bleu_matrix(_scored(spark, d), "bleu4_q_chapter", ["A", "N", "R"])
+    return an.bleu_matrix(_scored(spark, d), "bleu4_q_chapter", ["A", "N", "R"], 10)
 
 
 @query("d11_answer_accuracy", f"""WITH {SCORED_SQL} SELECT {_KEYS}, CAST(GROUPING_ID({_KEYS}) AS INTEGER) AS "grouping", count(*) AS n, CAST(count_if(is_correct) AS BIGINT) AS correct,
