@@ -20,3 +20,16 @@ def test_sentence_score_of_a_long_run_of_names(col):
     score = lambda s: tm.sentence_score(s, F.lit(9), tx.lit_array(["zz"]))
     # One name, however long; over 150 words earn nothing for their number.
     assert col(score, [run, run + " x " + run, " ".join(["word"] * 25)]) == [6, 12, 3]
+
+
+def test_key_phrases_are_counted_without_a_row_a_gram(spark):
+    text = "alpha beta gamma " * 4 + "delta " * 6 + "Omega Sigma. " * 3
+    rows = [(1, text), (2, "alpha beta"), (3, None), (4, ""), (5, "alpha beta gamma " * 2), (5, "alpha beta gamma")]
+    df = tm.key_phrases(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    got = {r.doc_id: r.phrases for r in df.collect()}
+    assert set(got) == {1, 5}
+    assert got[1] == ["delta delta", "alpha beta", "beta gamma", "alpha beta gamma", "delta delta delta"]
+    # Rows of one document are counted together, but no phrase crosses from one into the other.
+    assert got[5] == ["alpha beta", "beta gamma", "alpha beta gamma"]
+    # Grams are not rows of a shuffle.
+    assert "posexplode" not in plan_of(df) and plan_of(df).count("Exchange") == 1
