@@ -33,3 +33,20 @@ def test_key_phrases_are_counted_without_a_row_a_gram(spark):
     assert got[5] == ["alpha beta", "beta gamma", "alpha beta gamma"]
     # Grams are not rows of a shuffle.
     assert "posexplode" not in plan_of(df) and plan_of(df).count("Exchange") == 1
+
+
+def test_deletion_requests_of_a_busy_address(spark):
+    n, gap = 30_000, timedelta(minutes=15)
+    rows = [(2 * i, T0 + timedelta(seconds=20 * i), "a@x", "request", None) for i in range(n)]
+    rows += [(2 * i + 1, T0 + timedelta(seconds=20 * i + 50), "a@x", "confirm", 2 * i) for i in range(0, n, 7)]
+    rows += [(10**6, None, "a@x", "request", None), (10**6 + 1, None, "a@x", "request", None)]
+    confirmed = {r[4]: r[1] for r in rows if r[3] == "confirm"}
+    want, last = {10**6: True, 10**6 + 1: True}, None
+    for i, ts, *_ in rows[:n]:
+        refused = last is not None and last[0] >= ts - gap and (last[1] is None or last[1] > ts)
+        want[i] = not refused
+        last = last if refused else (ts, confirmed.get(i))
+    df = lg.deletion_requests(spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, email string, kind string, request_id bigint"))
+    assert {r.event_id: r.accepted for r in df.collect()} == want
+    # No address's history is gathered into one row, which a fold would copy at every step.
+    assert "collect_list" not in plan_of(df)
