@@ -10,6 +10,7 @@ from coursebank import lexicons as lx
 from coursebank.functions import scoring as sc
 from coursebank.functions import text as tx
 from coursebank.functions.labels import points
+from coursebank.operators.structure import computed_once
 
 c = F.col
 MAX_BOILERPLATE, MAX_SKIPS = 0.72, 20
@@ -185,13 +186,16 @@ def assign_plan(candidates: DataFrame, targets: DataFrame, min_clo: float = 0.06
 
 
 def assemble_results(assigned: DataFrame, sections: DataFrame, lang: str = "vi") -> DataFrame:
-    """Result rows of the filled targets: points, provenance label and section."""
-    filled = assigned.where(c("pos").isNotNull()).join(sections, ["doc_id", "pos"])
-    label = F.concat(F.lit("Bloom "), c("level").cast("string"))
-    rows = filled.withColumns({"p": points(label, c("points")), "num": tx.section_number(c("title"))})
+    """Result rows of the filled targets: points, provenance label and section. A section is labelled once for all its targets."""
+    asked = assigned.where(c("pos").isNotNull()).groupBy("doc_id", "pos").agg(
+        F.collect_list(F.struct("level", "k", "attempt", "points", "clo")).alias("asked"))
+    used = asked.join(sections, ["doc_id", "pos"]).withColumn("num", tx.section_number(c("title")))
     info = tx.section_label(F.coalesce("chapter", F.lit("Nội dung")), c("num"), tx.display_title(c("title")), c("page_num"), lang)
-    return rows.select("doc_id", "level", "k", "pos", "attempt", "p.total_points", "p.sub_points_count",
-                       "p.points_breakdown", info.alias("section_info"), "clo")
+    rows = computed_once(used, ["doc_id", "pos", "asked"], {"section_info": info})
+    rows = rows.select("doc_id", "pos", "section_info", F.explode("asked").alias("t")).select("doc_id", "pos", "section_info", "t.*")
+    label = F.concat(F.lit("Bloom "), c("level").cast("string"))
+    return rows.withColumn("p", points(label, c("points"))).select(
+        "doc_id", "level", "k", "pos", "attempt", "p.total_points", "p.sub_points_count", "p.points_breakdown", "section_info", "clo")
 
 
 def pseudo_chapter(sections: DataFrame) -> DataFrame:
