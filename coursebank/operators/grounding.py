@@ -9,6 +9,7 @@ from coursebank import lexicons as lx
 from coursebank.functions import scoring as sc
 from coursebank.functions import text as tx
 from coursebank.operators.structure import DEFAULT_CHAPTER, computed_once, explode_chapters, explode_rows, explode_sections
+from coursebank.sources.tables import dealt
 
 # Documents a block of a posting list, and blocks of one gram that a task meets together.
 BLOCK_DOCS, LIST_BLOCKS = 256, 64
@@ -201,7 +202,7 @@ def chapter_scores(answers: DataFrame, chapters: DataFrame, top_n: int | None =
     """
     left = read_answers(answers, "answer", ["doc_id", "pair_id"], orders)
     right = read_sources(chapters, "content", ["doc_id", "chapter_pos", "chapter"], fallback_words)
-    return scored(left.join(right, "doc_id"), ["doc_id", "pair_id", "chapter_pos", "chapter"], top_n, orders)
+    return scored(dealt(left.join(right, "doc_id")), ["doc_id", "pair_id", "chapter_pos", "chapter"], top_n, orders)
 
 
 def attribute_chapter(scores: DataFrame, own: DataFrame | Column) -> DataFrame:
@@ -239,7 +240,7 @@ def answer_report(pairs: DataFrame, sections: DataFrame, chapter_sentences: int
     key = ["doc_id", "pair_id"]
     named = pairs.join(own_names, ["doc_id", "section_pos"], "left")
     said = read_answers(named, "answer", [*key, "source_chapter"])
-    every = said.join(chapters, "doc_id")
+    every = dealt(said.join(chapters, "doc_id"))
     every = scored(every, [*key, "source_chapter", "chapter_pos", "chapter", "n_chapter"], chapter_sentences, (1, 2, 4))
     mine = F.col("chapter") == F.col("source_chapter")
     # One aggregate gives the own chapter's scores and the best chapter.
@@ -248,8 +249,8 @@ def answer_report(pairs: DataFrame, sections: DataFrame, chapter_sentences: int
         F.max(F.when(mine, F.struct("bleu1", "bleu2", "bleu4", "n_chapter"))).alias("mine"))
     asked = read_answers(named, "question", [*key, "source_chapter"], (4,)).join(
         chapters.withColumnRenamed("chapter", "source_chapter"), ["doc_id", "source_chapter"])
-    asked = scored(asked, key, chapter_sentences, (4,), "q").select(*key, F.col("q4").alias("bleu4_q_chapter"))
-    near = read_sources(named.where("own IS NOT NULL"), "own", key)
+    asked = scored(dealt(asked), key, chapter_sentences, (4,), "q").select(*key, F.col("q4").alias("bleu4_q_chapter"))
+    near = read_sources(dealt(named.where("own IS NOT NULL").select(*key, "own")), "own", key)
     near = scored(read_answers(pairs, "answer", key, (4,)).join(near, key), key, section_sentences, (4,), "s")
     near = near.select(*key, F.col("s4").alias("bleu4_ans_section"))
     rows = named.join(best, key, "left").join(asked, key, "left").join(near, key, "left")

@@ -317,7 +317,7 @@ def c16_corpus_attribution(spark, d):
 def _chapters(spark, d):
     """Chapters of the documents that have answers; the others are not split at all."""
     asked = load(spark, d, "conversations").select(c("conv_id").alias("doc_id")).distinct()
-    return st.explode_chapters(st.sectioned(rel.keep_matching(tf.books(spark, d), asked, ["doc_id"])))
+    return st.explode_chapters(st.sectioned(tf.books(spark, d, asked)))
 
 
 def _answers(spark, d):
@@ -387,7 +387,7 @@ _MODEL = ("CASE pair_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS mode
 
 def _reported(spark, d):
     pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer")
-    books = written(st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"])), "sectioned")
+    books = written(st.sectioned(tf.books(spark, d, pairs.select("doc_id").distinct())), "sectioned")
     n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
     asked = pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n")
     report = gr.answer_report(asked, books)
@@ -405,7 +405,7 @@ def i29_answer_report(spark, d):
 def _placed(spark, d):
     """Pairs with the section they belong to, and the sectioned documents."""
     pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer", "clo")
-    books = written(st.sectioned(rel.keep_matching(tf.books(spark, d), pairs.select("doc_id").distinct(), ["doc_id"])), "sectioned")
+    books = written(st.sectioned(tf.books(spark, d, pairs.select("doc_id").distinct())), "sectioned")
     n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
     return pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n"), books
 
