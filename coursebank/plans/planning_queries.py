@@ -112,7 +112,8 @@ def bank_rows(spark, d):
 
 @query("j14_assignment_joined", f"WITH {ASSIGN_SQL}")
 def j14_assignment_joined(spark, d):
-    ranked = candidates(spark, d)
+    # Read twice: the order of the sections, and the replies to them.
+    ranked = written(candidates(spark, d), "ranked")
     verdicts = pl.first_pass(attempts(ranked), ["doc_id", "pos", "level"])
     return pl.assign(pl.with_verdicts(ranked, verdicts), pl.expand_plan(plan(spark, d)))
 
