@@ -4,11 +4,19 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from coursebank import lexicons as lx
+from coursebank.functions import scoring as sc
 from coursebank.functions import text as tx
+from coursebank.operators import grounding as gr
 from coursebank.operators import ledger as lg
+from coursebank.operators import structure as st
 from coursebank.operators import terms as tm
+from coursebank.plans import planning_queries as pq
+from coursebank.plans import scoring_fixtures as sf
+from coursebank.plans import text_fixtures as tf
 
 T0 = datetime(2024, 1, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -50,3 +58,72 @@ def test_deletion_requests_of_a_busy_address(spark):
     assert {r.event_id: r.accepted for r in df.collect()} == want
     # No address's history is gathered into one row, which a fold would copy at every step.
     assert "collect_list" not in plan_of(df)
+
+
+def test_classes_behind_ranges_hold_the_same_characters(spark):
+    points = [chr(x) for x in range(0x10000) if not 0xD800 <= x <= 0xDFFF] + ["\U0001D6FC"]
+    df = spark.createDataFrame([(x,) for x in points], "x string")
+    got = {n: {r.x for r in df.where(F.col("x").rlike(p)).collect()} for n, p in
+           (("any", tx.ANY_SPACE), ("odd", tx.ODD_ONE), ("math", tx._MATH_ONE))}
+    assert got["any"] == set(tx.SPACE_CHARS)
+    assert got["odd"] == set(tx.SPACE_CHARS) - {" ", "\n"}
+    assert got["math"] == set(lx.MATH_WORDS)
+
+
+def test_grams_of_a_stored_array_take_no_slices(spark):
+    words = [f"w{i}" for i in range(12_000)]
+    df = spark.createDataFrame([(1, words), (2, ["a", "b"]), (3, ["a"]), (4, []), (5, None)], "i int, ws array<string>")
+    rows = df.select("i", *[sc.ngrams(F.col("ws"), n).alias(f"g{n}") for n in (1, 2, 4)])
+    got = {r.i: r for r in rows.collect()}
+    assert got[1].g1 == words and got[1].g4 == [" ".join(words[i:i + 4]) for i in range(11_997)]
+    assert [got[i].g2 for i in (2, 3, 4)] == [["a b"], [], []]
+    # A slice copies the array of every stored row for each gram: quadratic in its length.
+    assert "slice(" not in plan_of(rows)
+
+
+def test_content_of_a_section_is_cut_out_once(spark):
+    text = "".join(f"Chương {i}: Tiêu đề {i}\n" + "chữ thường dài. " * 12 + "\n" for i in range(1, 4))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    rows = df.select(st.header_sections(F.col("text")).alias("s"))
+    assert [(s.chapter, s.word_count, s.char_count) for s in rows.first().s] == [(f"Chương {i}", 36, 191) for i in (1, 2, 3)]
+    assert plan_of(rows).count("\\A[^\\n]*\\n?") == 1
+    # So is a long line that is broken at its inner headings.
+    assert plan_of(df.select(tx.split_long_lines(F.col("text")).alias("t"))).count(tx.BREAK_RULES[2][0]) == 1
+
+
+def test_book_parts_are_cut_in_one_pass(spark):
+    texts = [None, "", "a" * 600, "a" * 601, "\U0001D6FC" * 700 + "\n" + "b" * 600]
+    df = spark.createDataFrame([(i * 7 + 4, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = df.select("doc_id", tf.book_text().alias("text"))
+    got = {(r.doc_id - 4) // 7: r.text for r in rows.collect()}
+
+    def want(i, text):
+        if text is None:
+            return ""
+        parts = [text[k:k + 600] for k in range(0, max(len(text), 1), 600)]
+        return "\n".join(f"{k + 1}.\n{p}\n{tf.PHRASES[(i * 7 + 4 + k) % 8]}" for k, p in enumerate(parts))
+
+    assert got == {i: want(i, t) for i, t in enumerate(texts)}
+    # A substring for each part counts its characters from the start of the text.
+    assert "* 600" not in plan_of(rows)
+
+
+def test_pairs_are_dealt_out_after_their_joins(spark):
+    answers = spark.createDataFrame([(1, 1, "a b c d e"), (1, 2, "x"), (2, 3, "q")], "doc_id bigint, pair_id bigint, answer string")
+    chapters = spark.createDataFrame([(1, 0, "C", "A b c d e f. Other words here now.")], "doc_id bigint, chapter_pos int, chapter string, content string")
+    scores = gr.chapter_scores(answers, chapters, 7, orders=(4,))
+    # A number that is asked for is kept; partitions of a join are merged by their few bytes into fewer tasks than cores.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = f"Exchange RoundRobinPartitioning({tasks}), REPARTITION_BY_NUM"
+    assert plan_of(scores).count(dealt) == 1
+    assert {r.pair_id: r.bleu4 > 0 for r in scores.collect()} == {1: True, 2: False}
+    # Documents with pairs stand close together in few splits of the scan; pairs are made by a join.
+    asked = spark.createDataFrame([(1,), (3,)], "doc_id bigint")
+    picked = tf.books(spark, SF, asked)
+    assert plan_of(picked).count(dealt) == 1 and plan_of(sf.qa_pairs(spark, SF)).count(dealt) == 1
+    assert {r.doc_id for r in picked.collect()} == {1, 3}
+
+
+def test_candidates_of_an_assignment_are_made_once(spark):
+    plan = plan_of(pq.j14_assignment_joined(spark, SF))
+    assert "text:string" not in plan and plan.count("/ranked-") == 2
