@@ -144,9 +144,14 @@ class Bpe:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Per text the ids as 32-bit integers, and the bytes that the ids decode to."""
         pieces = [self.split(t) for t in texts]
-        if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-        new = [w for w in set().union(*pieces) if w not in self.known]
+        words = set().union(*pieces)
+        if self.size > CACHE_BYTES:  # words of this slice that an earlier one had are likely to come again
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.size = sum(WORD_BYTES + len(i) + 2 * len(b) for i, b in self.known.values())
+            if self.size > CACHE_BYTES // 2:
+                self.known, self.size = {}, 0
+        new = [*words.difference(self.known)]
+        del words
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
         ids, raw = [], []

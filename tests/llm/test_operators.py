@@ -163,3 +163,18 @@ def test_lines_with_clashing_names(spark):
     found = {r.id: (r.site, r.clean_text, r.n_lines, r.n_dropped) for r in got.collect()}
     assert found == {i: ("h", f"own {i}", 2, 1) for i in range(9)} | {9: (None, None, 0, 0)}
     assert lines.drop_boilerplate(df.where("false"), F.col("host"), F.col("text")).count() == 0
+
+
+def test_byte_bpe_keeps_recurring_words(monkeypatch):
+    coder = byte_bpe.Bpe(RANKS, public_tokenizers.PATTERN)
+    coder.open()
+    learned, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda new: (learned.append(sorted(new)), learn(new)))
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 3000)
+    texts = [f"again{' qx'.join(str(k) for k in range(n, n + 8))}" for n in (0, 900)]
+    got = [coder.encode([t]) for t in texts]
+    assert learned[0] and "again" in learned[0] and len(learned) == 2 and "again" not in learned[1]
+    code = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    for t, (ids, raw) in zip(texts, got):
+        assert np.frombuffer(ids[0], np.int32).tolist() == code.encode_ordinary(t) and raw[0] == t.encode()
+    coder.close()
