@@ -90,6 +90,19 @@ def test_repeats(docs):
         assert bytes(r.kept) == bytes(b for b, c in zip(raw, cover) if not c)
 
 
+def test_only_repeated_grams_go_on(spark):
+    """Every text learns which of its own grams others have, so contexts of single grams are never dealt out."""
+    rng = np.random.default_rng(3)
+    own = [bytes(rng.integers(97, 123, 400, dtype=np.uint8)).decode() for _ in range(8)]
+    common = "a passage that all but the last of these texts hold, in one place or another; it is long enough"
+    rows = [(i, t + common if i < 7 else t) for i, t in enumerate(own)]
+    found = repeats.repeated_grams(spark.createDataFrame(rows, "key long, text string"), 3, 50, 25).collect()
+    raw = np.frombuffer(common.encode(), np.uint8)
+    inside = set(repeats._low(repeats.gram_hashes(raw, 25)).tolist())
+    assert sorted(r.key for r in found) == list(range(7))
+    assert all(r.grams and set(r.grams) <= inside for r in found)
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
     many = spark.createDataFrame([(i, f"this is you {'idiot' if i % 2 else 'friend'} number {i % 7}!") for i in range(400)],
