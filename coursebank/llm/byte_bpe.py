@@ -6,7 +6,9 @@ import base64
 import gc
 import heapq
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import duckdb
 import numpy as np
@@ -16,10 +18,11 @@ from pyspark.sql import DataFrame
 
 from coursebank.llm.common import give_back, slices
 
-CACHE_BYTES = 80_000_000  # of coded words that a task keeps, about
-WORD_BYTES = 300  # of Python's objects for a coded word, besides its characters and ids
+CACHE_BYTES = 50_000_000  # of coded words that a task keeps, about
+WORD_BYTES = 160  # of a coded word in the cache, besides its characters and ids
 DUCK_MEMORY = "200MB"
-LEARN_WORDS = 30_000
+LEARN_WORDS = 10_000
+ENCODE_BYTES = 2_000_000
 LONG = 200  # bytes, under 256
 
 # Token-position rows (word, pos, id) with their right neighbour. Each step joins them with the merge table, finds the
@@ -80,21 +83,57 @@ def _heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
+class Sequences:
+    """Sequences of numbers end to end, each found by its place: no object for any of them."""
+
+    def __init__(self, kind: str):
+        self.flat, self.ends = array(kind), array("q", [0])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def add(self, some: list[int] | bytes) -> None:
+        self.flat.extend(some)
+        self.ends.append(len(self.flat))
+
+    def joined(self, places: np.ndarray) -> np.ndarray:
+        """The sequences at these places, one after the other."""
+        ends = np.asarray(self.ends)
+        lo = ends[places]
+        n = ends[places + 1] - lo
+        return np.asarray(self.flat)[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def kept(self, places: np.ndarray) -> Sequences:
+        """Only the sequences at these places."""
+        out, ends = Sequences(self.flat.typecode), np.asarray(self.ends)
+        out.flat.frombytes(self.joined(places).tobytes())
+        out.ends.frombytes(np.cumsum(ends[places + 1] - ends[places]).tobytes())
+        return out
+
+
 class Bpe:
     """Merge table and vocabulary in a DuckDB of the task, and the words it has coded."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items()
-                  for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        l, r, i = (pa.array(x, pa.int32()) for x in zip(*merges))
+        merges = array("i", (x for t, r in self.ranks.items() for k in range(1, len(t))
+                             if t[:k] in self.ranks and t[k:] in self.ranks for x in (self.ranks[t[:k]], self.ranks[t[k:]], r)))
+        l, r, i = (pa.array(x) for x in np.asarray(merges).reshape(-1, 3).T)
         self.tables = {"merges": {"l": l, "r": r, "id": i}, "vocabulary": {
             "id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}}
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.size = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty cache: words by place, and at each place the ids and the bytes decoded from them."""
+        self.known: dict[str, int] = {}
+        self.ids, self.raw = Sequences("i"), Sequences("B")
+
+    def size(self) -> int:
+        """Bytes of the cache, about; a word's characters and its decoded bytes are as many."""
+        return WORD_BYTES * len(self.known) + 4 * len(self.ids.flat) + 2 * len(self.raw.flat)
 
     def open(self) -> None:
         """A database in memory with the merge table and the vocabulary, for one task."""
@@ -106,7 +145,8 @@ class Bpe:
     def close(self) -> None:
         """Give back the database and the words; between tasks a worker only holds the ranks."""
         self.con.close()
-        self.con, self.known, self.size = None, {}, 0
+        self.con = None
+        self.forget()
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -138,28 +178,30 @@ class Bpe:
         rows = self.con.execute(f"""
             SELECT word, list(id ORDER BY pos), string_agg(hex, '' ORDER BY pos)
             FROM (FROM done_rows UNION ALL FROM ({CONTRACT})) JOIN vocabulary USING (id) GROUP BY word""").fetchall()
-        self.known.update((new[i], (array("i", ids).tobytes(), bytes.fromhex(hexed))) for i, ids, hexed in rows)
-        self.size += WORD_BYTES * len(rows) + sum(4 * len(ids) + len(hexed) for _, ids, hexed in rows)
+        for i, ids, hexed in rows:
+            self.known[new[i]] = len(self.ids)
+            self.ids.add(ids)
+            self.raw.add(bytes.fromhex(hexed))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Per text the ids as 32-bit integers, and the bytes that the ids decode to."""
-        pieces = [self.split(t) for t in texts]
-        words = set().union(*pieces)
-        if self.size > CACHE_BYTES:  # words of this slice that an earlier one had are likely to come again
-            self.known = {w: self.known[w] for w in words if w in self.known}
-            self.size = sum(WORD_BYTES + len(i) + 2 * len(b) for i, b in self.known.values())
-            if self.size > CACHE_BYTES // 2:
-                self.known, self.size = {}, 0
-        new = [*words.difference(self.known)]
-        del words
+        place = defaultdict(count().__next__)  # of a word in this slice; texts are held as places, not as strings
+        pieces = [array("i", map(place.__getitem__, self.split(t))) for t in texts]
+        words = [*place]
+        del place
+        if self.size() > CACHE_BYTES:  # words of this slice that an earlier one had are likely to come again
+            again = [w for w in words if w in self.known]
+            at = np.array([self.known[w] for w in again], np.int64)
+            self.ids, self.raw = self.ids.kept(at), self.raw.kept(at)
+            self.known = {w: i for i, w in enumerate(again)}
+            if self.size() > CACHE_BYTES // 2:
+                self.forget()
+        new = [w for w in words if w not in self.known]
         for lo in range(0, len(new), LEARN_WORDS):
             self.learn(new[lo:lo + LEARN_WORDS])
-        ids, raw = [], []
-        for doc in pieces:
-            got = [*map(self.known.__getitem__, doc)]
-            ids.append(b"".join([x[0] for x in got]))
-            raw.append(b"".join([x[1] for x in got]))
-        return ids, raw
+        at = np.array([self.known[w] for w in words], np.int64)
+        docs = [at[np.asarray(doc)] for doc in pieces]
+        return [self.ids.joined(doc).tobytes() for doc in docs], [self.raw.joined(doc).tobytes() for doc in docs]
 
 
 _loaded: dict[tuple[str, str], Bpe] = {}
@@ -184,7 +226,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         gc.disable()  # no cycles are made here, and a large cache makes every collection long
         coder.open()
         try:
-            for part in slices(batches, 1):
+            for part in slices(batches, 1, ENCODE_BYTES):
                 ids, raw = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))

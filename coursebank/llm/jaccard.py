@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursebank.llm.common import components, slices, staged
+from coursebank.llm.common import components, give_back, slices, staged
 
 WORDS = 4
 PERCENT = 85
@@ -96,6 +96,7 @@ def profiles(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
                 held = []
         if held:
             yield often()
+        give_back()
 
     names = ["doc_id", "th", "n", "node", "token", "docs"]
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
@@ -135,6 +136,7 @@ def node_prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words:
                 pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([prefix(s, heavy, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["node", "n", "prefix"])
+        give_back()
 
     rows = docs.select("text").mapInArrow(run, "node long, n long, prefix array<bigint>").dropDuplicates(["node"])
     return staged(rows.withColumn("gid", F.xxhash64("n", "prefix")), "prefixes")
@@ -149,6 +151,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()),
                                               pa.array([s.tobytes() for s in sets], pa.binary())],
                                              names=["node", "set"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), "text")
     # A bitmap of fixed size keeps most other texts out of the shuffle of the exact join below.
@@ -202,6 +205,7 @@ def verify(near: DataFrame, rows: DataFrame, docs: DataFrame, words: int, percen
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())),
                                               batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+        give_back()
 
     return staged(full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
 

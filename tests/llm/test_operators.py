@@ -1,6 +1,8 @@
 """Operators against brute force, on small tables with nulls, empty texts, ties and clashing columns."""
 
+import gc
 import itertools
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -191,3 +193,24 @@ def test_byte_bpe_keeps_recurring_words(monkeypatch):
     for t, (ids, raw) in zip(texts, got):
         assert np.frombuffer(ids[0], np.int32).tolist() == code.encode_ordinary(t) and raw[0] == t.encode()
     coder.close()
+
+
+def test_byte_bpe_holds_little():
+    """A slice's words and a task's coded words are held in flat arrays, not as objects for every occurrence."""
+    coder = byte_bpe.Bpe(RANKS, public_tokenizers.PATTERN)
+    coder.open()
+    text = " ".join(f"w{k % 500}" for k in range(200_000))
+    coder.encode([text])
+    tracemalloc.start()
+    ids, raw = coder.encode([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert raw[0] == text.encode() and most < 45 * len(text)
+    words = [f" zq{k}x" for k in range(4000)]
+    tracemalloc.start()
+    coder.learn(words)
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert all(w in coder.known for w in words) and kept < 140 * len(words)
+    coder.close()
