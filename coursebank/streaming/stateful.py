@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,7 +15,8 @@ from coursebank.functions import text as tx
 c = F.col
 MINUTE = 60_000_000  # microseconds, the unit of all times in state
 SLOT_MS = 6 * 3_600_000
-FLUSH = 1000
+FLUSH = 100_000  # events of an arrival that are held at once
+CONFIRM, UNNAMED, REQUEST = range(3)  # in the order of handling at one time; an unnamed request has no id
 
 DELETIONS = "event_id long, email string, accepted boolean, created long, expires long, confirmed long"
 JOBS = "job_id long, at long, seq long, percent int, phase string, done boolean, expired boolean"
@@ -29,7 +32,8 @@ class DeletionDesk(StatefulProcessor):
 
     Events wait, in slots of time, until the watermark has passed them; a timer per slot then handles what is due in
     order, so memory holds one slot of one address. The rest of the state is the last accepted request and the open
-    ones; a timer at the end of its life forgets an open request.
+    ones, which are read and written once a slot; a timer at the end of its life forgets an open request. So calls to
+    the state follow slots, arrivals and accepted requests, not events.
     """
 
     def __init__(self, cooldown: int, ttl: int):
@@ -37,75 +41,116 @@ class DeletionDesk(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Four numbers an event: time, 0 for a confirmation or 1 for a request, event, confirmed request or -1.
-        self.waiting = handle.getMapState("waiting", "slot long", "events array<long>")
+        # Parts of a slot hold three numbers an event: time, kind, and the request asked or confirmed.
+        self.slots = handle.getMapState("slots", "slot long", "parts long, timer long")
+        self.waiting = handle.getMapState("waiting", "slot long, part long", "events binary")
         self.last = handle.getValueState("last", "at long, request long, confirmed boolean")
         self.open = handle.getMapState("open", "request long", "at long")
 
-    def _put(self, events: list[tuple[int, int, int, int]]) -> None:
-        slots: dict[int, list] = {}
-        for e in events:
-            slots.setdefault(_up_to_ms(e[0]) // SLOT_MS, []).append(e)
-        for slot, some in slots.items():
-            old = self.waiting.getValue((slot,))
-            self.waiting.updateValue((slot,), ((list(old[0]) if old else []) + [x for e in some for x in e],))
-            self.handle.registerTimer(_up_to_ms(min(e[0] for e in some)))
+    def _put(self, events: dict[int, array], known: dict[int, list]) -> None:
+        """Add a part to each slot; ``known`` has parts, timer and registered timer of the slots met so far."""
+        for slot, some in events.items():
+            if slot not in known:
+                old = self.slots.getValue((slot,))
+                known[slot] = [old[0], old[1], old[1]] if old else [0, None, None]
+            at = known[slot]
+            self.waiting.updateValue((slot, at[0]), (some.tobytes(),))
+            first = _up_to_ms(min(some[::3]))
+            at[0], at[1] = at[0] + 1, first if at[1] is None else min(first, at[1])
+
+    def _close_slots(self, known: dict[int, list]) -> None:
+        for slot, (parts, timer, registered) in known.items():
+            self.slots.updateValue((slot,), (parts, timer))
+            if timer != registered:
+                self.handle.registerTimer(timer)
+
+    def _take(self, slot: int, parts: int) -> np.ndarray:
+        """A slot's events in order, which leave the state."""
+        flat = []
+        for part in range(parts):
+            flat.append(np.frombuffer(bytes(self.waiting.getValue((slot, part))[0]), np.int64))
+            self.waiting.removeKey((slot, part))
+        self.slots.removeKey((slot,))
+        events = np.concatenate(flat).reshape(-1, 3)
+        return events[np.lexsort(events.T[::-1])]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = []
-        for r in rows:
-            held.append((r.at, r.kind, r.event_id, -1 if r.request_id is None else r.request_id))
-            if len(held) == FLUSH:
-                self._put(held)
-                held = []
-        self._put(held)
+        held, n, known = {}, 0, {}
+        for _, _, at, asks, event, request in rows:  # by place: names cost as much as all the rest
+            if not asks and request is None:
+                continue  # confirms nothing
+            kind, of = (CONFIRM, request) if not asks else (UNNAMED, 0) if event is None else (REQUEST, event)
+            held.setdefault(_up_to_ms(at) // SLOT_MS, array("q")).extend((at, kind, of))
+            n += 1
+            if n % FLUSH == 0:
+                self._put(held, known)
+                held = {}
+        self._put(held, known)
+        self._close_slots(known)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         time = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (time // SLOT_MS,)
-        flat = self.waiting.getValue(slot)
-        flat = list(flat[0]) if flat else []
-        events = sorted(tuple(flat[i:i + 4]) for i in range(0, len(flat), 4))
-        due = [e for e in events if e[0] <= now]
-        if not due:
+        slot = time // SLOT_MS
+        held = self.slots.getValue((slot,))
+        if not held or held[1] != time:
             # Timers come in order, so events up to this time, but maybe not up to the watermark, have been handled.
             self._forget(time * 1000)
             return
-        yield from self._handle(key[0], due)
-        rest = events[len(due):]
-        self.waiting.removeKey(slot)
-        self._put(rest)
-
-    def _handle(self, email: str, due: list[tuple[int, int, int, int]]) -> Iterator[Row]:
+        events = self._take(slot, held[0])
+        due = int(np.searchsorted(events[:, 0], now, "right"))
+        yield from self._handle(key[0], events[:due].tolist())
+        if due < len(events):
+            known = {slot: [0, None, None]}
+            self._put({slot: array("q", events[due:].ravel().tolist())}, known)
+            self._close_slots(known)
+
+    def _handle(self, email: str, due: list[list[int]]) -> Iterator[Row]:
+        stored = {k[0]: v[0] for k, v in self.open.iterator()}
+        live = {request: made for request, made in stored.items() if made + self.ttl >= due[0][0]}
+        before = last = self.last.get() if self.last.exists() else None
         moment, confirmed_now = None, set()
-        for at, kind, event, request in due:
+        for at, kind, request in due:
             if at != moment:
                 moment, confirmed_now = at, set()
-            if kind == 0:
-                made = self.open.getValue((request,))
-                if made and at <= made[0] + self.ttl:
-                    yield self._confirm(email, request, made[0], at)
+            if kind == CONFIRM:
+                made = live.get(request)
+                if made is not None and at <= made + self.ttl:
+                    last = self._confirmed(live, last, request)
+                    yield self._accepted(email, request, made, at)
                 confirmed_now.add(request)
                 continue
-            last = self.last.get() if self.last.exists() else None
+            event = request if kind == REQUEST else None
             if last and not last[2] and last[0] >= at - self.cooldown:
                 yield Row(event_id=event, email=email, accepted=False, created=at, expires=None, confirmed=None)
                 continue
-            self.last.update((at, event, False))
-            self.open.updateValue((event,), (at,))
-            self.handle.registerTimer(_up_to_ms(at + self.ttl) + 1)
+            last = (at, event, False)
+            if event is None:  # no confirmation can name it
+                yield self._accepted(email, event, at, None)
+                continue
+            live[event] = at
             if event in confirmed_now:
-                yield self._confirm(email, event, at, at)
+                last = self._confirmed(live, last, event)
+                yield self._accepted(email, event, at, at)
             else:
-                yield Row(event_id=event, email=email, accepted=True, created=at, expires=at + self.ttl, confirmed=None)
-
-    def _confirm(self, email: str, request: int, made: int, at: int) -> Row:
-        self.open.removeKey((request,))
-        last = self.last.get()
-        if last and last[1] == request:
-            self.last.update((last[0], request, True))
+                yield self._accepted(email, event, at, None)
+        for request in stored.keys() - live.keys():
+            self.open.removeKey((request,))
+        for request, made in live.items():
+            if stored.get(request) != made:
+                self.open.updateValue((request,), (made,))
+                self.handle.registerTimer(_up_to_ms(made + self.ttl) + 1)
+        if last is not before:
+            self.last.update(tuple(last))
+            self.handle.registerTimer(_up_to_ms(last[0] + self.ttl) + 1)
+
+    @staticmethod
+    def _confirmed(live: dict[int, int], last: tuple | None, request: int) -> tuple | None:
+        del live[request]
+        return (last[0], request, True) if last and last[1] == request else last
+
+    def _accepted(self, email: str, request: int | None, made: int, at: int | None) -> Row:
         return Row(event_id=request, email=email, accepted=True, created=made, expires=made + self.ttl, confirmed=at)
 
     def _forget(self, now: int) -> None:

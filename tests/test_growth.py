@@ -1,5 +1,7 @@
 """Jobs whose time, stack or shuffled bytes must not grow faster than their input."""
 
+import random
+from collections import namedtuple
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -127,3 +129,81 @@ def test_pairs_are_dealt_out_after_their_joins(spark):
 def test_candidates_of_an_assignment_are_made_once(spark):
     plan = plan_of(pq.j14_assignment_joined(spark, SF))
     assert "text:string" not in plan and plan.count("/ranked-") == 2
+
+
+class Counted:
+    """A state variable and timers in memory that count their calls."""
+
+    def __init__(self):
+        self.kept, self.timers, self.calls = {}, set(), 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self): return self._call(() in self.kept)
+    def get(self): return self._call(self.kept.get(()))
+    def update(self, value): self._call(self.kept.update({(): value}))
+    def clear(self): self._call(self.kept.clear())
+    def getValue(self, key): return self._call(self.kept.get(key))
+    def updateValue(self, key, value): self._call(self.kept.update({key: value}))
+    def removeKey(self, key): self._call(self.kept.pop(key, None))
+    def iterator(self): return self._call(iter(list(self.kept.items())))
+    def registerTimer(self, ms): self._call(self.timers.add(ms))
+
+
+class CountedHandle(Counted):
+    def __init__(self):
+        super().__init__()
+        self.states = []
+
+    def getMapState(self, *_):
+        self.states.append(Counted())
+        return self.states[-1]
+
+    getValueState = getMapState
+
+
+def test_deletion_state_is_called_per_slot_not_per_event():
+    from types import SimpleNamespace as N
+
+    from coursebank.streaming import stateful as sl
+
+    rng, minute = random.Random(3), 60_000_000
+    Event = namedtuple("Event", "email ts at kind event_id request_id")
+    rows = []
+    for i in range(0, 20_000, 2):
+        at = rng.randrange(2 * 1440 * minute)
+        rows.append(Event(None, None, at=at, kind=1, event_id=i, request_id=None))
+        rows.append(Event(None, None, at=at + rng.randrange(600 * minute), kind=0, event_id=i + 1, request_id=i))
+    rows += [Event(None, None, at=5, kind=0, event_id=9, request_id=None), Event(None, None, at=6, kind=1, event_id=None, request_id=None)]
+    rng.shuffle(rows)
+    desk, handle = sl.DeletionDesk(15 * minute, 2880 * minute), CountedHandle()
+    desk.init(handle)
+    half = 1440 * 60_000
+    got, start = [], N(getCurrentWatermarkInMs=lambda: 0)
+    for lo in range(0, len(rows), 5000):
+        list(desk.handleInputRows(("a@x",), iter(rows[lo:lo + 5000]), start))
+    for mark in (half, 10 * half):
+        for ms in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(ms)
+            got += desk.handleExpiredTimer(("a@x",), N(getCurrentWatermarkInMs=lambda: mark), N(getExpiryTimeInMs=lambda: ms))
+        assert mark > half or 0 < len(got) < 10_000
+    want, last, made, seen = {}, None, {}, set()
+    order = sorted(rows, key=lambda r: (r.at, r.kind, r.event_id is not None, r.event_id or 0))
+    for r in order:
+        if r.kind == 0:
+            if r.request_id in made and r.at <= made[r.request_id] + 2880 * minute:
+                want[r.request_id] = (True, made.pop(r.request_id), r.at)
+                last = None if last and last[1] == r.request_id else last
+            continue
+        ok = not (last and last[0] >= r.at - 15 * minute)
+        want[r.event_id] = (ok, r.at, None)
+        if ok:
+            last = (r.at, r.event_id)
+            made[r.event_id] = r.at
+    found = {}
+    for r in got:
+        found[r.event_id] = max(found.get(r.event_id, ()), (r.accepted, r.created, r.confirmed or -1))
+    assert found == {k: (a, b, c or -1) for k, (a, b, c) in want.items()}
+    assert sum(c for _, _, c in want.values() if c) and handle.calls + sum(s.calls for s in handle.states) < 4000
