@@ -9,6 +9,7 @@ from coursebank.operators import outcomes as oc
 from coursebank.operators import relational as rel
 from coursebank.operators import structure as st
 from coursebank.operators import terms as tm
+from coursebank.plans import stream_queries as stq
 from coursebank.session import shared_folder
 from coursebank.sources import sinks
 from coursebank.sources.tables import COURSE_SCHEMAS, load_course_table
@@ -155,3 +156,23 @@ def test_erasure_of_all_tables(spark, small_store):
     assert left["feedbacks"] == ["2"] and left["user_auth_providers"] == ["2"]
     assert left["gate_logs"] == ["g3"] and left["evaluation_logs"] == ["e1"] and left["system_settings"] == ["k"]
     assert report["qa_results"] == (5, 2) and report["generation_logs"] == (0, 0)
+
+
+def test_decision_log_writes_every_stage_twice(spark, tmp_path, monkeypatch):
+    text = "1.1 Khái niệm mô hình\n" + "Phân tích mô hình kinh doanh và đánh giá rủi ro thanh toán. " * 12
+    docs = [(i, text + f"Tài liệu số {i}.", "vi", "s", 700) for i in range(1, 5)]
+    said = [(i, t, "user" if t % 2 == 0 else "assistant", f"Nội dung thứ {i}. Quy trình bao gồm các bước.") for i in range(1, 5) for t in range(4)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    writes, write = [], sinks.write_log
+
+    def noted(rows, path):
+        writes.append((rows.select("stage").first().stage, rows.count()))
+        write(rows, path)
+
+    monkeypatch.setattr(sinks, "write_log", noted)
+    found = stq.a11_decision_log(spark, str(tmp_path)).groupBy("stage").count().collect()
+    rows = {r.stage: r["count"] for r in found}
+    assert rows["generation"] == rows["evaluation"] == 8 and rows["gate"] >= 24 and rows["gate"] % 6 == 0
+    # The whole log of each stage is written a second time, and stays as after the first.
+    assert sorted(writes) == sorted(2 * [*rows.items()])
