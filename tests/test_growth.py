@@ -12,6 +12,7 @@ from coursebank.functions import text as tx
 from coursebank.operators import grounding as gr
 from coursebank.operators import ledger as lg
 from coursebank.operators import structure as st
+from coursebank.operators import scoring as ops
 from coursebank.operators import terms as tm
 from coursebank.plans import planning_queries as pq
 from coursebank.plans import scoring_fixtures as sf
@@ -207,3 +208,24 @@ def test_deletion_state_is_called_per_slot_not_per_event():
         found[r.event_id] = max(found.get(r.event_id, ()), (r.accepted, r.created, r.confirmed or -1))
     assert found == {k: (a, b, c or -1) for k, (a, b, c) in want.items()}
     assert sum(c for _, _, c in want.values() if c) and handle.calls + sum(s.calls for s in handle.states) < 4000
+
+
+def test_outcome_terms_are_searched_for_in_a_section(spark):
+    texts = ["mô hình kinh doanh, rủi ro_x", "Mô Hình. RỦI RO", "b2b2 b2b an ninh\U0001D6FC", "", None, "termınology terms (term)"]
+    rows = [(t, x, o) for t in ("Mô hình an ninh", None) for x in texts for o in ("Mô hình rủi ro", "an ninh b2b term", "  ", "", None)]
+    df = spark.createDataFrame(rows, "title string, content string, clo string")
+    both = F.struct(sc.section_features(F.col("title"), F.col("content")).alias("s"), sc.outcome_features(F.col("clo")).alias("o"))
+    want = F.when(F.col("clo").isNull() | (F.col("clo") == ""), F.lit(0.0)).otherwise(tx.bind(both, lambda x: sc.match_score(x["s"], x["o"])))
+    got = df.select(sc.clo_score(F.col("title"), F.col("content"), F.col("clo")).alias("got"), want.alias("want"))
+    assert got.count() == 60 and got.where("NOT got <=> want").count() == 0 and got.where("got > 0").count() > 5
+    # Only the outcome is split into words, not the text and title of the section.
+    assert plan_of(got.select("got")).count("regexp_extract_all") == 1
+
+
+def test_texts_without_odd_spaces_and_numbers_stay(col):
+    odd = [x for x in tx.SPACE_CHARS if x not in " \n"] + ["​", "‍", "﻿", "²", "₈", "⁺"]
+    spaced = [f"so sánh{x}mô hình" for x in odd] + ["a  b", "a​ b", "² 　 x", "a\tb", "1.2 Một. 1.3 Hai", "plain, 1. 2", "so sánh\nmô", None]
+    rules = lambda t: F.regexp_replace(tx.replace_each(F.regexp_replace(t, r"[\x{200B}-\x{200D}\x{FEFF}]", ""), {
+        **{k: f"<sub>{v}</sub>" for k, v in lx.SUBSCRIPTS.items()}, **{k: f"<sup>{v}</sup>" for k, v in lx.SUPERSCRIPTS.items()}}), tx.SPACES, " ")
+    assert col(tx.normalise_text, spaced) == col(rules, spaced)
+    assert col(tx.break_inline_headings, ["Hết. 1.2 Một", "Hết. 2 Một", None]) == ["Hết.\n1.2 Một", "Hết. 2 Một", None]
