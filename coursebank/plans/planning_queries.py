@@ -405,7 +405,7 @@ def i29_answer_report(spark, d):
 
 def _placed(spark, d):
     """Pairs with the section they belong to, and the sectioned documents."""
-    pairs = sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer", "clo")
+    pairs = written(sf.qa_pairs(spark, d).select("doc_id", "pair_id", "level", "question", "answer", "clo"), "pairs")
     books = written(st.sectioned(tf.books(spark, d, pairs.select("doc_id").distinct())), "sectioned")
     n = books.select("doc_id", F.size("sections").alias("n")).where("n > 0")
     return pairs.join(n, "doc_id").withColumn("section_pos", (c("pair_id") % c("n")).cast("int")).drop("n"), books

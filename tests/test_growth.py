@@ -229,3 +229,15 @@ def test_texts_without_odd_spaces_and_numbers_stay(col):
         **{k: f"<sub>{v}</sub>" for k, v in lx.SUBSCRIPTS.items()}, **{k: f"<sup>{v}</sup>" for k, v in lx.SUPERSCRIPTS.items()}}), tx.SPACES, " ")
     assert col(tx.normalise_text, spaced) == col(rules, spaced)
     assert col(tx.break_inline_headings, ["Hết. 1.2 Một", "Hết. 2 Một", None]) == ["Hết.\n1.2 Một", "Hết. 2 Một", None]
+
+
+def test_replies_are_read_once_for_both_gates(spark):
+    text = "1.1 Khái niệm mô hình\n" + "Mô hình kinh doanh bao gồm các hoạt động và rủi ro thanh toán. " * 5
+    books = st.sectioned(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+    raw = "**QUESTION:** Nêu khái niệm mô hình?\nANSWER:\n- Mô hình: hoạt động kinh doanh và thanh toán\n- Rủi ro: rủi ro thanh toán của hoạt động"
+    rows = [(1, 0, 1, 1, raw, 2, ""), (1, 0, 1, 2, "nothing", 2, ""), (1, 9, 4, 1, raw, 2, "")]
+    replies = spark.createDataFrame(rows, "doc_id bigint, section_pos int, level int, attempt int, raw string, required_points int, clo string")
+    judged = ops.judged_replies(replies, books)
+    assert {(r.section_pos, r.attempt): r.why for r in judged.collect()}[0, 2] == "unreadable" and judged.count() == 3
+    # The replies are read by neither the sources that are wanted nor the result.
+    assert "QUESTION:" not in judged._jdf.queryExecution().optimizedPlan().toString()
